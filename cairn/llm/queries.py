@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, media, mixing, secrets
+from cairn.llm import exact_dedup, media, mixing, ngram_join, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +22,26 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_source_mixing, op8_exact_dedup, op10_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_secret_scan, op3_source_mixing, op6_ngram_jaccard, op8_exact_dedup, op9_toxicity, op10_media_columns)
+}
 
 ORACLE_SQL = {
     "op8_exact_dedup": """

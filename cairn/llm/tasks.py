@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,3 +32,15 @@ def map_columns(rows: DataFrame, keep: list[str], made: str, fn: Callable[[pa.Re
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that text operators read, as ``id`` and ``text``; a null text becomes empty."""
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose text has about ``most`` bytes, so that arrays made from it stay small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        base = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
