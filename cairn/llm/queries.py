@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, media, mixing, ngram_join, secrets, toxicity
+from cairn.llm import exact_dedup, katz, media, mixing, ngram_join, secrets, sentencepiece, surrogates, token_counts, toxicity
+
+
+#: The public tokenizers' folder is a parameter of the environment.
+PIECES = f"{os.environ.get('CAIRN_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    return sentencepiece.encode(documents(spark, sf_dir), model_path)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
@@ -22,10 +32,22 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = b"cairn") -> DataFrame:
+    return surrogates.surrogate_digests(documents(spark, sf_dir), key)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), model_path)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(documents(spark, sf_dir))
 
@@ -40,7 +62,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_secret_scan, op3_source_mixing, op6_ngram_jaccard, op8_exact_dedup, op9_toxicity, op10_media_columns)
+    for f in (
+        op1_sentencepiece,
+        op2_secret_scan,
+        op3_source_mixing,
+        op4_katz_scores,
+        op5_pii_surrogates,
+        op6_ngram_jaccard,
+        op7_token_counts,
+        op8_exact_dedup,
+        op9_toxicity,
+        op10_media_columns,
+    )
 }
 
 ORACLE_SQL = {
