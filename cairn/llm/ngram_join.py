@@ -13,12 +13,15 @@ at most (a + b) / 9 <= a / 4 elements. PartEnum (Arasu, Ganti, Kaushik, VLDB
   into n2 subparts, of which at most one then differs. Each choice of all
   subparts of a part but one gives a signature: a hash of the set's elements
   there. Linked sets share one.
-* Projections without elements are not signed, or they would gather unrelated
-  sets. A set is *safe* if k differences can't spoil all its other signatures;
-  a link with a safe set is found through these. The few others sign their
-  empty projections as well and so meet each other.
-
-Signatures only propose; every link is verified on the sets themselves. Equal
+* Projections of fewer than two elements gather unrelated sets, so they are
+  signed only where needed. If k differences can't spoil all of a set's
+  projections of two and more elements, its links are found through these. A
+  set that isn't safe in this way signs single elements as well, and if that
+  isn't enough its empty projections; two such sets meet there.
+
+Signatures only propose. A parity sketch then rules pairs out for certain: two
+sets differ in at least as many elements as their sketches in bits. What is
+left is verified on the sets themselves. Equal
 sets are one node (a 64-bit digest), so copies are never paired. Members of a
 signature pair with its least member only (in the task first, then between
 tasks), never all with all; what fails there is paired across the components
@@ -47,6 +50,7 @@ from cairn.plans.durable import materialize
 SHARE, OF = 4, 5
 SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
+SKETCH = 16
 
 
 def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -87,12 +91,27 @@ def bands(size: int) -> list[tuple[int, int]]:
     return out
 
 
+def spoilt_by(signed: np.ndarray) -> int:
+    """How many differing elements it takes to spoil all these projections, at least.
+
+    One element touches one subpart and spoils all but one of its part's
+    projections; a part with two or more signed ones thus takes two elements.
+    """
+    return int(np.minimum(2, signed.sum(axis=1)).sum()) if signed.shape[1] == 2 else int(np.array([0, 1, 1, 2])[signed.sum(axis=1)].sum())
+
+
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """SKETCH longs; each element flips one bit."""
+    odd = np.bincount((mix(grams ^ np.uint64(0x3C3C3C3C)) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(grams: np.ndarray) -> np.ndarray:
     """PartEnum signatures of a set for 4/5 similarity."""
     size, out = len(grams), []
     for number, high in bands(size):
         k = high // 4
-        n1, n2 = k // 2 + 1 + k // 20, 3 if k <= 16 else 2
+        n1, n2 = k // 2 + 1 + k // 9, 3 if k <= 16 else 2
         mixed = mix(grams + np.uint64(number * 2 + 1))
         part = (mixed % np.uint64(n1 * n2)).astype(np.int64)
         value = mix(mixed)
@@ -103,24 +122,29 @@ def signatures(grams: np.ndarray) -> np.ndarray:
         ]
         total = (halves[0].astype(np.uint64) + (halves[1].astype(np.uint64) << np.uint64(32))).reshape(n1, n2)
         left = total.sum(axis=1, keepdims=True, dtype=np.uint64) - total
-        some = (count.sum(axis=1, keepdims=True) - count) > 0
+        held = count.sum(axis=1, keepdims=True) - count
         place = mix((np.arange(n1 * n2) + (number << 40)).astype(np.uint64)).reshape(n1, n2)
-        signed = mix(left + place)
-        out.append(signed[some])
-        spoilt_by = np.minimum(2, (count > 0).sum(axis=1)).sum()
-        if spoilt_by <= min(k, size // 4):
-            out.append(mix(place[~some] ^ np.uint64(0x5555555555555555)))
+        signed, most = mix(left + place), min(k, size // 4)
+        out.append(signed[held >= 2])
+        if spoilt_by(held >= 2) <= most:
+            out.append(signed[held == 1])
+            if spoilt_by(held >= 1) <= most:
+                out.append(mix(place[held == 0] ^ np.uint64(0x5555555555555555)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n_shingles, node), one row per input row."""
+    """(id, n_shingles, node, sketch), one row per input row."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [g for part in slices(batch) for g in ngram_sets(part.column("text"), n)]
-        return {"n_shingles": [len(g) for g in sets], "node": [set_digest(g) for g in sets]}
+        return {
+            "n_shingles": [len(g) for g in sets],
+            "node": [set_digest(g) for g in sets],
+            "sketch": [parity_sketch(g) for g in sets],
+        }
 
-    return map_columns(id_and_text(docs, id_col, text_col), ["id"], "n_shingles long, node long", make)
+    return map_columns(id_and_text(docs, id_col, text_col), ["id"], "n_shingles long, node long, sketch array<long>", make)
 
 
 def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, chunk: int = 1 << 20) -> DataFrame:
@@ -206,41 +230,52 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     return found.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id"))).select("f.node", "f.grams")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sets link."""
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that sizes or sketches rule out."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
+    bits = F.zip_with(F.col("x.sketch"), F.col("y.sketch"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    differ = F.aggregate(bits, F.lit(0), lambda t, v: t + v)
+    return both.where(OF * F.least(p, q) >= SHARE * F.greatest(p, q)).where(9 * differ <= p + q).select(*[pairs[c] for c in pairs.columns])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets link; reads the texts of one row per node again."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if OF * min(len(p), len(q)) < SHARE * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("b"), F.col("grams").alias("y")).dropDuplicates(["b"])
-    right = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")).dropDuplicates(["a"])
+    inside = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(inside.join(nodes.select("node", "id"), "node"), "wanted")
+    sets = materialize(fetch_sets(docs, wanted, id_col, text_col, n), "grams")
+    if sets.count() > wanted.count():  # rows that repeat identifier and text
+        sets = sets.dropDuplicates(["node"])
+    left = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    right = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """One row per input row: id, n_shingles, component_id."""
     rows = materialize(set_rows(docs, id_col, text_col, n), "sets")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"))
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+    )
+    nodes = materialize(nodes, "nodes")
     signed = signature_rows(docs, id_col, text_col, n)
     least = F.min("node").over(Window.partitionBy("sig", "salt"))
     shared = materialize(
         signed.withColumn("lead", F.coalesce("lead", least)).where("lead <> node").select("sig", "lead", "node"), "shared"
     )
-    star = materialize(
-        shared.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "star"
-    )
-    inside = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    wanted = materialize(inside.join(nodes, "node"), "wanted")
-    sets = materialize(fetch_sets(docs, wanted, id_col, text_col, n), "grams")
+    star = shared.groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    near = materialize(plausible(star, nodes), "near")
 
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -253,34 +288,42 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .where("ca <> cb")
         )
 
+    def extend(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = materialize(links.union(verified(pairs, nodes, docs, id_col, text_col, n)), "links")
+        return links, materialize(connected_components(links), "parts")
+
     # the likeliest partner of each node first: most near copies are then connected
-    first = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = materialize(verified(first, sets), "links")
-    parts = materialize(connected_components(links), "parts")
-    tried = first
-    rest = materialize(apart(star.select("a", "b"), parts).select("a", "b").join(tried, ["a", "b"], "left_anti"), "rest")
+    first = near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links, parts = extend(near.select("a", "b").limit(0), first)
+    rest = materialize(apart(near.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = materialize(links.union(verified(rest, sets)), "links")
-        parts = materialize(connected_components(links), "parts")
+        links, parts = extend(links, rest)
     # signatures whose members are still apart: pairs across their components, those with the least member are done
     failed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("node").alias("b")), parts).select("sig").distinct()
     open_ = shared.join(failed, "sig", "left_semi")
     members = open_.select("sig", F.col("lead").alias("node")).union(open_.select("sig", "node")).distinct()
-    members = materialize(
-        members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component")), "members"
+    members = members.join(
+        members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 2"), "sig", "left_semi"
     )
+    members = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    members = materialize(members.join(nodes.select("node", "n_shingles"), "node"), "members")
     x, y = members.alias("x"), members.alias("y")
+    p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
     across = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
+        x.join(
+            y,
+            (F.col("x.sig") == F.col("y.sig"))
+            & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (OF * F.least(p, q) >= SHARE * F.greatest(p, q)),
+        )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
     )
-    across = materialize(across, "across")
+    across = materialize(plausible(across, nodes).join(near, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
-        links = materialize(links.union(verified(across, sets)), "links")
-        parts = materialize(connected_components(links), "parts")
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links, parts = extend(links, across)
+    named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").select("node", "component_id")
     some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
