@@ -75,14 +75,14 @@ def find_copies(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``docs`` without the rows that :func:`find_copies` does not keep, one row for each distinct text."""
     copies = materialize(find_copies(docs, id_col, text_col, keep=keep), "copies")
-    kept = copies.where("kept").groupBy("text_sha256").agg(
+    kept = copies.where("kept").groupBy(F.col("text_sha256").alias("__keep_sha")).agg(
         F.max(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__rows")
     )
     repeated = kept.where("__rows > 1").limit(1).count() > 0
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumn("__sha", F.sha2(text, 256))
     out = marked.join(
-        kept, (F.col("__sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi"
+        kept, (F.col("__sha") == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi"
     )
     if repeated:  # the same identifier and text in several rows
         order = F.xxhash64(*[F.to_json(F.struct(docs.columns))])

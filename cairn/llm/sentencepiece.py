@@ -231,7 +231,7 @@ def encode_words(words: DataFrame, model_path: str) -> DataFrame:
     path = lattice.withColumn("best", fold).withColumn("path", walk)
     one = lambda x: F.when(x["pid"] >= 0, F.array(x["pid"])).otherwise(
         F.transform(
-            F.regexp_extract_all(F.get(F.col("raw"), x["at"] - 1), F.lit("..")),
+            F.regexp_extract_all(F.get(F.col("raw"), x["at"] - 1), F.lit(".."), F.lit(0)),
             lambda b: F.get(spark_bytes, F.conv(b, 16, 10).cast("int")),
         )
     )
