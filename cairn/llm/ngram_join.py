@@ -24,9 +24,11 @@ sets differ in at least as many elements as their sketches in bits. What is
 left is verified on the sets themselves. Equal
 sets are one node (a 64-bit digest), so copies are never paired. Members of a
 signature pair with its least member only (in the task first, then between
-tasks), never all with all; what fails there is paired across the components
-found so far, until every two members of a signature are known to be
-connected or not to link.
+tasks), never all with all. Where that leaves a signature's members in several
+components, those outside the largest one meet the others in a join whose
+condition compares the sketches, so that only pairs that may link come out of
+it; then every two members of a signature are known to be connected or not to
+link.
 
 Nulls and edges: a null text is empty; a text without words has an empty set,
 no link and itself as component. Rows that repeat an identifier are separate
@@ -38,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import mix, words
@@ -51,6 +53,7 @@ SHARE, OF = 4, 5
 SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
 SKETCH = 16
+LONGS = [f"sketch{k}" for k in range(SKETCH)]
 
 
 def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -134,17 +137,19 @@ def signatures(grams: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n_shingles, node, sketch), one row per input row."""
+    """(id, n_shingles, node, sketch0...), one row per input row."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [g for part in slices(batch) for g in ngram_sets(part.column("text"), n)]
+        sketches = np.array([parity_sketch(g) for g in sets], np.int64).reshape(-1, SKETCH)
         return {
             "n_shingles": [len(g) for g in sets],
             "node": [set_digest(g) for g in sets],
-            "sketch": [parity_sketch(g) for g in sets],
+            **dict(zip(LONGS, sketches.T, strict=True)),
         }
 
-    return map_columns(id_and_text(docs, id_col, text_col), ["id"], "n_shingles long, node long, sketch array<long>", make)
+    made = ", ".join(["n_shingles long, node long", *(f"{c} long" for c in LONGS)])
+    return map_columns(id_and_text(docs, id_col, text_col), ["id"], made, make)
 
 
 def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, chunk: int = 1 << 20) -> DataFrame:
@@ -230,14 +235,18 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     return found.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id"))).select("f.node", "f.grams")
 
 
+def may_link() -> Column:
+    """Sizes and sketches of ``x`` and ``y`` don't rule a link out: 16 words compared without leaving generated code."""
+    p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in LONGS[1:]), F.bit_count(F.col(f"x.{LONGS[0]}").bitwiseXOR(F.col(f"y.{LONGS[0]}"))))
+    return (OF * F.least(p, q) >= SHARE * F.greatest(p, q)) & (9 * differ <= p + q)
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) without those that sizes or sketches rule out."""
     x, y = nodes.alias("x"), nodes.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
-    bits = F.zip_with(F.col("x.sketch"), F.col("y.sketch"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
-    differ = F.aggregate(bits, F.lit(0), lambda t, v: t + v)
-    return both.where(OF * F.least(p, q) >= SHARE * F.greatest(p, q)).where(9 * differ <= p + q).select(*[pairs[c] for c in pairs.columns])
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link())
+    return both.select(*[pairs[c] for c in pairs.columns])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -266,7 +275,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: id, n_shingles, component_id."""
     rows = materialize(set_rows(docs, id_col, text_col, n), "sets")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", *LONGS)]
     )
     nodes = materialize(nodes, "nodes")
     signed = signature_rows(docs, id_col, text_col, n)
@@ -301,26 +310,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # signatures whose members are still apart: pairs across their components, those with the least member are done
     failed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("node").alias("b")), parts).select("sig").distinct()
     open_ = shared.join(failed, "sig", "left_semi")
-    members = open_.select("sig", F.col("lead").alias("node")).union(open_.select("sig", "node")).distinct()
+    members = open_.select("sig", F.explode(F.array("lead", "node")).alias("node")).distinct()
     members = members.join(
         members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 2"), "sig", "left_semi"
     )
     members = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    members = materialize(members.join(nodes.select("node", "n_shingles"), "node"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
-    across = (
-        x.join(
-            y,
-            (F.col("x.sig") == F.col("y.sig"))
-            & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (OF * F.least(p, q) >= SHARE * F.greatest(p, q)),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    across = materialize(plausible(across, nodes).join(near, ["a", "b"], "left_anti"), "across")
+    members = materialize(members, "open")
+    sizes = members.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    members = materialize(members.join(main, "sig").join(nodes.drop("id"), "node"), "members")
+    # one end outside the signature's largest component; the sketches are compared inside the join
+    x, y = members.where("component <> main").alias("x"), members.alias("y")
+    other = (F.col("y.component") == F.col("y.main")) | ((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
+    ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & other & may_link()).select(*ends).distinct()
+    near_ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = materialize(across.join(near_ends, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
         links, parts = extend(links, across)
     named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
