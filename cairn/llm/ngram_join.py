@@ -324,12 +324,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other = (F.col("y.component") == F.col("y.main")) | ((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
     meet = (F.col("x.sig") == F.col("y.sig")) & other & may_link()
     hits = materialize(x.join(y, meet, "left_semi"), "hits")
+    partners = materialize(y.join(hits.alias("x"), meet, "left_semi"), "partners")
     # a pair comes out at the least signature that it shares, not at each
-    hit = members.join(hits.select("sig").distinct(), "sig", "left_semi")
-    lists = hit.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    lists = hits.select("sig", "node").union(partners.select("sig", "node")).distinct()
+    lists = lists.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
     below = F.filter("sigs", lambda v: v < F.col("sig"))
     with_lists = lambda df: df.join(lists, "node").withColumn("below", below).drop("sigs")
-    x, y = with_lists(hits).alias("x"), with_lists(hit).alias("y")
+    x, y = with_lists(hits).alias("x"), with_lists(partners).alias("y")
     ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     across = x.join(y, meet & ~F.arrays_overlap("x.below", "y.below")).select(*ends)
     near_ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
