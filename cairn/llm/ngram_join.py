@@ -54,6 +54,8 @@ SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
 SKETCH = 16
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
+#: Half as long: word k xor word k + 8 is a parity sketch too, for where many rows carry it.
+FOLDED = [f"fold{k}" for k in range(SKETCH // 2)]
 
 
 def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -235,17 +237,17 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     return found.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id"))).select("f.node", "f.grams")
 
 
-def may_link() -> Column:
-    """Sizes and sketches of ``x`` and ``y`` don't rule a link out: 16 words compared without leaving generated code."""
+def may_link(words: list[str]) -> Column:
+    """Sizes and sketches of ``x`` and ``y`` don't rule a link out, word by word without leaving generated code."""
     p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in LONGS[1:]), F.bit_count(F.col(f"x.{LONGS[0]}").bitwiseXOR(F.col(f"y.{LONGS[0]}"))))
-    return (OF * F.least(p, q) >= SHARE * F.greatest(p, q)) & (9 * differ <= p + q)
+    bits = [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in words]
+    return (OF * F.least(p, q) >= SHARE * F.greatest(p, q)) & (9 * sum(bits[1:], bits[0]) <= p + q)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) without those that sizes or sketches rule out."""
     x, y = nodes.alias("x"), nodes.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link())
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link(LONGS))
     return both.select(*[pairs[c] for c in pairs.columns])
 
 
@@ -318,11 +320,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(members, "open")
     sizes = members.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    members = materialize(members.join(main, "sig").join(nodes.drop("id"), "node"), "members")
+    folds = [F.col(a).bitwiseXOR(F.col(b)).alias(c) for a, b, c in zip(LONGS, LONGS[SKETCH // 2 :], FOLDED)]
+    members = materialize(members.join(main, "sig").join(nodes.select("node", "n_shingles", *folds), "node"), "members")
     # one end outside the signature's largest component; the sketches are compared inside the join
     x, y = members.where("component <> main").alias("x"), members.alias("y")
     other = (F.col("y.component") == F.col("y.main")) | ((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
-    meet = (F.col("x.sig") == F.col("y.sig")) & other & may_link()
+    meet = (F.col("x.sig") == F.col("y.sig")) & other & may_link(FOLDED)
     hits = materialize(x.join(y, meet, "left_semi"), "hits")
     partners = materialize(y.join(hits.alias("x"), meet, "left_semi"), "partners")
     # a pair comes out at the least signature that it shares, not at each
@@ -334,7 +337,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     across = x.join(y, meet & ~F.arrays_overlap("x.below", "y.below")).select(*ends)
     near_ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(across.join(near_ends, ["a", "b"], "left_anti"), "across")
+    across = materialize(plausible(across.join(near_ends, ["a", "b"], "left_anti"), nodes), "across")
     if across.limit(1).count():
         links, parts = extend(links, across)
     named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
