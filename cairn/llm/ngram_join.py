@@ -312,14 +312,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # signatures whose members are still apart: pairs across their components, those with the least member are done
     failed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("node").alias("b")), parts).select("sig").distinct()
     open_ = shared.join(failed, "sig", "left_semi")
-    members = open_.select("sig", F.explode(F.array("lead", "node")).alias("node")).distinct()
-    members = members.join(
-        members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 2"), "sig", "left_semi"
-    )
+    # the only lead of a signature was compared with all its members already
+    leads = open_.groupBy("sig").agg((F.min("lead") == F.max("lead")).alias("one"), F.count(F.lit(1)).alias("m")).where("m > 1 or not one")
+    ends = F.when(F.col("one"), F.array("node")).otherwise(F.array("lead", "node"))
+    members = open_.join(leads, "sig").select("sig", F.explode(ends).alias("node")).distinct()
     members = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     members = materialize(members, "open")
     sizes = members.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("apart"))
+    main = main.where("apart > 1").drop("apart")
     folds = [F.col(a).bitwiseXOR(F.col(b)).alias(c) for a, b, c in zip(LONGS, LONGS[SKETCH // 2 :], FOLDED)]
     members = materialize(members.join(main, "sig").join(nodes.select("node", "n_shingles", *folds), "node"), "members")
     # one end outside the signature's largest component; the sketches are compared inside the join
