@@ -53,6 +53,8 @@ SHARE, OF = 4, 5
 SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
 SKETCH = 16
+#: Nodes with longer signature lists don't carry them; their pairs may come out more than once.
+LISTED = 128
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
 #: Half as long: word k xor word k + 8 is a parity sketch too, for where many rows carry it.
 FOLDED = [f"fold{k}" for k in range(SKETCH // 2)]
@@ -332,11 +334,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a pair comes out at the least signature that it shares, not at each
     lists = hits.select("sig", "node").union(partners.select("sig", "node")).distinct()
     lists = lists.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    below = F.filter("sigs", lambda v: v < F.col("sig"))
+    none = F.expr("cast(array() as array<bigint>)")
+    below = F.when(F.size("sigs") <= LISTED, F.filter("sigs", lambda v: v < F.col("sig"))).otherwise(none)
     with_lists = lambda df: df.join(lists, "node").withColumn("below", below).drop("sigs")
     x, y = with_lists(hits).alias("x"), with_lists(partners).alias("y")
     ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    across = x.join(y, meet & ~F.arrays_overlap("x.below", "y.below")).select(*ends)
+    across = x.join(y, meet & ~F.arrays_overlap("x.below", "y.below")).select(*ends).distinct()
     near_ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = materialize(plausible(across.join(near_ends, ["a", "b"], "left_anti"), nodes), "across")
     if across.limit(1).count():
