@@ -154,7 +154,7 @@ def method_calls(files: DataFrame) -> DataFrame:
     A class is cut before each method signature, so that every piece is one
     method with what follows it.
     """
-    signature = r"(?=(?:public|protected|private)\s+(?!class|final\s+[A-Z]\w*\s+\w+;)[\w<>\[\], ]+\s+\w+\s*\([^)]*\)\s*(?:throws [\w, ]+)?\{)"
+    signature = r"(?=(?:public|protected|private)\s+(?!class|final\s+[A-Z]\w*\s+\w+;)[\w<>\[\], ]+\s+\w+\s*\((?:[^()]|\([^()]*\))*\)\s*(?:throws [\w, ]+)?\{)"
     cut = files.where("path like '%.java'").select("path", F.regexp_extract("content", CLASS, 1).alias("class_name"), "content", F.explode(F.split("content", signature)).alias("piece"))
     method = F.regexp_extract("piece", r"\A(?:public|protected|private)\s+[\w<>\[\], ]+?\s+(\w+)\s*\(", 1)
     calls = cut.withColumn("method", method).where("method <> ''").select("path", "class_name", "content", "method", F.posexplode(F.regexp_extract_all("piece", F.lit(r"\b([a-z]\w*)\.(\w+)\s*\("), F.lit(0))).alias("ord", "hit"))
