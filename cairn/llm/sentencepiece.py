@@ -159,7 +159,7 @@ class Lattice:
         return _gather(self.text, self.text_at[ids], self.text_size[ids]).tobytes()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
     """One row per input row: id, n_tokens, ids, round_trip (the ids decode to the text)."""
     pieces = load(model_path)
     check_cuts(pieces)
