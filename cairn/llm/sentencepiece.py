@@ -19,6 +19,9 @@ its ``round_trip`` is false. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,8 +150,8 @@ class Lattice:
 
     def encode_texts(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) for texts as lists of pre-tokens."""
-        number: dict[str, int] = {}
-        every = np.array([number.setdefault(t, len(number)) for text in texts for t in text], np.int64)
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        every = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
         ids, n = self.encode(list(number))
         starts = np.cumsum(n) - n
         out = _gather(ids, starts[every], n[every])
@@ -159,7 +162,7 @@ class Lattice:
         return _gather(self.text, self.text_at[ids], self.text_size[ids]).tobytes()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 5 << 20) -> DataFrame:
     """One row per input row: id, n_tokens, ids, round_trip (the ids decode to the text)."""
     pieces = load(model_path)
     check_cuts(pieces)
