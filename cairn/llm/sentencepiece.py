@@ -31,6 +31,9 @@ from cairn.llm.hashing import words as split_words
 from cairn.llm.pieces import Pieces, check_cuts, load, pre_tokens
 from cairn.llm.tasks import id_and_text, map_columns, slices
 
+#: What a substring is to the piece table, if not the row of a piece.
+PREFIX, ABSENT = -1, -2
+
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of values[s : s + n] over starts and lengths."""
@@ -63,12 +66,39 @@ class Lattice:
         self.piece = h[order]
         self.id = np.array([pieces.score[p][0] for p in items], np.int64)[order]
         self.score = np.array([pieces.score[p][1] for p in items])[order]
-        self.prefix = np.unique(_hashes(sorted({p[:n] for p in items for n in range(1, len(p) + 1)})))
+        self._fill(np.unique(_hashes(sorted({p[:n] for p in items for n in range(1, len(p) + 1)}))))
         self.byte_id = np.array(pieces.byte_id, np.int64)
         sizes = np.array([len(t) for t in pieces.text], np.int64)
         self.text_at, self.text_size = np.cumsum(sizes) - sizes, sizes
         self.text = np.frombuffer(b"".join(pieces.text), np.uint8)
 
+    def _fill(self, prefixes: np.ndarray) -> None:
+        """The join's build side: an open-addressed table from a hash to its piece's row, PREFIX or ABSENT."""
+        row = np.minimum(np.searchsorted(self.piece, prefixes), len(self.piece) - 1)
+        row = np.where(self.piece[row] == prefixes, row, PREFIX)
+        bits = max(4, int(4 * len(prefixes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.row = np.zeros(1 << bits, np.uint64), np.full(1 << bits, ABSENT, np.int64)
+        slot, left = (prefixes >> self.shift).astype(np.int64), np.arange(len(prefixes))
+        while len(left):
+            free = left[self.row[slot[left]] == ABSENT]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[slot[put]], self.row[slot[put]] = prefixes[put], row[put]
+            left = np.setdiff1d(left, put)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece's row for each hash; PREFIX if a piece only begins so, ABSENT if none does."""
+        slot = (h >> self.shift).astype(np.int64)
+        out = self.row[slot]
+        other = np.flatnonzero((out != ABSENT) & (self.key[slot] != h))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            out[other] = self.row[slot[other]]
+            other = other[(out[other] != ABSENT) & (self.key[slot[other]] != h[other])]
+        return out
+
     def edges(self, data: np.ndarray, w, char: np.ndarray, last: np.ndarray, node: np.ndarray):
         """(source, target, score, row of the piece table or -1 - byte position) of every edge."""
         found = []
@@ -78,15 +108,14 @@ class Lattice:
             if not len(alive):
                 break
             h = w.range_hash(char[alive], char[alive + length])
-            at = np.minimum(np.searchsorted(self.piece, h), len(self.piece) - 1)
-            hit = self.piece[at] == h
-            a, at = alive[hit], at[hit]
+            row = self.find(h)
+            hit = row >= 0
+            a, at = alive[hit], row[hit]
             found.append((node[a], node[a] + length, self.score[at], at))
             if length == 1:
                 a = alive[~hit]
                 found.append((node[a], node[a] + 1, np.full(len(a), self.unknown), -1 - char[a]))
-            at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-            alive = alive[self.prefix[at] == h]
+            alive = alive[row != ABSENT]
         return [np.concatenate(x) for x in zip(*found, strict=True)]
 
     def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
