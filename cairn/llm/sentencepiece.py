@@ -55,6 +55,13 @@ def _rows(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
 
 
+def blocks(distinct: list[str], most: int = 1 << 19) -> list[list[str]]:
+    """Pre-tokens in runs of about ``most`` characters, so that the edges of one lattice stay small."""
+    block = np.cumsum([len(x) for x in distinct]) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(distinct)]
+    return [distinct[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Lattice:
     """The piece table as sorted hash columns, and the encoder and decoder over it."""
 
@@ -181,7 +188,7 @@ class Lattice:
         """(all ids, number of ids of each text) for texts as lists of pre-tokens."""
         number: defaultdict[str, int] = defaultdict(count().__next__)
         every = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        ids, n = self.encode(list(number))
+        ids, n = (np.concatenate(x) for x in zip(*map(self.encode, blocks(list(number))), strict=True))
         starts = np.cumsum(n) - n
         out = _gather(ids, starts[every], n[every])
         at = np.concatenate([[0], np.cumsum(n[every])])
