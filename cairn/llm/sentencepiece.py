@@ -9,7 +9,7 @@ best edge into each (Viterbi; at equal sums the longer piece). Texts look
 their pre-tokens up. Decoding joins the ids back to the pieces' bytes.
 
 :func:`encode_words` is the same lattice over Spark rows, with the fold as a
-higher-order ``aggregate``; the README compares their figures.
+higher-order ``aggregate``. The query doesn't run on it; the README says why.
 
 Nulls and edges: a null or empty text has no ids and decodes to itself. A
 character outside the vocabulary becomes the byte pieces of its UTF-8 form. A
