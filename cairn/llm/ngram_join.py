@@ -65,7 +65,7 @@ def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     w = words(texts)
     h, count = w.hash, len(w.hash)
     grams = np.zeros(count, np.uint64)
-    for k in range(n):
+    for k in range(min(n, count)):
         grams[: count - k] = mix(grams[: count - k] + h[k:] + np.uint64(k + 1))
     out = []
     for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True):

@@ -87,3 +87,15 @@ def test_dropping_copies_leaves_one_row_a_text(docs_of, items):
     texts = Counter(r["text"] or "" for r in kept.collect())
     assert set(texts.values()) == {1} and set(texts) == {t or "" for _, t, _ in items}
     assert exact_dedup.find_copies(docs_of([])).collect() == exact_dedup.drop_copies(docs_of([])).collect() == []
+
+
+def test_a_slice_of_one_short_text(spark, docs_of):
+    for size in (1, 2, 3, 4):
+        docs = docs_of([(7, " ".join("abcd"[:size]), "a")])
+        assert [tuple(r) for r in ngram_join.ngram_components(docs).collect()] == [(7, 1, 7)]
+    # a text over 2 MB leaves the row before it alone in its slice
+    long = " ".join(f"w{k}" for k in range(400000))
+    assert len(long) > 2 << 20
+    items = [(1, "two words", "a"), (2, long, "a"), (3, "Two  words", "a")]
+    got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items).coalesce(1)).collect())
+    assert got == brute_components(items)
