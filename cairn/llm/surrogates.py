@@ -57,21 +57,27 @@ GIVEN = {
     "female greek": "Αθηνα Ελενη Ιωαννα Κατερινα Μαρια Σοφια",
     "male greek": "Αλεξης Γιωργος Δημητρης Κωστας Νικος Πετρος",
 }
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Господин Госпожа Доктор Профессор Κύριος Κυρία Κυριος Κυρια".split()
 
 EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-CARD = re.compile(r"(?<![\d.-])\d(?:[\x20-]?\d){12,18}(?![\d-])")
+DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[\x20-]?\d){12,}(?![\d-])")
+GROUP = re.compile(r"[^\x20]+")
 IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}(?!\w)")
-NAME = re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.?\x20[^\W\d_]+(?:\x20[^\W\d_]+)?)", re.UNICODE)
+PHONE = re.compile(
+    r"(?<![\w+])\+[1-9](?:\)?[\x20.-]?\(?\d){6,14}(?!\w)"
+    r"|(?<![\w+(])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{3,4}(?!\w)"
+    r"|(?<![\w+(])\(\d{2,4}\)[\x20.-]?\d{6,8}(?!\w)"
+)
+TITLED = re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.?\x20)+(?=[^\W\d_])")
+NEXT_WORD = re.compile(r"\x20([^\W\d_]+)")
 WORD = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d")
 KINDS = ["email", "iban", "card", "ip", "ssn", "phone", "name"]
 
 _PLACE = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
-_GIVEN = {name: kind for kind, names in GIVEN.items() for name in names.split()}
+_GIVEN = {name.lower(): (name, kind) for kind, names in GIVEN.items() for name in names.split()}
 
 
 def luhn(digits: str) -> bool:
@@ -131,9 +137,19 @@ class Surrogates:
         return "".join(n.upper() if c != x else n for c, x, n in zip(value, low, self.spell(kind, low), strict=True))
 
     def given(self, name: str) -> str:
-        names = sorted(GIVEN[_GIVEN[name]].split())
-        order = sorted(names, key=lambda n: self._number("name:given", n))
-        return order[(order.index(name) + 1) % len(order)]
+        """Another name of the list, in capitals or small letters where ``name`` is."""
+        listed, kind = _GIVEN[name.lower()]
+        order = sorted(GIVEN[kind].split(), key=lambda n: self._number("name:given", n))
+        new = order[(order.index(listed) + 1) % len(order)]
+        return new.upper() if name.isupper() else new.lower() if name.islower() else new
+
+    def family(self, name: str) -> str:
+        """Spelled anew, again while that gives a listed given name: a bijection of the other words."""
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in name)
+        new = self.spell("name:family", low)
+        while new in _GIVEN and new != low:
+            new = self.spell("name:family", new)
+        return "".join(n.upper() if c != x else n for c, x, n in zip(name, low, new, strict=True))
 
     def of(self, kind: str, value: str) -> str:
         if kind == "email":
@@ -155,7 +171,7 @@ class Surrogates:
         if kind in ("ssn", "phone"):
             digits = "".join(DIGITS.findall(value))
             return self._laid(value, self.spell(kind, digits))
-        return WORD.sub(lambda m: m[0] if m[0] in TITLES else self.given(m[0]) if m[0] in _GIVEN else self.recased("name:family", m[0]), value)
+        return WORD.sub(lambda m: m[0] if m[0] in TITLES else self.given(m[0]) if m[0].lower() in _GIVEN else self.family(m[0]), value)
 
     @staticmethod
     def _laid(value: str, code: str) -> str:
@@ -175,6 +191,56 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else " ".join(w.lower() for w in WORD.findall(value) if w not in TITLES)
 
 
+def card_spans(text: str) -> list[tuple[int, int]]:
+    """Of each run of digits, the stretches of whole groups with 13 to 19 digits and a valid check digit; at each start the longest."""
+    out = []
+    for run in DIGIT_RUN.finditer(text):
+        groups = [(m.start() + run.start(), m.end() + run.start(), m[0].replace("-", "")) for m in GROUP.finditer(run[0])]
+        k = 0
+        while k < len(groups):
+            digits, valid = "", None
+            for j in range(k, len(groups)):
+                digits += groups[j][2]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn(digits):
+                    valid = j
+            if valid is not None:
+                out.append((groups[k][0], groups[valid][1]))
+            k = k + 1 if valid is None else valid + 1
+    return out
+
+
+@lru_cache(1 << 10)
+def _any_of(names: frozenset[str]) -> re.Pattern:
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(names))})(?![^\W\d_])", re.IGNORECASE)
+
+
+def name_spans(text: str) -> list[tuple[int, int]]:
+    """Names behind a title, and listed given names in any case.
+
+    A capitalised word after the first is part of the name; a third one and
+    more only after given names ('Anna Maria Schmidt').
+    """
+    starts = []  # (start, where the first name word starts)
+    if any(t in text for t in TITLES):
+        starts += [(m.start(), m.end()) for m in TITLED.finditer(text)]
+    listed = _GIVEN.keys() & set(WORD.findall(text.lower()))
+    if listed:
+        starts += [(m.start(), m.start()) for m in _any_of(frozenset(listed)).finditer(text) if m[0].lower() in _GIVEN]
+    out, upto = [], 0
+    for a, first in sorted(starts):
+        word = WORD.match(text, first)
+        if first < upto or word[0] in TITLES or not (a == first or word[0][0].isupper()):
+            continue
+        a, b, n, last = max(a, upto), word.end(), 1, word[0]
+        while (n < 2 or last.lower() in _GIVEN) and (m := NEXT_WORD.match(text, b)) and m[1][0].isupper() and m[1] not in TITLES:
+            b, n, last = m.end(), n + 1, m[1]
+        out.append((a, b))
+        upto = b
+    return out
+
+
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order, not overlapping."""
     found: list[tuple[int, int, str]] = []
@@ -191,12 +257,11 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         take("email", [m.span() for m in EMAIL.finditer(text)])
     if DIGITS.search(text):
         take("iban", [m.span() for m in IBAN.finditer(text) if iban_remainder(m[0].replace(" ", "")) == 1])
-        take("card", [m.span() for m in CARD.finditer(text) if luhn("".join(DIGITS.findall(m[0])))])
+        take("card", card_spans(text))
         take("ip", [m.span() for m in IP.finditer(text) if all(int(x) < 256 for x in m[0].split("."))])
         take("ssn", [m.span() for m in SSN.finditer(text)])
         take("phone", [m.span() for m in PHONE.finditer(text)])
-    if any(t in text for t in TITLES):
-        take("name", [m.span() for m in NAME.finditer(text) if all(w[0].isupper() for w in WORD.findall(m[0]))])
+    take("name", name_spans(text))
     return found
 
 
@@ -227,10 +292,12 @@ def collisions(found: DataFrame) -> DataFrame:
     """(kind, surrogate, n): canonical surrogates that ``n`` > 1 different entities share."""
     e = found.where(F.size("entities") > 0).select(F.explode("entities").alias("e"))
     digits = F.regexp_replace(F.lower("e.surrogate"), r"[\s().+-]", "")
-    shown = F.when(F.col("e.kind").isin("card", "ssn", "phone", "iban"), digits).otherwise(F.lower("e.surrogate"))
+    words = F.regexp_extract_all(F.lower("e.surrogate"), F.lit(r"(\p{L}+)"))
+    own = F.size(F.split("e.entity", " "))  # the words behind the title
+    name = F.array_join(F.slice(words, F.greatest(F.size(words) - own + 1, F.lit(1)), own), " ")
+    shown = F.when(F.col("e.kind").isin("card", "ssn", "phone", "iban"), digits).when(F.col("e.kind") == "name", name).otherwise(F.lower("e.surrogate"))
     pairs = e.select(F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity"), shown.alias("surrogate"))
-    once = pairs.where("kind <> 'name'").distinct()
-    return once.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return pairs.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def surrogate_digests(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", attempts: int = 4) -> DataFrame:

@@ -131,3 +131,32 @@ def test_surrogates_are_a_bijection_and_keyed(docs_of):
     digests = surrogates.surrogate_digests(docs_of(rows + [(None, None, None)]), b"k")
     assert digests.count() == 301 and digests.agg(F.sum("n_entities")).first()[0] == 600
     assert surrogates.surrogate_digests(docs_of([]), b"k").collect() == []
+
+
+def test_finds_names_cards_and_phones_of_common_forms():
+    found = lambda text: [(text[a:b], kind) for a, b, kind in surrogates.find_entities(text)]
+    assert found("Mr Smith went home") == [("Mr Smith", "name")]
+    assert found("then Anna Schmidt wrote") == [("Anna Schmidt", "name")]
+    assert found("ANNA and anna") == [("ANNA", "name"), ("anna", "name")]
+    assert found("Frau Anna Maria Schmidt kam") == [("Frau Anna Maria Schmidt", "name")]
+    assert found("Господин Иванов и Елена Петрова") == [("Господин Иванов", "name"), ("Елена Петрова", "name")]
+    assert found("Johannesburg, Mr went") == []
+    for card, text in [("4111111111111111", "4111111111111111 20"), ("4111111111111111", "20 4111111111111111"), ("4111 1111 1111 1111", "4111 1111 1111 1111 2024 12")]:
+        assert (card, "card") in found(text)
+    for phone in ("+15551234567", "(555)1234567", "+33 1 42 68 53 00", "+1 (555) 123-4567"):
+        assert found(f"call {phone} now") == [(phone, "phone")]
+    assert found("at +0200 2024 12 01") == []
+
+
+def test_name_collisions_are_by_the_name_without_its_title(spark):
+    made = "entities array<struct<kind:string,start:int,end:int,entity:string,surrogate:string>>"
+    rows = [([("name", 0, 8, "smith", "Mr Blonk"), ("name", 9, 18, "brown", "Mrs Blonk"), ("name", 20, 25, "smith", "Blonk")],)]
+    assert [tuple(r) for r in surrogates.collisions(spark.createDataFrame(rows, made)).collect()] == [("name", "blonk", 2)]
+
+
+def test_given_and_family_names_stay_different():
+    keyed = surrogates.Surrogates(b"k")
+    words = [a + b + c for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz" for c in "aeiou"] + ["anna", "ruth", "nina"]
+    made = [keyed.of("name", w.capitalize()) for w in words]
+    assert len(set(made)) == len(words)
+    assert keyed.of("name", "ANNA") == keyed.of("name", "Anna").upper()
