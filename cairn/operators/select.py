@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -114,27 +116,28 @@ def admitted(items: DataFrame, by: list[str], order: str, size: str, most: int,
     return lists.select(*by, F.explode(F.aggregate("c", start, step)["taken"]).alias(order))
 
 
-def packed(blocks: DataFrame, by: list[str], order: str, size: str, most: int, separator: int = 7, at_most: int = 10_000) -> DataFrame:
+def packed(blocks: DataFrame, by: list[str], order: str, size: str, most: int, separator: int = 7) -> DataFrame:
     """Each block's ``chunk``: greedy packing in order, a chunk holding at most ``most`` characters with separators.
 
-    A group is one document's blocks; beyond ``at_most`` of them it is packed
-    in stretches of that many, so that no array grows without bound.
+    Rows stream through in order and the open chunk goes with them from batch
+    to batch, so a group of any length takes no array; it is one task's work.
     """
-    part, _ = part_of(by, [order])
-    numbered = blocks.withColumn("__stretch", F.floor((part - 1) / at_most))
-    lists = numbered.groupBy(*by, "__stretch").agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(size).cast("bigint").alias("n")))).alias("c"))
-    kind = dict(blocks.dtypes)[order]
-    start = F.expr(f"named_struct('used', 0L, 'chunk', 0, 'out', cast(array() as array<struct<{order}:{kind},chunk:int>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        joined = acc["used"] + separator + x["n"]
-        fresh = (acc["used"] == 0) | (joined > most)
-        chunk = F.when(fresh, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(
-            F.when(fresh, x["n"]).otherwise(joined).alias("used"),
-            chunk.alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(x[order].alias(order), chunk.alias("chunk")))).alias("out"),
-        )
-
-    out = lists.select(*by, "__stretch", F.explode(F.aggregate("c", start, step)["out"]).alias("o"))
-    return out.select(*by, F.col(f"o.{order}").alias(order), (F.col("__stretch") * at_most + F.col("o.chunk")).cast("bigint").alias("chunk"))
+    rows = blocks.select(*by, F.col(order), F.col(size).cast("bigint").alias("__n"))
+    out = StructType([rows.schema[c] for c in [*by, order]]).add("chunk", "long")
+
+    def run(batches):
+        group, used, chunk = object(), 0, 0
+        for batch in batches:
+            chunks = []
+            for *key, n in zip(*[batch.column(c).to_pylist() for c in [*by, "__n"]], strict=True):
+                if key != group:
+                    group, used, chunk = key, 0, 0
+                joined = None if used is None or n is None else used + separator + n
+                if used == 0 or (joined is not None and joined > most):
+                    used, chunk = n, chunk + 1
+                else:
+                    used = joined
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*by, order]], pa.array(chunks, pa.int64())], names=out.names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, order, "__n").mapInArrow(run, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.functions import text as T
-from cairn.operators import allocate, extract, graph, match, state
+from cairn.operators import allocate, extract, graph, match, select, state
 from cairn.sources import files as source
 from cairn.streaming import incremental
 
@@ -160,3 +160,19 @@ def test_stream_upsert(spark, tmp_path):
     incremental.upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), ["k"], "at", str(tmp_path / "check")).awaitTermination(60)
     got = incremental.current_rows(spark.read.parquet(str(tmp_path / "out")), ["k"])
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [(1, 2), (2, 9)]
+
+
+def test_packing_carries_its_chunk_over_long_groups(spark):
+    sizes = [(k * 37) % 290 for k in range(25_000)]
+    rows = [("hot", k, n) for k, n in enumerate(sizes)] + [(None, k, 40) for k in range(3)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, n_chars long").repartition(5)
+    want, used, chunk = {}, 0, 0
+    for k, n in enumerate(sizes):
+        if used == 0 or used + 7 + n > 600:
+            used, chunk = n, chunk + 1
+        else:
+            used += 7 + n
+        want["hot", k] = chunk
+    want |= {(None, k): 1 for k in range(3)}
+    got = {(r["source"], r["doc_id"]): r["chunk"] for r in select.packed(docs, ["source"], "doc_id", "n_chars", 600).collect()}
+    assert got == want
