@@ -333,14 +333,14 @@ def block_packing(spark, sf):
 
 
 def fair_allocation(spark, sf):
-    first = select.top_k(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], 80).drop("rank")
-    return allocate.allocated(first, ["source"], "doc_id", "n_chars", 24_000)
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return allocate.allocated(d, ["source"], "doc_id", "n_chars", 24_000)
 
 
 def weighted_allocation(spark, sf):
     weight = F.when(F.col("lang") == "en", 6.0).when(F.col("lang") == "fr", 4.0).otherwise(2.0)
     d = table(spark, sf, "documents").select("source", "doc_id", "n_chars", weight.alias("weight"))
-    return allocate.allocated(select.top_k(d, ["source"], [F.col("doc_id")], 80).drop("rank"), ["source"], "doc_id", "n_chars", 24_000, "weight")
+    return allocate.allocated(d, ["source"], "doc_id", "n_chars", 24_000, "weight")
 
 
 def role_split(spark, sf):

@@ -47,3 +47,12 @@ def test_windows_cover_their_texts(spark):
         assert all(b - a <= 900 for a, b in parts)
         for (a, b), (c, d) in zip(parts, parts[1:], strict=False):
             assert a < c <= b < d and b - c <= 90
+
+
+def test_allocations_keep_all_documents_of_a_large_source(spark):
+    large = "/root/testdata/sf0.1"  # hundreds of documents a source
+    want = sorted(r["doc_id"] for r in spark.read.parquet(f"{large}/documents.parquet").select("doc_id").collect())
+    for name in ("fair_allocation", "weighted_allocation"):
+        rows = QUERIES[name](spark, large).collect()
+        assert sorted(r["doc_id"] for r in rows) == want
+        assert all(0 <= r["granted"] <= r["n_chars"] for r in rows)
