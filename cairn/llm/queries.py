@@ -36,7 +36,9 @@ def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(documents(spark, sf_dir))
 
 
-def op5_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = b"cairn") -> DataFrame:
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """The key comes from the caller or from CAIRN_SURROGATE_KEY; without either, each run draws its own."""
+    key = key or os.environ.get("CAIRN_SURROGATE_KEY", "").encode() or None
     return surrogates.surrogate_digests(documents(spark, sf_dir), key)
 
 

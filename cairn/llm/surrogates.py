@@ -15,6 +15,11 @@ secret key derives from them:
   surrogate of its own, shared by all addresses in it.
 * A given name becomes another of its list, which is of one gender and one
   script, by a keyed permutation of the list; family names are spelled anew.
+  A title stays and so states the gender of a name that no list has.
+* No entity is its own surrogate: spelling is a permutation with one single
+  cycle, the keyed bijection's conjugate of adding one.
+* The words of names found by a title or a list are names in the rest of the
+  same text too ('Mr John Smith ... Smith left').
 
 A check over the table of distinct entities verifies that no two entities of a
 kind share a surrogate; if any did, all of that kind would be keyed again.
@@ -28,9 +33,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,9 +66,11 @@ GIVEN = {
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Господин Госпожа Доктор Профессор Κύριος Κυρία Κυριος Κυρια".split()
 
-EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-.")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*")
+TOP = re.compile(r"\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[\x20-]?\d){12,}(?![\d-])")
+DIGIT_RUN = re.compile(r"(?<![\d.-])\d(?:[\x20-]?\d){12,}+")
 GROUP = re.compile(r"[^\x20]+")
 IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
@@ -71,9 +80,13 @@ PHONE = re.compile(
     r"|(?<![\w+(])\(\d{2,4}\)[\x20.-]?\d{6,8}(?!\w)"
 )
 TITLED = re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.?\x20)+(?=[^\W\d_])")
-NEXT_WORD = re.compile(r"\x20([^\W\d_]+)")
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*+")
+LETTERS = re.compile(r"[^\W\d_]+")
+NEXT_WORD = re.compile(rf"\x20({WORD.pattern})")
+CAPITALISED = re.compile(rf"(?<![^\W\d_])(?=[^\W\d_a-z]){WORD.pattern}")
 DIGITS = re.compile(r"\d")
+#: Each digit's double, with its digits added.
+DOUBLED = str.maketrans("0123456789", "0246813579")
 KINDS = ["email", "iban", "card", "ip", "ssn", "phone", "name"]
 
 _PLACE = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
@@ -81,11 +94,8 @@ _GIVEN = {name.lower(): (name, kind) for kind, names in GIVEN.items() for name i
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + k % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
+    doubled = digits[-2::-2].translate(DOUBLED)
+    return (sum(map(int, digits[::-2])) + sum(map(int, doubled))) % 10 == 0
 
 
 def iban_remainder(code: str) -> int:
@@ -104,7 +114,10 @@ class Surrogates:
         return int.from_bytes(hmac.new(self.key, data.encode(), hashlib.sha256).digest(), "big")
 
     def permute(self, kind: str, radices: tuple[int, ...], values: list[int]) -> list[int]:
-        """A keyed bijection of the mixed radix numbers: alternating halves, each shifted by a keyed function of the other."""
+        """A keyed permutation of the mixed radix numbers, in one cycle: back through a keyed bijection, one further, and forth again.
+
+        The bijection has alternating halves, each shifted by a keyed function of the other.
+        """
         half = len(radices) // 2
         sides = []
         for r, v in ((radices[:half], values[:half]), (radices[half:], values[half:])):
@@ -112,6 +125,12 @@ class Surrogates:
             for base, digit in zip(r, v, strict=True):
                 number, size = number * base + digit, size * base
             sides.append([number, size])
+        for step in reversed(range(8)):
+            one, other = sides[step % 2], sides[1 - step % 2]
+            one[0] = (one[0] - self._number(kind, radices, step, other[0])) % one[1]
+        sides[1][0] += 1
+        if sides[1][0] == sides[1][1]:
+            sides[0][0], sides[1][0] = (sides[0][0] + 1) % sides[0][1], 0
         for step in range(8):
             one, other = sides[step % 2], sides[1 - step % 2]
             one[0] = (one[0] + self._number(kind, radices, step, other[0])) % one[1]
@@ -191,23 +210,50 @@ def canonical(kind: str, value: str) -> str:
     return value.lower() if kind == "email" else " ".join(w.lower() for w in WORD.findall(value) if w not in TITLES)
 
 
+def email_spans(text: str) -> list[tuple[int, int]]:
+    """Addresses from each @ outwards: every character is looked at once, however long the runs."""
+    out, upto = [], 0
+    for m in DOMAIN.finditer(text):
+        a = m.start()
+        while a > upto and text[a - 1] in LOCAL:
+            a -= 1
+        dots = text.rfind("..", a, m.start())
+        a = dots + 2 if dots >= 0 else a
+        while a < m.start() and text[a] == ".":
+            a += 1
+        upto = m.start() + 1
+        if a == m.start() or text[m.start() - 1] == ".":
+            continue
+        # the domain ends behind the last label that may be a top-level domain
+        end = m.end()
+        while (dot := text.rfind(".", m.start(), end)) >= 0 and not (top := TOP.match(text, dot, end)):
+            end = dot
+        if dot >= 0:
+            out.append((a, top.end()))
+            upto = top.end()
+    return out
+
+
 def card_spans(text: str) -> list[tuple[int, int]]:
     """Of each run of digits, the stretches of whole groups with 13 to 19 digits and a valid check digit; at each start the longest."""
     out = []
     for run in DIGIT_RUN.finditer(text):
         groups = [(m.start() + run.start(), m.end() + run.start(), m[0].replace("-", "")) for m in GROUP.finditer(run[0])]
+        digits = "".join(g[2] for g in groups)
+        at = [0, *accumulate(len(g[2]) for g in groups)]
+        # running check sums with the digits at odd and at even places doubled
+        pairs = list(zip(map(int, digits), map(int, digits.translate(DOUBLED)), strict=True))
+        sums = [[0, *accumulate(x[(k + odd) % 2] for k, x in enumerate(pairs))] for odd in (0, 1)]
         k = 0
         while k < len(groups):
-            digits, valid = "", None
-            for j in range(k, len(groups)):
-                digits += groups[j][2]
-                if len(digits) > 19:
-                    break
-                if len(digits) >= 13 and luhn(digits):
+            valid = None
+            for j in range(k + 1, bisect_right(at, at[k] + 19)):
+                check = sums[(at[j] - 1) % 2]
+                if at[j] - at[k] >= 13 and (check[at[j]] - check[at[k]]) % 10 == 0:
                     valid = j
             if valid is not None:
-                out.append((groups[k][0], groups[valid][1]))
-            k = k + 1 if valid is None else valid + 1
+                out.append((groups[k][0], groups[valid - 1][1]))
+            k = k + 1 if valid is None else valid
     return out
 
 
@@ -220,12 +266,14 @@ def name_spans(text: str) -> list[tuple[int, int]]:
     """Names behind a title, and listed given names in any case.
 
     A capitalised word after the first is part of the name; a third one and
-    more only after given names ('Anna Maria Schmidt').
+    more only after given names ('Anna Maria Schmidt'). Hyphens and apostrophes
+    between letters belong to a word. The words of all names so found, where
+    they stand alone in the text with their capital, are names as well.
     """
     starts = []  # (start, where the first name word starts)
     if any(t in text for t in TITLES):
         starts += [(m.start(), m.end()) for m in TITLED.finditer(text)]
-    listed = _GIVEN.keys() & set(WORD.findall(text.lower()))
+    listed = _GIVEN.keys() & set(LETTERS.findall(text.lower()))
     if listed:
         starts += [(m.start(), m.start()) for m in _any_of(frozenset(listed)).finditer(text) if m[0].lower() in _GIVEN]
     out, upto = [], 0
@@ -238,7 +286,19 @@ def name_spans(text: str) -> list[tuple[int, int]]:
             b, n, last = m.end(), n + 1, m[1]
         out.append((a, b))
         upto = b
-    return out
+    words = {w for a, b in out for w in WORD.findall(text[a:b]) if len(w) > 1 and w[0].isupper() and w not in TITLES}
+    if not words:
+        return out
+    again, spans, last = [], iter([*out, (len(text) + 1, len(text) + 1)]), (0, 0)
+    for m in CAPITALISED.finditer(text):
+        while last[1] <= m.start():
+            last = next(spans)
+        if m[0] in words and m.end() <= last[0]:
+            if again and text[again[-1][1] : m.start()] == " ":
+                again[-1] = (again[-1][0], m.end())
+            else:
+                again.append(m.span())
+    return sorted(out + again)
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -254,7 +314,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         found.sort()
 
     if "@" in text:
-        take("email", [m.span() for m in EMAIL.finditer(text)])
+        take("email", email_spans(text))
     if DIGITS.search(text):
         take("iban", [m.span() for m in IBAN.finditer(text) if iban_remainder(m[0].replace(" ", "")) == 1])
         take("card", card_spans(text))
@@ -292,7 +352,7 @@ def collisions(found: DataFrame) -> DataFrame:
     """(kind, surrogate, n): canonical surrogates that ``n`` > 1 different entities share."""
     e = found.where(F.size("entities") > 0).select(F.explode("entities").alias("e"))
     digits = F.regexp_replace(F.lower("e.surrogate"), r"[\s().+-]", "")
-    words = F.regexp_extract_all(F.lower("e.surrogate"), F.lit(r"(\p{L}+)"))
+    words = F.regexp_extract_all(F.lower("e.surrogate"), F.lit(r"(\p{L}+(?:['’-]\p{L}+)*)"))
     own = F.size(F.split("e.entity", " "))  # the words behind the title
     name = F.array_join(F.slice(words, F.greatest(F.size(words) - own + 1, F.lit(1)), own), " ")
     shown = F.when(F.col("e.kind").isin("card", "ssn", "phone", "iban"), digits).when(F.col("e.kind") == "name", name).otherwise(F.lower("e.surrogate"))
@@ -300,8 +360,12 @@ def collisions(found: DataFrame) -> DataFrame:
     return pairs.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def surrogate_digests(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", attempts: int = 4) -> DataFrame:
-    """One row per input row: id, n_entities, spans (kind:start:end:surrogate), masked_sha256; checked for collisions."""
+def surrogate_digests(docs: DataFrame, key: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", attempts: int = 4) -> DataFrame:
+    """One row per input row: id, n_entities, spans (kind:start:end:surrogate), masked_sha256; checked for collisions.
+
+    Without a key the run draws one of its own, so that its surrogates can't be undone or linked to another run's.
+    """
+    key = key or os.urandom(32)
     attempt: dict[str, int] = {}
     for _ in range(attempts):
         made = replace_entities(docs, key, id_col, text_col, attempt).withColumn("masked_sha256", F.sha2("masked", 256)).drop("masked")

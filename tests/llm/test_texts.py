@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,30 @@ def test_given_and_family_names_stay_different():
     made = [keyed.of("name", w.capitalize()) for w in words]
     assert len(set(made)) == len(words)
     assert keyed.of("name", "ANNA") == keyed.of("name", "Anna").upper()
+
+
+def test_addresses_are_found_in_time_that_is_linear_in_the_text():
+    for text in ("x" * 500_000 + " a@b.org", "x." * 300_000 + "@", "a@" * 300_000, "1 " * 300_000 + "9-", "A" * 500_000 + "@x.y", "@" * 300_000, "a@" + "b." * 300_000):
+        began = time.time()
+        surrogates.find_entities(text)
+        assert time.time() - began < 5
+    spans = lambda t: [t[a:b] for a, b in surrogates.email_spans(t)]
+    assert spans("to j.doe+x@mail.example.org, .a@b.co. and x..y@z.net; no@tld no@x.y1 a@b@c.de @d.ef k.@l.mn") == ["j.doe+x@mail.example.org", "a@b.co", "y@z.net", "b@c.de"]
+
+
+def test_spelling_is_one_cycle_without_fixed_points():
+    keyed = surrogates.Surrogates(b"k")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for words in ([a + b for a in letters for b in letters], [f"{k:03d}" for k in range(1000)], ["Q", "Z"]):
+        new = [keyed.spell("name:family", w) for w in words]
+        assert len(set(new)) == len(words) and not any(a == b for a, b in zip(words, new, strict=True))
+
+
+def test_names_are_one_person_through_a_text(docs_of):
+    text = "Mr Zorblax Quill met Ms Mary-Jane O'Neil. Zorblax Quill left; Quill wrote, O'Neil did not. quill pens."
+    row = surrogates.replace_entities(docs_of([(1, text, "a")]), b"k").first()
+    names = [(text[e["start"] : e["end"]], e["surrogate"]) for e in row["entities"]]
+    assert [n for n, _ in names] == ["Mr Zorblax Quill", "Ms Mary-Jane O'Neil", "Zorblax Quill", "Quill", "O'Neil"]
+    new = dict(names)
+    assert new["Mr Zorblax Quill"].endswith(new["Zorblax Quill"]) and new["Zorblax Quill"].endswith(new["Quill"])
+    assert new["Ms Mary-Jane O'Neil"].endswith(new["O'Neil"]) and "Quill" not in row["masked"] and "quill pens" in row["masked"]
