@@ -21,14 +21,17 @@ at most (a + b) / 9 <= a / 4 elements. PartEnum (Arasu, Ganti, Kaushik, VLDB
 
 Signatures only propose. A parity sketch then rules pairs out for certain: two
 sets differ in at least as many elements as their sketches in bits. What is
-left is verified on the sets themselves. Equal
-sets are one node (a 64-bit digest), so copies are never paired. Members of a
-signature pair with its least member only (in the task first, then between
-tasks), never all with all. Where that leaves a signature's members in several
-components, those outside the largest one meet the others in a join whose
-condition compares the sketches, so that only pairs that may link come out of
-it; then every two members of a signature are known to be connected or not to
-link.
+left is verified on the sets themselves. Equal sets are one node, so copies
+are never paired. Members of a signature pair with its least member only (in
+the task first, then between tasks), never all with all.
+
+Where that leaves a signature's members in several components, they are
+refined instead of compared: of two linked sets of a elements or more, each
+has the other's company among any a - 4a/5 + 1 of its elements, so each open
+member signs again with those of its elements that the fewest open members
+have. Members that share a passage and nothing else thereby part, whatever
+their number; only members of different components that share one of these
+rare elements meet, with the sketches in the join's condition.
 
 Nulls and edges: a null text is empty; a text without words has an empty set,
 no link and itself as component. Rows that repeat an identifier are separate
@@ -52,12 +55,9 @@ from cairn.plans.durable import materialize
 SHARE, OF = 4, 5
 SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
+SLOTS = 1 << 20
 SKETCH = 16
-#: Nodes with longer signature lists don't carry them; their pairs may come out more than once.
-LISTED = 128
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
-#: Half as long: word k xor word k + 8 is a parity sketch too, for where many rows carry it.
-FOLDED = [f"fold{k}" for k in range(SKETCH // 2)]
 
 
 def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -81,10 +81,19 @@ def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_digest(grams: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
-    total = mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(grams))
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
+def set_digests(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit digests of a set, sums of independent hashes of its elements."""
+    out = []
+    for salt in (0xA5A5A5A5A5A5A5A5, 0x1D8E4E27C47D124F):
+        total = mix(grams ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(grams))
+        out.append(int(mix(np.array([total], np.uint64)).view(np.int64)[0]))
+    return out[0], out[1]
+
+
+def node_of(grams: np.ndarray, collided: frozenset[int]) -> int:
+    """A set's node: its first digest, or the second where different sets have the first."""
+    one, two = set_digests(grams)
+    return two if one in collided else one
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -141,22 +150,24 @@ def signatures(grams: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n_shingles, node, sketch0...), one row per input row."""
+    """(id, n_shingles, node, check, sketch0...), one row per input row."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [g for part in slices(batch) for g in ngram_sets(part.column("text"), n)]
+        digests = [set_digests(g) for g in sets]
         sketches = np.array([parity_sketch(g) for g in sets], np.int64).reshape(-1, SKETCH)
         return {
             "n_shingles": [len(g) for g in sets],
-            "node": [set_digest(g) for g in sets],
+            "node": [d[0] for d in digests],
+            "check": [d[1] for d in digests],
             **dict(zip(LONGS, sketches.T, strict=True)),
         }
 
-    made = ", ".join(["n_shingles long, node long", *(f"{c} long" for c in LONGS)])
+    made = ", ".join(["n_shingles long, node long, check long", *(f"{c} long" for c in LONGS)])
     return map_columns(id_and_text(docs, id_col, text_col), ["id"], made, make)
 
 
-def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, chunk: int = 1 << 20) -> DataFrame:
+def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int], chunk: int = 1 << 19) -> DataFrame:
     """(sig, salt, lead, node): each task's signatures, combined in the task.
 
     Of the nodes that share a signature in a chunk, the least stands for them
@@ -185,7 +196,7 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, chunk: i
         for batch in batches:
             for part in slices(batch):
                 for g in ngram_sets(part.column("text"), n):
-                    if len(g) < SMALLEST or (node := set_digest(g)) in seen:
+                    if len(g) < SMALLEST or (node := node_of(g, collided)) in seen:
                         continue
                     seen.add(node)
                     s = signatures(g)
@@ -202,11 +213,11 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, chunk: i
     return rows.mapInArrow(run, "sig long, salt long, lead long, node long")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(node, grams) for the nodes of ``wanted`` (node, id), from the texts of one row each.
+def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, made: str, fn) -> DataFrame:
+    """(id, made...): ``fn`` of the n-gram sets of each slice of the rows with an identifier of ``wanted`` (node, id).
 
     A bitmap of 2^24 slots, whatever the input's size, lets most other rows go
-    by unread; a join on the node then leaves the wanted ones alone.
+    by unread; those that share a slot come along, for a join to drop.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
     bits = (
@@ -226,34 +237,90 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
             s = batch.column("slot").to_numpy()
             keep = np.flatnonzero(shared.value[s // 8] >> (s % 8).astype(np.uint8) & 1)
             for part in slices(batch.take(pa.array(keep)).select(["id", "text"])):
-                sets = [g for g in ngram_sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([set_digest(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())],
-                    names=["id", "node", "grams"],
-                )
+                columns = fn(ngram_sets(part.column("text"), n))
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns.values()], names=["id", *columns])
 
     rows = id_and_text(docs, id_col, text_col).withColumn("slot", slot)
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, node long, grams binary").alias("f")
-    w = wanted.alias("w")
-    return found.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id"))).select("f.node", "f.grams")
+    return rows.mapInArrow(run, f"id {kind}, {made}")
+
+
+def of_wanted(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``found`` (id, node, ...) without the rows that only share a slot or an identifier with a wanted one."""
+    f, w = found.alias("f"), wanted.alias("w")
+    return f.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id")), "left_semi")
+
+
+def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
+    """(node, grams) for the nodes of ``wanted`` (node, id), from the texts of one row each."""
+
+    def whole(sets: list[np.ndarray]) -> dict:
+        return {"node": pa.array([node_of(g, collided) for g in sets], pa.int64()), "grams": pa.array([g.tobytes() for g in sets], pa.binary())}
+
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "node long, grams binary", whole)
+    return of_wanted(found, wanted).select("node", "grams")
+
+
+def crowded_slots(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+    """How many of the wanted sets have an element, roughly: a count for each of 2^20 hash slots.
+
+    Only an order of elements comes of it, which may be any. A task reports
+    the slots that stand out among its own, so that little is sent; the
+    result's size is fixed.
+    """
+
+    def run(batches):
+        counts, upto = np.zeros(SLOTS, np.int64), 0
+        for batch in batches:
+            for x in batch.column("slots"):
+                at = np.frombuffer(x.as_buffer(), np.int32)
+                counts[at] += 1
+                upto += len(at)
+        at = np.flatnonzero(counts > 4 + 4 * upto / SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["slot", "n"])
+
+    def slots(sets: list[np.ndarray]) -> dict:
+        return {"slots": pa.array([np.unique(g % np.uint64(SLOTS)).astype(np.int32).tobytes() for g in sets], pa.binary())}
+
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "slots binary", slots)
+    table = found.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def rare_elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
+    """(node, grams): of each wanted set those elements, rarest first, of which every linked set has one."""
+    shared = docs.sparkSession.sparkContext.broadcast(crowded_slots(docs, wanted, id_col, text_col, n))
+
+    def rare(sets: list[np.ndarray]) -> dict:
+        kept = []
+        for g in sets:
+            order = np.lexsort((g, shared.value[(g % np.uint64(SLOTS)).astype(np.int64)]))
+            kept.append(g[order[: len(g) - -(-SHARE * len(g) // OF) + 1]].view(np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+        return {"node": pa.array([node_of(g, collided) for g in sets], pa.int64()), "grams": lists}
+
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "node long, grams array<long>", rare)
+    return of_wanted(found, wanted).select("node", "grams")
 
 
-def may_link(words: list[str]) -> Column:
+def may_link() -> Column:
     """Sizes and sketches of ``x`` and ``y`` don't rule a link out, word by word without leaving generated code."""
     p, q = F.col("x.n_shingles"), F.col("y.n_shingles")
-    bits = [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in words]
+    bits = [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in LONGS]
     return (OF * F.least(p, q) >= SHARE * F.greatest(p, q)) & (9 * sum(bits[1:], bits[0]) <= p + q)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) without those that sizes or sketches rule out."""
     x, y = nodes.alias("x"), nodes.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link(LONGS))
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & may_link())
     return both.select(*[pairs[c] for c in pairs.columns])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
     """Of the pairs (a, b) those whose sets link; reads the texts of one row per node again."""
 
     def run(batches):
@@ -267,7 +334,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
 
     inside = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(inside.join(nodes.select("node", "id"), "node"), "wanted")
-    sets = materialize(fetch_sets(docs, wanted, id_col, text_col, n), "grams")
+    sets = materialize(fetch_sets(docs, wanted, id_col, text_col, n, collided), "grams")
     if sets.count() > wanted.count():  # rows that repeat identifier and text
         sets = sets.dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
@@ -278,11 +345,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """One row per input row: id, n_shingles, component_id."""
     rows = materialize(set_rows(docs, id_col, text_col, n), "sets")
+    # about one pair of different sets in 10^19 has equal first digests
+    clash = rows.where("n_shingles > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
+    collided = frozenset(r["node"] for r in clash.select("node").collect())
+    if collided:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*collided), F.col("check")).otherwise(F.col("node")))
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(
         F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", *LONGS)]
     )
     nodes = materialize(nodes, "nodes")
-    signed = signature_rows(docs, id_col, text_col, n)
+    signed = signature_rows(docs, id_col, text_col, n, collided)
     least = F.min("node").over(Window.partitionBy("sig", "salt"))
     shared = materialize(
         signed.withColumn("lead", F.coalesce("lead", least)).where("lead <> node").select("sig", "lead", "node"), "shared"
@@ -301,49 +373,41 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .where("ca <> cb")
         )
 
-    def extend(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = materialize(links.union(verified(pairs, nodes, docs, id_col, text_col, n)), "links")
-        return links, materialize(connected_components(links), "parts")
-
-    # the likeliest partner of each node first: most near copies are then connected
-    first = near.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links, parts = extend(near.select("a", "b").limit(0), first)
-    rest = materialize(apart(near.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links, parts = extend(links, rest)
-    # signatures whose members are still apart: pairs across their components, those with the least member are done
+    def extend(links: DataFrame, parts: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verifies each node's likeliest pair first, then only those whose ends that leaves apart."""
+        first = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
+        for some in (first, None):
+            if some is None:
+                some = materialize(apart(pairs.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+                if not some.limit(1).count():
+                    break
+            links = materialize(links.union(verified(some, nodes, docs, id_col, text_col, n, collided)), "links")
+            parts = materialize(connected_components(links), "parts")
+        return links, parts
+
+    links, parts = extend(near.select("a", "b").limit(0), None, near)
+    # signatures whose members are still apart
     failed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("node").alias("b")), parts).select("sig").distinct()
     open_ = shared.join(failed, "sig", "left_semi")
     # the only lead of a signature was compared with all its members already
     leads = open_.groupBy("sig").agg((F.min("lead") == F.max("lead")).alias("one"), F.count(F.lit(1)).alias("m")).where("m > 1 or not one")
     ends = F.when(F.col("one"), F.array("node")).otherwise(F.array("lead", "node"))
-    members = open_.join(leads, "sig").select("sig", F.explode(ends).alias("node")).distinct()
-    members = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    members = materialize(members, "open")
-    sizes = members.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("apart"))
-    main = main.where("apart > 1").drop("apart")
-    folds = [F.col(a).bitwiseXOR(F.col(b)).alias(c) for a, b, c in zip(LONGS, LONGS[SKETCH // 2 :], FOLDED)]
-    members = materialize(members.join(main, "sig").join(nodes.select("node", "n_shingles", *folds), "node"), "members")
-    # one end outside the signature's largest component; the sketches are compared inside the join
-    x, y = members.where("component <> main").alias("x"), members.alias("y")
-    other = (F.col("y.component") == F.col("y.main")) | ((F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")))
-    meet = (F.col("x.sig") == F.col("y.sig")) & other & may_link(FOLDED)
-    hits = materialize(x.join(y, meet, "left_semi"), "hits")
-    partners = materialize(y.join(hits.alias("x"), meet, "left_semi"), "partners")
-    # a pair comes out at the least signature that it shares, not at each
-    lists = hits.select("sig", "node").union(partners.select("sig", "node")).distinct()
-    lists = lists.groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-    none = F.expr("cast(array() as array<bigint>)")
-    below = F.when(F.size("sigs") <= LISTED, F.filter("sigs", lambda v: v < F.col("sig"))).otherwise(none)
-    with_lists = lambda df: df.join(lists, "node").withColumn("below", below).drop("sigs")
-    x, y = with_lists(hits).alias("x"), with_lists(partners).alias("y")
-    ends = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    across = x.join(y, meet & ~F.arrays_overlap("x.below", "y.below")).select(*ends).distinct()
-    near_ends = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialize(plausible(across.join(near_ends, ["a", "b"], "left_anti"), nodes), "across")
-    if across.limit(1).count():
-        links, parts = extend(links, across)
+    members = open_.join(leads, "sig").select(F.explode(ends).alias("node")).distinct()
+    members = materialize(members.join(nodes.select("node", "id"), "node"), "open")
+    if members.limit(1).count():
+        rare = materialize(rare_elements(docs, members, id_col, text_col, n, collided), "rare")
+        placed = rare.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("grams").alias("gram"))
+        mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        meeting = materialize(placed.join(mixed.select("gram"), "gram", "left_semi").distinct(), "meeting")
+        sketched = meeting.join(nodes.drop("id"), "node")
+        x, y = sketched.alias("x"), sketched.alias("y")
+        meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & may_link()
+        across = x.join(y, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
+        across = materialize(across, "across")
+        if across.limit(1).count():
+            links, parts = extend(links, parts, across)
     named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").select("node", "component_id")

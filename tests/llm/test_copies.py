@@ -99,3 +99,41 @@ def test_a_slice_of_one_short_text(spark, docs_of):
     items = [(1, "two words", "a"), (2, long, "a"), (3, "Two  words", "a")]
     got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items).coalesce(1)).collect())
     assert got == brute_components(items)
+
+
+def test_words_of_equal_polynomials_stay_apart(docs_of):
+    a, b = "x", "y"
+    for _ in range(11):  # Thue-Morse words of 2,048 letters: equal polynomial hashes modulo 2^64, whatever the base
+        a, b = a + b, b + a
+    items = [(k, f"p q r s {w} t u v w", "a") for k, w in enumerate([a, b, a, a[:200], b[:200]])]
+    got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items)).collect())
+    assert got == brute_components(items) and len({c for _, _, c in got}) == 4
+
+
+def test_colliding_digests_are_told_apart(docs_of, items, monkeypatch):
+    digests = ngram_join.set_digests
+    few = lambda g: (digests(g)[0] % 7, digests(g)[1])
+    monkeypatch.setattr(ngram_join, "set_digests", few)
+    monkeypatch.setattr(ngram_join, "node_of", lambda g, collided: few(g)[few(g)[0] in collided])
+    docs = docs_of(items[:60])
+    rows = ngram_join.set_rows(docs, "doc_id", "text", 5).where("n_shingles > 0").select("node", "check").distinct().collect()
+    assert len(rows) > 7 >= len({r["node"] for r in rows})
+    assert Counter(tuple(r) for r in ngram_join.ngram_components(docs).collect()) == brute_components(items[:60])
+
+
+def test_texts_that_share_a_passage_are_refined(docs_of):
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    items = []
+    for k in range(160):  # most of each text is the passage, some pairs link across it
+        own = [f"o{k}x{j}" for j in range(rng.choice([4, 30, 60]))]
+        items.append((k, " ".join(passage + own), "a"))
+        if k % 5 == 0:
+            items.append((1000 - k, " ".join([*passage, *own[:-2], "end"]), "a"))
+    for k in range(60):  # near copies that link through others only
+        words = list(passage)
+        for j in range(k % 6):
+            words[(j * 17 + k) % 120] = f"q{k}"
+        items.append((2000 + k, " ".join(words), "a"))
+    got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items)).collect())
+    assert got == brute_components(items)
