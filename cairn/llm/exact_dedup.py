@@ -1,13 +1,15 @@
-"""Exact deduplication by a tree-merge of digest runs.
+"""Exact deduplication by a tree-merge of sorted digest runs.
 
 Every input partition reduces its rows to a run: one entry per distinct text,
-with the identifiers' extremes and the number of copies. Runs then meet in
-rounds: ``fan_in`` neighbouring runs are exchanged by (run, digest), merged,
-and form one run of the next level, until a single run remains. A round ships
-one entry per run and distinct text, never one per copy, so a text that a
-third of all rows repeat costs each round at most ``runs`` entries. The
+in digest order, with the best identifier and the number of copies. Runs then
+meet in binomial rounds: in round j, runs that differ in bit j of their number
+exchange their entries by digest, are merged in digest order, and form one run
+of the next level, until a single run remains after log2(partitions) rounds. A
+round ships one entry per run and distinct text, never one per copy, so a text
+that a third of all rows repeat costs a round at most one entry per run. The
 decision travels back along the same tree: to the first-level runs, and from
-there to the rows, so that no join key gathers all copies of a text.
+there to the rows of each partition, so that no join key gathers all copies of
+a text, whatever the number of partitions.
 
 Entries match on SHA-256, byte length and a second 64-bit hash of another
 family at every level, so a kept identifier is verified by three witnesses.
@@ -29,11 +31,11 @@ from cairn.plans.durable import materialize
 KEY = ["sha", "n_bytes", "check"]
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256) -> DataFrame:
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(run, id, sha, n_bytes, check), one row per input row; ``run`` is the partition the row was read in."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"),
+        F.spark_partition_id().alias("run"),
         F.col(id_col).alias("id"),
         F.unhex(F.sha2(text, 256)).alias("sha"),
         F.octet_length(text).alias("n_bytes"),
@@ -41,27 +43,31 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def merge_runs(rows: DataFrame, runs: int = 256, fan_in: int = 16, keep: str = "max") -> tuple[DataFrame, DataFrame]:
-    """First-level runs and the single last run: (run, key..., keep_id, group_size)."""
+def merge_runs(rows: DataFrame, fan_in: int = 2, keep: str = "max") -> tuple[DataFrame, DataFrame]:
+    """First-level runs and the single last run: (run, key..., keep_id, group_size).
+
+    Runs are sorted as they are exchanged, so a merge reads its entries of one
+    digest one after the other and holds no table of them.
+    """
     best = F.max if keep == "max" else F.min
     level = rows.groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    first, width = level, runs
+    first, width = level, (rows.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
     while width > 1:
         width = -(-width // fan_in)
         level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+            .repartition("run", *KEY)
+            .sortWithinPartitions("run", *KEY)
             .groupBy("run", *KEY)
             .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         )
     return first, level
 
 
-def find_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256, fan_in: int = 16, keep: str = "max"
-) -> DataFrame:
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2, keep: str = "max") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    rows = materialize(digest_rows(docs, id_col, text_col, runs), "digests")
-    first, last = merge_runs(rows, runs, fan_in, keep)
+    rows = materialize(digest_rows(docs, id_col, text_col), "digests")
+    first, last = merge_runs(rows, fan_in, keep)
     decided = first.select("run", *KEY).join(last.drop("run"), KEY)
     return rows.join(decided, ["run", *KEY]).select(
         F.col("id").alias(id_col),

@@ -214,7 +214,7 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, collided
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, made: str, fn) -> DataFrame:
-    """(id, made...): ``fn`` of the n-gram sets of each slice of the rows with an identifier of ``wanted`` (node, id).
+    """(id, made...): what ``fn`` makes of (ids, n-gram sets) of the rows with an identifier of ``wanted`` (node, id), slice by slice.
 
     A bitmap of 2^24 slots, whatever the input's size, lets most other rows go
     by unread; those that share a slot come along, for a join to drop.
@@ -232,17 +232,27 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
         bitmap[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches):
+    def sets(batches):
         for batch in batches:
             s = batch.column("slot").to_numpy()
             keep = np.flatnonzero(shared.value[s // 8] >> (s % 8).astype(np.uint8) & 1)
             for part in slices(batch.take(pa.array(keep)).select(["id", "text"])):
-                columns = fn(ngram_sets(part.column("text"), n))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns.values()], names=["id", *columns])
+                yield part.column("id"), ngram_sets(part.column("text"), n)
 
     rows = id_and_text(docs, id_col, text_col).withColumn("slot", slot)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {made}")
+    return rows.mapInArrow(lambda batches: fn(sets(batches)), made.format(id=f"id {kind}"))
+
+
+def per_set(fn):
+    """A function of sets as one of (ids, sets), with the identifiers beside its columns."""
+
+    def run(parts):
+        for ids, sets in parts:
+            columns = fn(sets)
+            yield pa.RecordBatch.from_arrays([ids, *columns.values()], names=["id", *columns])
+
+    return run
 
 
 def of_wanted(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -257,7 +267,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     def whole(sets: list[np.ndarray]) -> dict:
         return {"node": pa.array([node_of(g, collided) for g in sets], pa.int64()), "grams": pa.array([g.tobytes() for g in sets], pa.binary())}
 
-    found = wanted_sets(docs, wanted, id_col, text_col, n, "node long, grams binary", whole)
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "{id}, node long, grams binary", per_set(whole))
     return of_wanted(found, wanted).select("node", "grams")
 
 
@@ -269,21 +279,17 @@ def crowded_slots(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     result's size is fixed.
     """
 
-    def run(batches):
-        counts, upto = np.zeros(SLOTS, np.int64), 0
-        for batch in batches:
-            for x in batch.column("slots"):
-                at = np.frombuffer(x.as_buffer(), np.int32)
-                counts[at] += 1
-                upto += len(at)
+    def run(parts):
+        counts, upto = np.zeros(SLOTS, np.int32), 0
+        for _, sets in parts:
+            for g in sets:
+                counts[np.unique((g % np.uint64(SLOTS)).astype(np.int32))] += 1
+                upto += len(g)
         at = np.flatnonzero(counts > 4 + 4 * upto / SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["slot", "n"])
-
-    def slots(sets: list[np.ndarray]) -> dict:
-        return {"slots": pa.array([np.unique(g % np.uint64(SLOTS)).astype(np.int32).tobytes() for g in sets], pa.binary())}
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
 
-    found = wanted_sets(docs, wanted, id_col, text_col, n, "slots binary", slots)
-    table = found.select("slots").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "slot int, n long", run)
+    table = found.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     return out
@@ -302,7 +308,7 @@ def rare_elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
         return {"node": pa.array([node_of(g, collided) for g in sets], pa.int64()), "grams": lists}
 
-    found = wanted_sets(docs, wanted, id_col, text_col, n, "node long, grams array<long>", rare)
+    found = wanted_sets(docs, wanted, id_col, text_col, n, "{id}, node long, grams array<long>", per_set(rare))
     return of_wanted(found, wanted).select("node", "grams")
 
 

@@ -55,7 +55,7 @@ def _rows(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
 
 
-def blocks(distinct: list[str], most: int = 1 << 19) -> list[list[str]]:
+def blocks(distinct: list[str], most: int = 1 << 18) -> list[list[str]]:
     """Pre-tokens in runs of about ``most`` characters, so that the edges of one lattice stay small."""
     block = np.cumsum([len(x) for x in distinct]) // most
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(distinct)]
@@ -198,7 +198,7 @@ class Lattice:
         return _gather(self.text, self.text_at[ids], self.text_size[ids]).tobytes()
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2 << 20) -> DataFrame:
     """One row per input row: id, n_tokens, ids, round_trip (the ids decode to the text)."""
     pieces = load(model_path)
     check_cuts(pieces)

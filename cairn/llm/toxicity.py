@@ -11,15 +11,16 @@ with the strongest single words, on a scale that logistic regression fits on
 labelled rows which the counts haven't seen.
 
 Learning uses a bounded sample of labelled rows: at most ``toxic_rows`` and
-``ordinary_rows``, in the order of a checksum of their identifiers, three
-quarters of them for counts and a quarter for the scale; and at most
-``max_words`` distinct words, the rarest go first. Scoring covers all rows and
-whole texts and reads nothing but the text.
+``ordinary_rows``, in the order of a checksum of their identifiers, a
+fold of them for the scale and the others for counts. All words of these rows
+count, however rare; the levels are tables, grouped and joined by Spark, and
+only their ratios (twelve bytes a word of the bounded sample) are broadcast.
+Scoring covers all rows and whole texts and reads nothing but the text.
 
 Nulls and edges: a null text is empty and gets the score of a text without
 evidence; labels that are null, or whose row has no document, are not used; a
-label repeated for a document counts once. Without labels of both classes
-every score is 0. An empty table gives an empty result.
+label repeated for a document counts once. The scale is fitted on the last
+fold that has both classes; without one, every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.hashing import Words, words
 from cairn.llm.tasks import id_and_text, map_columns, slices
+from cairn.plans.durable import materialize
 
 PREFIXES = (5, 4, 3)
 DISCOUNT = 0.75
@@ -41,8 +43,8 @@ def crc_of(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic_rows: int, ordinary_rows: int, folds: int = 5) -> tuple[DataFrame, dict]:
-    """(text, toxic, fold) of the sampled labelled rows outside fold 0, and how many rows each class has in all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic_rows: int, ordinary_rows: int, folds: int = 5) -> tuple[DataFrame, dict, int | None]:
+    """(text, toxic, fold) of the sampled labelled rows outside fold 0, how many rows each class has in all, the last fold with both classes."""
     crc = crc_of(id_col)
     usable = (
         labels.select(id_col, F.col("toxic").cast("int").alias("toxic"), crc.alias("crc"))
@@ -56,8 +58,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, toxic_rows:
     chosen = usable.where("toxic = 1").orderBy(*order).limit(toxic_rows)
     chosen = chosen.union(usable.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
     chosen = chosen.select(F.col(id_col).alias("id"), "toxic", (F.col("crc") % folds).alias("fold"))
-    # at most toxic_rows + ordinary_rows rows of three numbers
-    return id_and_text(docs, id_col, "text").join(F.broadcast(chosen), "id").select("text", "toxic", "fold"), totals
+    chosen = materialize(chosen, "chosen")  # at most toxic_rows + ordinary_rows rows of three numbers
+    sample = materialize(id_and_text(docs, id_col, "text").join(F.broadcast(chosen), "id").select("text", "toxic", "fold"), "sample")
+    both = sample.groupBy("fold").agg((F.min("toxic") < F.max("toxic")).alias("both")).where("both")
+    return sample, totals, both.agg(F.max("fold").alias("fold")).first()["fold"]
 
 
 def units(w: Words) -> list[np.ndarray]:
@@ -87,37 +91,48 @@ def count_words(sample: DataFrame) -> DataFrame:
     return rows.groupBy(*names).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def smoothed_levels(counted: DataFrame) -> list[DataFrame]:
+    """(key, ratio) of the words and of each prefix level, longest first: log P(key | toxic) - log P(key | ordinary).
+
+    Prefixes weigh by how many distinct words of a class begin so. Discounted
+    mass goes to the next shorter prefix's probability, which its words share
+    alike in both classes; the shortest prefixes back off to one distribution
+    for both.
+    """
+    out, lower, parent = [], None, None
+    for name in [*(f"p{n}" for n in reversed(PREFIXES)), "word"]:
+        keys = [F.col(name).alias("key"), *([F.col(parent).alias("up")] if parent else [])]
+        if name == "word":
+            level = counted.select(*keys, F.col("ordinary").alias("n0"), F.col("toxic").alias("n1"))
+        else:
+            kinds = [F.count_if(F.col(c) > 0).alias(k) for c, k in (("ordinary", "n0"), ("toxic", "n1"))]
+            level = counted.groupBy(*keys).agg(*kinds)
+        level = materialize(level, "level")
+        t = level.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1")], *[F.count_if(F.col(c) > 0).alias(f"k{c}") for c in ("n0", "n1")]).first()
+        both = F.col("n0") + F.col("n1")
+        if lower is None:
+            everything = float(t["n0"] + t["n1"] or 1)
+            level = level.withColumns({f"low{c}": both / everything for c in ("n0", "n1")})
+        else:
+            level = level.join(lower, "up")
+        for c in ("n0", "n1"):
+            total = float(t[c] or 1)
+            level = level.withColumn(f"q{c}", F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * t[f"k{c}"] / total * F.col(f"low{c}"))
+        out.append(level.select("key", (F.log(F.col("qn1") + 1e-12) - F.log(F.col("qn0") + 1e-12)).cast("float").alias("ratio")))
+        lower = level.select(F.col("key").alias("up"), *[(F.col(f"q{c}") / both).alias(f"low{c}") for c in ("n0", "n1")])
+        parent = name
+    return out[::-1]
+
+
 class Ratios:
-    """log P(word | toxic) - log P(word | ordinary) of known words and prefixes, as sorted arrays."""
-
-    def __init__(self, table: dict[str, np.ndarray]):
-        counts = [table["ordinary"].astype(float), table["toxic"].astype(float)]
-        names = [f"p{n}" for n in PREFIXES]
-        ratio_of = {}
-        upper: list[np.ndarray] | None = None
-        for name in reversed(names):  # from the shortest prefix to the longest
-            key, inverse = np.unique(table[name], return_inverse=True)
-            first = np.zeros(len(key), np.int64)
-            first[inverse] = np.arange(len(inverse))
-            kinds = [np.bincount(inverse, weights=c > 0) for c in counts]
-            both = sum(kinds)
-            lower = [both / both.sum()] * 2 if upper is None else [u[first] for u in upper]
-            level = []
-            for k, low in zip(kinds, lower, strict=True):
-                total = max(k.sum(), 1.0)
-                level.append(np.maximum(k - DISCOUNT, 0) / total + DISCOUNT * (k > 0).sum() / total * low)
-            # a longer prefix shares its shorter one's weight with its siblings alike in both classes
-            upper = [x[inverse] for x in level]
-            siblings = both[inverse]
-            upper = [u / np.maximum(siblings, 1) for u in upper]
-            ratio_of[name] = (key, np.log(level[1] + 1e-12) - np.log(level[0] + 1e-12))
-        word = []
-        for c, low in zip(counts, upper, strict=True):
-            total = max(c.sum(), 1.0)
-            word.append(np.maximum(c - DISCOUNT, 0) / total + DISCOUNT * (c > 0).sum() / total * low)
-        order = np.argsort(table["word"])
-        self.levels = [(table["word"][order], (np.log(word[1] + 1e-12) - np.log(word[0] + 1e-12))[order].astype(np.float32))]
-        self.levels += [(ratio_of[n][0], ratio_of[n][1].astype(np.float32)) for n in names]
+    """The levels' ratios as sorted arrays."""
+
+    def __init__(self, levels: list[pa.Table]):
+        self.levels = []
+        for table in levels:
+            key, ratio = table.column("key").to_numpy(), table.column("ratio").to_numpy()
+            order = np.argsort(key)
+            self.levels.append((key[order], ratio[order]))
 
     def of(self, w: Words) -> np.ndarray:
         """Each word's ratio: its own, else that of its longest known prefix, else 0."""
@@ -170,7 +185,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 class Model:
-    """What scoring needs, small enough to broadcast: at most ``max_words`` words and their prefixes."""
+    """What scoring needs, small enough to broadcast: ratios of the words of a bounded number of rows, and of their prefixes."""
 
     def __init__(self, ratios: Ratios | None, scale: dict | None):
         self.ratios, self.scale = ratios, scale
@@ -182,27 +197,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale["beta"][0] + x @ self.scale["beta"][1:], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 6000, ordinary_rows: int = 12000, max_words: int = 1 << 18) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic_rows: int = 6000, ordinary_rows: int = 12000) -> Model:
     spark = docs.sparkSession
-    sample, totals = labelled_sample(docs, labels, id_col, toxic_rows, ordinary_rows)
-    if len(totals) < 2:
+    sample, totals, held = labelled_sample(docs, labels, id_col, toxic_rows, ordinary_rows)
+    if held is None:
         return Model(None, None)
-    counted = count_words(sample.where("fold <> 4")).withColumn("n", F.col("ordinary") + F.col("toxic"))
-    sizes = counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy("n").collect()
-    least, left = 1, sum(r["words"] for r in sizes)
-    for r in sizes:
-        if left <= max_words:
-            break
-        least, left = r["n"] + 1, left - r["words"]
-    table = counted.where(F.col("n") >= least).toArrow()  # max_words rows at most
-    ratios = Ratios({c: table.column(c).to_numpy() for c in table.column_names})
+    counted = materialize(count_words(sample.where(F.col("fold") != held)), "counted")
+    ratios = Ratios([level.toArrow() for level in smoothed_levels(counted)])
     shared = spark.sparkContext.broadcast(ratios)
 
     def run(batch: pa.RecordBatch) -> dict:
         x = np.concatenate([features(p.column("text"), shared.value) for p in slices(batch)]) if batch.num_rows else np.zeros((0, 4))
         return dict(zip(FEATURES, x.T, strict=True))
 
-    held = map_columns(sample.where("fold = 4"), ["toxic"], ", ".join(f"{f} double" for f in FEATURES), run).toArrow()
+    held = map_columns(sample.where(F.col("fold") == held), ["toxic"], ", ".join(f"{f} double" for f in FEATURES), run).toArrow()
     y = held.column("toxic").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Model(None, None)
