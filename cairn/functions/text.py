@@ -233,6 +233,12 @@ def head_and_tail(x: Text, most: int, share: float = 0.75, marker: str = "\n...[
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(first)), F.lit(marker), F.right(c, F.lit(room - first)))).otherwise(c)
 
 
+def head_and_tail_even(x: Text, most: int, marker: str = "\n...[omitted]...\n") -> Column:
+    """Beginning and end of a long text in equal parts; an odd character goes to the end."""
+    c, room = _col(x), max(0, most - len(marker))
+    return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(room // 2)), F.lit(marker), F.right(c, F.lit(room - room // 2)))).otherwise(c)
+
+
 def tail(x: Text, most: int, marker: str = "[earlier text omitted]\n") -> Column:
     c = _col(x)
     return F.when(F.length(c) > most, F.concat(F.lit(marker), F.right(c, F.lit(most)))).otherwise(c)

@@ -2,19 +2,32 @@
 
 Each extractor is a projection over a file table (path, content): patterns
 find the records, ``posexplode`` makes rows, and expressions read the parts.
-All of it is built-in expressions; nothing leaves the JVM.
+Where brackets must match (record headers, method bodies, path expressions,
+snippets), a small scanner runs on Arrow batches, one file at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from cairn.functions import scan
+from cairn.functions.labels import likely_http_path
 from cairn.functions.text import join_paths, mask_sensitive_key
 
+#: Arguments in parentheses, which may hold strings and one more level of parentheses.
+_ARGS = r'\(((?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*\))*)\)'
 CLASS = r"\b(?:class|interface|enum|record)\s+([A-Z]\w*)"
 
 
+#: Annotations that constrain a field.
+CONSTRAINTS = "NotNull|NotBlank|NotEmpty|Null|Size|Min|Max|DecimalMin|DecimalMax|Digits|Positive|PositiveOrZero|Negative|NegativeOrZero|Past|PastOrPresent|Future|FutureOrPresent|Pattern|Email|AssertTrue|AssertFalse|Valid"
+
+
 def _found(files: DataFrame, pattern: str, *keep: str) -> DataFrame:
     """One row per match: (path, keep..., ord, hit)."""
     return files.select("path", *keep, F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("ord", "hit"))
@@ -24,6 +37,18 @@ def _part(pattern: str, k: int = 1, of: str = "hit") -> Column:
     return F.nullif(F.regexp_extract(of, pattern, k), F.lit(""))
 
 
+def scanned(files: DataFrame, keep: list[str], made: str, fn: Callable[[str], list[tuple]]) -> DataFrame:
+    """(keep..., made...): the rows that ``fn`` makes of each file's content, in Arrow batches."""
+    out = StructType([files.schema[c] for c in keep] + list(StructType.fromDDL(made)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*key, *row) for *key, text in batch[[*keep, "content"]].itertuples(index=False, name=None) for row in fn(text or "")]
+            yield pd.DataFrame(rows, columns=out.names)
+
+    return files.select(*keep, "content").mapInPandas(run, out)
+
+
 def java_class(path: Column, content: Column) -> Column:
     """The kind of a Java file; the first rule that holds decides."""
     name = F.regexp_extract(path, r"([^/]*)\.java\z", 1)
@@ -46,40 +71,60 @@ def java_class(path: Column, content: Column) -> Column:
     )
 
 
-def script_class(path: Column) -> Column:
-    """The kind of a user-interface file; pages come before clients. Hooks are told by their folder alone, as names are compared in lower case."""
+def script_class(path: Column, content: Column | None = None) -> Column:
+    """The kind of a user-interface file, by path and content; pages come before clients.
+
+    Hooks are told by their folder alone, as names are compared in lower case.
+    """
     p = F.lower(path)
     name = F.regexp_extract(p, r"([^/]*)\z", 1)
+    text = F.lit("") if content is None else F.coalesce(content, F.lit(""))
     return (
         F.when(name.rlike(r"(\A|\.)(config|setup)\.|package\.json"), "config")
         .when(name.rlike(r"\.(test|spec)\."), "test")
         .when(p.rlike("/(pages|views|screens)/") | name.rlike("page\\."), "page")
-        .when(p.rlike("/(api|api-clients|clients|services)/") | name.rlike("(api|client)\\."), "api-client")
-        .when(p.contains("/routes/") | name.rlike("routes?\\.|router\\."), "route")
+        .when(p.rlike("/(api|api-clients|clients|services)/") | name.rlike("(api|client)\\.") | text.rlike(r"\baxios\.(create|get|post|put|delete|patch)\b|\bfetch\("), "api-client")
+        .when(p.contains("/routes/") | name.rlike("routes?\\.|router\\.") | text.rlike(r"<Route\b|\bcreateBrowserRouter\("), "route")
         .when(p.contains("/hooks/"), "hook")
-        .when(p.rlike("/(store|stores|redux)/"), "store")
-        .when(p.rlike("/(models?|types?)/"), "model")
+        .when(p.rlike("/(store|stores|redux)/") | text.rlike(r"\b(createSlice|configureStore|createStore)\("), "store")
+        .when(p.rlike("/(models?|types?)/") | (name.endswith(".ts") & text.rlike(r"(?m)^\s*export\s+(type|interface)\b")), "model")
         .when(p.rlike("/(utils?|helpers?)/"), "util")
-        .when(name.rlike(r"\.[jt]sx\z"), "component")
+        .when(name.rlike(r"\.[jt]sx\z") | text.rlike(r"return\s*\(?\s*<[A-Za-z]"), "component")
         .otherwise("unknown")
     )
 
 
+def stereotype(annotations: Column) -> Column:
+    """The kind that a class's annotations give; the first that it has, null without one."""
+    kinds = [("RestController|Controller", "controller"), ("Service", "service"), ("Repository", "repository"), ("Entity", "entity"), ("Configuration", "config"), ("FeignClient", "client"), ("ControllerAdvice|RestControllerAdvice", "exception"), ("Component", "component")]
+    chain = F.lit(None).cast("string")
+    for names, kind in reversed(kinds):
+        chain = F.when(F.arrays_overlap(annotations, F.array(*[F.lit(n) for n in names.split("|")])), kind).otherwise(chain)
+    return chain
+
+
 def components(files: DataFrame) -> DataFrame:
-    """At most one per Java file: class, package, annotations in order, base path, supertypes, dependencies."""
+    """At most one per Java file: class, package, annotations in order, base paths, supertypes, dependencies.
+
+    A class that no file rule knows has the kind of its annotations.
+    """
     before = F.regexp_extract("content", r"(?s)\A(.*?)\b(?:class|interface|enum|record)\s+[A-Z]", 1)
+    annotations = F.array_distinct(F.regexp_extract_all(before, F.lit(r"@([A-Z]\w*)"), F.lit(1)))
+    mapped = F.regexp_extract_all(F.regexp_extract(before, r"@RequestMapping\(([^)]*)\)", 1), F.lit(r'"([^"]*)"'), F.lit(1))
+    bases = F.when(F.size(mapped) > 0, mapped).otherwise(F.array(F.lit("")))
     header = F.regexp_extract("content", r"\b(?:class|interface)\s+[A-Z]\w*([^{]*)\{", 1)
     name = F.nullif(F.regexp_extract("content", CLASS, 1), F.lit(""))
     injected = F.regexp_extract_all("content", F.lit(r"private\s+final\s+([A-Z]\w*)(?:<[^;]*>)?\s+\w+\s*;"), F.lit(1))
     wired = F.regexp_extract_all("content", F.lit(r"@Autowired\s+(?:private\s+)?([A-Z]\w*)"), F.lit(1))
-    supers = F.filter(F.transform(F.split(F.regexp_extract(header, r"\bimplements\s+(.*)", 1), ","), F.trim), lambda x: x != "")
+    supers = F.filter(F.transform(F.split(F.regexp_extract(header, r"\bimplements\s+(.*)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     return files.where("path like '%.java'").select(
         "path",
         name.alias("class_name"),
         F.regexp_extract("content", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package_name"),
-        java_class(F.col("path"), F.col("content")).alias("type"),
-        F.array_distinct(F.regexp_extract_all(before, F.lit(r"@([A-Z]\w*)"), F.lit(1))).alias("annotations"),
-        F.nullif(F.regexp_extract(before, r'@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\{?\s*"([^"]*)"', 1), F.lit("")).alias("base_path"),
+        F.coalesce(F.nullif(java_class(F.col("path"), F.col("content")), F.lit("unknown")), stereotype(annotations), F.lit("unknown")).alias("type"),
+        annotations.alias("annotations"),
+        F.nullif(F.get(bases, F.lit(0)), F.lit("")).alias("base_path"),
+        bases.alias("base_paths"),
         injected.alias("constructor_dependencies"),
         wired.alias("field_dependencies"),
         supers.alias("implemented"),
@@ -87,46 +132,73 @@ def components(files: DataFrame) -> DataFrame:
     ).where("class_name is not null")
 
 
-#: A mapping annotation, other annotations, and the signature behind them.
-ENDPOINT = r"@(Get|Post|Put|Delete|Patch|Request)Mapping(?:\(([^)]*)\))?\s*(?:@\w+(?:\([^)]*\))?\s*)*public\s+([\w<>\[\], ?.]+?)\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)"
+#: A mapping annotation, other annotations, modifiers, and the signature behind them.
+ENDPOINT = rf"@(Get|Post|Put|Delete|Patch|Request)Mapping(?:{_ARGS})?\s*(?:@\w+(?:{_ARGS})?\s*)*(?:(?:public|protected|private|final)\s+)*(?!class\b|interface\b)([\w<>\[\], ?.]+?)\s+(\w+)\s*{_ARGS}\s*(?:throws [\w., ]+)?[{{;]"
 
 
-def endpoints(files: DataFrame) -> DataFrame:
-    """One per mapping annotation with a method behind it: method, path, handler, response type, parameters."""
-    base = components(files).select("path", "class_name", "base_path").withColumnRenamed("path", "file")
+def _mappings(files: DataFrame) -> DataFrame:
+    """One row per mapping annotation of a controller with a method behind it; ``paths`` and ``methods`` hold all that it names."""
+    base = components(files).where("type = 'controller'").select(F.col("path").alias("file"), "class_name", "base_path", "base_paths")
     hits = _found(files.where("path like '%.java'"), ENDPOINT)
-    verb, inside = _part(ENDPOINT), _part(ENDPOINT, 2)
-    named = F.upper(F.coalesce(F.nullif(F.regexp_extract(inside, r"RequestMethod\.(\w+)", 1), F.lit("")), F.lit("REQUEST")))
-    own = F.regexp_extract(F.coalesce(inside, F.lit("")), r'"([^"]*)"', 1)
-    rows = hits.select(F.col("path").alias("file"), "ord", F.when(verb == "Request", named).otherwise(F.upper(verb)).alias("http_method"), own.alias("own"), _part(ENDPOINT, 4).alias("handler"), F.trim(_part(ENDPOINT, 3)).alias("response_type"), F.coalesce(_part(ENDPOINT, 5), F.lit("")).alias("signature"))
-    joined = rows.join(base, "file")
-    return joined.select("file", "ord", "class_name", "http_method", join_paths("base_path", "own").alias("path"), "handler", "response_type", "signature")
+    verb, inside = _part(ENDPOINT), F.coalesce(_part(ENDPOINT, 2), F.lit(""))
+    unnamed = F.regexp_replace(inside, r'\b(?:produces|consumes|params|headers|name)\s*=\s*(?:\{[^}]*\}|"[^"]*"|[\w.]+)', "")
+    own = F.regexp_extract_all(unnamed, F.lit(r'"([^"]*)"'), F.lit(1))
+    named = F.array_distinct(F.regexp_extract_all(inside, F.lit(r"RequestMethod\.(\w+)"), F.lit(1)))
+    methods = F.when(verb != "Request", F.array(F.upper(verb))).when(F.size(named) > 0, named).otherwise(F.array(F.lit("REQUEST")))
+    rows = hits.select(F.col("path").alias("file"), "ord", methods.alias("methods"), F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(""))).alias("paths"), _part(ENDPOINT, 5).alias("handler"), F.trim(_part(ENDPOINT, 4)).alias("response_type"), F.coalesce(_part(ENDPOINT, 6), F.lit("")).alias("signature"))
+    return rows.join(base, "file")
+
+
+def endpoints(files: DataFrame) -> DataFrame:
+    """One per mapping annotation of a controller: the first method and the first path that it names, handler, response type, parameters."""
+    return _mappings(files).select("file", "ord", "class_name", F.get("methods", F.lit(0)).alias("http_method"), join_paths("base_path", F.get("paths", F.lit(0))).alias("path"), "handler", "response_type", "signature")
+
+
+def all_endpoints(files: DataFrame) -> DataFrame:
+    """Every base path with every path and method that a mapping names."""
+    rows = _mappings(files).withColumn("base", F.explode("base_paths")).withColumn("own", F.explode("paths")).withColumn("http_method", F.explode("methods"))
+    return rows.select("file", "class_name", "http_method", join_paths("base", "own").alias("path"), "handler").distinct()
+
+
+def endpoint_divergence(files: DataFrame) -> DataFrame:
+    """(kind, n): endpoint keys that both extractions find, only the one of first paths, only the one of all paths."""
+    key = lambda df: df.select("file", "http_method", "path").distinct()
+    first, every = key(endpoints(files)), key(all_endpoints(files))
+    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(first.intersect(every), "both").unionByName(count(first.subtract(every), "first-only")).unionByName(count(every.subtract(first), "all-only"))
 
 
 def parameters(found: DataFrame) -> DataFrame:
-    """Each endpoint's annotated parameters: source, name, type, required, default."""
-    pattern = r'@(PathVariable|RequestParam|RequestHeader|RequestBody)(\((?:[^()"]|"[^"]*")*\))?\s*(?:@\w+\s*)*([\w.]+(?:<[^()]*?>)?)\s+(\w+)'
-    hit = found.select("file", "handler", F.posexplode(F.regexp_extract_all("signature", F.lit(pattern), F.lit(0))).alias("ord", "hit"))
-    options = F.coalesce(_part(pattern, 2), F.lit(""))
-    name = F.coalesce(F.nullif(F.regexp_extract(options, r'(?:value\s*=\s*|name\s*=\s*|\(\s*)"([^"]*)"', 1), F.lit("")), _part(pattern, 4))
+    """Each endpoint's parameters: source by annotation, else by type (request) or unknown; name, type, required, default."""
+    commas = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)(?![^<]*>)(?![^(]*\))'
+    pieces = F.filter(F.transform(F.split("signature", commas), lambda x: F.trim(x)), lambda x: x != "")
+    hit = found.select("file", "handler", F.posexplode(pieces).alias("ord", "hit"))
+    tail = r"([\w.]+(?:<.*>)?(?:\[\])?)\s+(\w+)\z"
+    options = F.regexp_extract("hit", rf"@(?:PathVariable|RequestParam|RequestHeader|RequestBody){_ARGS}", 1)
+    name = F.coalesce(F.nullif(F.regexp_extract(options, r'(?:\A\s*|\b(?:value|name)\s*=\s*)"([^"]*)"', 1), F.lit("")), _part(tail, 2))
     default = F.nullif(F.regexp_extract(options, r'defaultValue\s*=\s*"([^"]*)"', 1), F.lit(""))
-    kind = F.regexp_extract("hit", pattern, 1)
-    source = F.when(kind == "PathVariable", "path").when(kind == "RequestParam", "query").when(kind == "RequestHeader", "header").otherwise("body")
-    return hit.select("file", "handler", "ord", source.alias("source"), name.alias("name"), _part(pattern, 3).alias("type"), (~options.rlike(r"required\s*=\s*false") & default.isNull()).alias("required"), default.alias("default"))
+    has = lambda a: F.col("hit").contains(f"@{a}")
+    source = (
+        F.when(has("PathVariable"), "path").when(has("RequestParam"), "query").when(has("RequestHeader"), "header").when(has("RequestBody"), "body")
+        .when(_part(tail).rlike("(?:Servlet|Web)Request|HttpSession|Principal|Authentication"), "request").otherwise("unknown")
+    )
+    return hit.select("file", "handler", "ord", source.alias("source"), name.alias("name"), _part(tail).alias("type"), (~options.rlike(r"required\s*=\s*false") & default.isNull()).alias("required"), default.alias("default"))
 
 
 def entities(files: DataFrame) -> DataFrame:
-    """Classes with @Entity: table, id field, columns, relations."""
+    """Classes with @Entity: table (an argument of @Table itself, none of a nested annotation), id field, fields, relations."""
     e = files.where(F.col("content").rlike(r"@Entity\b"))
-    relation = r"@(OneToMany|ManyToOne|OneToOne|ManyToMany)[^;]{0,160}?private\s+([\w<>]+)\s+(\w+)\s*;"
-    fields = F.regexp_extract_all("content", F.lit(r"private\s+[\w<>, ]+?\s+(\w+)\s*[;=]"), F.lit(1))
+    hidden = r"(?:private|protected)"
+    relation = rf"@(?:OneToMany|ManyToOne|OneToOne|ManyToMany)\b[^;]{{0,160}}?{hidden}\s+([\w<>, ]+?)\s+(\w+)\s*[;=]"
+    own = F.regexp_replace(F.regexp_extract("content", r'@Table\(((?:[^()"]|"[^"]*"|\((?:[^()]|\([^()]*\))*\))*)\)', 1), r"@\w+\((?:[^()]|\([^()]*\))*\)", "")
     return e.select(
         "path",
         F.regexp_extract("content", CLASS, 1).alias("entity"),
-        F.nullif(F.regexp_extract("content", r'@Table\(\s*(?:[^()@]*,\s*)?name\s*=\s*"([^"]*)"', 1), F.lit("")).alias("table_name"),
-        F.nullif(F.regexp_extract("content", r"@Id\b[^;]{0,120}?private\s+[\w<>]+\s+(\w+)", 1), F.lit("")).alias("id_field"),
-        fields.alias("fields"),
-        F.regexp_extract_all("content", F.lit(relation), F.lit(3)).alias("relations"),
+        F.nullif(F.regexp_extract(own, r'\bname\s*=\s*"([^"]*)"', 1), F.lit("")).alias("table_name"),
+        F.nullif(F.regexp_extract("content", rf"@Id\b[^;]{{0,120}}?{hidden}\s+[\w<>]+\s+(\w+)", 1), F.lit("")).alias("id_field"),
+        F.regexp_extract_all("content", F.lit(rf"{hidden}\s+(?!static)[\w<>, ]+?\s+(\w+)\s*[;=]"), F.lit(1)).alias("fields"),
+        F.regexp_extract_all("content", F.lit(relation), F.lit(2)).alias("relations"),
+        F.transform(F.regexp_extract_all("content", F.lit(relation), F.lit(1)), lambda t: F.regexp_extract(t, r"(\w+)>?\z", 1)).alias("targets"),
     )
 
 
@@ -178,8 +250,12 @@ def repository_methods(files: DataFrame) -> DataFrame:
 
 
 def validations(files: DataFrame) -> DataFrame:
-    hits = _found(files.withColumn("class_name", F.regexp_extract("content", CLASS, 1)), r"@(?:NotNull|NotBlank|NotEmpty|Size|Min|Max|Pattern|Email|Valid)\b(?:\([^)]*\))?\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:private\s+)?[\w<>]+\s+\w+", "class_name")
-    return hits.select("path", "class_name", F.regexp_extract("hit", r"(\w+)\z", 1).alias("field"), F.regexp_extract("hit", r"@(\w+)", 1).alias("annotation"))
+    """(path, class_name, field, annotation): each constraint of each field or parameter, also where several stand in a row."""
+    named = files.withColumn("class_name", F.regexp_extract("content", CLASS, 1))
+    pattern = rf"@({CONSTRAINTS})\b(?:{_ARGS})?(?=\s*(?:@\w+(?:{_ARGS})?\s*)*(?:(?:private|protected|public|final)\s+)*[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])?\s+(\w+))"
+    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all("content", F.lit(pattern), F.lit(4)).alias("f"))
+    hits = named.select("path", "class_name", F.explode(both).alias("h"))
+    return hits.select("path", "class_name", F.col("h.f").alias("field"), F.col("h.a").alias("annotation"))
 
 
 def exceptions(files: DataFrame) -> DataFrame:
@@ -192,15 +268,66 @@ def exceptions(files: DataFrame) -> DataFrame:
     return out.unionByName(row(_found(named, r"throw\s+new\s+\w+", "class_name"), "throw", F.regexp_extract("hit", r"(\w+)\z", 1)))
 
 
+def _members(text: str) -> list[tuple]:
+    """(class, ord, field, type, validations) of a data type's fields and record components."""
+    out = []
+    annotation = scan.re.compile(r"@(\w+)\s*(\()?")
+    found = scan.re.search(r"\b(class|record)\s+([A-Z]\w*)", text)
+    if not found:
+        return out
+    kind, name = found.groups()
+    opened = text.find("(" if kind == "record" else "{", found.end())
+    if opened < 0:
+        return out
+    body = text[opened + 1 : scan.close_of(text, opened) - 1]
+    parts = scan.split_top(body, ",", angles=True) if kind == "record" else [p for p in scan.split_top(body, ";") if not p.rstrip().endswith("}")]
+    for part in parts:
+        part, validations = part.split("}")[-1] if kind == "class" else part, []
+        while m := annotation.search(part):
+            end = scan.close_of(part, m.end() - 1) if m[2] else m.end()
+            if scan.re.fullmatch(CONSTRAINTS, m[1]):
+                validations.append(m[1])
+            part = part[: m.start()] + part[end:]
+        declared = scan.re.fullmatch(r"(?:(?:private|protected|public|final)\s+)*([\w.]+(?:<.*>)?(?:\[\])?)\s+(\w+)(?:\s*=.*)?", part.strip(), scan.re.DOTALL)
+        if declared and "static" not in part:
+            out.append((name, len(out), declared[2], declared[1], validations))
+    return out
+
+
+def dtos(files: DataFrame) -> DataFrame:
+    """(path, class_name, ord, field, type, validations) of data types, told by folder or name: fields of classes, components of records."""
+    name = F.regexp_extract("path", r"([^/]*)\.java\z", 1)
+    chosen = files.where("path like '%.java'").where(F.lower("path").rlike("/(dtos?|requests?|responses?|payloads?|models?)/") | name.rlike("(Dto|DTO|Request|Response|Command|Query|Payload)\\z"))
+    return scanned(chosen, ["path"], "class_name string, ord int, field string, type string, validations array<string>", _members)
+
+
+def method_ranges(files: DataFrame) -> DataFrame:
+    """(path, method, start, stop, start_line): each method with a body, by matching braces."""
+    rows = lambda text: [(n, a, b, scan.line_of(text, a)) for n, a, b in scan.java_methods(text)]
+    return scanned(files.where("path like '%.java'"), ["path"], "method string, start int, stop int, start_line int", rows)
+
+
 def outbound_calls(files: DataFrame) -> DataFrame:
-    """Declarative clients, fluent chains and RestTemplate calls: (path, client, http_method, target_path, confidence)."""
+    """Declarative clients, fluent chains and RestTemplate calls: (path, client, http_method, target_path, confidence).
+
+    A chain's path is a literal in uri(), one in path(), replacePath() or
+    pathSegment() of a builder, or that of a variable which the file assigns one literal.
+    """
     named = files.where("path like '%.java'").withColumn("client", F.regexp_extract("content", CLASS, 1))
     declared = r'@(Get|Post|Put|Delete|Patch)Mapping\([^)"]*"([^"]*)"'
     feign = _found(named.where("content like '%@FeignClient%'"), declared, "client").select("path", "client", F.upper(_part(declared)).alias("http_method"), _part(declared, 2).alias("target_path"), F.lit("high").alias("confidence"))
-    chain = r'\.(get|post|put|delete|patch)\(\)\s*\.uri\(\s*"([^"]*)"'
-    fluent = _found(named, chain, "client").select("path", "client", F.upper(_part(chain)).alias("http_method"), _part(chain, 2).alias("target_path"), F.lit("high").alias("confidence"))
-    template = r'\b\w*[rR]estTemplate\.(getForObject|getForEntity|postForObject|postForEntity|put|delete|patchForObject)\(\s*"([^"]*)"'
-    verb = F.upper(F.regexp_extract("hit", r"\.(get|post|put|delete|patch)", 1))
+    chain = r'\.(get|post|put|delete|patch)\(\)(?:\s*\.(?!uri\b)\w+\((?:[^()]|\([^()]*\))*\))*\s*\.uri\(\s*((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)'
+    given = _part(chain, 2)
+    literal = F.nullif(F.regexp_extract(given, r'\A"([^"]*)"', 1), F.lit(""))
+    built = F.nullif(F.array_join(F.transform(F.regexp_extract_all(given, F.lit(r'\.(?:path|replacePath|pathSegment)\(([^()]*)\)'), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r'"\s*,\s*"', "/"), '"', "")), "/"), F.lit(""))
+    fluent = _found(named, chain, "client").select("path", "client", "ord", F.upper(_part(chain)).alias("http_method"), literal.alias("literal"), F.regexp_replace(built, r"\A/*", "/").alias("built"), F.nullif(F.regexp_extract(given, r"\A(\w+)\b(?!\s*->)", 1), F.lit("")).alias("name"))
+    assigned = r'\b(?:String|var|URI)\s+(\w+)\s*=\s*"([^"]*)"'
+    values = _found(named, assigned).select("path", _part(assigned).alias("name"), _part(assigned, 2).alias("value"))
+    once = values.groupBy("path", "name").agg(F.min("value").alias("value"), F.max("value").alias("__last")).where("value = __last").drop("__last")
+    target = F.coalesce("literal", "built", "value")
+    fluent = fluent.join(once, ["path", "name"], "left").select("path", "client", "http_method", target.alias("target_path"), F.when(F.col("literal").isNotNull(), "high").otherwise("medium").alias("confidence")).where("target_path is not null")
+    template = r'\b\w*[rR]estTemplate\.(getForObject|getForEntity|postForObject|postForEntity|put|delete|patchForObject|exchange)\(\s*"([^"]*)"(?:\s*,\s*HttpMethod\.(\w+))?'
+    verb = F.coalesce(_part(template, 3), F.upper(F.nullif(F.regexp_extract("hit", r"\.(get|post|put|delete|patch)", 1), F.lit(""))), F.lit("REQUEST"))
     rest = _found(named, template, "client").select("path", "client", verb.alias("http_method"), _part(template, 2).alias("target_path"), F.when(F.col("hit").contains("{"), "low").otherwise("medium").alias("confidence"))
     return feign.unionByName(fluent).unionByName(rest)
 
@@ -214,31 +341,114 @@ def routes(files: DataFrame) -> DataFrame:
     return jsx.unionByName(_found(scripts, objects).select("path", _part(objects).alias("route"), _part(objects, 2).alias("component"), F.lit("medium").alias("confidence")))
 
 
-def api_calls(files: DataFrame) -> DataFrame:
-    """Calls of an HTTP client with a literal or template path: (path, http_method, target, function, confidence)."""
-    scripts = files.where(F.col("path").rlike(r"\.[jt]sx?\z"))
-    member = r"\b\w*(?:[aA]xios|[hH]ttp|[aA]pi|[cC]lient)\w*\.(get|post|put|delete|patch)(?:<[^>]*>)?\(\s*['\"`]([^'\"`]*)['\"`]"
-    called = _found(scripts, member).select("path", F.upper(_part(member)).alias("http_method"), _part(member, 2).alias("target"), F.lit("high").alias("confidence"))
-    fetch = r"\bfetch\(\s*['\"`]([^'\"`]*)['\"`](?:\s*,\s*\{[^}]*?method:\s*['\"](\w+)['\"])?"
-    fetched = _found(scripts, fetch).select("path", F.upper(F.coalesce(_part(fetch, 2), F.lit("GET"))).alias("http_method"), _part(fetch).alias("target"), F.lit("medium").alias("confidence"))
-    return called.unionByName(fetched)
+_SCRIPT = r"\.[jt]sx?\z"
+#: The forms of a call, each with its method's and its path expression's group.
+_CALLS = [
+    (r"(\b[\w.$]+)\.(get|post|put|delete|patch)(?:<[^>()]*>)?\(\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\"|\((?:[^()]*)\))+)", 2, 3, "high"),
+    (r"(\bfetch)\(\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)(?:,\s*\{[^{}]*?\bmethod:\s*['\"](\w+)['\"])?", 3, 2, "medium"),
+    (r"(\b\w*(?:[rR]equest|[cC]lient|[aA]xios))\(\s*['\"](GET|POST|PUT|DELETE|PATCH)['\"]\s*,\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)", 2, 3, "medium"),
+    (r"(\b\w*(?:[rR]equest|[cC]lient|[aA]xios|[aA]pi))\(\s*\{(?=[^{}]*\burl:)(?:(?=[^{}]*\bmethod:\s*['\"](\w+)['\"]))?[^{}]*?\burl:\s*((?:[^{},`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)", 2, 3, "medium"),
+]
+_FUNCTION = r"(?:\bfunction\s+([A-Za-z_$][\w$]*)\s*\(|\b(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>)"
+
+
+def constants(files: DataFrame) -> DataFrame:
+    """(path, name, value): string constants of a script and, as object.member, those in objects; values are expressions."""
+    scripts = files.where(F.col("path").rlike(_SCRIPT))
+    plain = r"\bconst\s+([A-Za-z_$][\w$]*)\s*(?::\s*\w+\s*)?=\s*((?:[\w.$]+\s*(?:\?\?|\+)\s*)*(?:['\"][^'\"]*['\"]|`[^`]*`)(?:\s*\+\s*(?:['\"][^'\"]*['\"]|[\w.$]+))*)"
+    own = _found(scripts, plain).select("path", _part(plain).alias("name"), F.trim(_part(plain, 2)).alias("value"))
+    table = r"\bconst\s+([A-Za-z_$][\w$]*)\s*(?::\s*[\w<>, ]+\s*)?=\s*\{([^{}]*)\}"
+    member = r"([A-Za-z_$][\w$]*)\s*:\s*(['\"][^'\"]*['\"]|`[^`]*`)"
+    objects = _found(scripts, table).select("path", _part(table).alias("object"), F.explode(F.regexp_extract_all(_part(table, 2), F.lit(member), F.lit(0))).alias("hit"))
+    return own.unionByName(objects.select("path", F.concat_ws(".", "object", _part(member)).alias("name"), _part(member, 2).alias("value")))
+
+
+def import_aliases(files: DataFrame) -> DataFrame:
+    """(path, alias, name) of imported names; the alias is the name where none is given."""
+    scripts = files.where(F.col("path").rlike(_SCRIPT))
+    names = _found(scripts, r"\bimport\s+(?:\w+\s*,\s*)?\{[^}]*\}").select("path", F.explode(F.split(F.regexp_extract("hit", r"\{([^}]*)\}", 1), ",")).alias("hit"))
+    name, alias = _part(r"\A\s*([\w$]+)"), _part(r"\bas\s+([\w$]+)")
+    return names.select("path", F.coalesce(alias, name).alias("alias"), name.alias("name")).where("name is not null")
 
 
 def shared_constants(files: DataFrame) -> DataFrame:
     """(name, value) of constants that have one value in all files."""
     from cairn.operators.match import unique_value
 
-    pattern = r"\bconst\s+([A-Z][A-Z0-9_]+)\s*=\s*['\"`]([^'\"`]*)['\"`]"
-    return unique_value(_found(files, pattern).select(_part(pattern).alias("name"), _part(pattern, 2).alias("value")), "name", "value")
+    return unique_value(constants(files), "name", "value")
+
+
+def known_values(files: DataFrame) -> DataFrame:
+    """(path, values): what each file's names mean, as a map: its own constants, then imported ones that have one value everywhere."""
+    own = constants(files).groupBy("path", "name").agg(F.min("value").alias("value"), F.lit(0).alias("rank"))
+    shared = shared_constants(files).withColumn("head", F.regexp_extract("name", r"\A([^.]*)", 1))
+    imported = import_aliases(files).withColumnRenamed("name", "head").join(shared, "head")
+    imported = imported.select("path", F.concat("alias", F.regexp_extract("name", r"\A[^.]*(.*)", 1)).alias("name"), "value", F.lit(1).alias("rank"))
+    # what an imported constant refers to is read in its own file's terms, by shared names
+    behind = shared.select(F.col("name"), "value", F.lit(2).alias("rank"))
+    named = own.unionByName(imported).withColumn("refers", F.explode_outer(F.regexp_extract_all("value", F.lit(r"([A-Za-z_$][\w.$]*)"), F.lit(1))))
+    further = named.join(behind.select(F.col("name").alias("refers"), F.col("value").alias("v2")), "refers").select("path", F.col("refers").alias("name"), F.col("v2").alias("value"), F.lit(2).alias("rank"))
+    every = own.unionByName(imported).unionByName(further)
+    first = every.groupBy("path", "name").agg(F.min_by("value", F.struct("rank", "value")).alias("value"))
+    return first.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
+
+
+def api_calls(files: DataFrame) -> DataFrame:
+    """(path, ord, function, http_method, target, expression, parameters, confidence): HTTP calls with what is known of their path.
+
+    ``function`` is the last one declared before the call; ``parameters`` are
+    at most 20 names in the path, the call's options and its headers.
+    """
+    scripts = files.where(F.col("path").rlike(_SCRIPT))
+    found = None
+    for pattern, method, target, level in _CALLS:
+        hits = scripts.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("hit"))
+        one = hits.select("path", "content", "hit", _part(pattern).alias("receiver"), F.upper(F.coalesce(_part(pattern, method), F.lit("GET"))).alias("http_method"), F.trim(_part(pattern, target)).alias("expression"), F.lit(level).alias("confidence"))
+        found = one if found is None else found.unionByName(one)
+    at = F.instr("content", F.col("hit"))
+    before = F.regexp_extract_all(F.substring("content", F.lit(1), at - 1), F.lit(_FUNCTION), F.lit(0))
+    last = F.get(before, F.size(before) - 1)
+    function = F.coalesce(*[F.nullif(F.regexp_extract(last, _FUNCTION, k), F.lit("")) for k in (1, 2)])
+    # up to the end of the call, as far as 400 characters behind its path
+    around = F.concat("hit", F.regexp_extract(F.substring("content", at + F.length("hit"), F.lit(400)), r"(?s)\A(.*?)(?:\);|\)\s*\n|\z)", 1))
+    options = F.regexp_extract_all(around, F.lit(r"\b(?:params|query|data|body|headers)\s*:\s*([A-Za-z_$][\w$]*)"), F.lit(1))
+    headers = F.transform(F.regexp_extract_all(around, F.lit(r"['\"]([A-Za-z][\w]*-[\w-]+)['\"]\s*:"), F.lit(1)), lambda h: F.concat(F.lit("header:"), h))
+    rows = found.select("path", at.alias("ord"), function.alias("function"), "http_method", "receiver", "expression", F.concat(options, headers).alias("__options"), "confidence")
+    rows = rows.join(known_values(files), "path", "left")
+
+    @F.pandas_udf("string")
+    def resolved(expressions: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([scan.resolve_path(e, dict(v if v is not None else {}).get) for e, v in zip(expressions, values, strict=True)])
+
+    rows = rows.withColumn("target", resolved("expression", "values"))
+    names = F.filter(F.regexp_extract_all("target", F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda x: x != "param")
+    parameters_ = F.slice(F.array_distinct(F.concat(names, "__options")), 1, 20)
+    kept = rows.where(likely_http_path("target") | F.col("target").rlike(r"\Aapi/"))
+    return kept.select("path", "ord", "function", "http_method", "target", "expression", parameters_.alias("parameters"), "confidence").dropDuplicates(["path", "ord", "http_method", "target"])
+
+
+def api_consumers(files: DataFrame, functions: DataFrame, owners: DataFrame, components_of: DataFrame, most: int = 20) -> DataFrame:
+    """(function, consumers): who calls each function (function), at most ``most``, in name order.
+
+    Files of pages, components, hooks and stores are cut into the names that
+    they call, which meet the functions by an equi-join. A file's consumers are
+    its components (path, component), each as the page that alone owns it
+    (``owners``: node, owner), or the file where it has none.
+    """
+    kinds = script_class(F.col("path"), F.col("content"))
+    named = files.where(kinds.isin("page", "component", "hook", "store")).select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_$][\w$]*)\s*\("), F.lit(1)))).alias("function"))
+    calls = named.join(functions.select("function").distinct(), "function")
+    who = calls.join(components_of.select("path", "component"), "path", "left").join(owners.select(F.col("node").alias("component"), "owner"), "component", "left")
+    return who.groupBy("function").agg(F.slice(F.array_sort(F.collect_set(F.coalesce("owner", "component", "path"))), 1, most).alias("consumers"))
 
 
 def ui_components(files: DataFrame, found_routes: DataFrame) -> DataFrame:
     """Components with their children; one that is routed or stands in a page file is a page."""
     pattern = r"(?:export\s+(default\s+)?)?(?:function|const)\s+([A-Z]\w*)\s*(?:=|\()"
-    names = _found(files.where(F.col("path").rlike(r"\.[jt]sx\z")), pattern, "content").select("path", "ord", _part(pattern, 2).alias("component"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"<([A-Z]\w*)"), F.lit(1))).alias("children"))
+    names = _found(files.where(F.col("path").rlike(r"\.[jt]sx\z")), pattern, "content").where(~_part(pattern, 2).rlike(r"\A[A-Z][A-Z0-9_]*[A-Z_][A-Z0-9_]*\z")).select("path", "ord", _part(pattern, 2).alias("component"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"<([A-Z]\w*)"), F.lit(1))).alias("children"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"import[^;]*?from\s+['\"]([^'\"]+)"), F.lit(1))).alias("imports"), "content")
     last = found_routes.groupBy("component").agg(F.max("route").alias("route"))
-    kind = F.when((script_class(F.col("path")) == "page") | F.col("route").isNotNull(), "page").otherwise("component")
-    return names.join(last, "component", "left").withColumn("classification", kind)
+    kind = F.when((script_class(F.col("path"), F.col("content")) == "page") | F.col("route").isNotNull(), "page").otherwise("component")
+    return names.join(last, "component", "left").withColumn("classification", kind).drop("content")
 
 
 def interactions(files: DataFrame) -> DataFrame:
@@ -248,12 +458,67 @@ def interactions(files: DataFrame) -> DataFrame:
 
 
 def state_hooks(files: DataFrame) -> DataFrame:
-    pattern = r"const\s+\[\s*(\w+)\s*,\s*(\w+)\s*\]\s*=\s*(?:React\.)?use(?:State|Reducer)(?:<[^>]*>)?\(([^)]*)\)"
-    return _found(files, pattern).select("path", "ord", _part(pattern).alias("state"), _part(pattern, 2).alias("setter"), _part(pattern, 3).alias("initial"))
+    """(path, ord, state, setter, initial): useState as it is; a reducer's initial object as one state.field row a field."""
+    pattern = r"const\s+\[\s*(\w+)\s*,\s*(\w+)\s*\]\s*=\s*(?:React\.)?use(State|Reducer)(?:<[^>]*>)?\(([^()]*)\)"
+    hooks = _found(files, pattern, "content").select("path", "ord", "content", _part(pattern).alias("state"), _part(pattern, 2).alias("setter"), _part(pattern, 3).alias("kind"), F.trim(_part(pattern, 4)).alias("given"))
+    plain = hooks.where("kind = 'State'").select("path", "ord", "state", "setter", F.col("given").alias("initial"))
+    second = F.trim(F.regexp_extract("given", r"\A[^,]*,\s*(.*)\z", 1))
+    named = F.expr(r"regexp_extract(content, concat('const\\s+', second, '\\s*(?::[^=]*)?=\\s*(\\{[^{}]*\\})'), 1)")
+    reducers = hooks.where("kind = 'Reducer'").withColumn("second", second).withColumn("object", F.when(F.col("second").startswith("{"), F.col("second")).when(F.col("second").rlike(r"\A\w+\z"), named))
+    field = r"(\w+)\s*:\s*([^,{}]+)"
+    fields = reducers.select("path", "ord", "state", "setter", F.explode(F.regexp_extract_all("object", F.lit(field), F.lit(0))).alias("hit"))
+    return plain.unionByName(fields.select("path", "ord", F.concat_ws(".", "state", _part(field)).alias("state"), "setter", F.trim(_part(field, 2)).alias("initial")))
+
+
+def form_fields(files: DataFrame, found_components: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """Fields by name attribute, registration, controlled value, label or id: (path, ord, field, source[, page]).
+
+    With components (path, component, classification) and unique owners (node,
+    owner) the page is the one in the file, else the only page that reaches a
+    component of the file, else null.
+    """
+    tag = r"<(?:input|select|textarea|Field|Controller|TextField)\b[^>]*>"
+    rules = [("name", r'\bname="([^"]*)"'), ("register", r"""\bregister\(\s*['"]([^'"]*)"""), ("controlled", r"\b(?:value|checked)=\{([\w.]+)"), ("aria-label", r'\baria-label="([^"]*)"'), ("id", r'\bid="([^"]*)"(?=[^>]*\bonChange=)')]
+    found = _found(files, tag)
+    source = F.coalesce(*[F.when(_part(p).isNotNull(), F.lit(kind)) for kind, p in rules])
+    fields = found.select("path", "ord", F.coalesce(*[_part(p) for _, p in rules]).alias("field"), source.alias("source")).where("field is not null")
+    return fields if found_components is None else with_page(fields, found_components, owners)
 
 
-def form_fields(files: DataFrame) -> DataFrame:
-    """Fields by name attribute, registration or aria-label, the first that an element has."""
-    tag = r"<(?:input|select|textarea|Field|Controller|TextField)\b[^>]*>"
-    name = F.coalesce(_part(r'\bname="([^"]*)"'), _part(r"""\bregister\(\s*['"]([^'"]*)"""), _part(r"\bvalue=\{(\w+)"), _part(r'\baria-label="([^"]*)"'))
-    return _found(files, tag).select("path", "ord", name.alias("field")).where("field is not null")
+def with_page(rows: DataFrame, found_components: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` of files (path) with ``page``: a page component of the file, else the only page that reaches one of its components."""
+    direct = found_components.where("classification = 'page'").groupBy("path").agg(F.min("component").alias("__direct"))
+    reached = found_components.join(owners.select(F.col("node").alias("component"), "owner"), "component").groupBy("path").agg(F.min("owner").alias("__owner"), F.max("owner").alias("__last"))
+    joined = rows.join(direct, "path", "left").join(reached, "path", "left")
+    page = F.coalesce("__direct", F.when(F.col("__owner") == F.col("__last"), F.col("__owner")))
+    return joined.withColumn("page", page).drop("__direct", "__owner", "__last")
+
+
+def snippets(files: DataFrame, wanted: DataFrame, most: int = 5000, before: int = 0, after: int = 0) -> DataFrame:
+    """(wanted..., code, confidence, uncertainty) for ``wanted`` (path, group, symbol, ...).
+
+    A symbol's declaration by matching braces is exact (high); else a window
+    around its first mention, ``before`` and ``after`` characters, is taken if
+    one is asked for (medium); else the row says what is missing. Long code is cut, with a mark.
+    """
+    joined = wanted.join(files.select("path", "content"), "path", "left")
+    out = StructType([*wanted.schema.fields]).add("code", "string").add("confidence", "string").add("uncertainty", "string")
+    keep = wanted.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for symbol, text in zip(batch["symbol"], batch["content"], strict=True):
+                span = scan.declaration(text, symbol) if text else None
+                at = text.find(symbol) if text else -1
+                level, why = "high", None
+                if span is None and at >= 0 and before + after:
+                    span, level = (max(0, at - before), min(len(text), at + after)), "medium"
+                if span is None:
+                    made.append((None, "low", f"{symbol} is not visible" if text else "the file is missing"))
+                    continue
+                code = text[span[0] : span[1]]
+                made.append((code if len(code) <= most else code[:most] + "\n[SNIPPET_TRUNCATED]", level, why))
+            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(made, columns=["code", "confidence", "uncertainty"])], axis=1)
+
+    return joined.select(*keep, "content").mapInPandas(run, out)

@@ -66,6 +66,20 @@ def merged_intervals(rows: DataFrame, by: list[str], start: str, end: str, gap:
     return islands.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__island")
 
 
+def innermost(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, stop: str, block: int = 1024) -> DataFrame:
+    """Each point with the narrowest range of its group that holds it (start <= at < stop); points in none go.
+
+    Ranges explode into the blocks of ``block`` units that they touch, so that
+    the range join is an equi-join on group and block.
+    """
+    cut = ranges.withColumn("__block", F.explode(F.sequence(F.floor(F.col(start) / block), F.floor((F.col(stop) - 1) / block))))
+    p = points.withColumn("__block", F.floor(F.col(at) / block)).withColumn("__point", F.struct(*points.columns))
+    held = p.join(cut, [*by, "__block"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop)))
+    rest = [c for c in ranges.columns if c not in by]
+    best = held.groupBy("__point").agg(F.min_by(F.struct(*rest), F.struct(F.col(stop) - F.col(start), F.col(start))).alias("__range"))
+    return best.select("__point.*", *[F.col(f"__range.{c}").alias(c) for c in rest if c not in points.columns])
+
+
 def part_of(by: list[str], order: list[Column | str]) -> tuple[Column, Column]:
     """(part, parts): a row's number in its group, and the group's size."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy(*by))

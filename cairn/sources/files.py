@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.functions.text import source_layout
+from cairn.functions.text import mask_secrets, source_layout
 
 #: Directories that a scan never reads, and its inclusive limits.
 IGNORED = [".git", ".gradle", ".idea", ".mvn", "bin", "build", "dist", "node_modules", "out", "target"]
@@ -46,6 +47,50 @@ def build_tool() -> Column:
     return F.when(maven, "Maven").when(gradle, "Gradle").otherwise("Unknown")
 
 
+def ui_indicators() -> Column:
+    """Aggregate over a scan's (path, content): what tells the user interface's framework, in a fixed order."""
+    any_of = lambda path, content=None: F.bool_or(F.col("path").rlike(path) & (F.lit(True) if content is None else F.col("content").rlike(content)))
+    facts = [
+        (any_of(r"(?i)(\A|/)package\.json\z", r'"react"\s*:'), "react dependency"),
+        (any_of(r"(?i)(\A|/)vite\.config\."), "vite config"),
+        (any_of(r"(?i)(\A|/)next\.config\."), "next config"),
+        (any_of(r"(?i)(\A|/)src/(App\.[tj]sx|main\.tsx|index\.tsx)\z"), "entry file"),
+    ]
+    return F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in facts]), lambda x: x.isNotNull())
+
+
+def files_matching(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """The files whose path matches one of the patterns."""
+    return files.where(F.col("path").rlike("|".join(f"(?:{p})" for p in patterns)))
+
+
+def contained(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files whose path stays inside the root: relative, without . and .. segments."""
+    p = F.regexp_replace(F.col(path), r"\\", "/")
+    return files.where(~p.rlike(r"(?i)\A(/|[a-z]:|~)") & ~p.rlike(r"(\A|/)\.{1,2}(/|\z)"))
+
+
+def read_optional_text(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the whole text at ``path``, one row; empty where nothing is there."""
+    try:
+        found = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([("",)], "value string")
+    return found
+
+
+def read_required_jsonl(spark: SparkSession, path: str, schema: StructType, required: list[str] | None = None) -> DataFrame:
+    """:func:`read_jsonl`, with a missing path as its own error."""
+    try:
+        return read_jsonl(spark, path, schema, required)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"JSONL_NOT_FOUND: {path}") from error
+        raise
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, required: list[str] | None = None) -> DataFrame:
     """Strict JSON lines under an explicit schema: blank lines and a byte-order mark are skipped, anything malformed is an error.
 
@@ -70,6 +115,23 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def append_audit(rows: DataFrame, path: str, error: str = "error", most: int = 4000) -> None:
+    """Appends one JSON line a row; errors are masked and cut."""
+    kept = rows.withColumn(error, F.left(mask_secrets(error), F.lit(most))) if error in rows.columns else rows
+    kept.withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def write_markdown(docs: DataFrame, path: str, title: str, repository: str, branch: str) -> None:
+    """One text row a document (name, body): a header of title, repository and branch, then the body; partitioned by name."""
+    head = F.concat_ws("\n", F.concat(F.lit("# "), F.lit(title)), F.lit(""), F.concat(F.lit("- Repository: "), F.lit(repository)), F.concat(F.lit("- Branch: "), F.lit(branch)), F.concat(F.lit("- Generated: "), F.current_timestamp().cast("string")), F.lit(""))
+    docs.select("name", F.concat(head, F.lit("\n"), "body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def write_json_documents(docs: DataFrame, path: str) -> None:
+    """One pretty JSON document a row, nulls left out."""
+    docs.select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def commit_manifest(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None:
     """Writes each table under ``folder`` and, last, a manifest of names and row counts: what it lists is whole."""
     counts = []

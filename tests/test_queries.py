@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from cairn.oracles import ORACLE_SQL
-from cairn.queries import QUERIES
+from cairn import oracles, queries, registered
 from tests.oracle import database, differences
 
+QUERIES = queries.QUERIES | registered.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | registered.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
