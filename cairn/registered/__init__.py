@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cairn.registered import columns, sources
+from cairn.registered import columns, flowing, sources
 
-MODULES = [columns, sources]
+MODULES = [columns, sources, flowing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
