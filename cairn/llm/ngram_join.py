@@ -57,6 +57,8 @@ SMALLEST, RATIO = 4, 1.5
 BITMAP = 1 << 24
 SLOTS = 1 << 20
 SKETCH = 16
+#: How many earlier elements a meeting knows of; a pair whose first common one lies further back comes out more than once.
+EARLIER = 24
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
 
 
@@ -402,12 +404,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(members.join(nodes.select("node", "id"), "node"), "open")
     if members.limit(1).count():
         rare = materialize(rare_elements(docs, members, id_col, text_col, n, collided), "rare")
-        placed = rare.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("grams").alias("gram"))
+        placed = rare.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("grams").alias("pos", "gram"))
         mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        meeting = materialize(placed.join(mixed.select("gram"), "gram", "left_semi").distinct(), "meeting")
+        # what a member shares with other components, in the common order; a pair comes out at the first element that both have
+        own = placed.join(mixed.select("gram"), "gram", "left_semi").groupBy("node", "component").agg(F.array_sort(F.collect_set(F.struct("pos", "gram")))["gram"].alias("grams"))
+        own = own.select("node", "component", "grams", F.posexplode("grams").alias("pos", "gram"))
+        meeting = materialize(own.select("node", "component", "gram", F.slice("grams", F.lit(1), F.least("pos", F.lit(EARLIER))).alias("earlier")), "meeting")
         sketched = meeting.join(nodes.drop("id"), "node")
         x, y = sketched.alias("x"), sketched.alias("y")
-        meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & may_link()
+        meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & may_link() & ~F.arrays_overlap("x.earlier", "y.earlier")
         across = x.join(y, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
