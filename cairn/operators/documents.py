@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import heading_name, source_references
-from cairn.operators.select import first_wins, priority
+from cairn.operators.select import first_wins, packed, priority, sequential_budget, top_k
+from cairn.plans.durable import materialize
 
 PLACEHOLDER = r"(?i)\A\s*(tbd|todo|n/?a|none|-|\.\.\.)?\s*\z"
 NOT_VISIBLE = r"(?i)(not visible|not available|could not be determined|unknown)"
@@ -41,23 +42,34 @@ def evidence_for(section: Column) -> Column:
     return chain
 
 
-def find_gaps(rows: DataFrame, required: list[str], least_references: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(id, section, gap_type, severity): required sections that are empty (high), unresolved phrases (medium), too few references (high)."""
-    spark = rows.sparkSession
+def _expected(docs: DataFrame, headings: list[str], id_col: str) -> DataFrame:
+    """(id, place, heading, name): every document with each of the headings."""
+    listed = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(h).alias("heading")) for k, h in enumerate(headings)])
+    rows = docs.select(id_col).distinct().select(id_col, F.explode(listed).alias("__h"))
+    return rows.select(id_col, F.col("__h.place").alias("place"), F.col("__h.heading").alias("heading"), heading_name("__h.heading").alias("name"))
+
+
+def find_gaps(rows: DataFrame, required: list[str], least_references: int = 3, id_col: str = "doc_id", parameters: str = "param") -> DataFrame:
+    """(id, section, gap_type, severity): required sections that are empty (high), unresolved phrases (medium),
+    parameter sections without a source reference (medium), too few references in a document (high)."""
     merged = merged_sections(rows, id_col)
-    wanted = spark.createDataFrame([(k, h) for k, h in enumerate(required)], "place int, heading string")
-    wanted = F.broadcast(wanted.select(heading_name("heading").alias("name")))  # as many rows as a document has sections
-    all_wanted = merged.select(id_col).distinct().join(wanted)
-    held = all_wanted.join(merged.select(id_col, "name", "body"), [id_col, "name"], "left")
-    empty = held.where(F.col("body").isNull() | F.col("body").rlike(PLACEHOLDER)).select(id_col, F.col("name").alias("section"), F.lit("empty-section").alias("gap_type"), F.lit("high").alias("severity"))
-    unresolved = merged.where(F.col("body").rlike(NOT_VISIBLE)).select(id_col, F.col("name").alias("section"), F.lit("not-visible").alias("gap_type"), F.lit("medium").alias("severity"))
-    few = (
-        merged.groupBy(id_col)
-        .agg(F.sum(F.size(source_references("body"))).alias("n"))
-        .where(F.col("n") < least_references)
-        .select(id_col, F.lit("document").alias("section"), F.lit("source-reference").alias("gap_type"), F.lit("high").alias("severity"))
-    )
-    return empty.unionByName(unresolved).unionByName(few)
+    held = _expected(merged, required, id_col).join(merged.select(id_col, "name", "body"), [id_col, "name"], "left")
+    gap = lambda df, section, kind, severity: df.select(id_col, section.alias("section"), F.lit(kind).alias("gap_type"), F.lit(severity).alias("severity"))
+    empty = gap(held.where(F.col("body").isNull() | F.col("body").rlike(PLACEHOLDER)), F.col("name"), "empty-section", "high")
+    unresolved = gap(merged.where(F.col("body").rlike(NOT_VISIBLE)), F.col("name"), "not-visible", "medium")
+    unsourced = gap(merged.where(F.col("name").rlike(parameters) & (F.size(source_references("body")) == 0)), F.col("name"), "parameter", "medium")
+    few = merged.groupBy(id_col).agg(F.sum(F.size(source_references("body"))).alias("n")).where(F.col("n") < least_references)
+    return empty.unionByName(unresolved).unionByName(unsourced).unionByName(gap(few, F.lit("document"), "source-reference", "high"))
+
+
+#: Gaps that a repair can close.
+ACTIONABLE = ["empty-section", "match", "service", "parameter", "source-reference"]
+
+
+def actionable_gaps(gaps: DataFrame, id_col: str = "doc_id", grounded_in: DataFrame | None = None, excluded: str = "uncertainties") -> DataFrame:
+    """Gaps worth a repair: not low, of an actionable kind, not in the section of uncertainties, and in a grounded section (id, section) if these are given."""
+    kept = gaps.where((F.col("severity") != "low") & F.col("gap_type").isin(ACTIONABLE) & (heading_name("section") != heading_name(F.lit(excluded))))
+    return kept if grounded_in is None else kept.join(grounded_in.select(id_col, "section").distinct(), [id_col, "section"], "left_semi")
 
 
 def gap_order() -> list[Column]:
@@ -92,6 +104,67 @@ def merge_repairs(old: DataFrame, repairs: DataFrame, id_col: str = "doc_id") ->
     )
 
 
+def relevant_text(docs: DataFrame, targets: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", seen: int = 1200) -> DataFrame:
+    """(id, text): the sections that are targets (id, heading) or mention a keyword (id, word) in their beginning; the whole text where none does."""
+    s = sections(docs, id_col, text_col).where("heading <> ''").withColumn("section", F.concat(F.lit("## "), "heading", F.lit("\n"), F.rtrim("body")))
+    named = s.join(targets.select(id_col, heading_name("heading").alias("name")).distinct(), [id_col, "name"], "left_semi")
+    start = F.lower(F.concat_ws("\n", "heading", F.left("section", F.lit(seen))))
+    found = s.withColumn("__start", start).join(keywords.select(id_col, F.lower("word").alias("word")).distinct(), id_col).where(F.col("__start").contains(F.col("word")))
+    chosen = named.select(id_col, "ord", "section").union(found.select(id_col, "ord", "section")).distinct()
+    texts = chosen.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "section")))["section"], "\n\n").alias("__chosen"))
+    return docs.select(id_col, text_col).join(texts, id_col, "left").select(id_col, F.coalesce("__chosen", text_col).alias(text_col))
+
+
+def repair_groups(targets: DataFrame, canonical: list[str], per_request: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, group, name): a document's target sections (id, heading), each once, in canonical order with unknown ones last, ``per_request`` a group."""
+    names = targets.sparkSession.createDataFrame([(h,) for h in canonical], "h string").select(heading_name("h").alias("n")).collect()  # the canonical list
+    place = priority(F.col("name"), [r["n"] for r in names])
+    once = targets.select(id_col, heading_name("heading").alias("name")).where("name <> ''").distinct()
+    by = once.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "name"))).alias("s"))  # a document's sections
+    return by.select(id_col, F.posexplode("s").alias("k", "s")).select(id_col, (F.floor(F.col("k") / per_request) + 1).alias("group"), F.col("s.name").alias("name"))
+
+
+def canonical_repairs(repairs: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, name, body, missing): each target section (id, name) with the distinct bodies that a repair gave it, in order."""
+    some = repairs.where(F.trim("body") != "").groupBy(id_col, "name", F.trim("body").alias("body")).agg(F.min("ord").alias("ord"))
+    bodies = some.groupBy(id_col, "name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "body")))["body"], "\n\n").alias("body"))
+    return targets.select(id_col, "name").distinct().join(bodies, [id_col, "name"], "left").withColumn("missing", F.col("body").isNull())
+
+
+def canonical_document(rows: DataFrame, canonical: list[str], warnings: DataFrame | None = None, id_col: str = "doc_id", most: int = 8000, placeholder: str = "Not visible.") -> DataFrame:
+    """(id, place, heading, body): every canonical section of each document, a placeholder where it has none; warnings (id, warning) end the last one."""
+    merged = merged_sections(rows, id_col)
+    out = _expected(merged, canonical, id_col).join(merged.select(id_col, "name", "body"), [id_col, "name"], "left")
+    body = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", F.lit(placeholder)).otherwise(F.trim("body"))
+    out = out.withColumn("body", body)
+    if warnings is not None:
+        text = F.left(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- "), "warning"))), "\n"), F.lit(most))
+        out = out.join(warnings.groupBy(id_col).agg(text.alias("__w")), id_col, "left")
+        last = (F.col("place") == len(canonical) - 1) & F.col("__w").isNotNull()
+        out = out.withColumn("body", F.when(last, F.concat_ws("\n", "body", "__w")).otherwise(F.col("body")))
+    return out.select(id_col, "place", "heading", "body")
+
+
+def heading_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ord, block): a text cut before each ## heading that follows a blank line."""
+    return docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n\n(?=## )")).alias("ord", "block"))
+
+
+def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, level, heading): the headings of levels 1 to 3 that stand outside code fences.
+
+    Of a document's own lines those between an odd fence and the next are code.
+    """
+    line = F.struct(F.regexp_extract("x", r"^(#{1,3})\s+\S", 1).alias("mark"), F.regexp_extract("x", r"^#{1,3}\s+(.*?)\s*$", 1).alias("heading"), F.col("x").rlike(r"^\s*(```|~~~)").alias("fence"))
+    rows = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n")).alias("line", "x")).select(id_col, "line", line.alias("l"))
+    kept = rows.where("l.mark <> '' or l.fence")
+    by = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line", "l"))).alias("lines"))
+    fences = F.filter("lines", lambda x: x["l"]["fence"])
+    outside = F.filter("lines", lambda x: ~x["l"]["fence"] & (F.size(F.filter(F.col("fences"), lambda f: f["line"] < x["line"])) % 2 == 0))
+    found = by.withColumn("fences", fences).select(id_col, F.explode(outside).alias("h"))
+    return found.select(id_col, F.col("h.line").alias("line"), F.length("h.l.mark").alias("level"), F.col("h.l.heading").alias("heading"))
+
+
 # Ledgers: (id, heading, kind, ord, text), kind one of finding, reference, uncertainty ----
 
 
@@ -114,6 +187,52 @@ def grounded(ledger: DataFrame, sources: DataFrame, id_col: str = "doc_id") -> D
     return rest.withColumn("kind", kind).select(ledger.columns).unionByName(kept)
 
 
+def demoted(ledger: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Findings of a section without any reference become uncertainties; references are taken as they are."""
+    backed = ledger.where("kind = 'reference'").select(id_col, "heading").distinct().withColumn("__backed", F.lit(True))
+    kind = F.when((F.col("kind") == "finding") & F.col("__backed").isNull(), "uncertainty").otherwise(F.col("kind"))
+    return ledger.join(backed, [id_col, "heading"], "left").withColumn("kind", kind).select(ledger.columns)
+
+
+def split_ledger(ledger: DataFrame, most: int, id_col: str = "doc_id", share: float = 0.3) -> DataFrame:
+    """``ledger`` with ``part``: a document's items packed by section and order into parts of at most ``most`` characters.
+
+    References repeat in every part of their section, as far as ``share`` of
+    the room goes; findings and uncertainties fill what is left.
+    """
+    room = int(most * share)
+    refs = sequential_budget(ledger.where("kind = 'reference'").withColumn("__n", F.length("text")), [id_col, "place"], "ord", "__n", room)
+    kept = refs.where("taken = __n").drop("__n", "taken")
+    rest = ledger.where("kind <> 'reference'").withColumns({"__n": F.length("text"), "__o": F.col("place") * 1_000_000_000 + F.col("ord")})
+    parts = packed(rest, [id_col], "__o", "__n", most - room, 1)
+    items = rest.join(parts.dropDuplicates([id_col, "__o"]), [id_col, "__o"]).withColumnRenamed("chunk", "part").select(*ledger.columns, "part")
+    shared = kept.join(items.select(id_col, "place", "part").distinct(), [id_col, "place"]).select(*ledger.columns, "part")
+    return items.unionByName(shared)
+
+
+def projected(ledger: DataFrame, headings: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Items of the given headings, and under ``*`` a document's references and uncertainties from all of them, each once."""
+    chosen = ledger.where(F.col("heading").isin(headings))
+    everything = ledger.where("kind <> 'finding'").groupBy(id_col, "kind", "text").agg(F.min("ord").alias("ord"))
+    return chosen.select(id_col, "heading", "kind", "text", "ord").unionByName(everything.select(id_col, F.lit("*").alias("heading"), "kind", "text", "ord"))
+
+
+def section_groups(place: Column, size: int, halved: int = 0) -> Column:
+    """A section's group of ``size`` neighbours; each failure for size halves it."""
+    return F.floor(place / max(1, size >> halved)).cast("bigint")
+
+
+def reduce_until(ledgers: DataFrame, by: list[str], ordinal: str, most: int, fan_in: int = 8, levels: int = 3) -> DataFrame:
+    """Levels of :func:`reduce_ledgers` until one ledger is left of each group, or a level brings none below ``most`` characters together, ``levels`` at most."""
+    for _ in range(levels):
+        merged = materialize(reduce_ledgers(ledgers, by, ordinal, fan_in), "ledgers")
+        state = merged.groupBy(*by).agg(F.countDistinct(ordinal).alias("n"), F.sum(F.length("text")).alias("size")).agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+        ledgers = merged
+        if (state["n"] or 1) <= 1 or (state["size"] or 0) > most * (state["n"] or 1):
+            break
+    return ledgers
+
+
 def grounded_sections(ledger: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, heading) with at least one finding and one reference."""
     by = ledger.groupBy(id_col, "heading").agg(F.bool_or(F.col("kind") == "finding").alias("f"), F.bool_or(F.col("kind") == "reference").alias("r"))
@@ -165,23 +284,92 @@ def mention_coverage(terms: DataFrame, docs: DataFrame, id_col: str = "doc_id")
     return pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("text").contains(F.lower("term"))).alias("n_mentioned"))
 
 
+def record_coverage(values: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_records, n_mentioned, coverage): records (id, record, value) with any value of two or more characters in their document's text; coverage is null without records."""
+    known = values.join(docs.select(id_col, F.lower("text").alias("text")), id_col)
+    said = (F.length("value") >= 2) & F.col("text").contains(F.lower("value"))
+    by = known.groupBy(id_col, "record").agg(F.coalesce(F.bool_or(said), F.lit(False)).alias("said"))
+    counts = by.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_records"), F.count_if("said").alias("n_mentioned"))
+    return docs.select(id_col).join(counts, id_col, "left").select(id_col, F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_mentioned", F.lit(0)).alias("n_mentioned"), share(F.col("n_mentioned"), F.col("n_records")).alias("coverage"))
+
+
 def assess(text: Column) -> dict[str, Column]:
     """Counts that a document linter reports."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("bigint")
+    titles = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+([^\n]*)$"), F.lit(1)), lambda t: heading_name(t))
     return {
         "n_lines": count("\n") + 1,
         "n_words": count(r"\S+"),
         "n_references": count(r"https?://"),
         "n_unresolved": count(NOT_VISIBLE),
         "n_endpoints": count(r"\b(GET|POST|PUT|DELETE|PATCH) /"),
+        "n_headings": count(r"(?m)^#{1,3}\s+\S"),
+        "n_duplicates": (F.size(titles) - F.size(F.array_distinct(titles))).cast("bigint"),
+        "n_empty": count(r"(?m)^##\s[^\n]*\n(?:\s*\n)*(?=##\s|\z)"),
+        "has_diagram": text.rlike("(?m)^```mermaid"),
     }
 
 
+def score_agrees(score: Column, n_unresolved: Column, n_empty: Column) -> Column:
+    """A high score goes with few open places, a low one with some."""
+    return F.when(score >= 75, (n_unresolved + n_empty) <= 3).when(score < 45, (n_unresolved + n_empty) > 0).otherwise(True)
+
+
 def artifact_rating(n: Column, n_weak: Column, least: int = 1) -> Column:
     """missing, empty, weak or good."""
     return F.when(n.isNull(), "missing").when(n == 0, "empty").when((n_weak > 0) | (n < least), "weak").otherwise("good")
 
 
+#: What a finding costs a repository's score.
+FINDING_COSTS = {"critical": 10, "warning": 4, "info": 1}
+
+
+def cross_findings(counts: dict[str, Column]) -> Column:
+    """(severity, message) of the rules over table sizes that hold, in order.
+
+    ``counts``: calls, matches, outbound, outbound_matches, unresolved,
+    unknown_pages, partial_flows, nodes, edges, semantics.
+    """
+    c = counts
+    text = lambda n, rest: F.concat(n.cast("string"), F.lit(f" {rest}"))
+    rules = [
+        ("critical", (c["calls"] > 0) & (c["matches"] == 0), F.lit("calls without any match")),
+        ("critical", (c["outbound"] > 0) & (c["outbound_matches"] == 0), F.lit("outbound calls without any match")),
+        ("warning", c["unresolved"] > 0, text(c["unresolved"], "unresolved matches")),
+        ("warning", c["unknown_pages"] > 0, text(c["unknown_pages"], "flows of an unknown page")),
+        ("warning", c["partial_flows"] > 0, text(c["partial_flows"], "partial flows")),
+        ("warning", (c["nodes"] > 0) & (c["edges"] > 0) & (c["edges"] / c["nodes"] < 0.5), F.lit("low edge density")),
+        ("info", c["semantics"] == 0, F.lit("no semantic records")),
+    ]
+    made = [F.when(test, F.struct(F.lit(severity).alias("severity"), message.alias("message"))) for severity, test, message in rules]
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def findings_cost(findings: Column) -> Column:
+    """What an array of findings takes off a repository's score."""
+    cost = lambda f: sum((F.when(f["severity"] == s, n).otherwise(0) for s, n in FINDING_COSTS.items()), F.lit(0))
+    return F.aggregate(findings, F.lit(0), lambda total, f: total + cost(f)).cast("bigint")
+
+
+def offending_rows(rules: list[tuple[str, DataFrame, str, Column]]) -> DataFrame:
+    """(rule, key): the rows that break a rule, from (name, rows, key column, what breaks it); their counts are a ``groupBy`` away."""
+    out = None
+    for name, rows, key, broken in rules:
+        part = rows.where(broken).select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def report(rows: DataFrame, by: list[str], order: list[str], line: Column, title: Column, most: int = 100) -> DataFrame:
+    """(by, text): a Markdown list under a title for each group, its first ``most`` lines in order and how many there are more."""
+    numbered = top_k(rows.withColumn("__line", F.concat(F.lit("- "), line)), by, [F.col(c) for c in order], most)
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    lists = numbered.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "__line")))["__line"].alias("__lines"))
+    more = F.when(F.col("__n") > most, F.array(F.concat(F.lit("- and "), (F.col("__n") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("## "), title), F.lit("")), "__lines", more), "\n")
+    return lists.join(counts, by).select(*by, text.alias("text"))
+
+
 def repository_score(rating: str = "rating", critical: str = "critical") -> Column:
     """Aggregate over artifacts: 100 less what missing, empty and weak ones cost."""
     r, c = F.col(rating), F.col(critical)

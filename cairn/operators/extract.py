@@ -9,8 +9,8 @@ snippets), a small scanner runs on Arrow batches, one file at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +19,9 @@ from cairn.functions import scan
 from cairn.functions.labels import likely_http_path
 from cairn.functions.text import join_paths, mask_sensitive_key
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Arguments in parentheses, which may hold strings and one more level of parentheses.
 _ARGS = r'\(((?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*\))*)\)'
 CLASS = r"\b(?:class|interface|enum|record)\s+([A-Z]\w*)"
@@ -42,6 +45,8 @@ def scanned(files: DataFrame, keep: list[str], made: str, fn: Callable[[str], li
     out = StructType([files.schema[c] for c in keep] + list(StructType.fromDDL(made)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             rows = [(*key, *row) for *key, text in batch[[*keep, "content"]].itertuples(index=False, name=None) for row in fn(text or "")]
             yield pd.DataFrame(rows, columns=out.names)
@@ -416,11 +421,15 @@ def api_calls(files: DataFrame) -> DataFrame:
     rows = found.select("path", at.alias("ord"), function.alias("function"), "http_method", "receiver", "expression", F.concat(options, headers).alias("__options"), "confidence")
     rows = rows.join(known_values(files), "path", "left")
 
-    @F.pandas_udf("string")
-    def resolved(expressions: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([scan.resolve_path(e, dict(v if v is not None else {}).get) for e, v in zip(expressions, values, strict=True)])
+    out = StructType([f for f in rows.schema if f.name != "values"]).add("target", "string")
 
-    rows = rows.withColumn("target", resolved("expression", "values"))
+    def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch.pop("values")
+            batch["target"] = [scan.resolve_path(e, dict(v if v is not None else {}).get) for e, v in zip(batch["expression"], values, strict=True)]
+            yield batch
+
+    rows = rows.mapInPandas(resolved, out)
     names = F.filter(F.regexp_extract_all("target", F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda x: x != "param")
     parameters_ = F.slice(F.array_distinct(F.concat(names, "__options")), 1, 20)
     kept = rows.where(likely_http_path("target") | F.col("target").rlike(r"\Aapi/"))
@@ -506,6 +515,8 @@ def snippets(files: DataFrame, wanted: DataFrame, most: int = 5000, before: int
     keep = wanted.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             made = []
             for symbol, text in zip(batch["symbol"], batch["content"], strict=True):

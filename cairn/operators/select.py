@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.plans.running import running_totals
+
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group by ``order``, with their ``rank``; the limit is pushed below the shuffle."""
@@ -37,11 +39,10 @@ def priority(value: Column, ranked: list[str]) -> Column:
 def scan_violations(files: DataFrame, by: list[str], max_files: int, max_size: int, max_total: int) -> DataFrame:
     """The first file of each group, in path order, that breaks a budget: (by, path, ord, violation).
 
-    Limits are inclusive. The running sums of a group are a window over it;
-    groups are whole scans, of at most ``max_files`` files that matter.
+    Limits are inclusive. A scan may be of any size: its running sums are
+    those of :func:`~cairn.plans.running.running_totals`.
     """
-    w = Window.partitionBy(*by).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    counted = files.withColumn("ord", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("size").over(w))
+    counted = running_totals(files, by, [F.col("path")], {"ord": F.lit(1).cast("bigint"), "total": F.col("size")})
     violation = (
         F.when(F.col("ord") > max_files, "file-count").when(F.col("size") > max_size, "file-size").when(F.col("total") > max_total, "total-size")
     )
@@ -104,9 +105,9 @@ def messages(*rules: tuple[Column, str]) -> Column:
 
 def sequential_budget(sections: DataFrame, by: list[str], order: str, size: str, most: int) -> DataFrame:
     """``taken``: sections in order take what is left of ``most``; one is cut, those behind it get nothing."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.lit(most) - F.coalesce(F.sum(size).over(w), F.lit(0)), F.lit(0))
-    return sections.withColumn("taken", F.least(F.col(size), left).cast("bigint"))
+    upto = running_totals(sections, by, [F.col(order)], {"__upto": F.coalesce(F.col(size), F.lit(0))})
+    left = F.greatest(F.lit(most) - (F.col("__upto") - F.coalesce(F.col(size), F.lit(0))), F.lit(0))
+    return upto.withColumn("taken", F.least(F.col(size), left).cast("bigint")).drop("__upto")
 
 
 def admitted(items: DataFrame, by: list[str], order: str, size: str, most: int, wrapper: int = 0, reserve: int | None = None, at_most: int = 80) -> DataFrame:

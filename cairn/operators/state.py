@@ -60,3 +60,56 @@ def reusable_steps(steps: DataFrame, inputs: DataFrame, outputs: DataFrame) -> D
     o = outputs.select("step", F.col("sha256").alias("__out"))
     same = (F.col("status") == "completed") & (F.col("input_hash") == F.col("__in")) & (F.col("output_hash") == F.col("__out"))
     return steps.join(i, "step", "left").join(o, "step", "left").withColumn("reusable", F.coalesce(same, F.lit(False))).drop("__in", "__out")
+
+
+def artifact_freshness(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(artifact, state): missing, invalid-metadata, stale or fresh.
+
+    ``artifacts`` (artifact, mtime, metadata JSON, null if there is no file),
+    ``inputs`` (artifact, input, mtime, sha256); metadata hold the inputs'
+    hashes under ``inputs``. Stale is what is strictly older than an input or
+    was made from another version of it.
+    """
+    parsed = F.from_json("metadata", "inputs map<string,string>")["inputs"]
+    a = artifacts.select("artifact", F.col("mtime").alias("made"), parsed.alias("known"))
+    i = inputs.groupBy("artifact").agg(F.max("mtime").alias("newest"), F.map_from_entries(F.collect_list(F.struct("input", "sha256"))).alias("now"))  # an artifact's own inputs
+    j = a.join(i, "artifact", "left")
+    differs = F.exists(F.map_keys(F.coalesce("now", F.expr("cast(map() as map<string,string>)"))), lambda k: ~F.element_at("now", k).eqNullSafe(F.try_element_at("known", k)))
+    state = F.when(F.col("made").isNull(), "missing").when(F.col("known").isNull(), "invalid-metadata").when((F.col("made") < F.col("newest")) | differs, "stale").otherwise("fresh")
+    return j.select("artifact", state.alias("state"))
+
+
+def pipeline_freshness(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, problem, severity) of a pipeline's files, and one row of whether a rebuild helps.
+
+    ``expected`` (name, role: base, optional or derived), ``files`` (name,
+    mtime). A missing base is high; a missing optional or derived file medium; a
+    derived file older than the newest base low. A rebuild needs all bases.
+    """
+    j = expected.join(files, "name", "left")
+    newest = j.where("role = 'base'").agg(F.max("mtime").alias("newest"))
+    missing = F.col("mtime").isNull()
+    stale = (F.col("role") == "derived") & (F.col("mtime") < F.col("newest"))
+    problem = F.when(missing, F.concat(F.lit("missing-"), "role")).when(stale, "stale-derived")
+    severity = F.when(missing & (F.col("role") == "base"), "high").when(missing, "medium").otherwise("low")
+    found = j.join(F.broadcast(newest)).select("name", "role", problem.alias("problem"), severity.alias("severity")).where("problem is not null")  # one row
+    ready = found.agg(F.count_if("problem = 'missing-base'").alias("bases"), F.count_if("role = 'derived'").alias("derived"))
+    return found.select("name", "problem", "severity"), ready.select(((F.col("bases") == 0) & (F.col("derived") > 0)).alias("rebuild"))
+
+
+def identity_mismatches(manifest: DataFrame, artifacts: DataFrame, fields: list[str]) -> DataFrame:
+    """(role, mismatches): for each role of the manifest the fields in which its artifact's identity differs; ``missing`` where there is none."""
+    m, a = manifest.alias("m"), artifacts.withColumn("__there", F.lit(True)).alias("a")
+    j = m.join(a, F.col("m.role") == F.col("a.role"), "left")
+    different = F.filter(F.array(*[F.when(~F.col(f"m.{f}").eqNullSafe(F.col(f"a.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    return j.select("m.role", F.when(F.col("a.__there").isNull(), F.array(F.lit("missing"))).otherwise(different).alias("mismatches"))
+
+
+def committed(before: DataFrame, after: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row: whether a run counts. Its inputs' fingerprints must be the same before and after it, and every output must be there.
+
+    ``outputs`` (name, sha256), null where an output is missing.
+    """
+    changes = changed(before, after).agg(F.count(F.lit(1)).alias("n_changed"))
+    gone = outputs.agg(F.count_if(F.col("sha256").isNull()).alias("n_missing"))
+    return changes.join(gone).select("n_changed", "n_missing", ((F.col("n_changed") == 0) & (F.col("n_missing") == 0)).alias("committed"))  # one row each

@@ -69,7 +69,7 @@ _GAPS = """
 _LEDGER = """
   items AS (SELECT conv_id, CASE WHEN turn < 2 THEN 'Opening' ELSE 'Middle' END AS heading,
               CASE role WHEN 'assistant' THEN 'reference' WHEN 'user' THEN 'finding' ELSE 'uncertainty' END AS kind,
-              trim(substr(coalesce(text, ''), 1, 40)) AS text, turn FROM conversations WHERE turn < 5),
+              trim(coalesce(text, '')) AS text, turn FROM conversations WHERE turn < 5),
   ledger AS (SELECT conv_id, heading, kind, text, min(turn) AS ord FROM items WHERE text <> '' GROUP BY ALL)
 """
 
@@ -199,6 +199,11 @@ ORACLE_SQL = {
             CASE WHEN used = 0 OR used + 7 + n_chars > 6000 THEN chunk + 1 ELSE chunk END
           FROM r JOIN o ON o.source = r.source AND o.k = r.k + 1)
         SELECT source, doc_id, chunk FROM r""",
+    "fair_allocation": """WITH a AS (SELECT source, doc_id, n_chars, n_chars * (count(*) OVER (PARTITION BY source) - row_number() OVER w + 1) <= 24000 - (sum(n_chars) OVER w - n_chars) AS met FROM documents
+          WINDOW w AS (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING)),
+        g AS (SELECT source, 24000 - coalesce(sum(n_chars) FILTER (WHERE met), 0) AS rest, greatest(count(*) FILTER (WHERE NOT met), 1) AS open FROM a GROUP BY source)
+        SELECT a.source, doc_id, n_chars, CAST(CASE WHEN met THEN n_chars ELSE floor(rest / open) + CASE WHEN sum(CASE WHEN met THEN 0 ELSE 1 END) OVER (PARTITION BY a.source ORDER BY doc_id) <= rest % open THEN 1 ELSE 0 END END AS BIGINT) AS granted
+        FROM a JOIN g USING (source)""",
     "role_split": """SELECT source, doc_id, CAST(least(floor(floor(240000 / (SELECT count(DISTINCT source) FROM documents)) / count(*) OVER (PARTITION BY source)), 700) AS BIGINT) AS granted
         FROM documents""",
     "section_split": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role || ' ' || turn AS heading, role || turn AS name,
@@ -210,7 +215,7 @@ ORACLE_SQL = {
         SELECT conv_id, role || turn AS name, sha256(CASE WHEN role = 'assistant' THEN 'repaired ' || ord ELSE regexp_replace(coalesce(text, ''), '\\n+$', '') END) AS body_sha256, CAST(0 AS BIGINT) AS n_lost FROM s
         UNION ALL SELECT DISTINCT conv_id, 'added', sha256('new'), CAST(0 AS BIGINT) FROM s""",
     "ledger_normalize": f"WITH {_LEDGER} SELECT conv_id, heading, kind, sha256(text) AS item, ord FROM ledger",
-    "ledger_ground": f"""WITH {_LEDGER}, src AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY text) AS content FROM conversations WHERE turn <= 1 GROUP BY conv_id),
+    "ledger_ground": f"""WITH {_LEDGER}, src AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY text) AS content FROM conversations GROUP BY conv_id),
         kept AS (SELECT l.* FROM ledger l JOIN src USING (conv_id) WHERE kind = 'reference' AND contains(content, l.text)),
         backed AS (SELECT DISTINCT conv_id, heading FROM kept)
         SELECT conv_id, heading, kind, sha256(text) AS item FROM kept

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.durable import materialize
+from cairn.plans.durable import materialize, measured
 
 
 def _hang(neighbours: DataFrame) -> DataFrame:
@@ -46,11 +46,10 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        current = materialize(current, "edges")
-        seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
+        current, seen = measured(current, "edges", sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        if seen == state:
             break
-        state = tuple(seen)
+        state = seen
     else:
         raise RuntimeError("components did not settle")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

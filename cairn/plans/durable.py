@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: What a Python task gets at once, so that its copies of a batch stay small.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
@@ -49,3 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, with aggregates of the rows (``n``: their number) taken while they are written, so that no job reads them for it."""
+    seen = Observation(f"cairn-{name}-{uuid.uuid4().hex}")
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]), name)
+    found = seen.get
+    return table, {"n": 0} | dict(found or {})

@@ -334,13 +334,13 @@ def block_packing(spark, sf):
 
 def fair_allocation(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
-    return allocate.allocated(d, ["source"], "doc_id", "n_chars", 24_000)
+    return allocate.fair_allocation(d, ["source"], "doc_id", "n_chars", 24_000)
 
 
 def weighted_allocation(spark, sf):
     weight = F.when(F.col("lang") == "en", 6.0).when(F.col("lang") == "fr", 4.0).otherwise(2.0)
     d = table(spark, sf, "documents").select("source", "doc_id", "n_chars", weight.alias("weight"))
-    return allocate.allocated(d, ["source"], "doc_id", "n_chars", 24_000, "weight")
+    return allocate.weighted_allocation(d, ["source"], "doc_id", "n_chars", "weight", 24_000)
 
 
 def role_split(spark, sf):
@@ -386,7 +386,7 @@ def section_merge(spark, sf):
 def _ledger(spark, sf):
     kind = F.when(F.col("role") == "assistant", "reference").when(F.col("role") == "user", "finding").otherwise("uncertainty")
     c = table(spark, sf, "conversations")
-    items = c.select("conv_id", F.when(F.col("turn") < 2, "1. Opening").when(F.col("turn") < 5, "Middle").otherwise("other").alias("heading"), kind.alias("kind"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("text"), F.col("turn").alias("ord"))
+    items = c.select("conv_id", F.when(F.col("turn") < 2, "1. Opening").when(F.col("turn") < 5, "Middle").otherwise("other").alias("heading"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").alias("ord"))
     return documents.normal_ledger(items, ["Opening", "Middle"], "conv_id")
 
 
@@ -395,7 +395,7 @@ def ledger_normalize(spark, sf):
 
 
 def ledger_ground(spark, sf):
-    first = table(spark, sf, "conversations").where("turn <= 1").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))
+    first = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))
     return documents.grounded(_ledger(spark, sf), first, "conv_id").select("conv_id", "heading", "kind", F.sha2("text", 256).alias("item"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.functions import scan
 from cairn.functions import text as T
 from cairn.operators import allocate, extract, graph, match, select, state
+from cairn.plans.running import running_totals
 from cairn.sources import files as source
 from cairn.streaming import incremental
 
@@ -135,11 +139,105 @@ def test_reachability_in_cycles(spark):
     assert [tuple(r) for r in graph.unique_owner(graph.reachable(seeds, edges)).collect()] == [(4, 4)]
 
 
-def test_shares():
-    assert allocate.fair_shares([5, 100, 100], 105) == [5, 50, 50]
-    assert allocate.fair_shares([100, 100, 100], 100) == [34, 33, 33]
-    assert sum(allocate.weighted_shares([1000, 1000, 10], [6, 2, 1], 1200)) == 1200
-    assert allocate.weighted_shares([], [], 5) == []
+def plain_fair(wants, budget):
+    got, open_ = [0] * len(wants), list(range(len(wants)))
+    while open_:
+        each, more = divmod(budget, len(open_))
+        met = [k for k in open_ if wants[k] <= each]
+        if not met:
+            for place, k in enumerate(open_):
+                got[k] = each + (place < more)
+            return got
+        for k in met:
+            got[k], budget = wants[k], budget - wants[k]
+        open_ = [k for k in open_ if k not in met]
+    return got
+
+
+def plain_weighted(wants, weights, budget):
+    got = [min(192, budget // len(wants), w) for w in wants]
+    left = budget - sum(got)
+    while left > 0 and (open_ := [k for k, w in enumerate(wants) if w > got[k]]):
+        total = sum(weights[k] for k in open_)
+        full = [k for k in open_ if wants[k] - got[k] <= left * weights[k] // total]
+        if full:
+            left -= wants[full[0]] - got[full[0]]
+            got[full[0]] = wants[full[0]]
+            continue
+        rest = left
+        for k in open_:
+            give = min(wants[k] - got[k], rest if k == open_[-1] else left * weights[k] // total)
+            got[k], rest = got[k] + give, rest - give
+        left = rest
+        if left > 0 and (open_ := [k for k in open_ if wants[k] > got[k]]):
+            got[open_[0]], left = got[open_[0]] + 1, left - 1
+    return got
+
+
+def test_shares(spark):
+    rng = random.Random(8)
+    groups = {"known": ([955, 2148, 996, 1850, 686, 51, 2715, 892], [2, 2, 2, 6, 6, 4, 4, 4])}
+    for k in range(250):
+        n = rng.randrange(1, 9)
+        groups[f"g{k}"] = ([rng.choice([0, 1, 50, rng.randrange(3000), rng.randrange(3000)]) for _ in range(n)], [rng.choice([2, 4, 5, 6]) for _ in range(n)])
+    groups["none"] = ([0, 0], [2, 2])
+    rows = [(g, k, w, c) for g, (wants, weights) in groups.items() for k, (w, c) in enumerate(zip(wants, weights, strict=True))]
+    items = spark.createDataFrame(rows, "g string, k long, want long, w long")
+    fair, weighted = {}, {}
+    for r in allocate.fair_allocation(items, ["g"], "k", "want", 5386).collect():
+        fair.setdefault(r["g"], {})[r["k"]] = r["granted"]
+    for r in allocate.weighted_allocation(items, ["g"], "k", "want", "w", 5386).collect():
+        weighted.setdefault(r["g"], {})[r["k"]] = r["granted"]
+    for g, (wants, weights) in groups.items():
+        assert [fair[g][k] for k in range(len(wants))] == plain_fair(wants, 5386), g
+        assert [weighted[g][k] for k in range(len(wants))] == plain_weighted(wants, weights, 5386), g
+
+
+def test_running_totals_of_a_hot_group(spark):
+    rows = [("hot", k, k % 7) for k in range(5000)] + [(None, 1, 5), (None, 2, 6)]
+    made = running_totals(spark.createDataFrame(rows, "g string, k long, n long").repartition(6), ["g"], [F.col("k")], {"upto": F.col("n"), "ord": F.lit(1)})
+    got = {(r["g"], r["k"]): (r["upto"], r["ord"]) for r in made.collect()}
+    want, total = {(None, 1): (5, 1), (None, 2): (11, 2)}, 0
+    for k in range(5000):
+        total += k % 7
+        want["hot", k] = (total, k + 1)
+    assert got == want
+
+
+def test_scanners():
+    assert scan.split_top("a, b(c, d), 'x,y', {e, f}") == ["a", "b(c, d)", "'x,y'", "{e, f}"]
+    assert scan.split_top("Map<String, List<X>> a, int b", angles=True) == ["Map<String, List<X>> a", "int b"]
+    values = {"B": "'/api'", "P": "`${B}/x`", "L": "L", "M": "N", "N": "M + '/z'", "O.q": "B + '/q'"}.get
+    resolved = {"`${P}/${order.id}`": "/api/x/{id}", "O.q": "/api/q", "L": None, "N": "{M}/z", "env.x ?? P": "/api/x", "B + '/' + id": "/api/{id}", "a ? '/x/1' : '/x/2'": "/x/{choice}", "(('/k'))": "/k", "foo()": None}
+    assert {e: scan.resolve_path(e, values) for e in resolved} == resolved
+    text = "class A { public int f(int a) throws X { if (a) { g('}'); } return 1; } private void h() { } }"
+    assert [(n, text[a:b]) for n, a, b in scan.java_methods(text)] == [("f", text[10:71]), ("h", text[72:92])]
+    script = "const load = async (id) => { return api.get(`/x/${id}`); }\nexport function Foo({a}) { return 1 }\nconst X = '/y';\n"
+    spans = {n: script[slice(*scan.declaration(script, n))] for n in ("load", "Foo", "X")}
+    assert spans == {"load": script.split("\n")[0], "Foo": script.split("\n")[1], "X": script.split("\n")[2]}
+    assert scan.declaration(script, "absent") is None and scan.close_of("(a", 0) == 2
+
+
+def test_sources_and_sinks_of_documents(spark, tmp_path):
+    assert source.read_optional_text(spark, str(tmp_path / "none.txt")).first()["value"] == ""
+    (tmp_path / "some.txt").write_text("a\nb")
+    assert source.read_optional_text(spark, str(tmp_path / "some.txt")).first()["value"] == "a\nb"
+    with pytest.raises(FileNotFoundError, match="JSONL_NOT_FOUND"):
+        source.read_required_jsonl(spark, str(tmp_path / "none.jsonl"), StructType().add("a", "long"))
+    paths = ["src/a.java", "../a", "/etc/x", "a/./b", "C:\\x", "ok\\b.ts", "a/..b"]
+    kept = source.contained(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["path"] for r in kept.collect()} == {"src/a.java", "ok\\b.ts", "a/..b"}
+    for k in range(2):
+        source.append_audit(spark.createDataFrame([(k, "password=hunter2 " + "x" * 5000)], "k long, error string"), str(tmp_path / "audit"))
+    audit = spark.read.json(str(tmp_path / "audit")).collect()
+    assert {r["k"] for r in audit} == {0, 1} and all(len(r["error"]) == 4000 and "hunter2" not in r["error"] for r in audit)
+    source.write_markdown(spark.createDataFrame([("one", "## Body")], "name string, body string"), str(tmp_path / "md"), "T", "repo", "main")
+    lines = "".join((next((tmp_path / "md" / "name=one").glob("*.txt"))).read_text())
+    assert lines.startswith("# T\n") and "- Branch: main" in lines and lines.rstrip().endswith("## Body")
+    source.write_json_documents(spark.createDataFrame([(1, None)], "a long, b string"), str(tmp_path / "json"))
+    assert "".join(f.read_text() for f in (tmp_path / "json").glob("*.txt")).strip() == '{\n  "a" : 1\n}'
+    source.commit_manifest(spark, str(tmp_path / "tables"), {"t": spark.range(3).toDF("k")})
+    assert spark.read.json(str(tmp_path / "tables/_manifest")).first()["n_rows"] == 3
 
 
 def test_cache_bounds_what_is_computed(spark):
