@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from cairn.llm.hashing import mix, words
 from cairn.llm.tasks import id_and_text, map_columns, slices
 from cairn.plans.components import connected_components
-from cairn.plans.durable import materialize
+from cairn.plans.durable import materialize, measured
 
 #: The least similarity is 4/5; the bounds above hold for it alone.
 SHARE, OF = 4, 5
@@ -341,9 +341,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     inside = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(inside.join(nodes.select("node", "id"), "node"), "wanted")
-    sets = materialize(fetch_sets(docs, wanted, id_col, text_col, n, collided), "grams")
-    if sets.count() > wanted.count():  # rows that repeat identifier and text
+    wanted, asked = measured(inside.join(nodes.select("node", "id"), "node"), "wanted")
+    sets, got = measured(fetch_sets(docs, wanted, id_col, text_col, n, collided), "grams")
+    if got["n"] > asked["n"]:  # rows that repeat identifier and text
         sets = sets.dropDuplicates(["node"])
     left = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     right = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
@@ -386,8 +386,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         first = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
         for some in (first, None):
             if some is None:
-                some = materialize(apart(pairs.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
-                if not some.limit(1).count():
+                some, left = measured(apart(pairs.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+                if not left["n"]:
                     break
             links = materialize(links.union(verified(some, nodes, docs, id_col, text_col, n, collided)), "links")
             parts = materialize(connected_components(links), "parts")
@@ -401,8 +401,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leads = open_.groupBy("sig").agg((F.min("lead") == F.max("lead")).alias("one"), F.count(F.lit(1)).alias("m")).where("m > 1 or not one")
     ends = F.when(F.col("one"), F.array("node")).otherwise(F.array("lead", "node"))
     members = open_.join(leads, "sig").select(F.explode(ends).alias("node")).distinct()
-    members = materialize(members.join(nodes.select("node", "id"), "node"), "open")
-    if members.limit(1).count():
+    members, opened = measured(members.join(nodes.select("node", "id"), "node"), "open")
+    if opened["n"]:
         rare = materialize(rare_elements(docs, members, id_col, text_col, n, collided), "rare")
         placed = rare.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("grams").alias("pos", "gram"))
         mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
@@ -416,8 +416,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         across = x.join(y, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
-        across = materialize(across, "across")
-        if across.limit(1).count():
+        across, met = measured(across, "across")
+        if met["n"]:
             links, parts = extend(links, parts, across)
     named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -76,8 +76,8 @@ def test_copies(docs_of, items):
         size[t] += 1
         largest[t] = max((x for x in (largest.get(t), i) if x is not None), default=None)
     want = Counter((i, largest[t or ""], size[t or ""], i == largest[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in items)
-    for runs, fan_in in ((256, 16), (7, 2), (1, 4)):
-        assert Counter(tuple(r) for r in exact_dedup.find_copies(docs_of(items), runs=runs, fan_in=fan_in).collect()) == want
+    for parts, fan_in in ((13, 2), (7, 3), (1, 2)):
+        assert Counter(tuple(r) for r in exact_dedup.find_copies(docs_of(items).repartition(parts), fan_in=fan_in).collect()) == want
 
 
 def test_dropping_copies_leaves_one_row_a_text(docs_of, items):
