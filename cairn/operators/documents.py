@@ -17,6 +17,10 @@ PLACEHOLDER = r"(?i)\A\s*(tbd|todo|n/?a|none|-|\.\.\.)?\s*\z"
 NOT_VISIBLE = r"(?i)(not visible|not available|could not be determined|unknown)"
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"\A\s+|\s+\z", "")
+
+
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ord, heading, name, body) of the ## sections; what stands before the first one has no heading."""
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?m)^(?=##\s)")
@@ -126,7 +130,7 @@ def repair_groups(targets: DataFrame, canonical: list[str], per_request: int, id
 
 def canonical_repairs(repairs: DataFrame, targets: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, name, body, missing): each target section (id, name) with the distinct bodies that a repair gave it, in order."""
-    some = repairs.where(F.trim("body") != "").groupBy(id_col, "name", F.trim("body").alias("body")).agg(F.min("ord").alias("ord"))
+    some = repairs.withColumn("body", _stripped(F.col("body"))).where("body <> ''").groupBy(id_col, "name", "body").agg(F.min("ord").alias("ord"))
     bodies = some.groupBy(id_col, "name").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", "body")))["body"], "\n\n").alias("body"))
     return targets.select(id_col, "name").distinct().join(bodies, [id_col, "name"], "left").withColumn("missing", F.col("body").isNull())
 
@@ -135,7 +139,7 @@ def canonical_document(rows: DataFrame, canonical: list[str], warnings: DataFram
     """(id, place, heading, body): every canonical section of each document, a placeholder where it has none; warnings (id, warning) end the last one."""
     merged = merged_sections(rows, id_col)
     out = _expected(merged, canonical, id_col).join(merged.select(id_col, "name", "body"), [id_col, "name"], "left")
-    body = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", F.lit(placeholder)).otherwise(F.trim("body"))
+    body = F.coalesce(F.nullif(_stripped(F.col("body")), F.lit("")), F.lit(placeholder))
     out = out.withColumn("body", body)
     if warnings is not None:
         text = F.left(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- "), "warning"))), "\n"), F.lit(most))

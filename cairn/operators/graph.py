@@ -67,3 +67,9 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, type, n) of both tables."""
     count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
     return count(nodes, "node").unionByName(count(edges, "edge"))
+
+
+def graph_density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: n_nodes, n_edges and edges per node, null without nodes."""
+    n, e = nodes.agg(F.count(F.lit(1)).alias("n_nodes")), edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    return n.join(e).select("n_nodes", "n_edges", F.when(F.col("n_nodes") > 0, F.col("n_edges") / F.col("n_nodes")).alias("density"))  # one row each

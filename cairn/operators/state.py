@@ -93,7 +93,7 @@ def pipeline_freshness(expected: DataFrame, files: DataFrame) -> tuple[DataFrame
     problem = F.when(missing, F.concat(F.lit("missing-"), "role")).when(stale, "stale-derived")
     severity = F.when(missing & (F.col("role") == "base"), "high").when(missing, "medium").otherwise("low")
     found = j.join(F.broadcast(newest)).select("name", "role", problem.alias("problem"), severity.alias("severity")).where("problem is not null")  # one row
-    ready = found.agg(F.count_if("problem = 'missing-base'").alias("bases"), F.count_if("role = 'derived'").alias("derived"))
+    ready = found.agg(F.count_if(F.col("problem") == "missing-base").alias("bases"), F.count_if(F.col("role") == "derived").alias("derived"))
     return found.select("name", "problem", "severity"), ready.select(((F.col("bases") == 0) & (F.col("derived") > 0)).alias("rebuild"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cairn.registered import columns, flowing, packing, sources
+from cairn.registered import columns, flowing, packing, sources, writing
 
-MODULES = [columns, sources, flowing, packing]
+MODULES = [columns, sources, flowing, packing, writing]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
