@@ -33,7 +33,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(documents(spark, sf_dir))
+    return katz.katz_scores(documents(spark, sf_dir), stored=True)
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:

@@ -87,20 +87,69 @@ def test_base_scores(docs_of, items):
     assert katz.katz_scores(docs_of([])).collect() == []
 
 
-def test_probabilities_after_any_history_sum_to_one(docs_of, items):
-    rows = katz.in_blocks(docs_of(items), "doc_id", "text")
-    unigrams = katz.store(katz.block_words(rows).groupBy("word").agg(F.sum("n").alias("n")), "unigrams", "word")
-    v = katz.Vocabulary(unigrams)
-    pairs = katz.class_pairs(rows, v)
-    d, shares = katz.discounts(katz._counts_of_counts(pairs)), v.class_shares(unigrams)
-    matrix = katz.pair_matrix(pairs, katz.backoff_weights(pairs, shares, d, v.classes), shares, d, v.classes)
-    some = np.flatnonzero(shares)
-    assert np.allclose((10.0 ** matrix[:, some]).sum(axis=1), 1, atol=1e-4)
-    table = unigrams.where("n > 0").toPandas()
-    word, n = table["word"].to_numpy(), table["n"].to_numpy()
-    inside = np.bincount(v.class_of(word, n), weights=v.probability(n), minlength=v.classes + 1)
-    held = inside > 0
-    assert np.allclose(inside[held] / inside[held].sum(), shares[held] / shares[held].sum(), rtol=1e-6)
+class DictionaryKatz:
+    """The model with dictionaries: good for a few hundred texts."""
+
+    def __init__(self, texts, upto=5):
+        self.one, self.two, self.context = Counter(), Counter(), Counter()
+        for text in texts:
+            before = "<s>"
+            for w in [*words(text), None]:
+                self.one[w] += 1
+                self.two[before, w] += 1
+                self.context[before] += 1
+                before = w
+        self.d1, self.d2 = self.factors(self.one, upto), self.factors(self.two, upto)
+        self.n = sum(self.one.values())
+        self.unknown = 1 - sum(self.d1(c) * c for c in self.one.values()) / self.n if self.n else 1.0
+        self.after = defaultdict(list)
+        for before, w in self.two:
+            self.after[before].append(w)
+        self.alpha = {}
+        for before, seen in self.after.items():
+            kept = sum(self.d2(self.two[before, w]) * self.two[before, w] for w in seen)
+            self.alpha[before] = (1 - kept / self.context[before]) / (1 - sum(self.unigram(w) for w in seen))
+
+    @staticmethod
+    def factors(counts, upto):
+        of = Counter(counts.values())
+        d = [0.0] * (upto + 1)
+        common = (upto + 1) * of[upto + 1] / of[1] if of[1] else 1.0
+        for r in range(1, upto + 1):
+            good = (r + 1) * of[r + 1] / (r * of[r]) if of[r] else 1.0
+            value = (good - common) / (1 - common) if common < 1 else 0.0
+            d[r] = value if 0 < value < 1 else (r - 0.5) / r
+        return lambda c: d[c] if c <= upto else 1 - 1e-6
+
+    def unigram(self, w):
+        return self.d1(self.one[w]) * self.one[w] / self.n if self.one[w] else self.unknown
+
+    def probability(self, w, before):
+        c = self.two[before, w]
+        return self.d2(c) * c / self.context[before] if c else self.alpha.get(before, 1.0) * self.unigram(w)
+
+    def score(self, text):
+        tokens = [*words(text), None]
+        return sum(math.log10(self.probability(w, before)) for w, before in zip(tokens, ["<s>", *tokens], strict=False))
+
+
+def test_katz_scores_are_those_of_a_dictionary_model(spark, docs_of, items):
+    stored = spark.read.parquet(f"{SF}/documents.parquet")
+    for docs, few in ((docs_of(items), True), (docs_of([r for r in items if r[0] == 70]), True), (stored.where("doc_id < 400"), False)):
+        rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        model = DictionaryKatz([t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10])
+        got = sorted((str(r["doc_id"]), r["score"]) for r in katz.katz_scores(docs, stored=not few, block_bytes=1 << 24).collect())
+        want = sorted((str(i), model.score(t)) for i, t in rows)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6)
+        for before in ["<s>", "never seen", *list(model.context)[:40]]:
+            assert math.isclose(sum(model.probability(w, before) for w in model.one) + model.probability("\0", before), 1, rel_tol=1e-9)
+
+
+def test_katz_of_texts_that_are_all_held_out(docs_of):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = katz.katz_scores(docs_of([(i, t, "a") for i, t in zip(held, ["a b", None, ""], strict=True)])).collect()
+    assert {(r["doc_id"], r["score"], r["n_known"], r["train_tokens"]) for r in got} == {(i, 0.0, 0, 0) for i in held}
 
 
 def test_katz_beats_the_base_on_held_out_texts(spark):
