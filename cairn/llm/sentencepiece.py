@@ -8,8 +8,9 @@ position; a fold over the end positions keeps, for all pre-tokens at once, the
 best edge into each (Viterbi; at equal sums the longer piece). Texts look
 their pre-tokens up. Decoding joins the ids back to the pieces' bytes.
 
-:func:`encode_words` is the same lattice over Spark rows, with the fold as a
-higher-order ``aggregate``. The query doesn't run on it; the README says why.
+:func:`encode_relational` is the same over Spark rows from end to end, with
+:func:`encode_words` as its lattice and the fold as a higher-order
+``aggregate``. The query doesn't run on it; the README says why, with figures.
 
 Nulls and edges: a null or empty text has no ids and decodes to itself. A
 character outside the vocabulary becomes the byte pieces of its UTF-8 form. A
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import words as split_words
-from cairn.llm.pieces import Pieces, check_cuts, load, pre_tokens
+from cairn.llm.pieces import PRE_TOKEN, SPACE, Pieces, check_cuts, load, pre_tokens
 from cairn.llm.tasks import id_and_text, map_columns, slices
+from cairn.plans.durable import materialize
 
 #: What a substring is to the piece table, if not the row of a piece.
 PREFIX, ABSENT = -1, -2
@@ -75,9 +77,10 @@ class Lattice:
         self.score = np.array([pieces.score[p][1] for p in items])[order]
         self._fill(np.unique(_hashes(sorted({p[:n] for p in items for n in range(1, len(p) + 1)}))))
         self.byte_id = np.array(pieces.byte_id, np.int64)
-        sizes = np.array([len(t) for t in pieces.text], np.int64)
+        texts = [*pieces.text, "\ufffd".encode()]  # the last one stands for ids outside the vocabulary
+        sizes = np.array([len(t) for t in texts], np.int64)
         self.text_at, self.text_size = np.cumsum(sizes) - sizes, sizes
-        self.text = np.frombuffer(b"".join(pieces.text), np.uint8)
+        self.text = np.frombuffer(b"".join(texts), np.uint8)
 
     def _fill(self, prefixes: np.ndarray) -> None:
         """The join's build side: an open-addressed table from a hash to its piece's row, PREFIX or ABSENT."""
@@ -195,6 +198,8 @@ class Lattice:
         return out, np.diff(at[np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)])
 
     def decode(self, ids: np.ndarray) -> bytes:
+        last = len(self.text_at) - 1
+        ids = np.where((ids >= 0) & (ids < last), ids, last)
         return _gather(self.text, self.text_at[ids], self.text_size[ids]).tobytes()
 
 
@@ -224,7 +229,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of rows of ids; null ids decode to the empty text, bytes that are not UTF-8 to U+FFFD."""
+    """(id, text) of rows of ids; a null list decodes to the empty text, bytes that are not UTF-8 and ids outside the vocabulary to U+FFFD."""
     shared = encoded.sparkSession.sparkContext.broadcast(Lattice(load(model_path)))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -235,6 +240,23 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return map_columns(rows, ["id"], "text string", run).withColumnRenamed("id", id_col)
 
 
+def encode_relational(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids), one row per input row, by table operations alone: texts explode to pre-tokens, whose distinct forms
+    :func:`encode_words` encodes, and which meet these by an equi-join and their text by its row number.
+
+    Every pre-token of the corpus passes two exchanges, several times the input; :func:`encode` encodes in the task instead.
+    """
+    normal = F.concat(F.lit(SPACE), F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(" "), F.lit(SPACE)))
+    cut = F.when(F.coalesce(F.col(text_col), F.lit("")) != "", F.regexp_extract_all(normal, F.lit(PRE_TOKEN.pattern), F.lit(0)))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), cut.alias("words"))
+    rows = rows.select("id", "row", F.posexplode_outer("words").alias("pos", "word"))
+    rows = materialize(rows, "pretokens")
+    known = materialize(encode_words(rows.where("word is not null").select("word").distinct(), model_path), "encoded")
+    ids = F.flatten(F.array_sort(F.collect_list(F.struct("pos", "ids")))["ids"])  # a text's own pre-tokens
+    joined = rows.join(known, "word", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    return joined.groupBy("row", "id").agg(ids.alias("ids")).select(F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 def encode_words(words: DataFrame, model_path: str) -> DataFrame:
     """(word, ids) for distinct pre-tokens (word), relationally.
 

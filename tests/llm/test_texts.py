@@ -46,6 +46,24 @@ def test_decoding_gives_the_texts_back(docs_of):
     assert sentencepiece.encode(docs_of([]), PIECES).collect() == []
 
 
+def test_relational_encoding_has_the_same_weight(docs_of, items, table):
+    rows = [(k, t, "a") for k, t in enumerate(HARD) if len(t or "") < 600] + items[:12] + [(None, "a null id", "a"), (3, "a repeated id", "a")]
+    got = sentencepiece.encode_relational(docs_of(rows), PIECES).collect()
+    assert len(got) == len(rows) and all(r["n_tokens"] == len(r["ids"]) for r in got)
+    text = {}
+    for i, t, _ in rows:
+        text.setdefault(i, []).append(t)
+    for r in got:
+        options = {(weight(plain_ids(t, table), t, table)) for t in text[r["doc_id"]]}
+        assert round(sum({i: s for i, s in table.score.values()}.get(x, 0.0) for x in r["ids"]), 3) in options
+
+
+def test_ids_outside_the_vocabulary_decode_to_the_replacement_character(spark, table):
+    space = table.score["\u2581"][0]
+    rows = spark.createDataFrame([(1, [space, 10**6]), (2, [space, -5]), (3, None), (4, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in sentencepiece.decode(rows, PIECES).collect()} == {1: "\ufffd", 2: "\ufffd", 3: "", 4: ""}
+
+
 def test_lattice_of_rows_gives_the_same_paths(spark, table):
     words = sorted({w for t in HARD for w in pieces.pre_tokens(t or "") if len(w) < 60})
     rows = spark.createDataFrame([(w,) for w in words], "word string")
