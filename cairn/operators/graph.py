@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.select import first_wins
-from cairn.plans.durable import materialize
+from cairn.plans.durable import materialize, measured
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -22,10 +22,12 @@ def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame
     visited = frontier
     for depth in range(1, rounds + 1):
         found = frontier.join(edges, "node").select("source", F.col("next").alias("node")).distinct()
-        frontier = materialize(found.join(visited, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.limit(1).count() == 0:
+        frontier, met = measured(found.join(visited, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if not met["n"]:
             return visited
         visited = visited.unionByName(frontier)
+        if depth % 8 == 0:  # few tables to read, however deep the graph
+            visited = materialize(visited, "visited")
     raise RuntimeError(f"reachability goes deeper than {rounds} steps")
 
 

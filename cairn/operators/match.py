@@ -67,6 +67,24 @@ def two_tier_match(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     )
 
 
+def outbound_match(endpoints: DataFrame, outbound: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per outbound call, and one for each endpoint (source) that makes none.
+
+    ``outbound`` is (ord, source, method, path), ``targets`` (ord, method, path,
+    file). A target's file is known only where the target is the only one. An
+    endpoint's own path is never evidence for a target.
+    """
+    matched = two_tier_match(outbound, targets)
+    calls = outbound.select(F.col("ord").alias("call_ord"), "source")
+    files = targets.select(F.col("ord").alias("endpoint_ord"), "file")
+    found = matched.join(calls, "call_ord").join(files, "endpoint_ord", "left").withColumn("file", F.when(F.col("n_candidates") == 1, F.col("file")))
+    columns = ["source", "call_ord", "call", "endpoint_ord", "file", "confidence", "match_reason"]
+    silent = endpoints.select("source").distinct().join(calls.select("source").distinct(), "source", "left_anti")
+    none = [F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in columns[1:5]]
+    silent = silent.select("source", *none, F.lit("unmatched").alias("confidence"), F.lit("no outbound calls").alias("match_reason"))
+    return found.select(columns).unionByName(silent)
+
+
 def unresolved(matches: DataFrame) -> DataFrame:
     """Unmatched rows, and low ones for ambiguity."""
     low = (F.col("confidence") == "low") & F.col("match_reason").startswith("ambiguous")

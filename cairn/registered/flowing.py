@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.operators import extract, flows
-from cairn.queries import table
+from cairn.operators import extract, flows, match
+from cairn.oracles import _CALLS
+from cairn.queries import _calls_and_endpoints, table
 from cairn.registered.sources import _files, joined
 
 
@@ -113,6 +114,13 @@ def diagram_flows(spark, sf):
     return flows.diagram_flows(f, m, s, "o_custkey", 5)
 
 
+def outbound_match(spark, sf):
+    calls, ends = _calls_and_endpoints(spark, sf)
+    source = F.floor(F.col("ord") / 10).cast("bigint")
+    endpoints = calls.unionByName(ends).select((F.col("ord") % 40).alias("source"))
+    return match.outbound_match(endpoints, calls.withColumn("source", source), ends.withColumn("file", F.concat(F.lit("f"), "ord")))
+
+
 def first_items(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return flows.first_items(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "event_id", 3)
@@ -135,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         service_flow_resolution, first_of_either, tiered_lookup, repository_entities, containing_names, containing_everything, page_slices, evidence_files,
-        uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, first_items, selected_indexes, locale_order,
+        uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, outbound_match, first_items, selected_indexes, locale_order,
     )
 }
 
@@ -170,6 +178,8 @@ ORACLE_SQL = {
     "diagram_flows": """WITH f AS (SELECT DISTINCT o_custkey, concat_ws(' > ', 'GET /' || o_orderpriority, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'Abe' WHEN 'O' THEN 'Cat' END,
           CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'orders' WHEN 'P' THEN 'parts' END END) AS steps FROM orders)
         SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY steps) AS ord, steps FROM f QUALIFY ord <= 5""",
+    "outbound_match": f"""WITH {_CALLS}, o AS (SELECT CAST(floor(call_ord / 10) AS BIGINT) AS source, call_ord, call, endpoint_ord, CASE WHEN n_candidates = 1 THEN 'f' || endpoint_ord END AS file, confidence, match_reason FROM matched)
+        SELECT * FROM o UNION ALL SELECT source, NULL, NULL, NULL, NULL, 'unmatched', 'no outbound calls' FROM (SELECT DISTINCT page_id % 40 AS source FROM pages) WHERE source NOT IN (SELECT source FROM o)""",
     "first_items": """WITH b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
         SELECT user_id, event_id, event_type FROM events e WHERE event_type = 'purchase' OR (event_type = 'view' AND user_id NOT IN (SELECT user_id FROM b))
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3""",
