@@ -57,3 +57,31 @@ def test_allocations_keep_all_documents_of_a_large_source(spark):
         rows = QUERIES[name](spark, large).collect()
         assert sorted(r["doc_id"] for r in rows) == want
         assert all(0 <= r["granted"] <= r["n_chars"] for r in rows)
+
+
+def test_blocks_and_splits_keep_the_text(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    blocks: dict = {}
+    for r in QUERIES["blocks_within"](spark, SF).orderBy("doc_id", "piece").collect():
+        assert len(r["text"]) <= 700
+        blocks[r["doc_id"]] = blocks.get(r["doc_id"], "") + r["text"]
+    assert blocks == texts
+    parts: dict = {}
+    for r in QUERIES["adaptive_split"](spark, SF).collect():
+        parts.setdefault(r["doc_id"], []).append((r["path"], r["n"]))
+    assert set(parts) == set(texts)
+    for k, found in parts.items():
+        assert sum(n for _, n in found) >= len(texts[k]) and sum(n for _, n in found) <= len(texts[k]) + 200 * (len(found) - 1)
+        assert len(found) == 1 or all(n >= 1000 for _, n in found)
+        assert len(texts[k]) > 3000 or found == [("", len(texts[k]))]
+
+
+def test_balanced_contexts_stay_within_their_budget(spark):
+    size = {r["doc_id"]: len(r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    total: dict = {}
+    for r in QUERIES["balanced_context"](spark, SF).collect():
+        assert (r["n_sent"] is None) == (r["selection"] not in ("included", "truncated"))
+        assert r["n_sent"] is None or r["n_sent"] <= size[r["doc_id"]]
+        assert r["selection"] != "included" or r["n_sent"] == size[r["doc_id"]]
+        total[r["source"]] = total.get(r["source"], 0) + (r["n_sent"] or 0)
+    assert all(n <= 24_000 for n in total.values())
