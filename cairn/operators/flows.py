@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.labels import plain_label
+from cairn.functions.labels import page_context, plain_label
 from cairn.functions.text import alnum_name, last_segment, stem_name
 from cairn.operators.graph import reachable
-from cairn.operators.select import top_k
+from cairn.operators.match import flow_confidence
+from cairn.operators.select import first_wins, messages, top_k
 
 GRAM = 3
 
@@ -132,6 +133,32 @@ def uncertainty_notes(records: DataFrame, by: str) -> DataFrame:
     return low.select(by, F.concat_ws("", F.col("role"), F.lit(": "), F.col("subject"), F.lit(" has "), F.coalesce("confidence", F.lit("medium")), F.lit(" confidence.")).alias("note")).distinct()
 
 
+def page_flows(calls: DataFrame, targets: DataFrame, routes: DataFrame, service_flows: DataFrame) -> DataFrame:
+    """One row per call: ord, page, flow_type, route, call, bff_endpoint, be_endpoint, flow_ord, uncertainties, confidence.
+
+    ``calls`` (ord, file, call, function, bff_endpoint, confidence) meet the
+    first of ``targets`` (ord, bff_endpoint, be_endpoint, controller, handler,
+    confidence) with their endpoint, the first of ``routes`` (ord, component,
+    route) whose component equals, contains or stands in the page's name, and
+    the service flow (flow_ord, endpoint, controller, handler) that
+    :func:`resolved_flow` finds. What is missing or ambiguous is said, and makes the flow partial.
+    """
+    context = page_context("file", "call", "function")
+    named = calls.withColumns({"page": context["page"], "flow_type": context["flow_type"]})
+    target = first_wins(targets, ["bff_endpoint"], "ord").drop("ord").withColumnRenamed("confidence", "__be")
+    near = matching_pages(routes.select(F.col("ord").alias("record"), F.col("component").alias("name")), named.select("page", F.col("page").alias("needle")).distinct())
+    first = near.groupBy("page").agg(F.min("record").alias("record")).join(routes.select(F.col("ord").alias("record"), "route"), "record").drop("record")
+    joined = named.join(target, "bff_endpoint", "left").join(first, "page", "left")
+    flow = resolved_flow(joined.select(F.col("ord").alias("match_ord"), F.col("be_endpoint").alias("endpoint"), "controller", "handler"), service_flows)
+    out = joined.join(flow.withColumnRenamed("match_ord", "ord"), "ord")
+    notes = messages(
+        (F.col("bff_endpoint").isNull(), "no endpoint of the call"), (F.col("be_endpoint").isNull(), "no backend endpoint"),
+        (F.col("be_endpoint").isNotNull() & F.col("ambiguous"), "several service flows"), (F.col("page") == "UnknownPage", "page unknown"),
+    )
+    sure = flow_confidence(F.col("confidence"), F.col("__be"), F.lit(None).cast("string"), F.size("uncertainties") > 0)
+    return out.withColumn("uncertainties", notes).select("ord", "page", "flow_type", "route", "call", "bff_endpoint", "be_endpoint", "flow_ord", "uncertainties", sure.alias("confidence"))
+
+
 # Service flows -------------------------------------------------------------------------------
 
 

@@ -121,6 +121,18 @@ def outbound_match(spark, sf):
     return match.outbound_match(endpoints, calls.withColumn("source", source), ends.withColumn("file", F.concat(F.lit("f"), "ord")))
 
 
+def page_flows(spark, sf):
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    word = F.initcap(F.lower(F.regexp_extract("o_orderpriority", "([A-Z]+)$", 1)))
+    file = F.when(k % 3 > 0, F.concat(F.lit("src/pages/"), word, F.lit("Page.tsx")))
+    calls = o.select(k.alias("ord"), file.alias("file"), F.concat(F.lit("GET /"), "o_orderstatus").alias("call"), F.when(k % 2 == 0, "refreshAll").alias("function"), F.nullif(F.col("o_orderstatus"), F.when(k % 5 == 0, "O")).alias("bff_endpoint"), F.when(k % 7 == 0, "medium").otherwise("high").alias("confidence"))
+    targets = spark.createDataFrame([(2, "F", "GET /zz", "Q", "q", "low"), (1, "F", "GET /be/f", "A", "x", "high"), (1, "O", "GET /be/o", "B", "y", "high")], "ord int, bff_endpoint string, be_endpoint string, controller string, handler string, confidence string")
+    routes = spark.createDataFrame([(1, "UrgentPage", "/u"), (2, "Page", "/p")], "ord int, component string, route string")
+    known = spark.createDataFrame([(1, "GET /be/f", "A", "x"), (2, "GET /be/o", "C", "y"), (3, "GET /be/o", "D", "z")], "flow_ord int, endpoint string, controller string, handler string")
+    return flows.page_flows(calls, targets, routes, known).withColumn("uncertainties", joined("uncertainties"))
+
+
 def first_items(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return flows.first_items(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id", "event_id", 3)
@@ -143,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         service_flow_resolution, first_of_either, tiered_lookup, repository_entities, containing_names, containing_everything, page_slices, evidence_files,
-        uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, outbound_match, first_items, selected_indexes, locale_order,
+        uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, outbound_match, page_flows, first_items, selected_indexes, locale_order,
     )
 }
 
@@ -180,6 +192,12 @@ ORACLE_SQL = {
         SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY steps) AS ord, steps FROM f QUALIFY ord <= 5""",
     "outbound_match": f"""WITH {_CALLS}, o AS (SELECT CAST(floor(call_ord / 10) AS BIGINT) AS source, call_ord, call, endpoint_ord, CASE WHEN n_candidates = 1 THEN 'f' || endpoint_ord END AS file, confidence, match_reason FROM matched)
         SELECT * FROM o UNION ALL SELECT source, NULL, NULL, NULL, NULL, 'unmatched', 'no outbound calls' FROM (SELECT DISTINCT page_id % 40 AS source FROM pages) WHERE source NOT IN (SELECT source FROM o)""",
+    "page_flows": r"""WITH c AS (SELECT o_orderkey AS ord, o_orderkey % 3 > 0 AS named, o_orderkey % 2 = 0 AS refresh, upper(left(regexp_extract(o_orderpriority, '([A-Z]+)$', 1), 1)) || lower(substr(regexp_extract(o_orderpriority, '([A-Z]+)$', 1), 2)) || 'Page' AS p,
+          'GET /' || o_orderstatus AS call, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS bff_endpoint, o_orderkey % 7 > 0 AS high FROM orders),
+        d AS (SELECT *, CASE WHEN named THEN p WHEN refresh THEN 'SessionBackground' ELSE 'UnknownPage' END AS page, CASE bff_endpoint WHEN 'F' THEN 'GET /be/f' WHEN 'O' THEN 'GET /be/o' END AS be FROM c),
+        n AS (SELECT *, concat_ws(',', CASE WHEN bff_endpoint IS NULL THEN 'no endpoint of the call' END, CASE WHEN be IS NULL THEN 'no backend endpoint' END, CASE WHEN be = 'GET /be/o' THEN 'several service flows' END, CASE WHEN page = 'UnknownPage' THEN 'page unknown' END) AS notes FROM d)
+        SELECT ord, page, CASE page WHEN 'SessionBackground' THEN 'session-background' ELSE 'page' END AS flow_type, CASE page WHEN 'UrgentPage' THEN '/u' WHEN 'SessionBackground' THEN NULL ELSE '/p' END AS route, call, bff_endpoint,
+          be AS be_endpoint, CASE WHEN be = 'GET /be/f' THEN 1 END AS flow_ord, notes AS uncertainties, CASE WHEN notes <> '' THEN 'partial' WHEN high THEN 'high' ELSE 'medium' END AS confidence FROM n""",
     "first_items": """WITH b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
         SELECT user_id, event_id, event_type FROM events e WHERE event_type = 'purchase' OR (event_type = 'view' AND user_id NOT IN (SELECT user_id FROM b))
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3""",
