@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.functions.text import mask_secrets, source_layout
+from cairn.operators.select import scan_violations
 
 #: Directories that a scan never reads, and its inclusive limits.
 IGNORED = [".git", ".gradle", ".idea", ".mvn", "bin", "build", "dist", "node_modules", "out", "target"]
+UI_IGNORED = [".git", ".idea", ".vscode", ".ai-docs", "node_modules", "dist", "build", "coverage", "out", ".next", ".turbo"]
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 50_000, 5 << 20, 512 << 20
 
 BUILD_FILES = "pom.xml|build.gradle|build.gradle.kts|settings.gradle|settings.gradle.kts|package.json"
@@ -41,6 +43,27 @@ def scan_files(spark: SparkSession, root: str, ignored: list[str] | None = None)
     )
 
 
+def spring_relevant(path: Column) -> Column:
+    """Build files, Java sources, and the application's and bootstrap's settings."""
+    settings = r"(?i)(\A|/)src/main/resources/(?:[^/]+/)*(application|bootstrap)(-[^/]+)?\.(properties|ya?ml)\z"
+    return path.rlike(rf"(?:\A|/)(?:{BUILD_FILES})\z") | path.rlike(r"(?i)(\A|/)src/(main|test)/java/.*\.java\z") | path.rlike(settings)
+
+
+def ui_relevant(path: Column) -> Column:
+    """Scripts, the package and the bundler's settings."""
+    return path.rlike(r"(?i)\.[tj]sx?\z") | path.rlike(r"(?i)(\A|/)(package\.json|(vite|webpack|next)\.config\.[^/]*)\z")
+
+
+def scan_repository(spark: SparkSession, root: str, user_interface: bool = False, limits: tuple[int, int, int] = (MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES)) -> DataFrame:
+    """The relevant text files of a repository in path order; an error names the first file beyond the limits on number, size and total."""
+    files = scan_files(spark, root, UI_IGNORED if user_interface else IGNORED)
+    files = files.where((ui_relevant if user_interface else spring_relevant)(F.col("path")))
+    broken = scan_violations(files.select(F.lit(0).alias("scan"), "path", "size"), ["scan"], *limits).first()
+    if broken:
+        raise ValueError(f"{broken['violation']}: {broken['path']}")
+    return files.orderBy("path")
+
+
 def build_tool() -> Column:
     """Aggregate over a scan's paths: Maven wins over Gradle."""
     maven, gradle = F.bool_or(F.col("path").rlike(r"(\A|/)pom\.xml\z")), F.bool_or(F.col("path").rlike(r"(\A|/)(build|settings)\.gradle(\.kts)?\z"))

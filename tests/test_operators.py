@@ -131,6 +131,20 @@ def test_scan_and_jsonl(spark, tmp_path):
         source.read_jsonl(spark, str(tmp_path / "ok.jsonl"), schema, ["b"]).collect()
 
 
+def test_repositories_are_scanned_within_their_limits(spark, tmp_path):
+    names = ["pom.xml", "src/main/java/a/B.java", "src/test/java/a/BTest.java", "other/C.java", "src/main/resources/application-dev.yml", "src/main/resources/data.yml", "target/src/main/java/X.java", "ui/App.tsx", "ui/vite.config.ts", "ui/coverage/x.js", "ui/package.json"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x" * len(n))
+    paths = lambda df: [r["path"] for r in df.collect()]
+    assert paths(source.scan_repository(spark, str(tmp_path))) == ["pom.xml", "src/main/java/a/B.java", "src/main/resources/application-dev.yml", "src/test/java/a/BTest.java", "ui/package.json"]
+    assert paths(source.scan_repository(spark, str(tmp_path), user_interface=True)) == ["ui/App.tsx", "ui/package.json", "ui/vite.config.ts"]
+    with pytest.raises(ValueError, match="file-count: ui/vite.config.ts"):
+        source.scan_repository(spark, str(tmp_path), True, (2, 100, 1000))
+    with pytest.raises(ValueError, match="file-size: src/main/resources/application-dev.yml"):
+        source.scan_repository(spark, str(tmp_path), limits=(10, 30, 1000))
+
+
 def test_reachability_in_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 5)], "a long, b long")
     seeds = spark.createDataFrame([(1, 1), (4, 4)], "source long, node long")
