@@ -381,19 +381,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .where("ca <> cb")
         )
 
-    def extend(links: DataFrame, parts: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Verifies each node's likeliest pair first, then only those whose ends that leaves apart."""
+    def extend(parts: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components with the pairs that link: each node's likeliest pair first, then only those whose ends that leaves apart.
+
+        Known components take part as stars, so that few rounds settle new links.
+        """
         first = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
         for some in (first, None):
             if some is None:
                 some, left = measured(apart(pairs.select("a", "b"), parts).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
                 if not left["n"]:
                     break
-            links = materialize(links.union(verified(some, nodes, docs, id_col, text_col, n, collided)), "links")
+            links = verified(some, nodes, docs, id_col, text_col, n, collided)
+            if parts is not None:
+                links = links.union(parts.select("node", "component"))
             parts = materialize(connected_components(links), "parts")
-        return links, parts
+        return parts
 
-    links, parts = extend(near.select("a", "b").limit(0), None, near)
+    parts = extend(None, near)
     # signatures whose members are still apart
     failed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("node").alias("b")), parts).select("sig").distinct()
     open_ = shared.join(failed, "sig", "left_semi")
@@ -418,7 +423,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
         across, met = measured(across, "across")
         if met["n"]:
-            links, parts = extend(links, parts, across)
+            parts = extend(parts, across)
     named = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").select("node", "component_id")
