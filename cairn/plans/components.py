@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.durable import materialize, measured
+from cairn.plans.durable import materialize, measured, scratch
 
 
 def _hang(neighbours: DataFrame) -> DataFrame:
@@ -27,13 +27,18 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Loops and repeated edges do no harm; edges with a null end are ignored; an
     empty table has no node.
     """
+    with scratch(edges.sparkSession):
+        return materialize(_stars(edges, rounds), "components", kept=True)
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+    """The settled stars, over tables that last as long as the caller's block."""
     current = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null")
         .where("u <> v")
         .distinct()
     )
-    nodes = None
     current = materialize(current, "edges")
     state = None
     for _ in range(rounds):

@@ -43,10 +43,32 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Paths written inside each open :func:`scratch` block, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when the block ends, except those that are ``kept``: they belong to the block around it."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    around = _SCRATCH[:-1] if kept else _SCRATCH
+    if around:
+        around[-1].append(path)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
