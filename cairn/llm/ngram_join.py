@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from cairn.llm.hashing import mix, words
 from cairn.llm.tasks import id_and_text, map_columns, slices
 from cairn.plans.components import connected_components
-from cairn.plans.durable import materialize, measured
+from cairn.plans.durable import materialize, measured, scratch
 
 #: The least similarity is 4/5; the bounds above hold for it alone.
 SHARE, OF = 4, 5
@@ -351,7 +351,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id."""
+    """One row per input row: id, n_shingles, component_id. What is written on the way goes once the answer is written."""
+    with scratch(docs.sparkSession):
+        return materialize(_components(docs, id_col, text_col, n), "ngram-components", kept=True)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     rows = materialize(set_rows(docs, id_col, text_col, n), "sets")
     # about one pair of different sets in 10^19 has equal first digests
     clash = rows.where("n_shingles > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")
@@ -395,7 +400,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             links = verified(some, nodes, docs, id_col, text_col, n, collided)
             if parts is not None:
                 links = links.union(parts.select("node", "component"))
-            parts = materialize(connected_components(links), "parts")
+            parts = connected_components(links)
         return parts
 
     parts = extend(None, near)
