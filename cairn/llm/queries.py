@@ -7,11 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, katz, media, mixing, ngram_join, secrets, sentencepiece, surrogates, token_counts, toxicity
+from cairn.llm import byte_bpe, exact_dedup, katz, media, mixing, ngram_join, secrets, sentencepiece, spelling, surrogates, token_counts, toxicity, vector_codes
 
 
 #: The public tokenizers' folder is a parameter of the environment.
-PIECES = f"{os.environ.get('CAIRN_TOKENIZERS', '/opt/tokenizers')}/piece_bpe_32k.model"
+TOKENIZERS = os.environ.get("CAIRN_TOKENIZERS", "/opt/tokenizers")
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.encode_media(documents(spark, sf_dir)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = BYTE_RANKS) -> DataFrame:
+    return byte_bpe.token_digests(documents(spark, sf_dir), ranks_path)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,10 +89,65 @@ QUERIES = {
         op8_exact_dedup,
         op9_toxicity,
         op10_media_columns,
+        op11_spelling_variants,
+        op12_byte_bpe,
+        op13_vector_codes,
     )
 }
 
 ORACLE_SQL = {
+    "op13_vector_codes": """
+        WITH kept AS MATERIALIZED (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS ints,
+                 row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pieces AS MATERIALIZED (
+          SELECT rid, vec_id, label, part, ints[part * (len(ints) // 16) + 1 : (part + 1) * (len(ints) // 16)] AS v
+          FROM kept, range(16) r(part)
+        ), book0 AS MATERIALIZED (
+          SELECT part, rid - 1 AS entry, v FROM pieces WHERE rid <= 64
+        ), near0 AS MATERIALIZED (
+          SELECT rid, vec_id, label, part, v, entry, distance
+          FROM (SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance
+                FROM pieces p JOIN book0 b USING (part))
+          QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY distance, entry) = 1
+        ), book1 AS MATERIALIZED (
+          SELECT part, entry, coalesce(m.v, o.v) AS v
+          FROM book0 o LEFT JOIN (
+            SELECT part, entry, list(mean ORDER BY k) AS v
+            FROM (SELECT part, entry, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean
+                  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS k FROM near0)
+                  GROUP BY part, entry, k)
+            GROUP BY part, entry
+          ) m USING (part, entry)
+        ), near1 AS MATERIALIZED (
+          SELECT rid, vec_id, label, part, v, entry, distance
+          FROM (SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance
+                FROM pieces p JOIN book1 b USING (part))
+          QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY distance, entry) = 1
+        ), book2 AS MATERIALIZED (
+          SELECT part, entry, coalesce(m.v, o.v) AS v
+          FROM book1 o LEFT JOIN (
+            SELECT part, entry, list(mean ORDER BY k) AS v
+            FROM (SELECT part, entry, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean
+                  FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS k FROM near1)
+                  GROUP BY part, entry, k)
+            GROUP BY part, entry
+          ) m USING (part, entry)
+        ), near2 AS MATERIALIZED (
+          SELECT rid, vec_id, label, part, v, entry, distance
+          FROM (SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance
+                FROM pieces p JOIN book2 b USING (part))
+          QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY distance, entry) = 1
+        ), coded AS (
+          SELECT rid, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(distance) AS BIGINT) AS error
+          FROM near2 GROUP BY rid, vec_id, label
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+        FROM coded
+    """,
     "op8_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
