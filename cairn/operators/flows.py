@@ -1,12 +1,13 @@
 """Flows through the layers: lookups that may be ambiguous, containment joins, service flows, evidence, diagrams.
 
-Names that have to contain one another meet by their first three characters,
-so that a containment join is an equi-join and no nested loop.
+Names that have to contain one another meet by the rarest three characters of
+the one that is contained, so that a containment join is an equi-join and no
+nested loop, also where all names begin alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.labels import page_context, plain_label
@@ -14,6 +15,7 @@ from cairn.functions.text import alnum_name, last_segment, stem_name
 from cairn.operators.graph import reachable
 from cairn.operators.match import flow_confidence
 from cairn.operators.select import first_wins, messages, top_k
+from cairn.plans.running import numbered
 
 GRAM = 3
 
@@ -68,29 +70,39 @@ def entity_of(repositories: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def _grams(name: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, F.lit(n))))
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, F.lit(n))))
+    return F.when(F.length(name) >= n, cut).otherwise(F.array().cast("array<string>"))
 
 
-def containing(names: DataFrame, needles: DataFrame, strict: bool = True) -> DataFrame:
-    """(names..., needles...) where the name contains the needle, by equi-joins on the needle's first characters.
+def containing(names: DataFrame, needles: DataFrame, strict: bool = True, share: int = 10_000) -> DataFrame:
+    """(names..., needles...) where the name contains the needle, by an equi-join on the needle's rarest gram.
 
-    ``names`` has a column ``name``, ``needles`` one ``needle``. Needles of less
-    than three characters are their own anchors. An empty needle is in every
-    name only if not ``strict``.
+    ``names`` has a column ``name``, ``needles`` one ``needle``. It is counted
+    first how many different names hold each gram of a needle; the needle then
+    looks only at the names with its rarest one, and needles with a gram that
+    no name has look at none. Needles of less than three characters are their
+    own grams. A gram that more than ``share`` names hold is salted: its names
+    are dealt over parts, each of which its needles visit. An empty needle is
+    in every name only if not ``strict``; nulls contain nothing.
     """
-    anchor = F.left("needle", F.lit(GRAM))
-    asked = needles.withColumn("__anchor", anchor)
-    wide = F.when(F.length("name") >= GRAM, _grams(F.col("name"), GRAM)).otherwise(F.array().cast("array<string>"))
-    short = asked.where(F.length("needle") < GRAM)
-    held = names.withColumn("__anchor", F.explode(wide)).join(asked.where(F.length("needle") >= GRAM), "__anchor").where(F.col("name").contains(F.col("needle")))
-    for n in range(1, GRAM):
-        few = names.where(F.length("name") >= n).withColumn("__anchor", F.explode(_grams(F.col("name"), n)))
-        held = held.unionByName(few.join(short.where(F.length("needle") == n), "__anchor"))
-    held = held.drop("__anchor")
+    asked = needles.select("needle").where("needle <> ''").distinct()
+    wide = F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
+    asked = asked.select("needle", F.explode(wide).alias("gram"))
+    every = F.concat(*[_grams(F.col("name"), n) for n in range(1, GRAM + 1)])
+    held = names.select("name").where("name <> ''").distinct().select("name", F.explode(every).alias("gram"))
+    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
+    counted = asked.join(holders, "gram", "left").select("needle", F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram").alias("g"))
+    rarest = counted.groupBy("needle").agg(F.min("g").alias("g")).where("g.holders > 0")
+    rarest = rarest.select("needle", F.col("g.gram").alias("gram"), F.ceil(F.col("g.holders") / share).cast("int").alias("parts"))
+    dealt = held.join(rarest.select("gram", "parts").distinct(), "gram").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    visits = rarest.select("needle", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = dealt.join(visits, ["gram", "part"]).where(F.col("name").contains(F.col("needle"))).select("name", "needle")
+    out = names.join(pairs, "name").join(needles, "needle").select(*names.columns, *needles.columns)
     if not strict:
-        everything = names.withColumn("__all", F.lit("")).join(needles.where("needle = ''").withColumn("__all", F.lit("")), "__all").drop("__all")
-        held = held.unionByName(everything)
-    return held
+        everything = names.where("name is not null").withColumn("__all", F.lit("")).join(needles.where("needle = ''").withColumn("__all", F.lit("")), "__all").drop("__all")
+        out = out.unionByName(everything)
+    return out
 
 
 def matching_pages(records: DataFrame, pages: DataFrame, strict: bool = True) -> DataFrame:
@@ -271,11 +283,12 @@ def selected_indexes(rows: DataFrame, plan: list[tuple[str, str, str]]) -> DataF
     return out
 
 
-def by_locale(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``place``, their place in the language order of a column's distinct values."""
-    values = rows.select(column).distinct()
-    w = Window.orderBy(F.collate(F.col(column), "UNICODE"))
-    # one row a distinct name: an ordered list for people, not a table of the corpus
-    return rows.join(values.withColumn("place", F.row_number().over(w).cast("bigint")), column)
-
+def by_locale(rows: DataFrame, column: str, collation: str = "UNICODE") -> DataFrame:
+    """``rows`` with ``place``, their place in the language order of a column's distinct values.
 
+    The distinct values are dealt by range under the collation and counted a
+    range; what stands in earlier ranges is added. Values that the collation
+    doesn't tell apart stand by their bytes; nulls have no place.
+    """
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    return rows.join(numbered(values, [], [F.collate(F.col(column), collation), F.col(column)]), column, "left").select(*rows.columns, "place")

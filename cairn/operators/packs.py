@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import mask_secrets, safe_name
-from cairn.operators.select import first_wins, merged_intervals, sequential_budget
+from cairn.operators.select import first_wins, merged_intervals, part_of, sequential_budget
+from cairn.plans.running import same_group
 
 
 def budgeted_texts(sections: DataFrame, by: list[str], order: str, text: str, most: int, marker: str = "\n...[truncated]") -> DataFrame:
@@ -120,29 +121,32 @@ def identified_chunks(chunks: DataFrame, kind: str, label: str, order: str, text
     """
     masked = chunks.select(F.col(kind).alias("kind"), F.col(label).alias("label"), F.col(order).alias("ord"), mask_secrets(text).alias("text")).withColumn("hash", F.sha2("text", 256))
     once = first_wins(masked, ["kind", "label", "hash"], "ord")
-    # a label's chunks are one document's, so its array stays small
-    by = once.groupBy("kind", "label").agg(F.array_sort(F.collect_list(F.struct("ord", "hash", "text"))).alias("c"))
-    rows = by.select("kind", "label", F.size("c").cast("bigint").alias("parts"), F.posexplode("c").alias("k", "x"))
-    identity = F.concat_ws("-", F.substring(safe_name("label"), 1, 80), (F.col("k") + 1).cast("string"), F.substring("x.hash", 1, 12))
-    return rows.select(identity.alias("id"), (F.col("k") + 1).cast("bigint").alias("part"), "parts", "kind", "label", F.col("x.hash").alias("hash"), F.col("x.text").alias("text"))
+    placed = part_of(once.select("kind", "label", "hash", "ord"), ["kind", "label"], [F.col("ord"), F.col("hash")])
+    texts = once.select("kind", "label", "hash", "text")
+    joined = placed.alias("p").join(texts.alias("t"), same_group("p", "t", ["kind", "label", "hash"])).select("p.*", "t.text")
+    identity = F.concat_ws("-", F.substring(safe_name("label"), 1, 80), F.col("part").cast("string"), F.substring("hash", 1, 12))
+    return joined.select(identity.alias("id"), "part", "parts", "kind", "label", "hash", "text")
 
 
 def split_once(text: Column, least: int, overlap: int) -> Column:
-    """A text in two at the newline nearest its middle (at its middle without one), both parts of at least ``least`` characters; the whole where it is too short.
+    """A text in two at the newline nearest its middle (at its middle without one), or the whole where that can't be.
 
-    The second part repeats up to ``overlap`` characters of the first, half of ``least`` at most.
+    Without their overlap both parts have at least ``least`` characters. Each
+    reaches over the cut by ``overlap``, half of ``least`` at most. A text
+    whose parts would be blank or as long as itself stays whole.
     """
     n = F.length(text)
     middle = F.floor(n / 2).cast("int")
-    before = F.instr(F.reverse(F.left(text, middle)), "\n")
+    before = F.instr(F.reverse(F.left(text, middle + 1)), "\n")
     after = F.locate("\n", F.substring(text, middle + 1, n))
-    down = F.when(before > 0, middle - before + 1)
-    up = F.when(after > 0, middle + after)
     fits = lambda c: F.when((c >= least) & (n - c >= least), c)
-    down, up = fits(down), fits(up)
-    cut = F.coalesce(F.when(down.isNotNull() & (up.isNull() | (middle - down <= up - middle)), down), up, middle).cast("int")
-    back = F.least(F.lit(min(overlap, least // 2)), cut)
-    return F.when(n < 2 * least, F.array(text)).otherwise(F.array(F.left(text, cut), F.substring(text, cut - back + 1, n)))
+    down, up = fits(F.when(before > 0, middle + 1 - before)), fits(F.when(after > 0, middle + after - 1))
+    nearest = F.when(down.isNotNull() & (up.isNull() | (middle - down <= up - middle)), down)
+    cut = F.coalesce(nearest, up, middle).cast("int")
+    over = min(overlap, least // 2)
+    left, right = F.left(text, F.least(cut + over, n)), F.substring(text, F.greatest(cut - over, F.lit(0)) + 1, n)
+    usable = (n >= 2 * least) & left.rlike(r"\S") & right.rlike(r"\S") & (F.length(left) < n) & (F.length(right) < n)
+    return F.when(usable, F.array(left, right)).otherwise(F.array(text))
 
 
 def adaptive_split(docs: DataFrame, id_col: str, text: str, most: int, least: int = 4000, overlap: int = 600, depth: int = 2) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.plans.running import running_totals
+from cairn.plans.durable import materialize
+from cairn.plans.running import numbered, running_totals, same_group
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -81,9 +83,11 @@ def innermost(points: DataFrame, ranges: DataFrame, by: list[str], at: str, star
     return best.select("__point.*", *[F.col(f"__range.{c}").alias(c) for c in rest if c not in points.columns])
 
 
-def part_of(by: list[str], order: list[Column | str]) -> tuple[Column, Column]:
-    """(part, parts): a row's number in its group, and the group's size."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy(*by))
+def part_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with ``part``, their number in their group, and ``parts``, the group's size; groups may be of any size."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"))
+    joined = numbered(rows, by, order, "part").alias("r").join(sizes.alias("s"), same_group("r", "s", by))
+    return joined.select("r.*", "s.parts")
 
 
 def sum_if_complete(value: str) -> Column:
@@ -132,27 +136,79 @@ def admitted(items: DataFrame, by: list[str], order: str, size: str, most: int,
 
 
 def packed(blocks: DataFrame, by: list[str], order: str, size: str, most: int, separator: int = 7) -> DataFrame:
-    """Each block's ``chunk``: greedy packing in order, a chunk holding at most ``most`` characters with separators.
-
-    Rows stream through in order and the open chunk goes with them from batch
-    to batch, so a group of any length takes no array; it is one task's work.
+    """(by, order, chunk): greedy packing in order, a chunk holding at most ``most`` characters with separators.
+
+    A block of a size beyond ``most`` is a chunk of its own; one of size 0 (or
+    null) that opens a chunk stays alone in it. Groups of any size are packed
+    in parallel. Running totals tell for every block how far a chunk that
+    starts there reaches. Where a share of the group may be entered is known
+    too: at a block that lies within ``most`` characters of the share's
+    beginning. Each share follows its chunks from all these places, a table of
+    these ways (a few rows a share) is walked from the group's first block,
+    and the shares number their blocks from the place where they are entered.
     """
-    rows = blocks.select(*by, F.col(order), F.col(size).cast("bigint").alias("__n"))
-    out = StructType([rows.schema[c] for c in [*by, order]]).add("chunk", "long")
-
-    def run(batches):
-        group, used, chunk = object(), 0, 0
-        for batch in batches:
-            chunks = []
-            for *key, n in zip(*[batch.column(c).to_pylist() for c in [*by, "__n"]], strict=True):
-                if key != group:
-                    group, used, chunk = key, 0, 0
-                joined = None if used is None or n is None else used + separator + n
-                if used == 0 or (joined is not None and joined > most):
-                    used, chunk = n, chunk + 1
-                else:
-                    used = joined
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*by, order]], pa.array(chunks, pa.int64())], names=out.names)
-
-    return rows.repartition(*by).sortWithinPartitions(*by, order, "__n").mapInArrow(run, out)
+    n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
+    rows = blocks.select(*by, F.col(order), n.alias("__n"))
+    rows = running_totals(rows, by, [F.col(order), F.col("__n")], {"__upto": F.col("__n") + separator, "__place": F.lit(1).cast("bigint")}, share="__in")
+    rows = materialize(rows, "totals")
+    keys = [rows.schema[c] for c in by]
+
+    def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """A share's rows in order, their totals, the total that a chunk from each may not exceed, and the row where the next one starts."""
+        table = table.sort_by("__place")
+        upto, n = table["__upto"].to_numpy(), table["__n"].to_numpy()
+        # a chunk of nothing ends behind its block, also where the next total is the same
+        reach = np.where(n == 0, upto - 1, np.maximum(upto - n + most, upto))
+        return table, upto, reach, np.maximum(np.searchsorted(upto, reach, side="right"), np.arange(len(n)) + 1)
+
+    def ways(table: pa.Table) -> pa.Table:
+        table, upto, leaves, at = in_order(table)
+        place = table["__place"].to_numpy()
+        chunks, last = np.ones(len(place), np.int64), place.copy()
+        while (inside := at < len(place)).any():
+            here = at[inside]
+            chunks[inside] += chunks[here]
+            leaves[inside], last[inside] = leaves[here], last[here]
+            at[inside] = at[here]
+        doors = np.flatnonzero(upto - table["__n"].to_numpy() <= upto[0] - table["__n"][0].as_py() + most + separator)
+        taken = table.select([*by, "__in", "__place", "__upto"]).take(doors)
+        for name, x in (("leaves", leaves), ("last", last), ("chunks", chunks)):
+            taken = taken.append_column(name, pa.array(x[doors]))
+        return taken
+
+    walk = StructType([*keys, rows.schema["__in"], rows.schema["__place"], rows.schema["__upto"]])
+    for c in ("leaves", "last", "chunks"):
+        walk = walk.add(c, "long")
+
+    def entered(table: pa.Table) -> pa.Table:
+        """By share of a group: chunks before it, and the place of the block where it is entered."""
+        table = table.sort_by("__place")
+        found, reach, behind, count = [], -1, 0, 0
+        for share, place, upto, leaves, last, chunks in zip(*[table[c].to_pylist() for c in ("__in", "__place", "__upto", "leaves", "last", "chunks")], strict=True):
+            if not found or found[-1][0] != share:
+                found.append([share, count, None])
+            if found[-1][2] is None and upto > reach and place > behind:
+                found[-1][2] = place
+                reach, behind, count = leaves, last, count + chunks
+        columns = [pa.concat_arrays([table[c].combine_chunks().slice(0, 1)] * len(found)) for c in by]
+        columns += [pa.array([f[0] for f in found], pa.int32()), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]]
+        return pa.Table.from_arrays(columns, names=door.names)
+
+    door = StructType([*keys, rows.schema["__in"]]).add("__count", "long").add("__door", "long")
+
+    def numbers(table: pa.Table) -> pa.Table:
+        table, _, _, following = in_order(table)
+        count, opened = table["__count"][0].as_py(), table["__door"][0].as_py()
+        starts = np.zeros(len(following), np.int64)
+        at = len(starts) if opened is None else opened - table["__place"][0].as_py()
+        while at < len(starts):
+            starts[at] = 1
+            at = following[at]
+        return table.select([*by, order]).append_column("chunk", pa.array(count + np.cumsum(starts)))
+
+    summary = materialize(rows.groupBy(*by, "__in").applyInArrow(ways, walk), "ways")
+    doors = summary.groupBy(*by).applyInArrow(entered, door)
+    same = (F.col("r.__in") == F.col("d.__in")) & same_group("r", "d", by)
+    joined = rows.alias("r").join(doors.alias("d"), same).select("r.*", "d.__count", "d.__door")
+    out = StructType([*keys, rows.schema[order]]).add("chunk", "long")
+    return joined.groupBy(*by, "__in").applyInArrow(numbers, out)

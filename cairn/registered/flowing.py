@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import extract, flows, match
 from cairn.oracles import _CALLS
+from cairn.plans.running import as_of
 from cairn.queries import _calls_and_endpoints, table
 from cairn.registered.sources import _files, joined
 
@@ -148,7 +149,33 @@ def selected_indexes(spark, sf):
 
 
 def locale_order(spark, sf):
-    return flows.by_locale(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "place")
+    """Names with accents and capitals, whose order by bytes is another."""
+    k = F.col("p_partkey")
+    accented = F.when(k % 5 == 0, F.translate("p_name", "aeo", "áéö")).when(k % 5 == 1, F.initcap("p_name")).when(k % 5 == 2, F.upper("p_name")).otherwise(F.col("p_name"))
+    return flows.by_locale(table(spark, sf, "part").select("p_partkey", F.regexp_replace(accented, "[^\\p{L}]", "").alias("name")), "name").select("p_partkey", "name", "place")
+
+
+def containing_alike(spark, sf):
+    """Names and needles that all begin with the same eleven characters."""
+    names = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("src/shared/"), F.lower("c_mktsegment"), F.lit("/"), "c_name", F.lit(".tsx")).alias("name"))
+    k = F.col("s_suppkey")
+    needle = F.when(k % 4 == 0, F.concat(F.lit("src/shared/building/Customer#"), F.lpad((k / 4).cast("int").cast("string"), 9, "0"))).when(k % 4 == 1, F.concat(k.cast("string"), F.lit("."))).when(k % 4 == 2, F.concat(F.lit("/absent"), k)).otherwise(F.right(k.cast("string"), F.lit(2)))
+    return flows.containing(names, table(spark, sf, "supplier").select("s_suppkey", needle.alias("needle")), share=100).select("c_custkey", "s_suppkey")
+
+
+def last_purchase(spark, sf):
+    """Each event with the last purchase of its user at or before it."""
+    e = table(spark, sf, "events")
+    marks = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase"))
+    return as_of(e.select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", ["purchase"]).select("event_id", "purchase")
+
+
+def last_event_of_type(spark, sf):
+    """Each purchase with what came before it of any user, in six hot groups."""
+    e = table(spark, sf, "events").withColumn("shard", F.col("event_id") % 6)
+    marks = e.where("event_type <> 'purchase'").select("shard", "ts", F.struct("event_id", "event_type").alias("before"))
+    points = e.where("event_type = 'purchase'").select("event_id", "shard", "ts")
+    return as_of(points, marks, ["shard"], "ts", ["before"], strict=True).select("event_id", F.col("before.event_id").alias("before"), F.col("before.event_type").alias("kind"))
 
 
 QUERIES = {
@@ -156,6 +183,7 @@ QUERIES = {
     for f in (
         service_flow_resolution, first_of_either, tiered_lookup, repository_entities, containing_names, containing_everything, page_slices, evidence_files,
         uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, outbound_match, page_flows, first_items, selected_indexes, locale_order,
+        containing_alike, last_purchase, last_event_of_type,
     )
 }
 
@@ -203,5 +231,14 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3""",
     "selected_indexes": """SELECT 'overview' AS document, 'part' AS "index", count(*) AS n FROM part UNION ALL SELECT 'overview', 'supplier', count(*) FROM supplier
         UNION ALL SELECT 'promo', 'part', count(*) FROM part WHERE p_type LIKE 'PROMO%' HAVING count(*) > 0 UNION ALL SELECT 'poor', 'supplier', count(*) FROM supplier WHERE s_acctbal < 0 HAVING count(*) > 0""",
-    "locale_order": "SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) AS place FROM part",
+    "locale_order": r"""WITH p AS (SELECT p_partkey, regexp_replace(CASE p_partkey % 5 WHEN 0 THEN translate(p_name, 'aeo', 'áéö') WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
+            WHEN 2 THEN upper(p_name) ELSE p_name END, '[^\p{L}]', '', 'g') AS name FROM part)
+        SELECT p_partkey, name, dense_rank() OVER (ORDER BY strip_accents(lower(name)), lower(name), list_transform(string_split(name, ''), lambda c: c <> lower(c)), name) AS place FROM p""",
+    "containing_alike": """WITH n AS (SELECT c_custkey, 'src/shared/' || lower(c_mktsegment) || '/' || c_name || '.tsx' AS name FROM customer),
+        d AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'src/shared/building/Customer#' || lpad(CAST(s_suppkey // 4 AS VARCHAR), 9, '0') WHEN 1 THEN s_suppkey || '.' WHEN 2 THEN '/absent' || s_suppkey ELSE right(CAST(s_suppkey AS VARCHAR), 2) END AS needle FROM supplier)
+        SELECT c_custkey, s_suppkey FROM n JOIN d ON contains(name, needle)""",
+    "last_purchase": """SELECT e.event_id, (SELECT arg_max(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS purchase FROM events e""",
+    "last_event_of_type": """WITH b AS (SELECT event_id, ts, event_id % 6 AS shard, event_type FROM events), p AS (SELECT * FROM b WHERE event_type = 'purchase'),
+        m AS (SELECT shard, ts, max(event_id) AS before FROM b WHERE event_type <> 'purchase' GROUP BY ALL)
+        SELECT p.event_id, m.before, x.event_type AS kind FROM p ASOF LEFT JOIN m ON p.shard = m.shard AND p.ts > m.ts LEFT JOIN events x ON x.event_id = m.before""",
 }

@@ -72,7 +72,7 @@ def chunk_identity(spark, sf):
 
 def adaptive_split(spark, sf):
     s = packs.adaptive_split(_texts(spark, sf), "doc_id", "text", 3000, 1000, 200, 2)
-    return s.select("doc_id", "path", F.length("text").cast("bigint").alias("n"))
+    return s.select("doc_id", "path", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha256"))
 
 
 def snippet_windows(spark, sf):
@@ -94,6 +94,20 @@ QUERIES = {
 
 _AUDIT = """CASE WHEN doc_id % 13 = 0 THEN 'disabled' WHEN size IS NULL THEN 'missing' WHEN doc_id % 11 = 0 THEN 'skipped-stale' WHEN granted <= 0 AND size > 0 THEN 'omitted-budget'
     WHEN granted < size THEN 'truncated' ELSE 'included' END"""
+
+
+def _split(level: int, most: int, least: int, over: int) -> str:
+    """Level ``level`` of the adaptive split: each part over ``most`` in two, as index arithmetic on newlines."""
+    return f"""a{level} AS (SELECT *, length(text) AS n, length(text) // 2 AS mid FROM s{level - 1}),
+        b{level} AS (SELECT *, CASE WHEN contains(left(text, mid + 1), chr(10)) THEN mid + 1 - instr(reverse(left(text, mid + 1)), chr(10)) END AS d0,
+            CASE WHEN contains(substr(text, mid + 1), chr(10)) THEN mid + instr(substr(text, mid + 1), chr(10)) - 1 END AS u0 FROM a{level}),
+        c{level} AS (SELECT *, CASE WHEN d0 >= {least} AND n - d0 >= {least} THEN d0 END AS d, CASE WHEN u0 >= {least} AND n - u0 >= {least} THEN u0 END AS u FROM b{level}),
+        d{level} AS (SELECT *, CASE WHEN d IS NOT NULL AND (u IS NULL OR mid - d <= u - mid) THEN d WHEN u IS NOT NULL THEN u ELSE mid END AS cut FROM c{level}),
+        e{level} AS (SELECT *, left(text, least(cut + {over}, n)) AS l, substr(text, greatest(cut - {over}, 0) + 1) AS r FROM d{level}),
+        f{level} AS (SELECT *, n > {most} AND n >= {2 * least} AND regexp_matches(l, '\\S') AND regexp_matches(r, '\\S') AND length(l) < n AND length(r) < n AS two FROM e{level}),
+        s{level} AS (SELECT doc_id, path, text FROM f{level} WHERE NOT two UNION ALL SELECT doc_id, path || '0', l FROM f{level} WHERE two UNION ALL SELECT doc_id, path || '1', r FROM f{level} WHERE two)"""
+
+
 _LINES = """l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM m),
         h AS (SELECT conv_id, i AS a, least(i + 1, n - 1) AS b FROM l WHERE x LIKE '## user%'),
         f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY conv_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS fresh FROM h),
@@ -121,6 +135,8 @@ ORACLE_SQL = {
         UNION ALL SELECT event_id, 0, 'item 1', replace(props, ' ', '') FROM events WHERE event_id % 2 = 1 UNION ALL SELECT event_id, 1, 'item 2', '"x"' FROM events WHERE event_id % 2 = 1""",
     "line_blocks": """WITH l AS (SELECT conv_id || ':' || turn AS id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS x FROM conversations)
         SELECT id, CAST(unnest(range(len(x))) AS BIGINT) AS ord, sha256(unnest(x)) AS sha256 FROM l""",
+    "adaptive_split": f"""WITH s0 AS (SELECT doc_id, '' AS path, coalesce(text, '') AS text FROM documents), {_split(1, 3000, 1000, 200)}, {_split(2, 3000, 1000, 200)}
+        SELECT doc_id, path, length(text) AS n, sha256(text) AS sha256 FROM s2""",
     "chunk_identity": r"""WITH d AS (SELECT lang AS kind, 'Part ' || doc_id % 40 AS label, doc_id, sha256(regexp_replace(coalesce(text, ''), '(?i)password|token|secret|key|authorization|BEGIN', 'x', 'g')) AS h FROM documents),
         f AS (SELECT kind, label, h, min(doc_id) AS o FROM d GROUP BY ALL)
         SELECT 'part-' || substr(label, 6) || '-' || row_number() OVER w || '-' || substr(h, 1, 12) AS id, row_number() OVER w AS part, count(*) OVER (PARTITION BY kind, label) AS parts, kind, label FROM f

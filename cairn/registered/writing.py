@@ -220,8 +220,7 @@ def repository_addresses(spark, sf):
 
 def parts_of_sources(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id")
-    part, parts = select.part_of(["source"], ["doc_id"])
-    return d.select("source", "doc_id", part.cast("bigint").alias("part"), parts.alias("parts"))
+    return select.part_of(d, ["source"], [F.col("doc_id")])
 
 
 def array_utilities(spark, sf):
