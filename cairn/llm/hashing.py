@@ -66,12 +66,18 @@ class Words:
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = 256) -> np.ndarray:
-    """64-bit hashes of byte ranges: eight bytes at a time, each step mixed in full; BLAKE2 beyond ``longest`` bytes."""
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, longest: int = 256, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time, each step mixed in full; BLAKE2 beyond ``longest`` bytes.
+
+    Each step can be inverted by who knows the ``key``, so equal hashes can be
+    computed for key 0. Where texts may be made to collide, the caller draws a
+    secret of 64 bits for each run; it goes into every step.
+    """
     size = end - start
+    secret = mix(np.array([key], np.uint64) ^ np.uint64(0x452821E638D01377))[0] if key else np.uint64(0)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) + np.uint64(key))
     left = np.flatnonzero(size <= longest)
     step = 0
     while len(left):
@@ -79,11 +85,11 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, longest: i
         chunk = np.ascontiguousarray(eight[at]).view("<u8").ravel()
         held = np.minimum(end[left] - at, 8)
         chunk &= _LOW_BYTES[held]
-        out[left] = mix(out[left] ^ mix(chunk + np.uint64(0xD6E8FEB86659FD93)))
+        out[left] = mix(out[left] ^ mix((chunk ^ secret) + np.uint64(0xD6E8FEB86659FD93)))
         step += 8
         left = left[size[left] > step]
     for k in np.flatnonzero(size > longest):
-        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return out
 
 
@@ -99,8 +105,8 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[first : offsets[-1] if len(offsets) else 0], offsets - first
 
 
-def words(col: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
-    """Split each row into words; ``lower`` maps A-Z to a-z first and changes no other byte."""
+def words(col: pa.Array | pa.ChunkedArray, lower: bool = True, key: int = 0) -> Words:
+    """Split each row into words; ``lower`` maps A-Z to a-z first and changes no other byte. ``key``: that of the words' hashes."""
     data, rows = text_bytes(col)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -115,4 +121,4 @@ def words(col: pa.Array | pa.ChunkedArray, lower: bool = True) -> Words:
         cuts = cuts[inside[cuts] & inside[cuts + 1]]
         if len(cuts):
             start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
-    return Words(data, start, end, hash_ranges(data, start, end), np.searchsorted(start, rows))
+    return Words(data, start, end, hash_ranges(data, start, end, key=key), np.searchsorted(start, rows))

@@ -21,8 +21,10 @@ at most (a + b) / 9 <= a / 4 elements. PartEnum (Arasu, Ganti, Kaushik, VLDB
 
 Signatures only propose. A parity sketch then rules pairs out for certain: two
 sets differ in at least as many elements as their sketches in bits. What is
-left is verified on the sets themselves. Equal sets are one node, so copies
-are never paired. Members of a signature pair with its least member only (in
+left is verified on the sets themselves. Elements are 64-bit hashes under a
+secret that each run draws, so no text can be written to collide with another;
+two different shingles among N do by chance of N^2 / 2^65. Equal sets are one
+node, so copies are never paired. Members of a signature pair with its least member only (in
 the task first, then between tasks), never all with all.
 
 Where that leaves a signature's members in several components, they are
@@ -41,6 +43,9 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from secrets import randbits
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -62,9 +67,17 @@ EARLIER = 24
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
 
 
-def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
+class Grams(NamedTuple):
+    """Words a shingle has, and the secret of this run that their hashes are made with."""
+
+    n: int
+    key: int = 0
+
+
+def ngram_sets(texts: pa.Array, grams_of: Grams | int = 5) -> list[np.ndarray]:
     """Each row's sorted distinct n-gram hashes; the whole sequence where it is shorter than n words."""
-    w = words(texts)
+    n, key = grams_of if isinstance(grams_of, Grams) else (grams_of, 0)
+    w = words(texts, key=key)
     h, count = w.hash, len(w.hash)
     grams = np.zeros(count, np.uint64)
     for k in range(min(n, count)):
@@ -151,7 +164,7 @@ def signatures(grams: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def set_rows(docs: DataFrame, id_col: str, text_col: str, n: Grams | int) -> DataFrame:
     """(id, n_shingles, node, check, sketch0...), one row per input row."""
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -169,7 +182,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return map_columns(id_and_text(docs, id_col, text_col), ["id"], made, make)
 
 
-def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int], chunk: int = 1 << 19) -> DataFrame:
+def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: Grams | int, collided: frozenset[int], chunk: int = 1 << 19) -> DataFrame:
     """(sig, salt, lead, node): each task's signatures, combined in the task.
 
     Of the nodes that share a signature in a chunk, the least stands for them
@@ -215,7 +228,7 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: int, collided
     return rows.mapInArrow(run, "sig long, salt long, lead long, node long")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, made: str, fn) -> DataFrame:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: Grams | int, made: str, fn) -> DataFrame:
     """(id, made...): what ``fn`` makes of (ids, n-gram sets) of the rows with an identifier of ``wanted`` (node, id), slice by slice.
 
     A bitmap of 2^24 slots, whatever the input's size, lets most other rows go
@@ -263,7 +276,7 @@ def of_wanted(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return f.join(w, (F.col("f.node") == F.col("w.node")) & F.col("f.id").eqNullSafe(F.col("w.id")), "left_semi")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
+def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: Grams | int, collided: frozenset[int]) -> DataFrame:
     """(node, grams) for the nodes of ``wanted`` (node, id), from the texts of one row each."""
 
     def whole(sets: list[np.ndarray]) -> dict:
@@ -273,7 +286,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     return of_wanted(found, wanted).select("node", "grams")
 
 
-def crowded_slots(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
+def crowded_slots(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: Grams | int) -> np.ndarray:
     """How many of the wanted sets have an element, roughly: a count for each of 2^20 hash slots.
 
     Only an order of elements comes of it, which may be any. A task reports
@@ -297,7 +310,7 @@ def crowded_slots(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return out
 
 
-def rare_elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
+def rare_elements(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: Grams | int, collided: frozenset[int]) -> DataFrame:
     """(node, grams): of each wanted set those elements, rarest first, of which every linked set has one."""
     shared = docs.sparkSession.sparkContext.broadcast(crowded_slots(docs, wanted, id_col, text_col, n))
 
@@ -328,7 +341,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(*[pairs[c] for c in pairs.columns])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, collided: frozenset[int]) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: Grams | int, collided: frozenset[int]) -> DataFrame:
     """Of the pairs (a, b) those whose sets link; reads the texts of one row per node again."""
 
     def run(batches):
@@ -356,7 +369,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return materialize(_components(docs, id_col, text_col, n), "ngram-components", kept=True)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, words_of: int) -> DataFrame:
+    n = Grams(words_of, randbits(64) | 1)
     rows = materialize(set_rows(docs, id_col, text_col, n), "sets")
     # about one pair of different sets in 10^19 has equal first digests
     clash = rows.where("n_shingles > 0").groupBy("node").agg((F.min("check") != F.max("check")).alias("clash")).where("clash")

@@ -7,7 +7,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from cairn.llm import exact_dedup, ngram_join
+from cairn.llm.hashing import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,6 +113,18 @@ def test_words_of_equal_polynomials_stay_apart(docs_of):
     assert got == brute_components(items) and len({c for _, _, c in got}) == 4
 
 
+def test_words_that_collide_without_a_key_stay_apart(docs_of):
+    a, b = "abcdefghijklmnop", "c2iz2b7r?ut%cf_9"
+    plain = words(pa.array([a, b])).hash
+    assert plain[0] == plain[1]
+    for key in (1, 7, 1 << 63):
+        assert len(set(words(pa.array([a, b, a + "x" * 300, b + "x" * 300]), key=key).hash.tolist())) == 4
+        assert words(pa.array([a]), key=key).hash[0] == words(pa.array([f"{a} z"]), key=key).hash[0] != plain[0]
+    items = [(k, f"p q r s {w} t u v w", "a") for k, w in enumerate([a, b, a])]
+    got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items)).collect())
+    assert got == brute_components(items) == Counter([(0, 5, 0), (1, 5, 1), (2, 5, 0)])
+
+
 def test_colliding_digests_are_told_apart(docs_of, items, monkeypatch):
     digests = ngram_join.set_digests
     few = lambda g: (digests(g)[0] % 7, digests(g)[1])
