@@ -22,6 +22,7 @@ decoding; null ids decode to nothing. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -112,7 +113,7 @@ class Vocabulary:
 
         return Known()
 
-    def together(self, a: int, b: int, most: int = 1 << 20) -> bool:
+    def together(self, a: int, b: int, most: int = 1 << 19) -> bool:
         """Whether merging the bytes of both gives exactly these two; answers are kept in ``pairs``, ``most`` at a time."""
         if len(self.pairs) >= most:
             self.pairs.clear()
@@ -205,11 +206,19 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
 
 def token_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded again, digests of both."""
-    back = decode(encode(docs, ranks_path, id_col, text_col), ranks_path, id_col)
-    return back.select(
-        id_col,
-        F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded again, digests of both, in one pass."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(spark, ranks_path)))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for part in slices(batch):
+            for text in part.column("text").to_pylist():
+                ids = shared.value.encode(text)
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(shared.value.decode(ids)).hexdigest())
+        return out
+
+    rows = id_and_text(docs, id_col, text_col)
+    return map_columns(rows, ["id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", run).withColumnRenamed("id", id_col)

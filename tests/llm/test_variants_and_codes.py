@@ -196,6 +196,12 @@ def test_token_digests(docs_of, items, library):
     assert byte_bpe.token_digests(docs_of([]), queries.BYTE_RANKS).collect() == []
 
 
+def test_ids_and_texts_as_columns(docs_of):
+    rows = [(k, t, "a") for k, t in enumerate(HARD)] + [(50, None, "a"), (50, "again", "a"), (None, "no id", "a")]
+    back = byte_bpe.decode(byte_bpe.encode(docs_of(rows), queries.BYTE_RANKS), queries.BYTE_RANKS)
+    assert Counter((r["doc_id"], r["decoded"].decode()) for r in back.collect()) == Counter((i, t or "") for i, t, _ in rows)
+
+
 def test_kept_answers_may_be_forgotten(bpe):
     texts = ["Vorrang und Anhang", "naïveté quelconque"]
     before = [bpe.encode(t) for t in texts]
