@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.functions import scan
-from cairn.functions.labels import likely_http_path
+from cairn.functions import calls, java, scan
+from cairn.functions.labels import likely_http_path, likely_http_receiver
 from cairn.functions.text import join_paths, mask_sensitive_key
+from cairn.plans.running import as_of
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -54,26 +56,40 @@ def scanned(files: DataFrame, keep: list[str], made: str, fn: Callable[[str], li
     return files.select(*keep, "content").mapInPandas(run, out)
 
 
+#: Fixed values, rules in order: kind, annotations, what the type's name ends with, folder.
+JAVA_KINDS = [
+    ("test", "SpringBootTest|WebMvcTest|DataJpaTest|Test", "Test|Tests", "/src/test/"),
+    ("controller", "RestController|Controller", "Controller", "/controller/"),
+    ("service", "Service", "Service", "/service/"),
+    ("repository", "Repository", "Repository", "/repository/"),
+    ("entity", "Entity", "Entity", "/entity/"),
+    ("config", "Configuration", "Config|Configuration", "/config/"),
+    ("dto", "", "Dto|DTO|Request|Response", "/dto/"),
+    ("mapper", "", "Mapper", "/mapper/"),
+    ("client", "", "Client", "/client/"),
+    ("exception", "", "Exception", "/exception/"),
+    ("model", "", "Model", "/model/"),
+    ("util", "", "Util|Utils", "/util/"),
+]
+
+
 def java_class(path: Column, content: Column) -> Column:
-    """The kind of a Java file; the first rule that holds decides."""
-    name = F.regexp_extract(path, r"([^/]*)\.java\z", 1)
-    p = F.lower(path)
-    has = lambda a: content.rlike(rf"@({a})\b")
-    return (
-        F.when(p.contains("/src/test/") | has("Test|SpringBootTest|WebMvcTest|DataJpaTest") | name.rlike("Tests?$"), "test")
-        .when(has("RestController|Controller") | name.endswith("Controller"), "controller")
-        .when(has("Service") | name.rlike("Service(Impl)?$"), "service")
-        .when(has("Repository") | name.endswith("Repository"), "repository")
-        .when(has("Entity") | name.endswith("Entity"), "entity")
-        .when(has("Configuration") | name.rlike("Config(uration)?$"), "config")
-        .when(name.rlike("(Dto|DTO|Request|Response)$") | p.contains("/dto/"), "dto")
-        .when(name.endswith("Mapper") | p.contains("/mapper/"), "mapper")
-        .when(has("FeignClient") | name.endswith("Client"), "client")
-        .when(name.endswith("Exception") | has("ControllerAdvice|RestControllerAdvice"), "exception")
-        .when(p.contains("/model/") | p.contains("/domain/"), "model")
-        .when(name.rlike("Utils?$") | p.contains("/util/"), "util")
-        .otherwise("unknown")
-    )
+    """The kind of a Java file by its annotations, the name of its first type and its folder; the first rule that holds decides.
+
+    Besides, what extends a repository is one, and what mentions FeignClient is a client.
+    """
+    folder, name = F.lower(path), F.regexp_extract(content, r"\b(?:class|interface|enum)\s+(\w+)", 1)
+    chain = F.lit("unknown")
+    for kind, annotations, endings, place in reversed(JAVA_KINDS):
+        rule = folder.contains(place) | name.rlike(f"(?:{endings})\\z")
+        if annotations:
+            rule = rule | content.rlike(rf"@(?:{annotations})\b")
+        if kind == "repository":
+            rule = rule | content.rlike(r"\bextends\s+\w*Repository\b")
+        if kind == "client":
+            rule = rule | content.contains("FeignClient")
+        chain = F.when(rule, kind).otherwise(chain)
+    return chain
 
 
 def script_class(path: Column, content: Column | None = None) -> Column:
@@ -84,17 +100,22 @@ def script_class(path: Column, content: Column | None = None) -> Column:
     p = F.lower(path)
     name = F.regexp_extract(p, r"([^/]*)\z", 1)
     text = F.lit("") if content is None else F.coalesce(content, F.lit(""))
+    among = lambda *folders: F.exists(F.array(*[F.lit(f"/{f}/") for f in folders]), lambda f: F.contains(p, f))
+    has = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+    says = lambda *words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    tagged = text.rlike("<[A-Z]")
+    typed = text.rlike(r"\b(?:type|interface)\s+[A-Z]\w") & ~text.rlike(r"<[A-Z]\w")
     return (
-        F.when(name.rlike(r"(\A|\.)(config|setup)\.|package\.json"), "config")
-        .when(name.rlike(r"\.(test|spec)\."), "test")
-        .when(p.rlike("/(pages|views|screens)/") | name.rlike("page\\."), "page")
-        .when(p.rlike("/(api|api-clients|clients|services)/") | name.rlike("(api|client)\\.") | text.rlike(r"\baxios\.(create|get|post|put|delete|patch)\b|\bfetch\("), "api-client")
-        .when(p.contains("/routes/") | name.rlike("routes?\\.|router\\.") | text.rlike(r"<Route\b|\bcreateBrowserRouter\("), "route")
-        .when(p.contains("/hooks/"), "hook")
-        .when(p.rlike("/(store|stores|redux)/") | text.rlike(r"\b(createSlice|configureStore|createStore)\("), "store")
-        .when(p.rlike("/(models?|types?)/") | (name.endswith(".ts") & text.rlike(r"(?m)^\s*export\s+(type|interface)\b")), "model")
-        .when(p.rlike("/(utils?|helpers?)/"), "util")
-        .when(name.rlike(r"\.[jt]sx\z") | text.rlike(r"return\s*\(?\s*<[A-Za-z]"), "component")
+        F.when((name == "package.json") | name.rlike(r"(?:vite|webpack|next)\.config"), "config")
+        .when(p.rlike(r"\.(?:test|spec)\.[tj]sx?\z") | p.contains("__tests__"), "test")
+        .when(among("pages", "views") | path.rlike(r"Page\.[tj]sx?\z"), "page")
+        .when(among("api") | p.contains("api-client") | has("axios", "fetch(", "createapi", "basequery"), "api-client")
+        .when(among("routes") | text.rlike(r"<Route\s|\bconst\s+routes\s*=") | says("createBrowserRouter", "useRoutes"), "route")
+        .when(among("hooks"), "hook")
+        .when(among("store", "stores") | has("createslice", "configurestore", "zustand", "createstore"), "store")
+        .when(among("types", "models") | typed, "model/type")
+        .when(among("utils", "helpers", "lib"), "util")
+        .when(tagged | text.rlike(r"\bReact\b|from\s+[\"']react[\"']"), "component")
         .otherwise("unknown")
     )
 
@@ -225,22 +246,52 @@ def tests(files: DataFrame) -> DataFrame:
     return files.where(java_class(F.col("path"), F.col("content")) == "test").select("path", F.regexp_extract("content", CLASS, 1).alias("class_name"), frameworks.alias("frameworks"), methods.alias("test_methods"))
 
 
+#: Receivers whose calls are no dependencies.
+IGNORED_RECEIVERS = {"this", "super", "log", "logger", "System", "Objects", "Collections", "Stream"}
+ACCESS = {"public", "protected", "private"}
+_BLANK = scan.re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/", scan.re.DOTALL)
+
+
+def _method_calls(text: str) -> list[tuple]:
+    """(class, method, at, receiver, its type, target) of the calls in method bodies, by braces; strings and comments hold none."""
+    first = scan.re.search(CLASS, text)
+    if not first:
+        return []
+    found = java.Source(text).declarations
+    code = _BLANK.sub(lambda m: " " * len(m[0]), text)
+    raw = lambda t: t.split("<")[0].strip()
+    constructed = {d.owner: {p.name: raw(p.type) for p in d.parameters} for d in found if d.kind == "method" and not d.type and d.name == d.owner.rpartition(".")[2]}
+    fields: dict[str, dict[str, str]] = {}
+    for d in found:
+        if d.kind == "field" and d.type[:1].isupper():
+            fields.setdefault(d.owner, {})[d.name] = raw(d.type)
+    out = []
+    for d in found:
+        if d.kind != "method" or not d.body or not d.type or not d.modifiers & ACCESS:
+            continue
+        types = {}
+        owner = d.owner
+        while True:  # a nested type sees what the types around it have
+            types = fields.get(owner, {}) | constructed.get(owner, {}) | types
+            if not owner:
+                break
+            owner = owner.rpartition(".")[0]
+        for m in scan.re.finditer(r"\b([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\(", code[d.body[0] : d.body[1]]):
+            if m[1] not in IGNORED_RECEIVERS:
+                kind = types.get(m[1]) or (m[1] if m[1][0].isupper() else None)
+                out.append((first[1], d.name, d.body[0] + m.start(), m[1], kind, m[2], "high" if kind else "medium"))
+    return out
+
+
 def method_calls(files: DataFrame) -> DataFrame:
-    """(path, class_name, method, receiver, receiver_type, target): calls on fields, by the method that they stand in.
+    """(path, class_name, method, ord, receiver, receiver_type, target, confidence): calls on a receiver, by the method whose braces hold them.
 
-    A class is cut before each method signature, so that every piece is one
-    method with what follows it.
+    Methods of nested types count, those without an access modifier don't.
+    ``ord`` is the call's offset. Types come from fields of any visibility, then
+    the constructor's parameters; a receiver with a capital is its own type.
     """
-    signature = r"(?=(?:public|protected|private)\s+(?!class|final\s+[A-Z]\w*\s+\w+;)[\w<>\[\], ]+\s+\w+\s*\((?:[^()]|\([^()]*\))*\)\s*(?:throws [\w, ]+)?\{)"
-    cut = files.where("path like '%.java'").select("path", F.regexp_extract("content", CLASS, 1).alias("class_name"), "content", F.explode(F.split("content", signature)).alias("piece"))
-    method = F.regexp_extract("piece", r"\A(?:public|protected|private)\s+[\w<>\[\], ]+?\s+(\w+)\s*\(", 1)
-    calls = cut.withColumn("method", method).where("method <> ''").select("path", "class_name", "content", "method", F.posexplode(F.regexp_extract_all("piece", F.lit(r"\b([a-z]\w*)\.(\w+)\s*\("), F.lit(0))).alias("ord", "hit"))
-    receiver = F.regexp_extract("hit", r"([a-z]\w*)\.", 1)
-    calls = calls.select("*", receiver.alias("receiver"), F.regexp_extract("hit", r"\.(\w+)", 1).alias("target")).where(~F.col("receiver").isin("this", "super", "log", "logger", "System", "return"))
-    fields = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"private\s+(?:final\s+)?[A-Z]\w*(?:<[^;]*>)?\s+\w+\s*[;=]"), F.lit(0))).alias("f"))
-    fields = fields.select("path", F.regexp_extract("f", r"([A-Z]\w*)", 1).alias("receiver_type"), F.regexp_extract("f", r"(\w+)\s*[;=]\z", 1).alias("receiver"))
-    joined = calls.join(fields, ["path", "receiver"], "left")
-    return joined.select("path", "class_name", "method", "ord", "receiver", "receiver_type", "target", F.when(F.col("receiver_type").isNotNull(), "high").otherwise("medium").alias("confidence"))
+    made = "class_name string, method string, ord int, receiver string, receiver_type string, target string, confidence string"
+    return scanned(files.where("path like '%.java'"), ["path"], made, _method_calls)
 
 
 def repository_methods(files: DataFrame) -> DataFrame:
@@ -312,29 +363,45 @@ def method_ranges(files: DataFrame) -> DataFrame:
     return scanned(files.where("path like '%.java'"), ["path"], "method string, start int, stop int, start_line int", rows)
 
 
+def _feign_calls(text: str) -> list[tuple]:
+    """(at, method, http_method, path) of the mapped methods of a declarative client."""
+    out = []
+    for d in java.Source(text).declarations if "@FeignClient" in text else []:
+        for a in d.annotations if d.kind == "method" else []:
+            if a.name.removesuffix("Mapping").upper() in ("GET", "POST", "PUT", "PATCH", "DELETE") and a.name.endswith("Mapping"):
+                paths = a.values.get("") or a.values.get("value") or a.values.get("path") or ["/"]
+                out.append((d.start, d.name, a.name.removesuffix("Mapping").upper(), paths[0]))
+    return out
+
+
 def outbound_calls(files: DataFrame) -> DataFrame:
-    """Declarative clients, fluent chains and RestTemplate calls: (path, client, http_method, target_path, confidence).
+    """Declarative clients, fluent chains and RestTemplate calls: (path, client, ord, line, method, http_method, target_path, headers, body, confidence).
 
-    A chain's path is a literal in uri(), one in path(), replacePath() or
-    pathSegment() of a builder, or that of a variable which the file assigns one literal.
+    A chain's path is a literal in uri(), what a builder's steps give, or the
+    last path that its variable was assigned before the call (an as-of join by
+    file and name). Headers and body are those set before the exchange.
+    ``method`` is the one around the call; ``ord`` its offset.
     """
-    named = files.where("path like '%.java'").withColumn("client", F.regexp_extract("content", CLASS, 1))
-    declared = r'@(Get|Post|Put|Delete|Patch)Mapping\([^)"]*"([^"]*)"'
-    feign = _found(named.where("content like '%@FeignClient%'"), declared, "client").select("path", "client", F.upper(_part(declared)).alias("http_method"), _part(declared, 2).alias("target_path"), F.lit("high").alias("confidence"))
-    chain = r'\.(get|post|put|delete|patch)\(\)(?:\s*\.(?!uri\b)\w+\((?:[^()]|\([^()]*\))*\))*\s*\.uri\(\s*((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)'
-    given = _part(chain, 2)
-    literal = F.nullif(F.regexp_extract(given, r'\A"([^"]*)"', 1), F.lit(""))
-    built = F.nullif(F.array_join(F.transform(F.regexp_extract_all(given, F.lit(r'\.(?:path|replacePath|pathSegment)\(([^()]*)\)'), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r'"\s*,\s*"', "/"), '"', "")), "/"), F.lit(""))
-    fluent = _found(named, chain, "client").select("path", "client", "ord", F.upper(_part(chain)).alias("http_method"), literal.alias("literal"), F.regexp_replace(built, r"\A/*", "/").alias("built"), F.nullif(F.regexp_extract(given, r"\A(\w+)\b(?!\s*->)", 1), F.lit("")).alias("name"))
-    assigned = r'\b(?:String|var|URI)\s+(\w+)\s*=\s*"([^"]*)"'
-    values = _found(named, assigned).select("path", _part(assigned).alias("name"), _part(assigned, 2).alias("value"))
-    once = values.groupBy("path", "name").agg(F.min("value").alias("value"), F.max("value").alias("__last")).where("value = __last").drop("__last")
-    target = F.coalesce("literal", "built", "value")
-    fluent = fluent.join(once, ["path", "name"], "left").select("path", "client", "http_method", target.alias("target_path"), F.when(F.col("literal").isNotNull(), "high").otherwise("medium").alias("confidence")).where("target_path is not null")
-    template = r'\b\w*[rR]estTemplate\.(getForObject|getForEntity|postForObject|postForEntity|put|delete|patchForObject|exchange)\(\s*"([^"]*)"(?:\s*,\s*HttpMethod\.(\w+))?'
-    verb = F.coalesce(_part(template, 3), F.upper(F.nullif(F.regexp_extract("hit", r"\.(get|post|put|delete|patch)", 1), F.lit(""))), F.lit("REQUEST"))
-    rest = _found(named, template, "client").select("path", "client", verb.alias("http_method"), _part(template, 2).alias("target_path"), F.when(F.col("hit").contains("{"), "low").otherwise("medium").alias("confidence"))
-    return feign.unionByName(fluent).unionByName(rest)
+    named = files.where("path like '%.java'")
+    places = "ord int, line int, method string"
+
+    def around(text: str, rows: list[tuple]) -> list[tuple]:
+        """Rows (at, ...) as (client, at, line, innermost method, ...)."""
+        client = (scan.re.search(r"\b(?:class|interface)\s+(\w+)", text) or [None, "UnknownClient"])[1]
+        methods = [(d.body, d.name) for d in java.Source(text).declarations if d.kind == "method" and d.body] if rows else []
+        inside = lambda at: min(((b - a, n) for (a, b), n in methods if a <= at < b), default=(0, None))[1]
+        return [(client, at, scan.line_of(text, at), inside(at), *rest) for at, *rest in rows]
+
+    feign = scanned(named, ["path"], f"client string, {places}, own string, http_method string, target_path string", lambda t: around(t, _feign_calls(t)))
+    feign = feign.withColumn("method", F.col("own")).drop("own").withColumn("confidence", F.lit("high"))
+    chains = scanned(named, ["path"], f"client string, {places}, http_method string, target_path string, name string, headers array<string>, body string", lambda t: around(t, calls.fluent_calls(t)))
+    paths = scanned(named, ["path"], "ord int, name string, value string", calls.assigned_paths)
+    direct = chains.where("target_path is not null").drop("name")
+    behind = as_of(chains.where("target_path is null").drop("target_path"), paths, ["path", "name"], "ord", ["value"]).where("value is not null")
+    fluent = direct.unionByName(behind.withColumnRenamed("value", "target_path").drop("name")).withColumn("confidence", F.lit("high"))
+    template = scanned(named, ["path"], f"client string, {places}, operation string, http_method string, target_path string", lambda t: around(t, calls.template_calls(t)))
+    template = template.drop("operation").withColumn("confidence", F.when(F.col("target_path").contains("{param}"), "low").otherwise("medium"))
+    return fluent.unionByName(feign, allowMissingColumns=True).unionByName(template, allowMissingColumns=True)
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -347,16 +414,6 @@ def routes(files: DataFrame) -> DataFrame:
 
 
 _SCRIPT = r"\.[jt]sx?\z"
-#: The forms of a call, each with its method's and its path expression's group.
-_CALLS = [
-    (r"(\b[\w.$]+)\.(get|post|put|delete|patch)(?:<[^>()]*>)?\(\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\"|\((?:[^()]*)\))+)", 2, 3, "high"),
-    (r"(\bfetch)\(\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)(?:,\s*\{[^{}]*?\bmethod:\s*['\"](\w+)['\"])?", 3, 2, "medium"),
-    (r"(\b\w*(?:[rR]equest|[cC]lient|[aA]xios))\(\s*['\"](GET|POST|PUT|DELETE|PATCH)['\"]\s*,\s*((?:[^(),`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)", 2, 3, "medium"),
-    (r"(\b\w*(?:[rR]equest|[cC]lient|[aA]xios|[aA]pi))\(\s*\{(?=[^{}]*\burl:)(?:(?=[^{}]*\bmethod:\s*['\"](\w+)['\"]))?[^{}]*?\burl:\s*((?:[^{},`'\"]|`[^`]*`|'[^']*'|\"[^\"]*\")+)", 2, 3, "medium"),
-]
-_FUNCTION = r"(?:\bfunction\s+([A-Za-z_$][\w$]*)\s*\(|\b(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>)"
-
-
 def constants(files: DataFrame) -> DataFrame:
     """(path, name, value): string constants of a script and, as object.member, those in objects; values are expressions."""
     scripts = files.where(F.col("path").rlike(_SCRIPT))
@@ -384,7 +441,7 @@ def shared_constants(files: DataFrame) -> DataFrame:
 
 
 def known_values(files: DataFrame) -> DataFrame:
-    """(path, values): what each file's names mean, as a map: its own constants, then imported ones that have one value everywhere."""
+    """(path, name, value): what each file's names mean: its own constants, then imported ones that have one value everywhere."""
     own = constants(files).groupBy("path", "name").agg(F.min("value").alias("value"), F.lit(0).alias("rank"))
     shared = shared_constants(files).withColumn("head", F.regexp_extract("name", r"\A([^.]*)", 1))
     imported = import_aliases(files).withColumnRenamed("name", "head").join(shared, "head")
@@ -394,46 +451,33 @@ def known_values(files: DataFrame) -> DataFrame:
     named = own.unionByName(imported).withColumn("refers", F.explode_outer(F.regexp_extract_all("value", F.lit(r"([A-Za-z_$][\w.$]*)"), F.lit(1))))
     further = named.join(behind.select(F.col("name").alias("refers"), F.col("value").alias("v2")), "refers").select("path", F.col("refers").alias("name"), F.col("v2").alias("value"), F.lit(2).alias("rank"))
     every = own.unionByName(imported).unionByName(further)
-    first = every.groupBy("path", "name").agg(F.min_by("value", F.struct("rank", "value")).alias("value"))
-    return first.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
+    return every.groupBy("path", "name").agg(F.min_by("value", F.struct("rank", "value")).alias("value"))
 
 
 def api_calls(files: DataFrame) -> DataFrame:
     """(path, ord, function, http_method, target, expression, parameters, confidence): HTTP calls with what is known of their path.
 
-    ``function`` is the last one declared before the call; ``parameters`` are
-    at most 20 names in the path, the call's options and its headers.
+    ``ord`` is the call's offset. ``function`` is the last one whose head ends
+    before the call (an as-of join by file); ``parameters`` are at most 20
+    names in the path and in all of the call: options, bodies, headers.
     """
     scripts = files.where(F.col("path").rlike(_SCRIPT))
-    found = None
-    for pattern, method, target, level in _CALLS:
-        hits = scripts.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("hit"))
-        one = hits.select("path", "content", "hit", _part(pattern).alias("receiver"), F.upper(F.coalesce(_part(pattern, method), F.lit("GET"))).alias("http_method"), F.trim(_part(pattern, target)).alias("expression"), F.lit(level).alias("confidence"))
-        found = one if found is None else found.unionByName(one)
-    at = F.instr("content", F.col("hit"))
-    before = F.regexp_extract_all(F.substring("content", F.lit(1), at - 1), F.lit(_FUNCTION), F.lit(0))
-    last = F.get(before, F.size(before) - 1)
-    function = F.coalesce(*[F.nullif(F.regexp_extract(last, _FUNCTION, k), F.lit("")) for k in (1, 2)])
-    # up to the end of the call, as far as 400 characters behind its path
-    around = F.concat("hit", F.regexp_extract(F.substring("content", at + F.length("hit"), F.lit(400)), r"(?s)\A(.*?)(?:\);|\)\s*\n|\z)", 1))
-    options = F.regexp_extract_all(around, F.lit(r"\b(?:params|query|data|body|headers)\s*:\s*([A-Za-z_$][\w$]*)"), F.lit(1))
-    headers = F.transform(F.regexp_extract_all(around, F.lit(r"['\"]([A-Za-z][\w]*-[\w-]+)['\"]\s*:"), F.lit(1)), lambda h: F.concat(F.lit("header:"), h))
-    rows = found.select("path", at.alias("ord"), function.alias("function"), "http_method", "receiver", "expression", F.concat(options, headers).alias("__options"), "confidence")
-    rows = rows.join(known_values(files), "path", "left")
-
-    out = StructType([f for f in rows.schema if f.name != "values"]).add("target", "string")
-
-    def resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch.pop("values")
-            batch["target"] = [scan.resolve_path(e, dict(v if v is not None else {}).get) for e, v in zip(batch["expression"], values, strict=True)]
-            yield batch
-
-    rows = rows.mapInPandas(resolved, out)
+    kinds = scripts.select("path", script_class(F.col("path"), F.col("content")).alias("classification"))
+    found = scanned(scripts, ["path"], "ord int, receiver string, http_method string, expression string, options array<string>, confidence string", calls.script_calls)
+    out = StructType([*found.schema.fields]).add("target", "string")
+
+    def resolved(rows: pa.Table, known: pa.Table) -> pa.Table:
+        values = dict(zip(known["name"].to_pylist(), known["value"].to_pylist(), strict=True))
+        return rows.append_column("target", pa.array([scan.resolve_path(e, values.get) for e in rows["expression"].to_pylist()], pa.string()))
+
+    rows = found.groupBy("path").cogroup(known_values(files).groupBy("path")).applyInArrow(resolved, out)
+    rows = rows.join(kinds, "path")
+    kept = rows.where(likely_http_path("target") & (F.col("receiver").isNull() | likely_http_receiver("receiver", "classification", "target")))
+    heads = scanned(scripts, ["path"], "ord int, function string", calls.script_functions)
+    placed = as_of(kept, heads, ["path"], "ord", ["function"])
     names = F.filter(F.regexp_extract_all("target", F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda x: x != "param")
-    parameters_ = F.slice(F.array_distinct(F.concat(names, "__options")), 1, 20)
-    kept = rows.where(likely_http_path("target") | F.col("target").rlike(r"\Aapi/"))
-    return kept.select("path", "ord", "function", "http_method", "target", "expression", parameters_.alias("parameters"), "confidence").dropDuplicates(["path", "ord", "http_method", "target"])
+    parameters_ = F.slice(F.array_distinct(F.concat(names, "options")), 1, 20)
+    return placed.select("path", "ord", "function", "http_method", "target", "expression", parameters_.alias("parameters"), "confidence")
 
 
 def api_consumers(files: DataFrame, functions: DataFrame, owners: DataFrame, components_of: DataFrame, most: int = 20) -> DataFrame:
@@ -452,18 +496,39 @@ def api_consumers(files: DataFrame, functions: DataFrame, owners: DataFrame, com
 
 
 def ui_components(files: DataFrame, found_routes: DataFrame) -> DataFrame:
-    """Components with their children; one that is routed or stands in a page file is a page."""
-    pattern = r"(?:export\s+(default\s+)?)?(?:function|const)\s+([A-Z]\w*)\s*(?:=|\()"
-    names = _found(files.where(F.col("path").rlike(r"\.[jt]sx\z")), pattern, "content").where(~_part(pattern, 2).rlike(r"\A[A-Z][A-Z0-9_]*[A-Z_][A-Z0-9_]*\z")).select("path", "ord", _part(pattern, 2).alias("component"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"<([A-Z]\w*)"), F.lit(1))).alias("children"), F.array_distinct(F.regexp_extract_all("content", F.lit(r"import[^;]*?from\s+['\"]([^'\"]+)"), F.lit(1))).alias("imports"), "content")
+    """(path, ord, component, classification, route, export, children, imports, props_type, confidence) of pages', components' and routes' files.
+
+    A component is a page if it is routed, or the main one of a page's file:
+    called like the file, ending in Page, or alone there.
+    """
+    kinds = files.where(F.col("path").rlike(_SCRIPT)).withColumn("kind", script_class(F.col("path"), F.col("content"))).where(F.col("kind").isin("page", "component", "route"))
+    made = "ord int, component string, export string, children array<string>, imports array<string>, props_type string"
+    base = F.regexp_extract("path", r"([^/]*)\.[tj]sx?\z", 1)
+    rows = scanned(kinds, ["path", "kind"], made, calls.script_components).withColumn("base", base)
+    named = rows.withColumn("component", F.coalesce("component", F.when(F.col("base").rlike(r"\A[A-Z]\w*\z"), F.col("base")))).where("component is not null")
+    named = named.withColumn("children", F.array_remove("children", F.col("component"))).dropDuplicates(["path", "component"])
+    alone = named.groupBy("path").agg((F.count(F.lit(1)) == 1).alias("alone"))
     last = found_routes.groupBy("component").agg(F.max("route").alias("route"))
-    kind = F.when((script_class(F.col("path"), F.col("content")) == "page") | F.col("route").isNotNull(), "page").otherwise("component")
-    return names.join(last, "component", "left").withColumn("classification", kind).drop("content")
+    joined = named.join(alone, "path").join(last, "component", "left")
+    main = (F.col("kind") == "page") & ((F.col("component") == F.col("base")) | F.col("component").endswith("Page") | F.col("alone"))
+    kind, level = F.when(main | F.col("route").isNotNull(), "page").otherwise("component"), F.when(F.col("route").isNotNull(), "high").otherwise("medium")
+    return joined.select("path", "ord", "component", kind.alias("classification"), "route", "export", "children", "imports", "props_type", level.alias("confidence"))
+
 
+def interactions(files: DataFrame, found_components: DataFrame | None = None) -> DataFrame:
+    """(path, ord, element, event, handler, label): elements with a handler and submitted forms.
 
-def interactions(files: DataFrame) -> DataFrame:
-    """Elements with an event handler: element, event, handler, label."""
-    pattern = r"<(\w+)\b[^>]*?\bon(Click|Submit|Change)=\{([^}]*)\}[^>]*>([^<]{0,120})"
-    return _found(files, pattern).select("path", "ord", _part(pattern).alias("element"), F.concat(F.lit("on"), _part(pattern, 2)).alias("event"), _part(pattern, 3).alias("handler"), F.trim(_part(pattern, 4)).alias("label"))
+    With components (path, ord, component, classification) their owner is told
+    too (``component``; ``page`` if that is one): the file's page, else its
+    first component; records of files without any go.
+    """
+    rows = scanned(files, ["path"], "ord int, element string, event string, handler string, label string", calls.interactions)
+    if found_components is None:
+        return rows
+    first = F.struct(F.when(F.col("classification") == "page", 0).otherwise(1).alias("rank"), "ord", "component")
+    owners = found_components.groupBy("path").agg(F.min(first).alias("o"))
+    owner = F.col("o.component")
+    return rows.join(owners, "path").select(*rows.columns, owner.alias("component"), F.when(F.col("o.rank") == 0, owner).alias("page"))
 
 
 def state_hooks(files: DataFrame) -> DataFrame:

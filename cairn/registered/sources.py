@@ -61,6 +61,7 @@ public class C@Advice { @ExceptionHandler(MissingException.class) public void on
 }
 FEIGN = '@FeignClient(name = "c")\npublic interface C@Client { @GetMapping("/be/c@/{id}") C@Dto get(Long id); }\n'
 FLUENT = """public class C@Client {
+  private final RestClient rest; private final WebClient web;
   C@Dto a() { return rest.get().uri("/be/c@/a").retrieve(); }
   C@Dto b() { String where = "/be/c@/b"; return rest.post().headers(h -> h.add("x")).uri(where).retrieve(); }
   C@Dto c() { return web.put().uri(u -> u.path("/be/c@").pathSegment("x", "y").build()).retrieve(); }
@@ -75,11 +76,12 @@ import F@ from '../components/F@';
 export default function P@Page() {
   const [order, setOrder] = useState(null);
   const [form, dispatch] = useReducer(reducer, initial);
-  return <form onSubmit={save}><input name="code@"/><F@/><button onClick={() => loadC@(1)}>Load {order}</button></form>;
+  return <form onSubmit={save}><input name="code@"/><F@/><p>Orders that are still open stand here until they are shipped, those that were shipped before today stand on the next page of this list.</p><button onClick={() => loadC@(1)}>Load {order}</button></form>;
 }
 const initial = { code: '', total: 0 };
 """,
-    "components/F@.tsx": """export const F@ = () => {
+    "components/F@.tsx": """import React from 'react';
+export const F@ = () => {
   return <div><input aria-label="label@"/><select value={form.kind} onChange={pick}/><input {...register('reg@')}/></div>;
 };
 """,
@@ -89,7 +91,7 @@ const own = '/own@';
 export const loadC@ = (id) => apiClient.get(`${BASE}${PATHS@.list}/${id}`, { params: query, headers: { 'X-Trace-Id': trace } });
 export function saveC@(body) { return fetch(own + '/save', { method: 'POST', body: payload }); }
 export const dropC@ = (id) => request('DELETE', `/c@/${order.id}`);
-export const findC@ = () => httpClient({ method: 'PUT', url: PATHS@.deep });
+export const findC@ = () => httpRequest({ method: 'PUT', url: PATHS@.deep });
 """,
     "App@Routes.tsx": """export const App@ = () => <Routes><Route path="/p@" element={<Guard><P@Page/></Guard>} /></Routes>;
 const more = [{ path: '/q@', element: <F@/> }];
@@ -164,7 +166,7 @@ def java_tests(spark, sf):
 
 
 def java_method_calls(spark, sf):
-    return extract.method_calls(_files(spark, sf)).where("class_name like '%Service' or class_name like '%Controller'").select("class_name", "method", "receiver", "receiver_type", "target", "confidence")
+    return extract.method_calls(_files(spark, sf)).select("class_name", "method", "receiver", "receiver_type", "target", "confidence")
 
 
 def repository_methods(spark, sf):
@@ -202,11 +204,12 @@ def ui_routes(spark, sf):
 
 def ui_components(spark, sf):
     f = _files(spark, sf)
-    return extract.ui_components(f, extract.routes(f)).where("path like '%/pages/%' or path like '%/components/%'").select("component", "route", "classification", joined("children").alias("children"), joined("imports").alias("imports"))
+    return extract.ui_components(f, extract.routes(f)).select("component", "route", "classification", joined("children").alias("children"), joined("imports").alias("imports"), "export", "confidence")
 
 
 def ui_interactions(spark, sf):
-    return extract.interactions(_files(spark, sf)).where("path like '%/pages/%'").select("path", "element", "event")
+    f = _files(spark, sf)
+    return extract.interactions(f, extract.ui_components(f, extract.routes(f))).select("path", "element", "event", "handler", "label", "component", "page")
 
 
 def ui_constants(spark, sf):
@@ -288,7 +291,7 @@ _M = "'bff' AS module, 'main' AS source_set"
 ORACLE_SQL = {
     "source_kinds_of_files": _rows(
         f"{_W} 'web/C' || k || 'Controller.java' AS path, 'java' AS file_kind, 'controller' AS kind, {_M}",
-        *[f"{_W} '{folder}/C' || k || '{name}.java', 'java', '{kind}', 'bff', 'main'" for folder, name, kind in (("svc", "Service", "service"), ("data", "Repository", "repository"), ("data", "", "entity"), ("dto", "Dto", "dto"), ("dto", "Request", "dto"), ("client", "Client", "client"), ("web", "Advice", "exception"))],
+        *[f"{_W} '{folder}/C' || k || '{name}.java', 'java', '{kind}', 'bff', 'main'" for folder, name, kind in (("svc", "Service", "service"), ("data", "Repository", "repository"), ("data", "", "entity"), ("dto", "Dto", "dto"), ("dto", "Request", "dto"), ("client", "Client", "client"), ("web", "Advice", "unknown"))],
         "'bff/src/test/java/shop/C' || k || 'Test.java', 'java', 'test', 'bff', 'test'", "'bff/src/main/resources/application-' || k || '.properties', 'config', 'unknown', 'bff', 'main'",
         *[f"{_P} {path}, 'script', '{kind}', NULL, NULL" for path, kind in (("'pages/P' || k || 'Page.tsx'", "page"), ("'components/F' || k || '.tsx'", "component"), ("'config/paths' || k || '.ts'", "unknown"), ("'api/c' || k || 'Api.ts'", "api-client"), ("'App' || k || 'Routes.tsx'", "route"))],
     ),
@@ -333,8 +336,8 @@ ORACLE_SQL = {
     ),
     "outbound_calls": _rows(
         "'C' || k || 'Client' AS client, 'GET' AS http_method, '/be/c' || k || '/{id}' AS target_path, 'high' AS confidence WHERE n % 3 = 0",
-        "'C' || k || 'Client', 'GET', '/be/c' || k || '/a', 'high' WHERE n % 3 = 1", "'C' || k || 'Client', 'POST', '/be/c' || k || '/b', 'medium' WHERE n % 3 = 1", "'C' || k || 'Client', 'PUT', '/be/c' || k || '/x/y', 'medium' WHERE n % 3 = 1",
-        "'C' || k || 'Client', 'GET', '/be/c' || k || '/{id}', 'low' WHERE n % 3 = 2", "'C' || k || 'Client', 'DELETE', '/be/c' || k, 'medium' WHERE n % 3 = 2",
+        "'C' || k || 'Client', 'GET', '/be/c' || k || '/a', 'high' WHERE n % 3 = 1", "'C' || k || 'Client', 'POST', '/be/c' || k || '/b', 'high' WHERE n % 3 = 1", "'C' || k || 'Client', 'PUT', '/be/c' || k || '/x/y', 'high' WHERE n % 3 = 1",
+        "'C' || k || 'Client', 'GET', '/be/c' || k || '/{id}', 'medium' WHERE n % 3 = 2", "'C' || k || 'Client', 'DELETE', '/be/c' || k, 'medium' WHERE n % 3 = 2",
     ),
     "enclosing_methods": _rows(
         f"{_W} 'svc/C' || k || 'Service.java' AS path, 'repository.findById' AS mention, 'find' AS method, CAST(6 AS BIGINT) AS start_line", f"{_W} 'svc/C' || k || 'Service.java', 'audit.note', 'check', CAST(7 AS BIGINT)",
@@ -343,13 +346,17 @@ ORACLE_SQL = {
         f"{_P} 'App' || k || 'Routes.tsx' AS path, '/p' || k AS route, 'P' || k || 'Page' AS component, 'high' AS confidence", f"{_P} 'App' || k || 'Routes.tsx', '/q' || k, 'F' || k, 'medium'",
     ),
     "ui_components": _rows(
-        "'P' || k || 'Page' AS component, '/p' || k AS route, 'page' AS classification, 'F' || k AS children, '../api/c' || k || 'Api,../components/F' || k AS imports", "'F' || k, '/q' || k, 'page', '', ''",
+        "'P' || k || 'Page' AS component, '/p' || k AS route, 'page' AS classification, 'F' || k AS children, '../api/c' || k || 'Api,../components/F' || k AS imports, 'default' AS export, 'high' AS confidence",
+        "'F' || k, '/q' || k, 'page', '', 'react', 'named', 'high'", "'App' || k, NULL, 'component', 'Routes,Route,Guard,P' || k || 'Page,F' || k, '', 'named', 'medium'",
+    ),
+    "ui_interactions": _rows(
+        f"{_P} 'pages/P' || k || 'Page.tsx' AS path, 'form' AS element, 'onSubmit' AS event, 'save' AS handler, 'form submit' AS label, 'P' || k || 'Page' AS component, 'P' || k || 'Page' AS page",
+        f"{_P} 'pages/P' || k || 'Page.tsx', 'button', 'onClick', '() => loadC' || k || '(1)', 'Load', 'P' || k || 'Page', 'P' || k || 'Page'",
     ),
-    "ui_interactions": _rows(f"{_P} 'pages/P' || k || 'Page.tsx' AS path, 'form' AS element, 'onSubmit' AS event", f"{_P} 'pages/P' || k || 'Page.tsx', 'button', 'onClick'"),
     "ui_constants": _rows("'ROOT' || k AS name, 'import.meta.env.ROOT ?? ''/api''' AS value", "'PATHS' || k || '.list', '''/c' || k || ''''", "'PATHS' || k || '.deep', '`/deep/c' || k || '`'"),
     "ui_api_calls": _rows(
         f"{_P} 'api/c' || k || 'Api.ts' AS path, 'loadC' || k AS \"function\", 'GET' AS http_method, '/api/c' || k || '/{{id}}' AS target, 'id,query,header:X-Trace-Id' AS parameters, 'high' AS confidence".replace("{{id}}", "{id}"),
-        f"{_P} 'api/c' || k || 'Api.ts', 'saveC' || k, 'POST', '/own' || k || '/save', 'payload', 'medium'",
+        f"{_P} 'api/c' || k || 'Api.ts', 'saveC' || k, 'POST', '/own' || k || '/save', 'payload', 'high'",
         f"{_P} 'api/c' || k || 'Api.ts', 'dropC' || k, 'DELETE', '/c' || k || '/{{id}}', 'id', 'medium'".replace("{{id}}", "{id}"),
         f"{_P} 'api/c' || k || 'Api.ts', 'findC' || k, 'PUT', '/deep/c' || k, '', 'medium'",
     ),
