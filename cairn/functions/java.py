@@ -205,6 +205,8 @@ class Source:
             if self.tokens[k] in (";", "}"):
                 return k + 1
             k = self._close(k, end) if self.tokens[k] in _OPEN else k + 1
+        if k >= end:
+            return end
         if self.tokens[k] == "<":
             start = k = self._angle(k, end)
         while k < end:
