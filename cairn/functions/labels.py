@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.functions.text import MASK, Text, _col, _replace
+from cairn.functions.text import OLDER_MASK_RULES, Text, _col, _replace
+
+WHITE = " \t\n\r\f\v"
 
 # Pages and handlers ---------------------------------------------------------------
 
@@ -36,25 +38,39 @@ def needs_interaction(call: Text) -> Column:
 
 
 def likely_http_path(path: Text) -> Column:
-    return _col(path).rlike(r"(?i)\A(?:https?://|/)") & ~_col(path).isin("/", "//")
+    """A path from the root, or an address of the web; the root alone is none."""
+    p = _col(path)
+    scheme = F.lower(F.substring_index(p, "://", 1))
+    return (p.startswith("/") & ~p.isin("/", "//")) | (p.contains("://") & scheme.isin("http", "https"))
+
+
+#: What the last part of an HTTP client's name ends with, and the extensions of source files.
+RECEIVERS = ["axios", "api", "client", "http", "request", "gateway", "service"]
+SOURCES = ["java", "kt", "ts", "tsx", "js", "jsx", "properties", "yml", "yaml", "xml", "json"]
+#: Parts of configuration keys that name another system.
+INTEGRATIONS = ["url", "uri", "host", "kafka", "rabbit", "mq", "client", "integration", "external"]
 
 
-#: What the last part of an HTTP client's name ends with.
-RECEIVERS = "axios|api|client|http|request|gateway|service"
+def _any(words: list[str], test) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), test)
 
 
 def likely_http_receiver(receiver: Text, classification: Text, path: Text) -> Column:
-    last = F.regexp_extract(F.regexp_replace(_col(receiver), r"\s+", ""), r"([^.]*)\z", 1)
-    return (_col(classification) == "api-client") | last.rlike(f"(?i)(?:{RECEIVERS})\\z") | _col(path).rlike(r"(?i)\A/?api/")
+    """The receiver's last part ends like a client, or the file is one, or the path leads into an API."""
+    last = F.lower(F.element_at(F.split(F.translate(_col(receiver), " \t\r\n", ""), "[.]"), -1))
+    path_ = F.lower(_col(path))
+    inside = path_.startswith("api/") | path_.startswith("/api/")
+    return (_col(classification) == "api-client") | _any(RECEIVERS, lambda w: F.endswith(last, w)) | inside
 
 
 def looks_like_source(file: Text) -> Column:
-    return _col(file).rlike(r"(?i)\.(java|kt|tsx?|jsx?|properties|ya?ml|xml|json)\z")
+    parts = F.split(F.lower(_col(file)), "[.]")
+    return (F.size(parts) > 1) & F.element_at(parts, -1).isin(*SOURCES)
 
 
 def integration_signal(key: Text) -> Column:
     """A configuration key that names another system."""
-    return _col(key).rlike("(?i)url|uri|host|kafka|rabbit|mq|client|integration|external")
+    return _any(INTEGRATIONS, lambda w: F.contains(F.lower(_col(key)), w))
 
 
 def handler_name(x: Text) -> Column:
@@ -70,11 +86,13 @@ def flow_method(x: Text) -> Column:
 
 
 def relative_source(x: Text) -> Column:
-    """A mentioned path from its src folder on, with forward slashes; null for nothing and for addresses."""
-    bare = _replace(F.trim(_col(x)), (r"\A[\"'`(]+", ""), (r"[\"'`),.:;]+\z", ""))
-    inside = F.regexp_replace(bare, r"(?is)\A.+?[\\/](?=src[\\/])", "")
-    found = F.regexp_replace(F.when(bare.rlike(r"(?i)\Asrc[\\/]"), bare).otherwise(inside), r"\\", "/")
-    return F.when((bare != "") & ~bare.rlike(r"(?i)\A[a-z]+://"), F.regexp_replace(found, r"\A/+", ""))
+    """A mentioned path from its first src folder on, with forward slashes; null for nothing and for addresses."""
+    bare = F.rtrim(F.ltrim(F.btrim(_col(x), F.lit(WHITE)), F.lit("\"'`(")), F.lit("\"'`),.:;"))
+    parts = F.split(F.translate(bare, "\\", "/"), "/")
+    at = F.array_position(F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.lower), "src")
+    found = F.array_join(F.when(at > 1, F.slice(parts, at.cast("int"), F.size(parts))).otherwise(parts), "/")
+    address = F.substring_index(bare, "://", 1).rlike(r"\A[A-Za-z]+\z") & bare.contains("://")
+    return F.when((bare != "") & ~address, F.ltrim(found, F.lit("/")))
 
 
 #: Types that name no data type of the application.
@@ -94,7 +112,8 @@ def type_names(signature: Text) -> Column:
 
 def plain_label(x: Text, most: int = 220) -> Column:
     """One line without control characters and diagram directives."""
-    return F.left(F.trim(_replace(_col(x), (r"%%\s*\{", "% {"), (r"[\x00-\x1f\x7f]+", " "), (r"\s+", " "))), F.lit(most))
+    line = F.btrim(F.regexp_replace(_col(x), r"[\p{Cntrl}\s]+", " "))
+    return F.left(F.replace(F.replace(line, F.lit("%%{"), F.lit("% {")), F.lit("%% {"), F.lit("% {")), F.lit(most))
 
 
 def diagram_label(x: Text) -> Column:
@@ -115,21 +134,26 @@ def without_closing_tag(x: Text, tag: str) -> Column:
 
 
 def model_text(x: Text) -> Column:
-    """A model's answer without its thoughts and the fence around it."""
-    said = F.trim(F.regexp_replace(_col(x), r"(?is)\A\s*<think>.*?</think>\s*", ""))
-    fence = r"(?is)\A```(?:json|markdown|md)?\s*\r?\n(.*?)\r?\n```\s*\z"
-    return F.trim(F.when(said.rlike(fence), F.regexp_extract(said, fence, 1)).otherwise(said))
+    """A model's answer without its thoughts and the fence around it.
+
+    Thoughts are what the answer begins with in think tags. A fence is a first
+    line of three backticks, alone or with json, markdown or md, and a last
+    line of three backticks.
+    """
+    begun = F.ltrim(_col(x), F.lit(WHITE))
+    close = F.locate("</think>", F.lower(begun))
+    thought = F.lower(begun).startswith("<think>") & (close > 0)
+    said = F.btrim(F.when(thought, F.substring(begun, close + len("</think>"), F.length(begun))).otherwise(begun), F.lit(WHITE))
+    lines = F.split(said, "\n")
+    first, last = F.lower(F.rtrim(F.element_at(lines, 1), F.lit(WHITE))), F.element_at(lines, -1)
+    fenced = (F.size(lines) > 2) & first.isin("```", "```json", "```markdown", "```md") & (last == "```")
+    inside = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    return F.when(fenced, F.btrim(inside, F.lit(WHITE))).otherwise(said)
 
 
 def legacy_mask(x: Text) -> Column:
     """The older mask of three rules; quotes around a value go."""
-    keys = "password|token|secret|api[_-]?key|client[_-]?secret"
-    return _replace(
-        _col(x),
-        (rf"(?i)({keys})\s*[:=]\s*[\"']?[^\"'\s]+", f"$1={MASK}"),
-        (r"(?i)(authorization:\s*)(?:bearer\s+)?[A-Za-z0-9._~+/=-]+", f"$1{MASK}"),
-        (r"(?s)-----BEGIN [^-]+PRIVATE KEY-----.*?-----END [^-]+PRIVATE KEY-----", MASK),
-    )
+    return _replace(_col(x), *OLDER_MASK_RULES)
 
 
 def masks_in(x: Text) -> Column:

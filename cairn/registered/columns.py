@@ -45,7 +45,7 @@ def handler_names(spark, sf):
 
 
 def diagram_labels(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.left("html", F.lit(400)).alias("h"))
+    p = table(spark, sf, "pages").select("page_id", F.col("html").alias("h"))
     digest = lambda c: F.sha2(c, 256)
     return p.select("page_id", digest(L.plain_label("h")).alias("plain"), digest(L.diagram_label("h")).alias("diagram"), digest(L.sequence_label("h")).alias("sequence"), digest(L.xml_text("h")).alias("xml"), digest(L.without_closing_tag("h", "nav")).alias("kept"), digest(T.label_text("h")).alias("text"))
 
@@ -151,7 +151,7 @@ QUERIES = {
     )
 }
 
-_H = "left(html, 400)"
+_H = "html"
 _PLAIN = rf"left(trim(regexp_replace(regexp_replace(regexp_replace({_H}, '%%\s*\{{', '% {{', 'g'), '[\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g')), 220)"
 _DIAGRAM = f"translate(replace({_PLAIN}, '&', 'and'), '\"`<>[{{]}}', '''''''''(())')"
 _WORD = r"regexp_extract(p_name, '(\w+)$', 1)"
@@ -173,7 +173,7 @@ ORACLE_SQL = {
     "handler_names": f"""SELECT p_partkey, {_WORD} AS handler, CASE WHEN p_partkey % 2 = 0 THEN 'run' ELSE {_WORD} END AS method, true AS alike FROM part""",
     "diagram_labels": rf"""SELECT page_id, sha256({_PLAIN}) AS plain, sha256({_DIAGRAM}) AS diagram, sha256(replace(replace({_DIAGRAM}, ':', ' -'), ';', ',')) AS sequence,
         sha256(replace(replace(replace(replace(replace({_H}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml,
-        sha256(replace({_H}, '</nav', '<\/nav')) AS kept, sha256(trim(regexp_replace(regexp_replace(regexp_replace({_H}, '<[^>]*>', ' ', 'g'), '[{{}}]', ' ', 'g'), '\s+', ' ', 'g'))) AS text FROM pages""",
+        sha256(replace({_H}, '</nav', '<\/nav')) AS kept, sha256(trim(regexp_replace(regexp_replace(regexp_replace({_H}, '<[^>]+>', ' ', 'g'), '\{{[^}}]+\}}', ' ', 'g'), '\s+', ' ', 'g'))) AS text FROM pages""",
     "model_texts": "SELECT conv_id, turn, sha256(trim(coalesce(text, ''))) AS sha256 FROM conversations",
     "legacy_masks": f"SELECT doc_id, sha256({_LEGACY}) AS sha256, CAST((length({_LEGACY}) - length(replace({_LEGACY}, '[MASKED_SECRET]', ''))) / 15 AS BIGINT) AS n_masks FROM documents",
     "lenient_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 3 < 2 AS record FROM events",
