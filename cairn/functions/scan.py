@@ -43,6 +43,12 @@ def split_top(text: str, separator: str = ",", angles: bool = False) -> list[str
     return [p for p in parts if p]
 
 
+def close_tag(text: str, start: int, name: str) -> int:
+    """The place behind the closing tag of the element at ``start``, or behind its own tag where none follows."""
+    close = text.find(f"</{name}>", start)
+    return close + len(name) + 3 if close >= 0 else text.find(">", start) + 1 or len(text)
+
+
 def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 

@@ -122,7 +122,7 @@ def admitted(items: DataFrame, by: list[str], order: str, size: str, most: int,
     """
     charge = F.col(size) if reserve is None else F.least(F.col(size), F.lit(reserve))
     few = top_k(items, by, [F.col(order).asc()], at_most)
-    lists = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), (charge + wrapper).cast("bigint").alias("need")))).alias("c"))
+    lists = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), (charge + wrapper).cast("bigint").alias("need")))).alias("__list"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr(f"cast(array() as array<{dict(items.dtypes)[order]}>)").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -132,7 +132,7 @@ def admitted(items: DataFrame, by: list[str], order: str, size: str, most: int,
             F.when(fits, F.concat(acc["taken"], F.array(x[order]))).otherwise(acc["taken"]).alias("taken"),
         )
 
-    return lists.select(*by, F.explode(F.aggregate("c", start, step)["taken"]).alias(order))
+    return lists.select(*by, F.explode(F.aggregate("__list", start, step)["taken"]).alias(order))
 
 
 def packed(blocks: DataFrame, by: list[str], order: str, size: str, most: int, separator: int = 7) -> DataFrame:
