@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,7 +65,7 @@ def _number(x: float) -> str:
     if x != x or abs(x) == float("inf"):
         return "null"
     if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
+        return f"{Decimal(repr(x)):.0f}" if abs(x) >= 2**53 else str(int(x))
     return re.sub(r"e([+-])0+(?=\d)", r"e\1", repr(x))
 
 

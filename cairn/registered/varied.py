@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import extract, syntax
 from cairn.queries import table
+from cairn.sources import files
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -191,6 +192,23 @@ def classified_files(spark, sf):
     return f.select(F.col("rule").cast("bigint").alias("rule"), "path", kind.alias("kind"))
 
 
+#: Paths by supplier and whether a Spring scan reads them.
+SCANNED = [
+    ("pom.xml", True), ("a<k>/Build.Gradle.kts", True), ("settings.gradle", True), ("package.json", False), ("m<k>/src/main/java/p/A<k>.java", True), ("src/test/java/B<k>.JAVA", True), ("src/main/kotlin/C<k>.java", False),
+    ("xsrc/main/java/D<k>.java", False), ("src/main/resources/application.yml", True), ("src/main/resources/x/bootstrap-dev.<k>.yaml", True), ("src/main/resources/application-.yml", False), ("src/main/resources/applications<k>.yml", False),
+    ("src/test/resources/application.yml", False), ("src/main/resources/logback.xml", False), ("target/src/main/java/E<k>.java", False), ("m/.vscode/pom.xml", False), ("BIN/src/main/java/F<k>.java", True), ("Node_Modules/pom.xml", False),
+    (".mvn/pom.xml", True), (".ai-docs/<k>/pom.xml", False), ("targets/pom.xml", True), ("out/<k>/build.gradle", False),
+]
+
+
+def scanned_paths(spark, sf):
+    """Which paths a Spring scan reads: folders that it passes over, then names."""
+    k = F.col("s_suppkey")
+    structs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("rule"), _filled(p, k=k).alias("path")) for i, (p, _) in enumerate(SCANNED)])
+    f = table(spark, sf, "supplier").select("s_suppkey", F.explode(structs).alias("f")).select("s_suppkey", "f.*")
+    return f.where(files.below_ignored(F.col("path"), files.IGNORED) | ~files.spring_relevant(F.col("path"))).select("s_suppkey", "rule", "path")
+
+
 #: A controller's members by part: what the syntax has to tell apart.
 CONTROLLER = [
     '  @GetMapping({"/a<k>", "/b<k>"}) public List<Map<String, Dto>> read<k>(@PathVariable("id") @NotNull Long id) { return x; }',
@@ -224,7 +242,7 @@ def syntax_divergence(spark, sf):
     return syntax.divergence(varied_controllers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (repeated_api_calls, nested_method_calls, chained_outbound_calls, owned_interactions, exported_components, classified_files, syntax_endpoints, syntax_divergence)}
+QUERIES = {f.__name__: f for f in (repeated_api_calls, nested_method_calls, chained_outbound_calls, owned_interactions, exported_components, classified_files, scanned_paths, syntax_endpoints, syntax_divergence)}
 
 
 def _cases(values: list[str]) -> str:
@@ -264,6 +282,8 @@ ORACLE_SQL = {
           array_to_string(list_sort(children), ',') AS children, 'react,../box' AS imports, 'medium' AS confidence FROM n JOIN f USING (c)""",
     "classified_files": f"""SELECT CAST(v.i AS BIGINT) AS rule, replace(v.p, '<k>', CAST(s_suppkey AS VARCHAR)) AS path, v.kind FROM supplier,
         (VALUES {", ".join(f"({i}, '{p}', '{kind}')" for i, ((p, _), kind) in enumerate(zip(KINDS, KIND_NAMES, strict=True)))}) v(i, p, kind)""",
+    "scanned_paths": f"""SELECT s_suppkey, CAST(v.i AS BIGINT) AS rule, replace(v.p, '<k>', CAST(s_suppkey AS VARCHAR)) AS path FROM supplier,
+        (VALUES {", ".join(f"({i}, '{p}')" for i, (p, read) in enumerate(SCANNED) if not read)}) v(i, p)""",
     "syntax_endpoints": f"""WITH {_SPAN}, v AS (SELECT * FROM (VALUES
           (0, 'C', 'read', 'GET', '/a<k>', true, 'List<Map<String, Dto>>', 'path:id:Long', 'Validated,NotNull', '', 0, 3, 0, 'read'), (0, 'C', 'read', 'GET', '/b<k>', true, 'List<Map<String, Dto>>', 'path:id:Long', 'Validated,NotNull', '', 0, 3, 0, 'read'),
           (1, 'C', 'write', 'PUT', '/m<k>', true, 'void', 'body:body:Body;query:q:String', 'Validated,Valid', 'PreAuthorize', 0, 3, 2, 'write'), (1, 'C', 'write', 'PATCH', '/m<k>', true, 'void', 'body:body:Body;query:q:String', 'Validated,Valid', 'PreAuthorize', 0, 3, 2, 'write'),

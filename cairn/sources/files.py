@@ -11,31 +11,42 @@ from cairn.functions.text import mask_secrets, source_layout
 from cairn.operators.select import scan_violations
 
 #: Directories that a scan never reads, and its inclusive limits.
-IGNORED = [".git", ".gradle", ".idea", ".mvn", "bin", "build", "dist", "node_modules", "out", "target"]
+IGNORED = [".git", ".idea", ".vscode", ".ai-docs", "node_modules", "target", "build", "dist", "out", ".gradle"]
 UI_IGNORED = [".git", ".idea", ".vscode", ".ai-docs", "node_modules", "dist", "build", "coverage", "out", ".next", ".turbo"]
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 50_000, 5 << 20, 512 << 20
 
-BUILD_FILES = "pom.xml|build.gradle|build.gradle.kts|settings.gradle|settings.gradle.kts|package.json"
+#: Build files of a Spring repository, and what begins the names of its settings.
+BUILD_FILES = ["pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"]
+SETTINGS = ["application", "bootstrap"]
+
+
+def _name(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, "/"), -1))
 
 
 def file_kind(path: Column) -> Column:
-    return F.when(path.endswith(".java"), "java").when(path.rlike(rf"(?:\A|/)(?:{BUILD_FILES})\z"), "build").when(path.rlike(r"\.(properties|ya?ml)\z"), "config").when(
+    return F.when(path.endswith(".java"), "java").when(_name(path).isin(*BUILD_FILES, "package.json"), "build").when(path.rlike(r"\.(properties|ya?ml)\z"), "config").when(
         path.rlike(r"\.[jt]sx?\z"), "script"
     )
 
 
+def below_ignored(path: Column, ignored: list[str]) -> Column:
+    """Whether a file lies below a directory of one of these names, in any case."""
+    folders = F.transform(F.split(path, "/"), F.lower)
+    return F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*[F.lit(n) for n in ignored]))
+
+
 def scan_files(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
     """(path, kind, size, content, module_path, source_set, source_root) of the relevant text files below ``root``, whose paths are relative to it.
 
     Paths are filtered before contents are decoded; a file with a NUL byte is
     binary and goes.
     """
-    names = "|".join(n.replace(".", r"\.") for n in (ignored or IGNORED))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     at = F.instr("path", base)
     relative = F.when(at > 0, F.substr("path", at + len(base))).otherwise(F.col("path"))
-    files = raw.withColumn("path", relative).where(~F.col("path").rlike(rf"(?i)(\A|/)({names})/")).withColumn("kind", file_kind(F.col("path"))).where("kind is not null")
+    files = raw.withColumn("path", relative).where(~below_ignored(F.col("path"), ignored or IGNORED)).withColumn("kind", file_kind(F.col("path"))).where("kind is not null")
     layout = source_layout("path")
     text = F.decode("content", "UTF-8")
     return files.where(F.instr(F.col("content"), F.lit("\0")) == 0).select(
@@ -44,9 +55,16 @@ def scan_files(spark: SparkSession, root: str, ignored: list[str] | None = None)
 
 
 def spring_relevant(path: Column) -> Column:
-    """Build files, Java sources, and the application's and bootstrap's settings."""
-    settings = r"(?i)(\A|/)src/main/resources/(?:[^/]+/)*(application|bootstrap)(-[^/]+)?\.(properties|ya?ml)\z"
-    return path.rlike(rf"(?:\A|/)(?:{BUILD_FILES})\z") | path.rlike(r"(?i)(\A|/)src/(main|test)/java/.*\.java\z") | path.rlike(settings)
+    """Build files, Java sources of both source sets, and the settings among the resources, in any case."""
+    p, name = F.concat(F.lit("/"), F.lower(path)), _name(path)
+    inside = lambda source_set, folder: p.contains(f"/src/{source_set}/{folder}/")
+    parts = F.split(name, "[.]")
+    stem = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ".")
+    called = F.lit(False)
+    for s in SETTINGS:
+        called = called | (stem == s) | (stem.startswith(f"{s}-") & (F.length(stem) > len(s) + 1))
+    settings = inside("main", "resources") & called & F.element_at(parts, -1).isin("properties", "yml", "yaml")
+    return name.isin(*BUILD_FILES) | ((inside("main", "java") | inside("test", "java")) & name.endswith(".java")) | settings
 
 
 def ui_relevant(path: Column) -> Column:

@@ -137,7 +137,7 @@ def test_repositories_are_scanned_within_their_limits(spark, tmp_path):
         (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / n).write_text("x" * len(n))
     paths = lambda df: [r["path"] for r in df.collect()]
-    assert paths(source.scan_repository(spark, str(tmp_path))) == ["pom.xml", "src/main/java/a/B.java", "src/main/resources/application-dev.yml", "src/test/java/a/BTest.java", "ui/package.json"]
+    assert paths(source.scan_repository(spark, str(tmp_path))) == ["pom.xml", "src/main/java/a/B.java", "src/main/resources/application-dev.yml", "src/test/java/a/BTest.java"]
     assert paths(source.scan_repository(spark, str(tmp_path), user_interface=True)) == ["ui/App.tsx", "ui/package.json", "ui/vite.config.ts"]
     with pytest.raises(ValueError, match="file-count: ui/vite.config.ts"):
         source.scan_repository(spark, str(tmp_path), True, (2, 100, 1000))
