@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,86 @@ def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy("source", "type", "target").agg(F.min("table_ord").alias("table_ord"))
 
 
+#: The indexes of a repository trio in the order that they are read, each with its layer, its node's type, id and label, and its edges:
+#: (type, source, target, confidence, properties). A * is the node itself, <layer> its layer's repository; null ends make no edge.
+_FILE = "safe_file(file)"
+INDEXES = [
+    ("repos", None, "Repo", "id", "label", [("CONTAINS_REPO", "'system'", "if(id = 'system', null, id)", None, None)]),
+    ("ui.files", "ui", "File", _FILE, "file", [("HAS_FILE", "'repo:ui'", "*", None, None)]),
+    ("ui.pages", "ui", "ReactPage", "concat('ui:page:', page)", "page", [("DEFINED_IN", "*", _FILE, None, None)]),
+    ("ui.components", "ui", "ReactComponent", "concat('ui:component:', component)", "component",
+     [("DEFINED_IN", "*", _FILE, None, None), ("ROUTE_TO", "if(route is null, null, concat('ui:page:', component))", "*", "'medium'", "route")]),
+    ("ui.interactions", "ui", "UiInteraction", "concat('ui:interaction:', hash16)", "concat(coalesce(label, 'interaction'), ' -> ', coalesce(handler, ''))",
+     [("HANDLES", "coalesce(concat('ui:page:', page), concat('ui:component:', component))", "*", "'medium'", None)]),
+    ("ui.api-calls", "ui", "ApiCall", "concat('ui:api:', hash16)", "concat(coalesce(http_method, 'GET'), ' ', coalesce(path, ''))",
+     [("DEFINED_IN", "*", _FILE, None, None), ("CALLS_API", "explode_outer(transform(filter(used_by, u -> instr(u, '/') = 0), u -> concat('ui:page:', u)))", "*", "'medium'", None)]),
+    *[row for layer, kind in (("bff", "BffEndpoint"), ("be", "BeEndpoint")) for row in (
+        (f"{layer}.files", layer, "File", _FILE, "file", [("HAS_FILE", f"'repo:{layer}'", "*", None, None)]),
+        (f"{layer}.endpoints", layer, kind, f"concat('{layer}:endpoint:', http_method, ':', path)", "concat(http_method, ' ', path)", [("DEFINED_IN", "*", _FILE, None, None)]),
+        (f"{layer}.components", layer, "SpringComponent", f"concat('{layer}:component:', class_name)", "class_name", [("DEFINED_IN", "*", _FILE, None, None)]),
+        (f"{layer}.entities", layer, "Entity", f"concat('{layer}:entity:', entity)", "entity", [("DEFINED_IN", "*", _FILE, None, None)]),
+    )],
+    ("bff.outbound", "bff", "BffClient", "concat('bff:client-call:', hash16)", "concat(coalesce(client, 'client'), '.', coalesce(method, 'method'))", [("HAS_OUTBOUND_CALL", "'repo:bff'", "*", "confidence", None)]),
+    ("bff.dtos", "bff", "BffDto", "concat('bff:dto:', class_name)", "class_name", [("DEFINED_IN", "*", _FILE, None, None)]),
+    ("be.repository-methods", "be", "RepositoryMethod", "concat('be:repo-method:', repository, '.', method)", "concat(repository, '.', method)", [("DEFINED_IN", "*", _FILE, None, None)]),
+    ("be.validations", "be", "Validation", "concat('be:validation:', hash16)", "concat(annotation, ' ', field)", []),
+    ("be.exceptions", "be", "Exception", "concat('be:exception:', hash16)", "concat(type, ': ', detail)", []),
+    ("be.service-flows", "be", "BeServiceFlow", "concat('be:service-flow:', hash16)", "endpoint", []),
+    ("be.dtos", "be", "BeDto", "concat('be:dto:', class_name)", "class_name", [("DEFINED_IN", "*", _FILE, None, None)]),
+    ("be.method-calls", "be", "JavaMethodCall", "concat('be:method-call:', hash16)", "concat(class_name, '.', method, ' -> ', coalesce(target_type, target_variable), '.', target)",
+     [("DEFINED_IN", "*", _FILE, None, None), ("CALLS_CLASS", "*", "concat('be:component:', target_type)", "confidence", None)]),
+    ("trace.ui-to-bff", "traceability", "ApiCall", "concat('trace:ui-api:', hash_of(call))", "call", []),
+    ("trace.ui-to-bff", "traceability", "BffEndpoint", "concat('trace:bff-endpoint:', hash_of(endpoint))", "endpoint", [("MATCHES_ENDPOINT", "concat('trace:ui-api:', hash_of(call))", "*", "confidence", "reason")]),
+    ("trace.bff-to-be", "traceability", "BffEndpoint", "concat('trace:bff-out:', hash_of(call))", "call", []),
+    ("trace.bff-to-be", "traceability", "BeEndpoint", "concat('trace:be-endpoint:', hash_of(endpoint))", "endpoint", [("CALLS_ENDPOINT", "concat('trace:bff-out:', hash_of(call))", "*", "confidence", "reason")]),
+    ("trace.page-flows", "traceability", "PageFlow", "concat('trace:page-flow:', hash16)", "concat(coalesce(page, 'Page'), ' ', coalesce(call, ''))", []),
+]
+
+
+def _of_rule(rule: str, layer: str | None, node: str) -> str:
+    """A rule's expression in Spark's SQL."""
+    safe = f"left(regexp_replace(regexp_replace(lower(concat('{layer}:file:', file)), '[^a-z0-9._-]+', '-'), '^-+|-+$', ''), 160)"
+    out = node if rule == "*" else rule.replace(_FILE, safe)
+    return re.sub(r"hash_of\((\w+)\)", r"left(sha2(\1, 256), 16)", out)
+
+
+def knowledge_graph(indexes: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the indexes that are given, by name: 19 types of nodes, 10 of edges.
+
+    Each index has the columns of its rule and ``row_ord``; records without an
+    identity of their own are told apart by the hash of their JSON. Of nodes
+    with one id the first stays; an edge stays if both its ends exist by the
+    time its index is read, once for each type, ends and properties.
+    """
+    nodes, edges = None, None
+    for at, (index, layer, kind, id_, label, rules) in enumerate(INDEXES):
+        if index not in indexes:
+            continue
+        rows = indexes[index]
+        record = F.to_json(F.struct(*[c for c in rows.columns if c != "row_ord"]))
+        rows = rows.withColumn("hash16", F.left(F.sha2(record, 256), F.lit(16)))
+        if dict(rows.dtypes).get("file") is None:
+            rows = rows.withColumn("file", F.lit(None).cast("string"))
+        rows = rows.withColumn("__id", F.expr(_of_rule(id_, layer, "id"))).where("__id is not null")
+        own_layer = F.lit(layer) if layer else F.col("layer")
+        part = rows.select(F.col("__id").alias("id"), F.lit(kind).alias("type"), F.expr(label).cast("string").alias("label"), own_layer.alias("layer"), F.lit(at).alias("table_ord"), F.col("row_ord").cast("bigint").alias("row_ord"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+        for type_, source, target, confidence, properties in rules:
+            level = F.expr(confidence) if confidence else F.lit(None).cast("string")
+            level = F.when(level.isin("high", "medium", "low"), level).otherwise("unknown")
+            made = rows.select(F.lit(type_).alias("type"), F.expr(_of_rule(source, layer, "__id")).alias("source"), F.expr(_of_rule(target, layer, "__id")).alias("target"), level.alias("confidence"), (F.col(properties).cast("string") if properties else F.lit(None).cast("string")).alias("properties"), F.lit(at).alias("table_ord"), F.col("row_ord").cast("bigint").alias("row_ord"))
+            made = made.where("source is not null and target is not null")
+            edges = made if edges is None else edges.unionByName(made)
+    nodes = first_wins(nodes.withColumn("ord", F.struct("table_ord", "row_ord")), ["id"], "ord").drop("ord")
+    known = nodes.select("id", F.col("table_ord").alias("__since"))
+    for side in ("source", "target"):
+        k = known.withColumnsRenamed({"id": side, "__since": f"__{side}"})
+        edges = edges.join(k, side).where(F.col(f"__{side}") <= F.col("table_ord")).drop(f"__{side}")
+    keyed = edges.withColumns({"ord": F.struct("table_ord", "row_ord"), "__p": F.coalesce("properties", F.lit(""))})
+    edges = first_wins(keyed, ["type", "source", "target", "__p"], "ord").select("type", "source", "target", "confidence", "properties")
+    return nodes.select("id", "type", "label", "layer", "table_ord", "row_ord"), edges
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, type, n) of both tables."""
     count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
