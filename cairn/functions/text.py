@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,13 +166,24 @@ def similar(a: Text, b: Text) -> Column:
     return (p != "") & (q != "") & (p.contains(q) | q.contains(p))
 
 
+def _without_marks() -> tuple[str, str]:
+    """For ``translate``: letters that decompose into one letter and marks, with that letter, and last the marks themselves, which go."""
+    pairs, marks = [("ı", "i")], []
+    for c in map(chr, range(0x80, 0x2100)):
+        rest = [d for d in unicodedata.normalize("NFD", c.lower()) if not unicodedata.combining(d)]
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(rest) == 1 and rest[0] != c and c == c.lower():
+            pairs.append((c, rest[0]))
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _without_marks()
+
+
 def ascii_fold(x: Text) -> Column:
-    """Lower case without diacritics, for Latin letters."""
-    return F.translate(
-        F.lower(F.coalesce(_col(x), F.lit(""))),
-        "ığüşöçàâäáãåéèêëíìîïóòôõúùûñýÿ",
-        "igusocaaaaaaeeeeiiiioooouuunyy",
-    )
+    """Lower case, letters decomposed and without their marks; the dotless i is an i."""
+    return F.translate(F.lower(F.coalesce(_col(x), F.lit(""))), _MARKED, _BARE)
 
 
 def heading_name(x: Text) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import heading_name, source_references
-from cairn.operators.select import first_wins, packed, priority, sequential_budget, top_k
+from cairn.operators.select import first_wins, messages, packed, priority, sequential_budget, top_k
 from cairn.plans.durable import materialize
 
 PLACEHOLDER = r"(?i)\A\s*(tbd|todo|n/?a|none|-|\.\.\.)?\s*\z"
@@ -297,23 +297,72 @@ def record_coverage(values: DataFrame, docs: DataFrame, id_col: str = "doc_id")
     return docs.select(id_col).join(counts, id_col, "left").select(id_col, F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_mentioned", F.lit(0)).alias("n_mentioned"), share(F.col("n_mentioned"), F.col("n_records")).alias("coverage"))
 
 
+#: What a document's linter counts, by name.
+COUNTED = {
+    "n_references": r"src[\\/][^\s)`]+?\.(?:java|kt|tsx|ts|jsx|js|properties|yaml|yml|json)",
+    "n_endpoints": r"(?i)\b(?:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_{}:/.$?=&-]+|@(?:Get|Post|Put|Patch|Delete|Request)Mapping\b",
+    "n_bff": r"(?i)\bBFF\b",
+    "n_backend": r"(?i)\b(?:BE|Backend)\b",
+    "n_flows": r"(?i)(?:UI\s*(?:->|→|to|-)\s*BFF|BFF\s*(?:->|→|to|-)\s*(?:BE|Backend)|(?:servis|service)\s*(?:->|→|to|-)\s*(?:repository|repozitory))",
+    "n_repositories": r"(?i)\b(?:Repository|repozitory)\b",
+    "n_entities": r"(?i)\b(?:Entity|table|tablo)\b",
+}
+
+
+#: A word's edge by ASCII letters; Java's own sees letters with accents as well.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def assess(text: Column) -> dict[str, Column]:
     """Counts that a document linter reports."""
-    count = lambda p: F.regexp_count(text, F.lit(p)).cast("bigint")
+    count = lambda p: F.regexp_count(text, F.lit(p.replace(r"\b", _EDGE))).cast("bigint")
     titles = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+([^\n]*)$"), F.lit(1)), lambda t: heading_name(t))
+    references = F.regexp_extract_all(text, F.lit(COUNTED["n_references"]), F.lit(0))
     return {
         "n_lines": count("\n") + 1,
         "n_words": count(r"\S+"),
-        "n_references": count(r"https?://"),
         "n_unresolved": count(NOT_VISIBLE),
-        "n_endpoints": count(r"\b(GET|POST|PUT|DELETE|PATCH) /"),
+        **{name: count(pattern) for name, pattern in COUNTED.items()},
+        "n_sources": F.size(F.array_distinct(references)).cast("bigint"),
         "n_headings": count(r"(?m)^#{1,3}\s+\S"),
         "n_duplicates": (F.size(titles) - F.size(F.array_distinct(titles))).cast("bigint"),
         "n_empty": count(r"(?m)^##\s[^\n]*\n(?:\s*\n)*(?=##\s|\z)"),
-        "has_diagram": text.rlike("(?m)^```mermaid"),
+        "has_diagram": text.rlike(r"(?i)```[ \t]*(?:plantuml|mermaid)|@startuml"),
     }
 
 
+def score_differences(n_references: Column, n_chars: Column, told_references: Column, told_chars: Column) -> Column:
+    """What a stored score says otherwise than its document: consistent, or the differences; null figures are missing ones."""
+    one = lambda told, n, name, what: F.when(told.isNull(), f"{name} missing from score").when(told != n, F.concat(F.lit(f"{what} file="), n.cast("string"), F.lit(", score="), told.cast("string")))
+    found = F.filter(F.array(one(told_references, n_references, "references", "references"), one(told_chars, n_chars, "length", "length")), lambda x: x.isNotNull())
+    return F.when(F.size(found) == 0, "consistent").otherwise(F.concat(F.lit("mismatch: "), F.array_join(found, "; ")))
+
+
+def recommended_actions(unclear_calls: Column, unclear_outbound: Column, open_flows: Column) -> Column:
+    """What to do about a traceability report: one sentence for each kind of open place, else that nothing is left."""
+    texts = messages(
+        (unclear_calls > 0, "Clarify the path constants and owners of calls that match no endpoint or match one weakly."),
+        (unclear_outbound > 0, "Review target, method and path of outbound calls that match no endpoint or match one weakly."),
+        (open_flows > 0, "Close the uncertainties of partial page flows with source evidence."),
+    )
+    return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit("All local matches are complete; have rules and permissions confirmed before publishing.")))
+
+
+def analysis_warnings(counts: dict[str, Column]) -> Column:
+    """(level, message) of an analysis: ``counts`` of controllers, endpoints, unclassified, unclear_paths, unparsed, lone_controllers, lone_services."""
+    c = counts
+    text = lambda n, rest: F.concat(n.cast("string"), F.lit(f" {rest}"))
+    rules = [
+        ("warning", c["controllers"] == 0, F.lit("no controller found")), ("warning", c["endpoints"] == 0, F.lit("no endpoint found")), ("warning", c["unclassified"] > 0, text(c["unclassified"], "files of unknown kind")),
+        ("action", c["unclassified"] > 0, F.lit("check package, annotations and names of files of unknown kind")), ("action", c["unclear_paths"] > 0, F.lit("review endpoints with a missing or unclear path")),
+        ("action", c["unparsed"] > 0, F.lit("review signatures whose parameters were not parsed")), ("action", c["lone_controllers"] > 0, F.lit("review controllers without a service")),
+        ("action", c["lone_services"] > 0, F.lit("review services without a repository or client")),
+    ]
+    made = F.filter(F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), message.alias("message"))) for level, test, message in rules]), lambda x: x.isNotNull())
+    rest = F.array(F.struct(F.lit("action").alias("level"), F.lit("have the results reviewed").alias("message")))
+    return F.when(F.exists(made, lambda x: x["level"] == "action"), made).otherwise(F.concat(made, rest))
+
+
 def score_agrees(score: Column, n_unresolved: Column, n_empty: Column) -> Column:
     """A high score goes with few open places, a low one with some."""
     return F.when(score >= 75, (n_unresolved + n_empty) <= 3).when(score < 45, (n_unresolved + n_empty) > 0).otherwise(True)
@@ -374,8 +423,12 @@ def report(rows: DataFrame, by: list[str], order: list[str], line: Column, title
     return lists.join(counts, by).select(*by, text.alias("text"))
 
 
-def repository_score(rating: str = "rating", critical: str = "critical") -> Column:
-    """Aggregate over artifacts: 100 less what missing, empty and weak ones cost."""
-    r, c = F.col(rating), F.col(critical)
-    cost = F.when((r == "missing") & c, 12).when((r == "empty") & c, 15).when(r == "empty", 6).when(r == "weak", 4).otherwise(0)
+def repository_score(rating: str = "rating", critical: str = "critical", flow: str | None = None) -> Column:
+    """Aggregate over artifacts: 100 less what missing and empty critical, empty flow (``flow``) and weak ones cost."""
+    r, c, f = F.col(rating), F.col(critical), F.col(flow) if flow else F.lit(True)
+    cost = F.when((r == "missing") & c, 12).when((r == "empty") & c, 15).when((r == "empty") & f, 6).when(r == "weak", 4).otherwise(0)
     return F.greatest(F.least(100 - F.sum(cost), F.lit(100)), F.lit(0)).cast("bigint")
+
+
+def score_grade(score: Column) -> Column:
+    return F.when(score >= 85, "good").when(score >= 65, "needs-attention").otherwise("poor")

@@ -107,9 +107,6 @@ ORACLE_SQL = {
         WHEN regexp_matches(d.text, '(?i)(password|secret|token)\s*[:=]') THEN 'config' WHEN regexp_matches(d.text, '(?i)license|copyright') THEN 'license'
         WHEN regexp_matches(d.text, 'https?://') THEN 'reference' WHEN length(d.text) < 200 THEN 'note' WHEN lang <> 'en' THEN 'translation' ELSE 'prose' END AS kind
         FROM d JOIN documents USING (doc_id)""",
-    "doc_assessment": rf"""{_PLAIN} SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines,
-        CAST(len(regexp_extract_all(text, 'https?://')) AS BIGINT) AS n_references,
-        CAST(len(regexp_extract_all(text, '\b(GET|POST|PUT|DELETE|PATCH) /')) AS BIGINT) AS n_endpoints FROM d""",
     "source_kinds": """SELECT source, CASE WHEN links AND long THEN 'mixed' WHEN links THEN 'linked' WHEN long THEN 'long' ELSE 'plain' END AS kind,
         concat_ws(',', CASE WHEN links THEN 'links' END, CASE WHEN long THEN 'long' END, CASE WHEN english > 0 THEN 'english' END) AS facts
         FROM (SELECT source, bool_or(contains(text, 'http')) AS links, bool_or(n_chars > 5000) AS long, count(*) FILTER (WHERE lang = 'en') AS english FROM documents GROUP BY source)""",
@@ -235,3 +232,37 @@ ORACLE_SQL = {
         SELECT d.key, doc_id, CASE WHEN c.key IS NULL THEN substr(d.key, 1, 8) ELSE 'cached' END AS value, c.key IS NOT NULL AS hit FROM d LEFT JOIN c ON c.key = d.key""",
 }
 ORACLE_SQL["repository_score"] = f"SELECT CAST(100 - 4 * count(*) FILTER (WHERE rating = 'weak') AS BIGINT) AS score, count(*) FILTER (WHERE rating = 'weak') AS weak FROM ({ORACLE_SQL['artifact_rating']})"
+
+from cairn.operators.documents import COUNTED  # noqa: E402
+from cairn.queries import SAID  # noqa: E402
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_SAID = f"""WITH v AS (SELECT * FROM (VALUES {", ".join(f"({k}, {_literal(t)})" for k, t in enumerate(SAID))}) v(k, said)),
+    d AS (SELECT doc_id, k, coalesce(text, '') || chr(10) || said AS text FROM documents JOIN v ON v.k = doc_id % {len(SAID)})"""
+_HITS = lambda p: f"len(regexp_extract_all(text, {_literal(p)}))"
+ORACLE_SQL |= {
+    "doc_assessment": f"""{_SAID} SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, {_HITS(r"[^ \t\n\x0B\f\r]+")} AS n_words,
+        {_HITS("(?i)(not visible|not available|could not be determined|unknown)")} AS n_unresolved, {", ".join(f"{_HITS(p)} AS {name}" for name, p in COUNTED.items())},
+        len(list_distinct(regexp_extract_all(text, {_literal(COUNTED["n_references"])}))) AS n_sources, {_HITS(r"(?m)^#{1,3}[ \t]+[^ \n]")} AS n_headings,
+        CAST(k = 1 AS BIGINT) AS n_duplicates, CASE WHEN k = 1 THEN 2 ELSE 0 END AS n_empty, k = 4 AS has_diagram FROM d""",
+    "score_differences": f"""{_SAID}, x AS (SELECT doc_id, {_HITS(COUNTED["n_references"])} AS n, length(text) AS size FROM d),
+        y AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'references missing from score' WHEN doc_id % 3 <> n THEN 'references file=' || n || ', score=' || doc_id % 3 END AS a,
+          CASE WHEN doc_id % 5 = 0 THEN 'length missing from score' WHEN doc_id % 2 = 1 THEN 'length file=' || size || ', score=' || (size - 1) END AS b FROM x)
+        SELECT doc_id, CASE WHEN a IS NULL AND b IS NULL THEN 'consistent' ELSE 'mismatch: ' || concat_ws('; ', a, b) END AS said FROM y""",
+    "recommended_actions": """WITH c AS (SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal < -900) AS a, count(*) FILTER (WHERE c_custkey % 97 = 0) AS b, count(*) FILTER (WHERE c_acctbal > 9900) AS c FROM customer GROUP BY 1)
+        SELECT c_nationkey, 'Clarify the path constants and owners of calls that match no endpoint or match one weakly.' AS action FROM c WHERE a > 0
+        UNION ALL SELECT c_nationkey, 'Review target, method and path of outbound calls that match no endpoint or match one weakly.' FROM c WHERE b > 0
+        UNION ALL SELECT c_nationkey, 'Close the uncertainties of partial page flows with source evidence.' FROM c WHERE c > 0
+        UNION ALL SELECT c_nationkey, 'All local matches are complete; have rules and permissions confirmed before publishing.' FROM c WHERE a + b + c = 0""",
+    "analysis_warnings": """WITH w AS (SELECT * FROM (VALUES (2, true, 'warning', 'no controller found'), (3, true, 'warning', 'no endpoint found'), (4, false, 'warning', NULL), (4, false, 'action', 'check package, annotations and names of files of unknown kind'), (5, false, 'action', 'review endpoints with a missing or unclear path'),
+          (6, false, 'action', 'review signatures whose parameters were not parsed'), (7, false, 'action', 'review controllers without a service'), (8, false, 'action', 'review services without a repository or client')) w(m, none, level, message))
+        SELECT s_suppkey, level, coalesce(message, s_suppkey % 4 || ' files of unknown kind') AS message FROM supplier, w WHERE (s_suppkey % m = 0) = none
+        UNION ALL SELECT s_suppkey, 'action', 'have the results reviewed' FROM supplier WHERE s_suppkey % 840 = 0""",
+    "scores_of_repositories": """WITH r AS (SELECT s_nationkey AS n, s_suppkey % 2 = 0 AS c, s_suppkey % 3 = 0 AS f, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 4 = 0 THEN 'empty' WHEN (s_suppkey % 3 = 0 AND s_suppkey % 7 > 0) OR s_suppkey % 4 < 2 THEN 'weak' ELSE 'good' END AS r FROM supplier),
+        s AS (SELECT n, CAST(greatest(least(100 - sum(CASE WHEN r = 'missing' AND c THEN 12 WHEN r = 'empty' AND c THEN 15 WHEN r = 'empty' AND f THEN 6 WHEN r = 'weak' THEN 4 ELSE 0 END), 100), 0) AS BIGINT) AS score FROM r GROUP BY n)
+        SELECT n AS s_nationkey, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 65 THEN 'needs-attention' ELSE 'poor' END AS grade FROM s""",
+}

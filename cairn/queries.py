@@ -64,9 +64,47 @@ def classify_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", kind.alias("kind"))
 
 
+#: What is put behind a document by its key, so that every count has something to find.
+SAID = ["UI -> BFF, BFF to Backend; see src/a/B.java", "GET /x/{id} and @PostMapping\n## Empty\n\n## empty\n", "service - Repository, entity, table", "src/a/B.java src\\c.tsx` src/a/B.java", "```mermaid\nbff be\n```\nnot visible\n# Title", ""]
+
+
+def _said(spark, sf):
+    k = F.col("doc_id") % len(SAID)
+    chain = F.lit("")
+    for n, text in enumerate(SAID):
+        chain = F.when(k == n, text).otherwise(chain)
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), chain).alias("text"))
+
+
 def doc_assessment(spark, sf):
-    counts = documents.assess(F.coalesce("text", F.lit("")))
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in counts.items() if k in ("n_lines", "n_references", "n_endpoints")])
+    counts = documents.assess(F.col("text"))
+    return _said(spark, sf).select("doc_id", *[c.alias(k) for k, c in counts.items()])
+
+
+def score_differences(spark, sf):
+    counts = documents.assess(F.col("text"))
+    d = _said(spark, sf).select("doc_id", counts["n_references"].alias("n"), F.length("text").cast("bigint").alias("size"))
+    told = F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 3), F.when(F.col("doc_id") % 5 > 0, F.col("size") - F.col("doc_id") % 2)
+    return d.select("doc_id", documents.score_differences(F.col("n"), F.col("size"), *told).alias("said"))
+
+
+def recommended_actions(spark, sf):
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") < -900).alias("a"), F.count_if(F.col("c_custkey") % 97 == 0).alias("b"), F.count_if(F.col("c_acctbal") > 9900).alias("c"))
+    return c.select("c_nationkey", F.explode(documents.recommended_actions(F.col("a"), F.col("b"), F.col("c"))).alias("action"))
+
+
+def analysis_warnings(spark, sf):
+    n = F.col("s_suppkey")
+    counts = {k: n % m for k, m in (("controllers", 2), ("endpoints", 3), ("unclassified", 4), ("unclear_paths", 5), ("unparsed", 6), ("lone_controllers", 7), ("lone_services", 8))}
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(documents.analysis_warnings(counts)).alias("w")).select("s_suppkey", "w.level", "w.message")
+
+
+def scores_of_repositories(spark, sf):
+    """A repository for each nation: artifacts by supplier, missing, empty, weak or good, critical or of flows."""
+    k = F.col("s_suppkey")
+    rated = table(spark, sf, "supplier").select("s_nationkey", documents.artifact_rating(F.when(k % 5 > 0, k % 4), F.when(k % 3 == 0, k % 7).otherwise(0), 2).alias("rating"), (k % 2 == 0).alias("critical"), (k % 3 == 0).alias("flow"))
+    scored = rated.groupBy("s_nationkey").agg(documents.repository_score(flow="flow").alias("score"))
+    return scored.select("s_nationkey", "score", documents.score_grade(F.col("score")).alias("grade"))
 
 
 def source_kinds(spark, sf):
@@ -453,7 +491,7 @@ def cache_hit_miss(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_path, record_ids, excerpts, mask_secrets, config_keys_masked, classify_documents, doc_assessment, source_kinds, extract_links, distinct_tags,
+        normalize_path, record_ids, excerpts, mask_secrets, config_keys_masked, classify_documents, doc_assessment, score_differences, recommended_actions, analysis_warnings, scores_of_repositories, source_kinds, extract_links, distinct_tags,
         two_tier_match, match_unresolved, match_summary, scored_best_or_none, unique_value_lookup, flow_assembly, page_list_upsert, match_status_rollup,
         semi_cascade, either_semi, anti_quality, count_by, module_map, artifact_rating, repository_score, top_k_per_source, priority_rank,
         scan_budget_violation, resume_prefix, first_wins, keep_others_upsert, set_operations, merged_sessions, usage_all_or_null, closure_reach,

@@ -41,7 +41,7 @@ def handler_names(spark, sf):
     word = F.regexp_extract("p_name", r"(\w+)\z", 1)
     handler = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("(e) => "), word, F.lit("(e.id)"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("{"), word, F.lit("}"))).otherwise(word)
     flow = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("GET /x via a.b."), word, F.lit(".run now"))).otherwise(F.concat(F.lit("A.b -> C."), word, F.lit("(x)")))
-    return p.select("p_partkey", L.handler_name(handler).alias("handler"), L.flow_method(flow).alias("method"), T.similar(F.concat(word, F.lit("Service")), F.col("p_name")).alias("alike"))
+    return p.select("p_partkey", L.handler_name(handler).alias("handler"), L.flow_method(flow).alias("method"), T.similar(F.concat(word, F.lit("Service")), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.regexp_extract("p_name", r"\A(\w+)", 1))).alias("alike"))
 
 
 def diagram_labels(spark, sf):
@@ -170,7 +170,7 @@ ORACLE_SQL = {
     "page_contexts": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'Layout' ELSE CASE WHEN event_id % 8 = 2 THEN 'SessionBackground' ELSE 'UnknownPage' END END AS page,
         CASE WHEN event_id % 4 = 1 THEN 'layout' WHEN event_id % 8 = 2 THEN 'session-background' ELSE 'page' END AS flow_type,
         CASE event_id % 8 WHEN 2 THEN 'refreshCart' WHEN 3 THEN event_type END AS action, 'List' AS raw FROM events""",
-    "handler_names": f"""SELECT p_partkey, {_WORD} AS handler, CASE WHEN p_partkey % 2 = 0 THEN 'run' ELSE {_WORD} END AS method, true AS alike FROM part""",
+    "handler_names": f"""SELECT p_partkey, {_WORD} AS handler, CASE WHEN p_partkey % 2 = 0 THEN 'run' ELSE {_WORD} END AS method, p_partkey % 2 = 0 OR contains(lower(regexp_extract(p_name, '^(\\w+)', 1)), lower(regexp_extract(p_name, '(\\w+)$', 1))) OR contains(lower(regexp_extract(p_name, '(\\w+)$', 1)), lower(regexp_extract(p_name, '^(\\w+)', 1))) AS alike FROM part""",
     "diagram_labels": rf"""SELECT page_id, sha256({_PLAIN}) AS plain, sha256({_DIAGRAM}) AS diagram, sha256(replace(replace({_DIAGRAM}, ':', ' -'), ';', ',')) AS sequence,
         sha256(replace(replace(replace(replace(replace({_H}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS xml,
         sha256(replace({_H}, '</nav', '<\/nav')) AS kept, sha256(trim(regexp_replace(regexp_replace(regexp_replace({_H}, '<[^>]+>', ' ', 'g'), '\{{[^}}]+\}}', ' ', 'g'), '\s+', ' ', 'g'))) AS text FROM pages""",

@@ -103,8 +103,9 @@ def outbound_flows(spark, sf):
 
 
 def reachable_evidence(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.array(F.concat(F.lit("web.A"), "o_custkey", F.lit(".m -> B.n")), F.lit("B.n -> C.k")).alias("calls"))
-    return o.select("o_orderkey", joined(flows.reachable_evidence(F.col("calls"), F.array(F.lit("x.B"), F.lit("c")))).alias("nodes"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.array(F.concat(F.lit("web.A"), "o_custkey", F.lit(".m -> B.n")), F.lit("B.n -> C.k")).alias("calls"), "o_custkey")
+    types = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("x.B"), F.lit("c"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("Web"))).otherwise(F.array(F.lit("A"), F.lit("n")))
+    return o.select("o_orderkey", joined(flows.reachable_evidence(F.col("calls"), types)).alias("nodes"))
 
 
 def diagram_flows(spark, sf):
@@ -214,7 +215,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'POST /api/c' || k, 'C' || k || 'Service', '', '', CAST(3 AS BIGINT), 'medium' FROM s""",
     "outbound_flows": f"""{_S} SELECT 'GET /api/c' || k || '/{{param}}' AS endpoint_ord, '' AS outbound, '' AS clients, 'low' AS confidence FROM s
         UNION ALL SELECT 'POST /api/c' || k, 'POST /audit via AuditImpl.note', 'AuditImpl', 'high' FROM s UNION ALL SELECT 'PUT /api/c' || k || '/x', '', '', 'low' FROM s""",
-    "reachable_evidence": "SELECT o_orderkey, 'B.n,C.k' AS nodes FROM orders",
+    "reachable_evidence": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'B.n,C.k' WHEN 1 THEN 'web.A' || o_custkey || '.m' ELSE '' END AS nodes FROM orders",
     "diagram_flows": """WITH f AS (SELECT DISTINCT o_custkey, concat_ws(' > ', 'GET /' || o_orderpriority, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'Abe' WHEN 'O' THEN 'Cat' END,
           CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'orders' WHEN 'P' THEN 'parts' END END) AS steps FROM orders)
         SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY steps) AS ord, steps FROM f QUALIFY ord <= 5""",

@@ -251,8 +251,15 @@ def file_owners(spark, sf):
 
 
 def framework_indicators(spark, sf):
-    extra = spark.createDataFrame([("ui/package.json", '{"dependencies": {"react": "19"}}'), ("ui/vite.config.ts", ""), ("ui/src/main.tsx", "")], "path string, content string")
-    return _files(spark, sf).unionByName(extra).agg(F.array_join(source.ui_indicators(), ";").alias("indicators"), source.build_tool().alias("tool"))
+    """What tells the framework and the build tool of a repository for each supplier, whose files go by its key."""
+    k = F.col("s_suppkey")
+    rules = [
+        (k % 2 == 1, "ui/package.json", '{"dependencies": {"react": "19"}}'), (k % 2 == 0, "ui/package.json", '{"dependencies": {"vue": "3"}}'), (k % 3 == 0, "ui/Vite.config.ts", ""), (k % 5 == 0, "next.config.js", ""),
+        (k % 7 == 0, "ui/src/main.tsx", ""), (k % 7 == 1, "ui/src/maintain.tsx", ""), (k % 4 == 0, "be/pom.xml", ""), (k % 6 == 0, "be/build.gradle.kts", ""), (k % 11 == 0, "be/pom.xml.bak", ""),
+    ]
+    files = F.filter(F.array(*[F.when(test, F.struct(F.lit(p).alias("path"), F.lit(c).alias("content"))) for test, p, c in rules]), lambda x: x.isNotNull())
+    f = table(spark, sf, "supplier").select("s_suppkey", F.explode(files).alias("f")).select("s_suppkey", "f.*")
+    return f.groupBy("s_suppkey").agg(F.array_join(source.ui_indicators(), ";").alias("indicators"), source.build_tool().alias("tool"))
 
 
 def matching_files(spark, sf):
@@ -369,7 +376,8 @@ ORACLE_SQL = {
         f"{_P} 'pages/P' || k || 'Page.tsx' AS path, 'order' AS state, 'setOrder' AS setter, 'null' AS initial", f"{_P} 'pages/P' || k || 'Page.tsx', 'form.code', 'dispatch', ''''''", f"{_P} 'pages/P' || k || 'Page.tsx', 'form.total', 'dispatch', '0'",
     ),
     "file_owners": _rows(f"{_P} 'pages/P' || k || 'Page.tsx' AS path, 'P' || k || 'Page' AS component", f"{_P} 'components/F' || k || '.tsx', 'F' || k", f"{_P} 'App' || k || 'Routes.tsx', 'App' || k"),
-    "framework_indicators": "SELECT 'react dependency;vite config;entry file' AS indicators, 'Unknown' AS tool",
+    "framework_indicators": """SELECT s_suppkey, concat_ws(';', CASE WHEN s_suppkey % 2 = 1 THEN 'react dependency' END, CASE WHEN s_suppkey % 3 = 0 THEN 'vite config' END, CASE WHEN s_suppkey % 5 = 0 THEN 'next config' END, CASE WHEN s_suppkey % 7 = 0 THEN 'entry file' END) AS indicators,
+        CASE WHEN s_suppkey % 4 = 0 THEN 'Maven' WHEN s_suppkey % 6 = 0 THEN 'Gradle' ELSE 'Unknown' END AS tool FROM supplier""",
     "matching_files": _rows(f"{_W} 'web/C' || k || 'Controller.java' AS path", f"{_P} 'pages/P' || k || 'Page.tsx'"),
     "evidence_snippets": _rows(
         _W + """ 'svc/C' || k || 'Service.java' AS path, 'Service' AS "group", 'check' AS symbol, left('private void check(C' || k || 'Request r) { String s = "}"; audit.note(r); }', 40) || chr(10) || '[SNIPPET_TRUNCATED]' AS code, 'high' AS confidence, CAST(NULL AS VARCHAR) AS uncertainty""",
