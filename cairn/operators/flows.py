@@ -15,6 +15,7 @@ from cairn.functions.text import alnum_name, last_segment, stem_name
 from cairn.operators.graph import reachable
 from cairn.operators.match import flow_confidence
 from cairn.operators.select import first_wins, messages, top_k
+from cairn.plans.durable import materialize
 from cairn.plans.running import numbered
 
 GRAM = 3
@@ -87,10 +88,10 @@ def containing(names: DataFrame, needles: DataFrame, strict: bool = True, share:
     """
     asked = needles.select("needle").where("needle <> ''").distinct()
     wide = F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
-    asked = asked.select("needle", F.explode(wide).alias("gram"))
+    asked = materialize(asked.select("needle", F.explode(wide).alias("gram")), "needles")
     every = F.concat(*[_grams(F.col("name"), n) for n in range(1, GRAM + 1)])
     held = names.select("name").where("name <> ''").distinct().select("name", F.explode(every).alias("gram"))
-    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = materialize(held.join(asked.select("gram").distinct(), "gram", "left_semi"), "grams")
     holders = held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"))
     counted = asked.join(holders, "gram", "left").select("needle", F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram").alias("g"))
     rarest = counted.groupBy("needle").agg(F.min("g").alias("g")).where("g.holders > 0")
@@ -207,7 +208,9 @@ def service_flows(endpoints: DataFrame, calls: DataFrame, services: DataFrame, r
     services and repositories are reached, medium for services alone.
     """
     alike, methods, texts = caps
-    reached = reached_calls(endpoints, calls)
+    endpoints, calls = materialize(endpoints, "endpoints"), materialize(calls, "calls")
+    services, repositories = materialize(services, "services"), materialize(repositories, "repositories")
+    reached = materialize(reached_calls(endpoints, calls), "reached")
     named = lambda names, kind: names.select(F.col("name").alias("target_type")).distinct().withColumn("kind", F.lit(kind))
     known = named(services, "service").unionByName(named(repositories, "repository"))
     typed = reached.join(known, "target_type", "left").join(entities.select(F.col("repository").alias("target_type"), "entity"), "target_type", "left")
@@ -229,22 +232,48 @@ def service_flows(endpoints: DataFrame, calls: DataFrame, services: DataFrame, r
     return joined.select("endpoint_ord", pick("s", "gs").alias("services"), pick("r", "gr").alias("repositories"), *rest, confidence.alias("confidence"))
 
 
-def outbound_flows(endpoints: DataFrame, calls: DataFrame, outbound: DataFrame, most: int = 20) -> DataFrame:
-    """(endpoint_ord, outbound, clients, confidence): the outbound calls whose client and method an endpoint reaches (high), else those of its own handler (medium), else low.
-
-    ``outbound`` is (client, method, http_method, target_path).
+def _similar_calls(endpoints: DataFrame, outbound: DataFrame) -> DataFrame:
+    """(endpoint_ord, text, client) of outbound calls whose method is like the endpoint's handler or whose client is like its path."""
+    found = None
+    for own, other in (("handler", "method"), ("path", "client")):
+        e = endpoints.select("endpoint_ord", stem_name(own).alias("needle")).where("needle <> ''")
+        o = outbound.select("text", "client", stem_name(other).alias("name")).where("name <> ''").distinct()
+        one = containing(o, e).select("endpoint_ord", "text", "client")
+        two = containing(e.select("endpoint_ord", F.col("needle").alias("name")), o.withColumnRenamed("name", "needle")).select("endpoint_ord", "text", "client")
+        both = one.union(two)
+        found = both if found is None else found.union(both)
+    return found.distinct()
+
+
+def outbound_flows(endpoints: DataFrame, calls: DataFrame, outbound: DataFrame, services: DataFrame, caps: tuple[int, int, int] = (5, 20, 40)) -> DataFrame:
+    """(endpoint_ord, services, clients, outbound, method_calls, confidence) of each endpoint (endpoint_ord, controller, handler, path).
+
+    Outbound calls (client, method, http_method, target_path) are those that
+    the endpoint reaches through calls (high) and those of its own handler
+    (medium); where there are none, those that are like its handler or path
+    (low). Services are the reached ones, else those alike. At most 5 services
+    and clients, 20 outbound calls and 40 method calls, in name order.
     """
+    few, many, texts = caps
     key = lambda t, m: [alnum_name(F.regexp_replace(t, "(?i)(impl|implementation)\\z", "")).alias("k1"), alnum_name(m).alias("k2")]
     text = F.concat_ws("", F.col("http_method"), F.lit(" "), F.col("target_path"), F.lit(" via "), F.col("client"), F.lit("."), F.col("method"))
-    known = outbound.select(*key("client", "method"), text.alias("text"), "client")
-    graph = reached_calls(endpoints, calls).select("endpoint_ord", *key("target_type", "target_method")).distinct().join(known, ["k1", "k2"])
-    direct = endpoints.select("endpoint_ord", *key("controller", "handler")).join(known, ["k1", "k2"])
-    both = graph.select("endpoint_ord", "text", "client", F.lit(2).alias("level")).unionByName(direct.select("endpoint_ord", "text", "client", F.lit(1).alias("level")))
-    by = both.groupBy("endpoint_ord").agg(F.slice(F.array_sort(F.collect_set("text")), 1, most).alias("outbound"), F.slice(F.array_sort(F.collect_set("client")), 1, 5).alias("clients"), F.max("level").alias("level"))
+    endpoints, calls, services = materialize(endpoints, "endpoints"), materialize(calls, "calls"), materialize(services, "services")
+    known = materialize(outbound.withColumn("text", text), "outbound")
+    keyed = known.select(*key("client", "method"), "text", "client")
+    reached = materialize(reached_calls(endpoints, calls), "reached")
+    graph = reached.select("endpoint_ord", *key("target_type", "target_method")).distinct().join(keyed, ["k1", "k2"])
+    direct = endpoints.select("endpoint_ord", *key("controller", "handler")).join(keyed, ["k1", "k2"])
+    level = lambda df, n: df.select("endpoint_ord", "text", "client", F.lit(n).alias("level"))
+    evident = level(graph, 2).unionByName(level(direct, 1))
+    guessed = level(_similar_calls(endpoints, known).join(evident.select("endpoint_ord").distinct(), "endpoint_ord", "left_anti"), 0)
+    first = lambda c, most: F.slice(F.array_sort(F.collect_set(c)), 1, most)
+    by = evident.unionByName(guessed).groupBy("endpoint_ord").agg(first("text", many).alias("outbound"), first("client", few).alias("clients"), F.max("level").alias("level"))
+    named = reached.join(services.select(F.col("name").alias("target_type")).distinct(), "target_type", "left_semi").groupBy("endpoint_ord").agg(first("target_type", few).alias("s"))
+    told = reached.groupBy("endpoint_ord").agg(first(F.concat_ws(" -> ", "a", "b"), texts).alias("method_calls"))
+    joined = endpoints.select("endpoint_ord").join(by, "endpoint_ord", "left").join(named, "endpoint_ord", "left").join(told, "endpoint_ord", "left").join(_alike(endpoints, services, few), "endpoint_ord", "left")
     none = F.array().cast("array<string>")
-    return endpoints.select("endpoint_ord").join(by, "endpoint_ord", "left").select(
-        "endpoint_ord", F.coalesce("outbound", none).alias("outbound"), F.coalesce("clients", none).alias("clients"), F.when(F.col("level") == 2, "high").when(F.col("level") == 1, "medium").otherwise("low").alias("confidence")
-    )
+    confidence = F.when(F.col("level") == 2, "high").when(F.col("level") == 1, "medium").otherwise("low")
+    return joined.select("endpoint_ord", F.coalesce("s", "names", none).alias("services"), *[F.coalesce(c, none).alias(c) for c in ("clients", "outbound", "method_calls")], confidence.alias("confidence"))
 
 
 def reachable_evidence(calls: Column, types: Column) -> Column:

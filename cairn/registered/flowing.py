@@ -92,14 +92,19 @@ def service_flows(spark, sf):
     named = lambda kind: extract.components(f).where(F.col("type") == kind).select(F.col("class_name").alias("name"))
     entities = flows.entity_of(extract.components(f).where("type = 'repository'").select(F.col("class_name").alias("repository"), F.nullif(F.regexp_extract("extended", r"<\s*([\w.]+)", 1), F.lit("")).alias("generic")), extract.entities(f).select("entity"))
     found = flows.service_flows(_endpoints(spark, sf), extract.method_calls(f), named("service"), named("repository"), entities)
-    found = found.where("confidence <> 'low'")
-    return found.select("endpoint_ord", joined("services").alias("services"), joined("entities").alias("entities"), joined("repository_methods").alias("methods"), F.size("method_calls").cast("bigint").alias("n_calls"), "confidence")
+    return found.select("endpoint_ord", joined("services").alias("services"), joined("repositories").alias("repositories"), joined("entities").alias("entities"), joined("repository_methods").alias("methods"), F.size("method_calls").cast("bigint").alias("n_calls"), "confidence")
 
 
 def outbound_flows(spark, sf):
+    """What endpoints call outside: reached through the calls, or guessed from alike names."""
     f = _files(spark, sf)
-    outbound = spark.createDataFrame([("AuditImpl", "note", "POST", "/audit")], "client string, method string, http_method string, target_path string")
-    return flows.outbound_flows(_endpoints(spark, sf), extract.method_calls(f), outbound).select("endpoint_ord", joined("outbound").alias("outbound"), joined("clients").alias("clients"), "confidence")
+    e = extract.endpoints(f)
+    ends = e.select(T.endpoint_key("http_method", "path").alias("endpoint_ord"), F.col("class_name").alias("controller"), "handler", "path")
+    audit = spark.createDataFrame([("AuditImpl", "note", "POST", "/audit")], "client string, method string, http_method string, target_path string")
+    outbound = extract.outbound_calls(f).select("client", "method", "http_method", "target_path").unionByName(audit)
+    services = extract.components(f).where("type = 'service'").select(F.col("class_name").alias("name"))
+    found = flows.outbound_flows(ends, extract.method_calls(f), outbound, services)
+    return found.select("endpoint_ord", *[joined(c).alias(c) for c in ("services", "clients", "outbound", "method_calls")], "confidence")
 
 
 def reachable_evidence(spark, sf):
@@ -211,10 +216,21 @@ ORACLE_SQL = {
         UNION SELECT o_custkey, 'bff', 'bff/' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' UNION SELECT o_custkey, 'bff', 'bff/x' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 0)
         SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey, role ORDER BY file) <= 8""",
     "uncertainty_notes": """SELECT DISTINCT o_custkey, 'bff: ' || o_orderpriority || ' has ' || CASE o_orderstatus WHEN 'O' THEN 'low' ELSE 'medium' END || ' confidence.' AS note FROM orders WHERE o_orderstatus <> 'F'""",
-    "service_flows": f"""{_S} SELECT 'GET /api/c' || k || '/{{param}}' AS endpoint_ord, 'C' || k || 'Service' AS services, 'C' || k AS entities, 'C' || k || 'Repository.findById' AS methods, CAST(2 AS BIGINT) AS n_calls, 'high' AS confidence FROM s WHERE n % 3 <> 0
-        UNION ALL SELECT 'POST /api/c' || k, 'C' || k || 'Service', '', '', CAST(3 AS BIGINT), 'medium' FROM s""",
-    "outbound_flows": f"""{_S} SELECT 'GET /api/c' || k || '/{{param}}' AS endpoint_ord, '' AS outbound, '' AS clients, 'low' AS confidence FROM s
-        UNION ALL SELECT 'POST /api/c' || k, 'POST /audit via AuditImpl.note', 'AuditImpl', 'high' FROM s UNION ALL SELECT 'PUT /api/c' || k || '/x', '', '', 'low' FROM s""",
+    "service_flows": f"""{_S}, g AS (SELECT a.k, list('C' || b.k ORDER BY 'C' || b.k || 'R')[:5] AS names FROM s a JOIN s b ON starts_with(a.k, b.k) OR starts_with(b.k, a.k) GROUP BY a.k),
+        h AS (SELECT k, array_to_string(list_transform(names, lambda x: x || 'Service'), ',') AS gs, array_to_string(list_transform(names, lambda x: x || 'Repository'), ',') AS gr FROM g)
+        SELECT 'GET /api/c' || k || '/{{param}}' AS endpoint_ord, 'C' || k || 'Service' AS services, 'C' || k || 'Repository' AS repositories, 'C' || k AS entities, 'C' || k || 'Repository.findById' AS methods, CAST(2 AS BIGINT) AS n_calls, 'high' AS confidence FROM s WHERE n % 3 <> 0
+        UNION ALL SELECT 'GET /api/c' || k || '/{{param}}', gs, gr, '', '', 0, 'low' FROM s JOIN h USING (k) WHERE n % 3 = 0
+        UNION ALL SELECT 'POST /api/c' || k, 'C' || k || 'Service', gr, '', '', CAST(3 AS BIGINT), 'medium' FROM s JOIN h USING (k)
+        UNION ALL SELECT 'PUT /api/c' || k || '/x', gs, gr, '', '', 0, 'low' FROM s JOIN h USING (k)""",
+    "outbound_flows": f"""{_S}, o AS (SELECT k, 'C' || k || 'Client' AS client, unnest(CASE n % 3 WHEN 0 THEN ['GET /be/c' || k || '/{{id}} via C' || k || 'Client.get']
+            WHEN 1 THEN ['GET /be/c' || k || '/a via C' || k || 'Client.a', 'POST /be/c' || k || '/b via C' || k || 'Client.b', 'PUT /be/c' || k || '/x/y via C' || k || 'Client.c']
+            ELSE ['GET /be/c' || k || '/{{id}} via C' || k || 'Client.a', 'DELETE /be/c' || k || ' via C' || k || 'Client.a'] END) AS t FROM s),
+        g AS (SELECT s.k, array_to_string(list_sort(list(DISTINCT o.client))[:5], ',') AS clients, array_to_string(list_sort(list(DISTINCT o.t))[:20], ',') AS outbound FROM s JOIN o ON starts_with(s.k, o.k) GROUP BY s.k),
+        v AS (SELECT a.k, array_to_string(list('C' || b.k || 'Service' ORDER BY 'C' || b.k || 'Service')[:5], ',') AS alike FROM s a JOIN s b ON starts_with(a.k, b.k) OR starts_with(b.k, a.k) GROUP BY a.k)
+        SELECT 'GET /api/c' || k || '/{{param}}' AS endpoint_ord, CASE WHEN n % 3 = 0 THEN alike ELSE 'C' || k || 'Service' END AS services, clients, outbound,
+          CASE WHEN n % 3 = 0 THEN '' ELSE 'C' || k || 'Controller.one -> C' || k || 'Service.find,C' || k || 'Service.find -> C' || k || 'Repository.findById' END AS method_calls, 'low' AS confidence FROM s JOIN g USING (k) JOIN v USING (k)
+        UNION ALL SELECT 'POST /api/c' || k, 'C' || k || 'Service', 'AuditImpl', 'POST /audit via AuditImpl.note', 'C' || k || 'Controller.add -> C' || k || 'Service.add,C' || k || 'Controller.add -> C' || k || 'Service.check,C' || k || 'Service.check -> Audit.note', 'high' FROM s
+        UNION ALL SELECT 'PUT /api/c' || k || '/x', alike, clients, outbound, '', 'low' FROM s JOIN g USING (k) JOIN v USING (k)""",
     "reachable_evidence": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'B.n,C.k' WHEN 1 THEN 'web.A' || o_custkey || '.m' ELSE '' END AS nodes FROM orders",
     "diagram_flows": """WITH f AS (SELECT DISTINCT o_custkey, concat_ws(' > ', 'GET /' || o_orderpriority, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'Abe' WHEN 'O' THEN 'Cat' END,
           CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'orders' WHEN 'P' THEN 'parts' END END) AS steps FROM orders)

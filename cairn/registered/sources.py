@@ -129,7 +129,7 @@ def source_kinds_of_files(spark, sf):
 
 
 def java_components(spark, sf):
-    c = extract.components(_files(spark, sf)).where("path like '%Controller.java' or path like '%Service.java'")
+    c = extract.components(_files(spark, sf))
     return c.select("class_name", "package_name", "type", joined("annotations").alias("annotations"), "base_path", joined("constructor_dependencies").alias("constructor"), joined("field_dependencies").alias("fields"), joined("implemented").alias("implemented"), "extended")
 
 
@@ -174,7 +174,7 @@ def repository_methods(spark, sf):
 
 
 def field_validations(spark, sf):
-    return extract.validations(_files(spark, sf)).where("path like '%Dto.java'").select("class_name", "field", "annotation")
+    return extract.validations(_files(spark, sf)).select("class_name", "field", "annotation")
 
 
 def exception_flow(spark, sf):
@@ -213,7 +213,7 @@ def ui_interactions(spark, sf):
 
 
 def ui_constants(spark, sf):
-    return extract.shared_constants(_files(spark, sf)).where("name like 'PATHS%' or name like 'ROOT%'")
+    return extract.shared_constants(_files(spark, sf))
 
 
 def ui_api_calls(spark, sf):
@@ -306,6 +306,9 @@ ORACLE_SQL = {
         """'C' || k || 'Controller' AS class_name, 'shop.web' AS package_name, 'controller' AS type, 'RestController,RequestMapping' AS annotations, '/api/c' || k AS base_path,
            'C' || k || 'Service' AS constructor, '' AS fields, '' AS implemented, NULL AS extended""",
         "'C' || k || 'Service', 'shop.svc', 'service', 'Service', NULL, 'C' || k || 'Repository', 'Audit', 'Finder,Adder', 'Base'",
+        "'C' || k || 'Repository', 'shop.data', 'repository', '', NULL, '', '', '', 'JpaRepository<C' || k", "'C' || k, 'shop.data', 'entity', 'Entity,Table,UniqueConstraint', NULL, '', '', '', NULL",
+        "'C' || k || 'Dto', 'shop.dto', 'dto', '', NULL, '', '', '', NULL", "'C' || k || 'Request', 'shop.dto', 'dto', '', NULL, '', '', '', NULL", "'C' || k || 'Advice', 'shop.web', 'exception', 'RestControllerAdvice', NULL, '', '', '', NULL",
+        "'C' || k || 'Client', '', 'client', CASE WHEN n % 3 = 0 THEN 'FeignClient' ELSE '' END, NULL, CASE WHEN n % 3 = 1 THEN 'RestClient,WebClient' ELSE '' END, '', '', NULL", "'C' || k || 'Test', '', 'test', '', NULL, '', '', '', NULL",
     ),
     "java_endpoints": _rows(
         "'C' || k || 'Controller' AS class_name, 'GET' AS http_method, '/api/c' || k || '/{id}' AS path, 'one' AS handler, 'C' || k || 'Dto' AS response_type",
@@ -335,7 +338,7 @@ ORACLE_SQL = {
         "'C' || k || 'Repository' AS repository, 'C' || k AS entity, 'everything' AS method, 'select c from C' || k || ' c' AS query, 'high' AS confidence",
         "'C' || k || 'Repository', 'C' || k, 'findByCode', NULL, 'medium'",
     ),
-    "field_validations": _rows("'C' || k || 'Dto' AS class_name, 'id' AS field, 'NotNull' AS annotation", "'C' || k || 'Dto', 'parts', 'Size'", "'C' || k || 'Dto', 'parts', 'NotBlank'"),
+    "field_validations": _rows("'C' || k || 'Dto' AS class_name, 'id' AS field, 'NotNull' AS annotation", "'C' || k || 'Dto', 'parts', 'Size'", "'C' || k || 'Dto', 'parts', 'NotBlank'", "'C' || k || 'Request', 'body', 'Valid'", "'C' || k || 'Request', 'body', 'NotNull'"),
     "exception_flow": _rows("'C' || k || 'Advice' AS class_name, 'advice' AS type, 'C' || k || 'Advice' AS detail", "'C' || k || 'Advice', 'handler', 'MissingException'", "'C' || k || 'Advice', 'throw', 'OtherException'", "'C' || k || 'Service', 'throw', 'MissingException'"),
     "java_dtos": _rows(
         "'C' || k || 'Dto' AS class_name, CAST(0 AS BIGINT) AS ord, 'id' AS field, 'Long' AS type, 'NotNull' AS validations", "'C' || k || 'Dto', 1, 'parts', 'Map<String, List<Long>>', 'Size,NotBlank'",
@@ -360,7 +363,7 @@ ORACLE_SQL = {
         f"{_P} 'pages/P' || k || 'Page.tsx' AS path, 'form' AS element, 'onSubmit' AS event, 'save' AS handler, 'form submit' AS label, 'P' || k || 'Page' AS component, 'P' || k || 'Page' AS page",
         f"{_P} 'pages/P' || k || 'Page.tsx', 'button', 'onClick', '() => loadC' || k || '(1)', 'Load', 'P' || k || 'Page', 'P' || k || 'Page'",
     ),
-    "ui_constants": _rows("'ROOT' || k AS name, 'import.meta.env.ROOT ?? ''/api''' AS value", "'PATHS' || k || '.list', '''/c' || k || ''''", "'PATHS' || k || '.deep', '`/deep/c' || k || '`'"),
+    "ui_constants": _rows("'ROOT' || k AS name, 'import.meta.env.ROOT ?? ''/api''' AS value", "'PATHS' || k || '.list', '''/c' || k || ''''", "'PATHS' || k || '.deep', '`/deep/c' || k || '`'", "DISTINCT 'initial.code', ''''''"),
     "ui_api_calls": _rows(
         f"{_P} 'api/c' || k || 'Api.ts' AS path, 'loadC' || k AS \"function\", 'GET' AS http_method, '/api/c' || k || '/{{id}}' AS target, 'id,query,header:X-Trace-Id' AS parameters, 'high' AS confidence".replace("{{id}}", "{id}"),
         f"{_P} 'api/c' || k || 'Api.ts', 'saveC' || k, 'POST', '/own' || k || '/save', 'payload', 'high'",

@@ -73,9 +73,9 @@ def grounded_sections(spark, sf):
 
 
 def split_ledgers(spark, sf):
+    """Every part with its items and the references that it shares."""
     parts = D.split_ledger(_ledger(spark, sf), 900, "conv_id")
-    rest = parts.where("kind <> 'reference'")
-    return rest.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind", "text", "heading").alias("items"))
+    return parts.select("conv_id", F.col("part").cast("bigint").alias("part"), "heading", "kind", F.sha2("text", 256).alias("item"))
 
 
 def projected_ledger(spark, sf):
@@ -292,7 +292,14 @@ ORACLE_SQL = {
     "demoted_findings": f"""WITH {_LEDGER}, l AS (SELECT * FROM ledger WHERE heading = 'Opening' OR kind <> 'reference'), b AS (SELECT DISTINCT conv_id, heading FROM l WHERE kind = 'reference')
         SELECT l.conv_id, l.heading, CASE WHEN kind = 'finding' AND b.conv_id IS NULL THEN 'uncertainty' ELSE kind END AS kind, count(*) AS n FROM l LEFT JOIN b ON b.conv_id = l.conv_id AND b.heading = l.heading GROUP BY 1, 2, 3""",
     "grounded_sections": f"WITH {_LEDGER} SELECT conv_id, heading FROM ledger GROUP BY 1, 2 HAVING bool_or(kind = 'finding') AND bool_or(kind = 'reference')",
-    "split_ledgers": f"WITH {_LEDGER} SELECT conv_id, count(*) AS n, count(*) AS items FROM ledger WHERE kind <> 'reference' GROUP BY 1",
+    "split_ledgers": f"""WITH RECURSIVE {_LEDGER}, l AS (SELECT *, CASE heading WHEN 'Opening' THEN 0 ELSE 1 END AS place, length(text) AS n FROM ledger),
+        i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place, ord) AS k FROM l WHERE kind <> 'reference'),
+        r AS (SELECT conv_id, k, n AS used, CAST(1 AS BIGINT) AS part FROM i WHERE k = 1
+          UNION ALL SELECT i.conv_id, i.k, CASE WHEN used = 0 OR used + 1 + n > 630 THEN n ELSE used + 1 + n END, CASE WHEN used = 0 OR used + 1 + n > 630 THEN part + 1 ELSE part END FROM r JOIN i ON i.conv_id = r.conv_id AND i.k = r.k + 1),
+        p AS (SELECT conv_id, part, heading, place, kind, text FROM i JOIN r USING (conv_id, k)),
+        f AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, place ORDER BY ord ROWS UNBOUNDED PRECEDING) AS upto FROM l WHERE kind = 'reference')
+        SELECT conv_id, part, heading, kind, sha256(text) AS item FROM p
+        UNION ALL SELECT f.conv_id, x.part, f.heading, f.kind, sha256(f.text) FROM f JOIN (SELECT DISTINCT conv_id, place, part FROM p) x USING (conv_id, place) WHERE upto <= 270""",
     "projected_ledger": f"""WITH {_LEDGER} SELECT conv_id, heading, kind, count(*) AS n FROM ledger WHERE heading = 'Opening' GROUP BY 1, 2, 3
         UNION ALL SELECT conv_id, '*', kind, count(DISTINCT text) FROM ledger WHERE kind <> 'finding' GROUP BY 1, 3""",
     "reduced_ledgers": "SELECT user_id % 3 AS batch, event_type AS kind, 'u' || user_id AS text, min(event_id) AS ord FROM events GROUP BY 1, 2, 3",
