@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairn.functions import tables
 from cairn.functions.canonical import canonical_artifact
 from cairn.operators import extract, focus
+from cairn.plans.durable import shared_folder
 from cairn.queries import table
 from cairn.registered import varied
-from cairn.sources import incremental
+from cairn.sources import incremental, jsonl_source
 
 # Canonical artifacts -----------------------------------------------------------------------
 
@@ -142,10 +145,20 @@ def file_changes(spark, sf):
     return incremental.changes(manifest(o.where("o_orderkey % 5 <> 0"), F.col("o_orderstatus")), manifest(o.where("o_orderkey % 7 <> 0"), F.when(F.col("o_orderkey") % 3 == 0, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))))
 
 
+def strict_records(spark, sf):
+    """Turns written as strict JSON lines, whole or not at all, and read again by ranges of lines."""
+    jsonl_source.register(spark)
+    folder = f"{shared_folder(spark)}/cairn-strict-{uuid.uuid4().hex}"
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    c.write.format("strict_jsonl").mode("overwrite").save(folder)
+    back = spark.read.format("strict_jsonl").schema(c.schema).options(required="conv_id,turn", rangeBytes=str(1 << 16)).load(folder)
+    return back.select("conv_id", "turn", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_artifacts, endpoints_in_sql, method_calls_in_sql, interactions_in_sql, first_orders_in_sql, marks_in_sql, focused_declarations, focused_lines,
+        strict_records, canonical_artifacts, endpoints_in_sql, method_calls_in_sql, interactions_in_sql, first_orders_in_sql, marks_in_sql, focused_declarations, focused_lines,
         page_evidence, packed_evidence, incremental_scan, file_changes,
     )
 }
@@ -193,6 +206,7 @@ _FOUND = f"""WITH {_JAVA}, {_SCRIPT},
           CASE WHEN nullif(code, '') IS NOT NULL THEN NULL WHEN n = 4 THEN "group" || ': ' || path || ' is not readable.' ELSE "group" || ': ' || asked || ' was not found in ' || path || '.' END AS uncertainty FROM z)"""
 
 ORACLE_SQL = {
+    "strict_records": "SELECT conv_id, turn, role, sha256(coalesce(text, '')) AS sha256 FROM conversations",
     "canonical_artifacts": f"""WITH v AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{a[0]}', {_text(a[3])})" for i, a in enumerate(ARTIFACTS))}) v(m, kind, x))
         SELECT event_id, kind, {_BY_KEY} AS canonical FROM events JOIN v ON v.m = event_id % {len(ARTIFACTS)}""",
     "endpoints_in_sql": f"SELECT path, class_name, handler, http_method, endpoint FROM ({varied.ORACLE_SQL['syntax_endpoints']})",
