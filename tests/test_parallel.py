@@ -113,3 +113,54 @@ def test_splits_overlap_on_both_sides(spark):
     for least, overlap in ((10, 3), (4, 100), (20, 0), (1, 5)):
         got = {r.k: r.p for r in df.select("k", packs.split_once(F.col("t"), least, overlap).alias("p")).collect()}
         assert got == {k: plain(t, least, overlap) for k, t in enumerate(texts)}
+
+
+def plain_windows(value, most):
+    """The rule as it reads: breaks behind lines, the last one far enough, overlap from a line's start."""
+    import re
+
+    structural, lines, starts, line_start = [], [], [0], 0
+    for k, c in enumerate(value):
+        if c == "\n":
+            lines.append(k + 1)
+            bare = value[line_start : k + 1].strip()
+            if not bare or re.fullmatch(r"[}\])]+[;,]?", bare) or re.match(r"(end|fi|done)\b", bare, re.IGNORECASE):
+                structural.append(k + 1)
+            starts.append(k + 1)
+            line_start = k + 1
+    starts = [x for x in starts if x < len(value)] or [0]
+    budget = min(800, max(1, most // 10)) if most >= 40 else 0
+    out, start, covered = [], 0, 0
+    while True:
+        hard = start + most
+        if hard >= len(value):
+            end, kind = len(value), "end-of-source"
+        else:
+            one = [x for x in structural if max(covered + 1, start + int(most * 0.4)) <= x <= hard]
+            two = [x for x in lines if max(covered + 1, start + int(most * 0.25)) <= x <= hard]
+            # the last break within the hard end decides, also where it is too early
+            last = [[x for x in xs if x <= hard][-1:] for xs in (structural, lines)]
+            end, kind = (last[0][0], "structure") if one and last[0][0] in one else (last[1][0], "line") if two and last[1][0] in two else (hard, "character")
+        out.append((start, end, max(0, covered - start), kind, value[:start].count("\n") + 1, value[: max(end - 1, 0)].count("\n") + 1))
+        if end >= len(value):
+            return out
+        covered, minimum = end, max(start + 1, end - budget)
+        start = end if budget <= 0 else next((x for x in starts if minimum <= x < end), min(end, minimum))
+
+
+def test_windows_and_their_ranges(spark):
+    from cairn.operators import allocate
+
+    rng = random.Random(6)
+    pieces = ["}\n", "});\n", "]]],\n", "end if\n", "Done\n", "ending\n", "\n", "  \n", "x = 1;\n", "some longer line of code here\n", "y" * 90, "\n\n", "};;\n"]
+    texts = ["", "\n", "a", *["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(80)]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(999, None)], "i int, t string")
+    for most in (7, 39, 60, 200):
+        got: dict = {}
+        for r in allocate.windows(docs, "i", "t", most).orderBy("i", "part").collect():
+            got.setdefault(r["i"], []).append((r["start"], r["stop"], r["overlap"], r["boundary"], r["start_line"], r["end_line"]))
+        assert got.pop(999) == [(0, 0, 0, "end-of-source", 1, 1)]
+        assert got == {k: plain_windows(t, most) for k, t in enumerate(texts)}
+    found = allocate.windows(docs, "i", "t", 60)
+    blocks = allocate.source_evidence(found, docs, "i", "t", F.concat(F.lit("File "), F.col("i"))).where("i = 5").orderBy("part").collect()
+    assert blocks[0]["block"].startswith("## File 5\n- Window: 1/") and blocks[0]["block"].endswith("\n```") and len({b["block"] for b in blocks}) == len(blocks)
