@@ -120,6 +120,13 @@ def script_class(path: Column, content: Column | None = None) -> Column:
     )
 
 
+def file_index(files: DataFrame) -> DataFrame:
+    """What an index keeps of scanned files (path, content, ...): everything but the content, with kind and size in bytes."""
+    p, c = F.col("path"), F.coalesce("content", F.lit(""))
+    kind = F.when(p.endswith(".java"), java_class(p, c)).when(p.rlike(r"\.[tj]sx?\z"), script_class(p, c))
+    return files.withColumn("classification", kind).withColumn("size", F.octet_length(c).cast("bigint")).drop("content")
+
+
 def stereotype(annotations: Column) -> Column:
     """The kind that a class's annotations give; the first that it has, null without one."""
     kinds = [("RestController|Controller", "controller"), ("Service", "service"), ("Repository", "repository"), ("Entity", "entity"), ("Configuration", "config"), ("FeignClient", "client"), ("ControllerAdvice|RestControllerAdvice", "exception"), ("Component", "component")]

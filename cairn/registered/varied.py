@@ -192,6 +192,14 @@ def classified_files(spark, sf):
     return f.select(F.col("rule").cast("bigint").alias("rule"), "path", kind.alias("kind"))
 
 
+def indexed_files(spark, sf):
+    """The index of files of all kinds: no content, but kind and size."""
+    k = F.col("s_suppkey")
+    structs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("rule"), _filled(p, k=k).alias("path"), _filled(c, k=k).alias("content")) for i, (p, c) in enumerate([*KINDS, ("README<k>.md", "é<k>")])])
+    f = table(spark, sf, "supplier").select(F.explode(structs).alias("f")).select("f.*")
+    return extract.file_index(f)
+
+
 #: Paths by supplier and whether a Spring scan reads them.
 SCANNED = [
     ("pom.xml", True), ("a<k>/Build.Gradle.kts", True), ("settings.gradle", True), ("package.json", False), ("m<k>/src/main/java/p/A<k>.java", True), ("src/test/java/B<k>.JAVA", True), ("src/main/kotlin/C<k>.java", False),
@@ -242,7 +250,7 @@ def syntax_divergence(spark, sf):
     return syntax.divergence(varied_controllers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (repeated_api_calls, nested_method_calls, chained_outbound_calls, owned_interactions, exported_components, classified_files, scanned_paths, syntax_endpoints, syntax_divergence)}
+QUERIES = {f.__name__: f for f in (repeated_api_calls, nested_method_calls, chained_outbound_calls, owned_interactions, exported_components, classified_files, indexed_files, scanned_paths, syntax_endpoints, syntax_divergence)}
 
 
 def _cases(values: list[str]) -> str:
@@ -282,6 +290,8 @@ ORACLE_SQL = {
           array_to_string(list_sort(children), ',') AS children, 'react,../box' AS imports, 'medium' AS confidence FROM n JOIN f USING (c)""",
     "classified_files": f"""SELECT CAST(v.i AS BIGINT) AS rule, replace(v.p, '<k>', CAST(s_suppkey AS VARCHAR)) AS path, v.kind FROM supplier,
         (VALUES {", ".join(f"({i}, '{p}', '{kind}')" for i, ((p, _), kind) in enumerate(zip(KINDS, KIND_NAMES, strict=True)))}) v(i, p, kind)""",
+    "indexed_files": f"""SELECT CAST(v.i AS BIGINT) AS rule, replace(v.p, '<k>', CAST(s_suppkey AS VARCHAR)) AS path, CAST(strlen(replace(v.c, '<k>', CAST(s_suppkey AS VARCHAR))) AS BIGINT) AS size, v.kind AS classification FROM supplier,
+        (VALUES {", ".join("({}, '{}', '{}', {})".format(i, p, c.replace("'", "''"), f"'{kind}'" if kind else "NULL") for i, ((p, c), kind) in enumerate(zip([*KINDS, ("README<k>.md", "é<k>")], [*KIND_NAMES, None], strict=True)))}) v(i, p, c, kind)""",
     "scanned_paths": f"""SELECT s_suppkey, CAST(v.i AS BIGINT) AS rule, replace(v.p, '<k>', CAST(s_suppkey AS VARCHAR)) AS path FROM supplier,
         (VALUES {", ".join(f"({i}, '{p}')" for i, (p, read) in enumerate(SCANNED) if not read)}) v(i, p)""",
     "syntax_endpoints": f"""WITH {_SPAN}, v AS (SELECT * FROM (VALUES
