@@ -131,6 +131,61 @@ def page_slice(pages: DataFrame, tables: dict[str, tuple[DataFrame, list[str], s
     return out
 
 
+_TRUSTED = "coalesce(confidence, '') <> 'low'"
+#: How a page's slice grows: an index, its key columns, and where the keys come from (slice, column, condition). Low flows name no parts of theirs.
+SLICE_STEPS = [
+    ("ui_calls", ["file"], [("components", "file", None)]),
+    ("ui_to_bff", ["call"], [("ui_calls", "call", None), ("page_flows", "call", None)]),
+    ("bff_to_be", ["bff_endpoint", "outbound"], [("ui_to_bff", "bff_endpoint", None), ("page_flows", "bff_endpoint", None)]),
+    ("bff_endpoints", ["endpoint"], [("ui_to_bff", "bff_endpoint", None), ("page_flows", "bff_endpoint", None)]),
+    ("be_endpoints", ["endpoint"], [("bff_to_be", "be_endpoint", None), ("page_flows", "be_endpoint", None)]),
+    ("bff_flows", ["endpoint"], [("ui_to_bff", "bff_endpoint", None), ("page_flows", "bff_endpoint", None)]),
+    ("be_flows", ["endpoint"], [("bff_to_be", "be_endpoint", None), ("page_flows", "be_endpoint", None)]),
+    ("bff_components", ["class_name"], [("bff_endpoints", "class_name", None), ("bff_flows", "controller", None), ("bff_flows", "services", None), ("bff_flows", "clients", None)]),
+    ("be_components", ["class_name"], [("be_endpoints", "class_name", None), ("be_flows", "controller", None), ("be_flows", "services", _TRUSTED), ("be_flows", "repositories", _TRUSTED)]),
+    ("bff_dtos", ["class_name"], [("bff_endpoints", "types", None)]),
+    ("be_dtos", ["class_name"], [("be_endpoints", "types", None)]),
+    ("entities", ["entity"], [("be_flows", "entities", _TRUSTED)]),
+    ("repositories", ["method_key", "entity"], [("be_flows", "methods", _TRUSTED), ("be_flows", "entities", _TRUSTED)]),
+    ("validations", ["class_name"], [("be_dtos", "class_name", None), ("entities", "entity", None)]),
+]
+
+
+def page_slice_rows(own: dict[str, DataFrame], indexes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every page's slice in one pass: by index the rows (page, ...) that belong to it.
+
+    ``own`` are the slices that pages have by themselves (components,
+    page_flows, and what else names a page); an index that is among both has
+    its own rows and those that its step finds. Keys are compared by letters
+    and digits; columns of arrays give several. Steps whose index isn't given
+    are left out, as are sources whose slice is.
+    """
+    slices = {name: materialize(rows, "slice") for name, rows in own.items()}
+    for name, columns, sources in SLICE_STEPS:
+        if name not in indexes:
+            continue
+        rows = indexes[name].withColumn("__row", F.monotonically_increasing_id())
+        rows = materialize(rows, "index")
+        many = lambda df, c: F.explode(F.col(c)) if dict(df.dtypes)[c].startswith("array") else F.col(c)
+        wanted, held = None, None
+        for parent, column, condition in sources:
+            if parent in slices and column in slices[parent].columns:
+                from_ = slices[parent].where(condition) if condition and "confidence" in slices[parent].columns else slices[parent]
+                part = from_.select("page", many(from_, column).alias("key"))
+                wanted = part if wanted is None else wanted.unionByName(part)
+        for column in columns:
+            if column in rows.columns:
+                part = rows.select("__row", many(rows, column).alias("key"))
+                held = part if held is None else held.unionByName(part)
+        if wanted is None or held is None:
+            continue
+        keyed = lambda df, c: df.select(c, alnum_name("key").alias("key")).where("key <> ''").distinct()
+        met = keyed(wanted, "page").join(keyed(held, "__row"), "key").select("page", "__row").distinct()
+        found = met.join(rows, "__row").drop("__row")
+        slices[name] = materialize(found.unionByName(slices[name], allowMissingColumns=True).distinct() if name in slices else found, "slice")
+    return slices
+
+
 def evidence_files(flows: DataFrame, roles: dict[str, list[str]], by: str, trusted: Column, most: int = 8) -> DataFrame:
     """(by, role, file): the distinct files of trusted flows, ``most`` a role in name order."""
     found = None

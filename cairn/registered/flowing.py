@@ -154,6 +154,35 @@ def selected_indexes(spark, sf):
     return flows.selected_indexes(p.unionByName(s), PLAN).groupBy("document", "index").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _slices(spark, sf):
+    c, s, o, p, n, r = (table(spark, sf, t) for t in ("customer", "supplier", "orders", "part", "nation", "region"))
+    text = lambda prefix, key: F.concat(F.lit(prefix), key.cast("string"))
+    ck, sk, ok, pk, nk = F.col("c_custkey"), F.col("s_suppkey"), F.col("o_orderkey"), F.col("p_partkey"), F.col("n_nationkey")
+    own = {
+        "components": s.select(F.col("s_nationkey").alias("page"), text("f", sk % 15).alias("file"), sk.alias("row")),
+        "page_flows": c.where(ck % 9 == 0).select(F.col("c_nationkey").alias("page"), text("GET /c", ck % 50).alias("call"), F.when(ck % 4 > 0, text("b", ck % 30)).alias("bff_endpoint"), F.when(ck % 5 == 0, text("e", ck % 20)).alias("be_endpoint"), ck.alias("row")),
+    }
+    indexes = {
+        "ui_calls": o.where(ok % 10 == 0).select(text("get /C", ok % 60).alias("call"), text("F", F.floor(ok / 10) % 40).alias("file"), ok.alias("row")),
+        "ui_to_bff": p.where(pk % 5 == 0).select(text("GET /c", pk % 60).alias("call"), text("b", pk % 45).alias("bff_endpoint"), pk.alias("row")),
+        "bff_to_be": s.select(text("b", sk % 45).alias("bff_endpoint"), text("b", sk % 7 * 10).alias("outbound"), text("e", sk % 25).alias("be_endpoint"), sk.alias("row")),
+        "be_flows": n.select(text("e", nk).alias("endpoint"), F.when(nk % 3 == 0, "low").when(nk % 3 == 1, "high").alias("confidence"), text("Ctl", nk).alias("controller"), F.array(text("S", nk), text("S", nk + 50)).alias("services"), F.array(text("R", nk % 5)).alias("repositories"), F.array(text("E", nk % 4)).alias("entities"), F.array(F.concat(text("R", nk % 5), F.lit(".find"))).alias("methods"), nk.alias("row")),
+        "be_components": s.select(F.when(sk % 2 == 0, text("S", sk)).otherwise(text("R", sk % 10)).alias("class_name"), sk.alias("row")).unionByName(n.select(text("ctl", nk).alias("class_name"), (nk + 1000).cast("long").alias("row"))),
+        "entities": r.select(text("E", F.col("r_regionkey")).alias("entity"), F.col("r_regionkey").alias("row")),
+        "repositories": s.select(F.concat(text("R", sk % 10), F.lit(".find")).alias("method_key"), text("E", sk % 6).alias("entity"), sk.alias("row")),
+    }
+    return flows.page_slice_rows(own, indexes)
+
+
+def whole_page_slices(spark, sf):
+    """Every page's rows of seven indexes, grown step by step; low flows name no parts."""
+    out = None
+    for name, rows in _slices(spark, sf).items():
+        part = rows.select(F.lit(name).alias("index"), F.col("page").cast("bigint").alias("page"), F.col("row").cast("bigint").alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def locale_order(spark, sf):
     """Names with accents and capitals, whose order by bytes is another."""
     k = F.col("p_partkey")
@@ -189,7 +218,7 @@ QUERIES = {
     for f in (
         service_flow_resolution, first_of_either, tiered_lookup, repository_entities, containing_names, containing_everything, page_slices, evidence_files,
         uncertainty_notes, service_flows, outbound_flows, reachable_evidence, diagram_flows, outbound_match, page_flows, first_items, selected_indexes, locale_order,
-        containing_alike, last_purchase, last_event_of_type,
+        whole_page_slices, containing_alike, last_purchase, last_event_of_type,
     )
 }
 
@@ -251,6 +280,21 @@ ORACLE_SQL = {
     "locale_order": r"""WITH p AS (SELECT p_partkey, regexp_replace(CASE p_partkey % 5 WHEN 0 THEN translate(p_name, 'aeo', 'áéö') WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')
             WHEN 2 THEN upper(p_name) ELSE p_name END, '[^\p{L}]', '', 'g') AS name FROM part)
         SELECT p_partkey, name, dense_rank() OVER (ORDER BY strip_accents(lower(name)), lower(name), list_transform(string_split(name, ''), lambda c: c <> lower(c)), name) AS place FROM p""",
+    "whole_page_slices": """WITH comp AS (SELECT s_nationkey AS page, 'f' || s_suppkey % 15 AS file, s_suppkey AS r FROM supplier),
+        pf AS (SELECT c_nationkey AS page, 'c' || c_custkey % 50 AS call, CASE WHEN c_custkey % 4 > 0 THEN 'b' || c_custkey % 30 END AS b, CASE WHEN c_custkey % 5 = 0 THEN 'e' || c_custkey % 20 END AS e, c_custkey AS r FROM customer WHERE c_custkey % 9 = 0),
+        uc AS (SELECT DISTINCT page, 'c' || o_orderkey % 60 AS call, o_orderkey AS r FROM orders JOIN comp ON comp.file = 'f' || (o_orderkey // 10) % 40 WHERE o_orderkey % 10 = 0),
+        k1 AS (SELECT page, call FROM uc UNION SELECT page, call FROM pf),
+        ub AS (SELECT DISTINCT page, 'b' || p_partkey % 45 AS b, p_partkey AS r FROM part JOIN k1 ON k1.call = 'c' || p_partkey % 60 WHERE p_partkey % 5 = 0),
+        k2 AS (SELECT page, b FROM ub UNION SELECT page, b FROM pf WHERE b IS NOT NULL),
+        bb AS (SELECT DISTINCT page, 'e' || s_suppkey % 25 AS e, s_suppkey AS r FROM supplier JOIN k2 ON k2.b IN ('b' || s_suppkey % 45, 'b' || s_suppkey % 7 * 10)),
+        k3 AS (SELECT page, e FROM bb UNION SELECT page, e FROM pf WHERE e IS NOT NULL),
+        bf AS (SELECT DISTINCT page, n_nationkey AS n, n_nationkey % 3 <> 0 AS trusted FROM nation JOIN k3 ON k3.e = 'e' || n_nationkey),
+        k4 AS (SELECT page, 'ctl' || n AS x FROM bf UNION SELECT page, 's' || n FROM bf WHERE trusted UNION SELECT page, 's' || (n + 50) FROM bf WHERE trusted UNION SELECT page, 'r' || n % 5 FROM bf WHERE trusted),
+        cs AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 's' || s_suppkey ELSE 'r' || s_suppkey % 10 END AS x, s_suppkey AS r FROM supplier UNION ALL SELECT 'ctl' || n_nationkey, n_nationkey + 1000 FROM nation)
+        SELECT 'components' AS "index", page, r AS row FROM comp UNION ALL SELECT 'page_flows', page, r FROM pf UNION ALL SELECT 'ui_calls', page, r FROM uc UNION ALL SELECT 'ui_to_bff', page, r FROM ub UNION ALL SELECT 'bff_to_be', page, r FROM bb
+        UNION ALL SELECT 'be_flows', page, n FROM bf UNION ALL SELECT DISTINCT 'be_components', page, r FROM cs JOIN k4 USING (x)
+        UNION ALL SELECT DISTINCT 'entities', page, r_regionkey FROM region JOIN bf ON trusted AND n % 4 = r_regionkey
+        UNION ALL SELECT DISTINCT 'repositories', page, s_suppkey FROM supplier JOIN bf ON trusted AND (n % 5 = s_suppkey % 10 OR n % 4 = s_suppkey % 6)""",
     "containing_alike": """WITH n AS (SELECT c_custkey, 'src/shared/' || lower(c_mktsegment) || '/' || c_name || '.tsx' AS name FROM customer),
         d AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'src/shared/building/Customer#' || lpad(CAST(s_suppkey // 4 AS VARCHAR), 9, '0') WHEN 1 THEN s_suppkey || '.' WHEN 2 THEN '/absent' || s_suppkey ELSE right(CAST(s_suppkey AS VARCHAR), 2) END AS needle FROM supplier)
         SELECT c_custkey, s_suppkey FROM n JOIN d ON contains(name, needle)""",
