@@ -214,11 +214,20 @@ def split_ledger(ledger: DataFrame, most: int, id_col: str = "doc_id", share: fl
     return items.unionByName(shared)
 
 
-def projected(ledger: DataFrame, headings: list[str], id_col: str = "doc_id") -> DataFrame:
-    """Items of the given headings, and under ``*`` a document's references and uncertainties from all of them, each once."""
-    chosen = ledger.where(F.col("heading").isin(headings))
-    everything = ledger.where("kind <> 'finding'").groupBy(id_col, "kind", "text").agg(F.min("ord").alias("ord"))
-    return chosen.select(id_col, "heading", "kind", "text", "ord").unionByName(everything.select(id_col, F.lit("*").alias("heading"), "kind", "text", "ord"))
+def projected(ledger: DataFrame, requested: list[str], spine: list[str], aggregates: dict[str, str], id_col: str = "doc_id") -> DataFrame:
+    """(id, heading, kind, text, ord): what a writer of the ``requested`` headings sees of a ledger.
+
+    Items of requested headings and of the ``spine``, which goes through all
+    layers, stay as they are. A requested heading that ``aggregates`` names for
+    a kind holds that kind's items of the whole document instead, each once.
+    """
+    gathered = {kind: heading for kind, heading in aggregates.items() if heading in requested}
+    shown = [h for h in [*requested, *spine] if h not in gathered.values()]
+    out = ledger.where(F.col("heading").isin(shown)).select(id_col, "heading", "kind", "text", "ord")
+    for kind, heading in gathered.items():
+        once = ledger.where(F.col("kind") == kind).groupBy(id_col, "text").agg(F.min("ord").alias("ord"))
+        out = out.unionByName(once.select(id_col, F.lit(heading).alias("heading"), F.lit(kind).alias("kind"), "text", "ord"))
+    return out
 
 
 def section_groups(place: Column, size: int, halved: int = 0) -> Column:

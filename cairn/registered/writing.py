@@ -79,7 +79,13 @@ def split_ledgers(spark, sf):
 
 
 def projected_ledger(spark, sf):
-    return D.projected(_ledger(spark, sf), ["Opening"], "conv_id").groupBy("conv_id", "heading", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """What three writers see: of a section and all references, of all uncertainties with a section as spine, of a section alone."""
+    ledger, aggregates = _ledger(spark, sf), {"reference": "Sources", "uncertainty": "Open"}
+    out = None
+    for name, requested, spine in (("a", ["Opening", "Sources"], []), ("b", ["Open"], ["Middle"]), ("c", ["Middle"], ["Open"])):
+        part = D.projected(ledger, requested, spine, aggregates, "conv_id").select(F.lit(name).alias("writer"), "conv_id", "heading", "kind", F.sha2("text", 256).alias("item"), "ord")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def reduced_ledgers(spark, sf):
@@ -300,8 +306,10 @@ ORACLE_SQL = {
         f AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, place ORDER BY ord ROWS UNBOUNDED PRECEDING) AS upto FROM l WHERE kind = 'reference')
         SELECT conv_id, part, heading, kind, sha256(text) AS item FROM p
         UNION ALL SELECT f.conv_id, x.part, f.heading, f.kind, sha256(f.text) FROM f JOIN (SELECT DISTINCT conv_id, place, part FROM p) x USING (conv_id, place) WHERE upto <= 270""",
-    "projected_ledger": f"""WITH {_LEDGER} SELECT conv_id, heading, kind, count(*) AS n FROM ledger WHERE heading = 'Opening' GROUP BY 1, 2, 3
-        UNION ALL SELECT conv_id, '*', kind, count(DISTINCT text) FROM ledger WHERE kind <> 'finding' GROUP BY 1, 3""",
+    "projected_ledger": f"""WITH {_LEDGER}, l AS (SELECT conv_id, heading, kind, sha256(text) AS item, ord FROM ledger)
+        SELECT 'a' AS writer, * FROM l WHERE heading = 'Opening' UNION ALL SELECT 'a', conv_id, 'Sources', kind, item, min(ord) FROM l WHERE kind = 'reference' GROUP BY ALL
+        UNION ALL SELECT 'b', * FROM l WHERE heading = 'Middle' UNION ALL SELECT 'b', conv_id, 'Open', kind, item, min(ord) FROM l WHERE kind = 'uncertainty' GROUP BY ALL
+        UNION ALL SELECT 'c', * FROM l WHERE heading = 'Middle'""",
     "reduced_ledgers": "SELECT user_id % 3 AS batch, event_type AS kind, 'u' || user_id AS text, min(event_id) AS ord FROM events GROUP BY 1, 2, 3",
     "section_groups": "SELECT conv_id, turn, CAST(floor(turn / 4) AS BIGINT) AS whole, CAST(floor(turn / 2) AS BIGINT) AS halved FROM conversations",
     "packed_ledgers": f"""WITH RECURSIVE {_LEDGER}, z AS (SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n, row_number() OVER (ORDER BY conv_id) AS k FROM ledger GROUP BY conv_id),
