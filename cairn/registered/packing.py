@@ -18,10 +18,11 @@ def budgeted_texts(spark, sf):
 
 
 def balanced_context(spark, sf):
-    """Weighted shares, excerpts of them, and what became of each part."""
+    """Weighted shares of what titles and fences leave, excerpts of them, and what became of each part."""
     weight = F.when(F.col("lang") == "en", 6.0).when(F.col("lang") == "fr", 4.0).otherwise(2.0)
     d = table(spark, sf, "documents").select("source", "doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"), weight.alias("weight"))
-    shared = allocate.weighted_allocation(d.drop("text"), ["source"], "doc_id", "size", "weight", 24_000)
+    titled = d.drop("text").withColumn("overhead", F.length(F.concat(F.lit("## Document "), "doc_id", F.lit("\n```\n\n```\n"))))
+    shared = allocate.weighted_allocation(titled, ["source"], "doc_id", "size", "weight", 24_000, overhead="overhead")
     parts = d.select("doc_id", "text").join(shared.select("source", "doc_id", "size", "granted"), "doc_id")
     audit = packs.selection_audit(parts.withColumns({"stale": F.col("doc_id") % 11 == 0, "enabled": F.col("doc_id") % 13 != 0}))
     sent = F.when(F.col("selection").isin("included", "truncated"), packs.excerpt(F.coalesce("text", F.lit("")), F.col("granted")))
