@@ -164,3 +164,19 @@ def test_windows_and_their_ranges(spark):
     found = allocate.windows(docs, "i", "t", 60)
     blocks = allocate.source_evidence(found, docs, "i", "t", F.concat(F.lit("File "), F.col("i"))).where("i = 5").orderBy("part").collect()
     assert blocks[0]["block"].startswith("## File 5\n- Window: 1/") and blocks[0]["block"].endswith("\n```") and len({b["block"] for b in blocks}) == len(blocks)
+
+
+def test_components_of_a_slice_whose_numbers_meet_are_two_rows(spark, tmp_path):
+    """From a thousand suppliers on, a supplier and a nation's controller may have one number: the SQL counts both, as the query does."""
+    from cairn.registered import flowing
+    from tests.oracle import TABLES, database, differences
+
+    small = "/root/testdata/sf0.001"
+    for name in TABLES:
+        rows = spark.read.parquet(f"{small}/{name}.parquet")
+        if name == "supplier":
+            rows = spark.range(1000, 1100).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name"), (F.col("id") % 25).cast("int").alias("s_nationkey"), F.lit(1.0).alias("s_acctbal"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = flowing.whole_page_slices(spark, str(tmp_path))
+    assert found.count() > found.distinct().count()
+    assert differences(found, flowing.ORACLE_SQL["whole_page_slices"], database(str(tmp_path))) == ""
