@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import extract, syntax
+from cairn.plans.durable import materialize, spread
 from cairn.queries import table
 from cairn.sources import files
 
@@ -34,8 +35,9 @@ def _case(key: Column, ways: list[str], **values: Column) -> Column:
 
 def _assembled(rows: DataFrame, by: str, order: str, path: Column, head: Column, statement: Column, tail: str) -> DataFrame:
     """(path, content): a file for each group, its statements in order between head and tail."""
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), statement.alias("s"))))["s"].alias("s"))
-    return lists.select(path.alias("path"), F.concat(head, F.array_join("s", "\n"), F.lit(tail)).alias("content"))
+    lists = spread(rows.withColumns({"__s": statement}), by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__s").alias("s"))))["s"].alias("s"))
+    # written once: extractors scan the files several times
+    return materialize(lists.select(path.alias("path"), F.concat(head, F.array_join("s", "\n"), F.lit(tail)).alias("content")), "files")
 
 
 #: Statements of a script by order: repeated calls, calls behind another function, wrappers in all their forms.
