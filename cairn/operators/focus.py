@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 from cairn.functions import calls, java, scan
 from cairn.operators.extract import scanned
 from cairn.operators.select import innermost, merged_intervals, valid_prefix
+from cairn.plans.durable import materialize, spread
 from cairn.plans.running import running_totals
 
 if TYPE_CHECKING:
@@ -103,6 +105,19 @@ GROUPS = {
 FIRST_WINS = {"Entity / DTO / Validation Evidence"}
 
 
+#: The tier that finds a declaration of each kind.
+_TIER_OF = {"method": "method", "field": "field", "class": "type", "interface": "type", "enum": "type", "record": "type"}
+
+
+@lru_cache(maxsize=1)
+def _java_spans(text: str) -> dict[tuple[str, str], tuple[int, int]]:
+    """The span of the first declaration of each tier and name; those of the last file are kept."""
+    spans: dict[tuple[str, str], tuple[int, int]] = {}
+    for d in java.Source(text).declarations:
+        spans.setdefault((_TIER_OF.get(d.kind, d.kind), d.name), (d.start, d.stop))
+    return spans
+
+
 def _block(tier: str, text: str, symbol: str | None, needle: str | None, before: int, after: int) -> str | None:
     """What one tier finds in a file."""
     if tier == "declaration":
@@ -115,10 +130,8 @@ def _block(tier: str, text: str, symbol: str | None, needle: str | None, before:
         found = next((r for r in calls.interactions(text) if symbol and scan.re.search(rf"\b{scan.re.escape(symbol)}\b", r[3])), None)
         span = (found[0], scan.close_tag(text, found[0], found[1])) if found else None
     else:
-        wanted = {"method": ("method",), "field": ("field",), "type": ("class", "interface", "enum", "record")}[tier]
         name = needle if tier == "type" else symbol
-        one = next((d for d in java.Source(text).declarations if d.kind in wanted and d.name == name), None) if name else None
-        span = (one.start, one.stop) if one else None
+        span = _java_spans(text).get((tier, name)) if name else None
     return text[span[0] : span[1]] if span else None
 
 
@@ -129,7 +142,8 @@ def evidence(files: DataFrame, wanted: DataFrame, most: int = 5000) -> DataFrame
     brackets, an element by its handler, a window around the needle. Code of
     several symbols and tiers is joined; a group without any says why. Long
     code is cut, with a mark. The confidence is the record's own, medium where
-    it has none; declarations of pages are certain.
+    it has none; declarations of pages are certain. Records of a file come
+    together, so that it is read once for all of them.
     """
     joined = wanted.join(files.select("path", "content"), "path", "left")
     keep = [c for c in wanted.columns if c != "confidence"]
@@ -159,7 +173,8 @@ def evidence(files: DataFrame, wanted: DataFrame, most: int = 5000) -> DataFrame
                 made.append(("high" if group == "React Page Evidence" else given, (code if len(code) <= most else code[:most] + "\n[SNIPPET_TRUNCATED]") or None, why))
             yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(made, columns=["confidence", "code", "uncertainty"], dtype=object)], axis=1)
 
-    return joined.select(*wanted.columns, "content").mapInPandas(run, out)
+    together = spread(joined.select(*wanted.columns, "content"), "path").sortWithinPartitions("path")
+    return together.mapInPandas(run, out)
 
 
 def packed_evidence(found: DataFrame, by: str, most: int, heading: Column, share: float = 0.72, least: int = 3000, of_group: int = 4) -> DataFrame:
@@ -173,6 +188,7 @@ def packed_evidence(found: DataFrame, by: str, most: int, heading: Column, share
     """
     from cairn.operators.select import admitted, priority, top_k
 
+    found = materialize(found, "evidence")  # it is read twice
     rank = priority(F.col("confidence"), ["high", "medium", "low"])
     rows = found.where("code is not null").withColumn("__size", (F.length("code") + F.length(heading)).cast("bigint"))
     few = top_k(rows, [by, "group"], [rank, F.col("ord")], of_group).withColumn("__place", priority(F.col("group"), list(GROUPS)) * of_group + F.col("rank"))
