@@ -7,7 +7,7 @@ partition, as ``TABLE(x) PARTITION BY k ORDER BY (o)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
@@ -17,7 +17,7 @@ from cairn.functions import calls, scan
 from cairn.operators import extract, syntax
 
 #: Name to the function of a text and the columns of its rows.
-TABLES: dict[str, tuple[Callable[[str], list[tuple]], str]] = {
+TABLES: dict[str, tuple[Callable[[str], Iterable[tuple]], str]] = {
     "java_endpoints": (syntax._endpoints, syntax.ENDPOINT),
     "java_method_calls": (extract._method_calls, "class_name string, method string, ord int, receiver string, receiver_type string, target string, confidence string"),
     "java_methods": (lambda t: [(n, a, b, scan.line_of(t, a)) for n, a, b in scan.java_methods(t)], "method string, start int, stop int, start_line int"),
@@ -32,7 +32,7 @@ TABLES: dict[str, tuple[Callable[[str], list[tuple]], str]] = {
 }
 
 
-def _lateral(fn: Callable[[str], list[tuple]]) -> type:
+def _lateral(fn: Callable[[str], Iterable[tuple]]) -> type:
     class Rows:
         def eval(self, content: str) -> Iterator[tuple]:
             yield from fn(content or "")

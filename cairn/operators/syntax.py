@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,14 @@ def _parameter(p: Parameter) -> tuple:
     return SOURCES.get(given.name, "request"), first("name") or first("value") or first("") or p.name, p.type, None if required is None else required != "false", first("defaultValue"), [a.name for a in p.annotations if a.name in VALIDATION]
 
 
-def _endpoints(text: str) -> list[tuple]:
+def _endpoints(text: str) -> Iterator[tuple]:
     if "Mapping" not in text:
-        return []
+        return
     source = Source(text)
     controllers: dict[str, Declaration] = {}
     for d in source.declarations:
         if d.kind == "class" and {"RestController", "Controller"} & {a.name for a in d.annotations}:
             controllers[f"{d.owner}.{d.name}" if d.owner else d.name] = d
-    out = []
     for d in source.declarations:
         owner = controllers.get(d.owner)
         mapped = [a for a in d.annotations if a.name in MAPPINGS or a.name == "RequestMapping"] if owner and d.kind == "method" else []
@@ -65,11 +66,9 @@ def _endpoints(text: str) -> list[tuple]:
         place = (*source.place(d.start), *source.place(d.stop))
         for a in mapped:
             joined = dict.fromkeys("/" + "/".join(x for x in f"{b}/{p}".split("/") if x) for b in bases for p in _paths(a))
-            out += [
-                (d.owner, d.name, verb, path, d.type, parameters, own, list(dict.fromkeys(checks)), list(dict.fromkeys(guards)), *place, "high" if source.sound else "medium")
-                for verb in _methods(a) for path in joined
-            ]
-    return out
+            for verb in _methods(a):
+                for path in joined:
+                    yield d.owner, d.name, verb, path, d.type, parameters, own, list(dict.fromkeys(checks)), list(dict.fromkeys(guards)), *place, "high" if source.sound else "medium"
 
 
 def endpoints(files: DataFrame) -> DataFrame:
