@@ -128,6 +128,31 @@ def identified_chunks(chunks: DataFrame, kind: str, label: str, order: str, text
     return joined.select(identity.alias("id"), "part", "parts", "kind", "label", "hash", "text")
 
 
+def _cut(text: Column, least: int) -> Column:
+    """Where a text is cut: at the newline nearest its middle that leaves both parts ``least`` characters, else at its middle."""
+    n = F.length(text)
+    middle = F.floor(n / 2).cast("int")
+    before = F.instr(F.reverse(F.left(text, middle + 1)), "\n")
+    after = F.locate("\n", F.substring(text, middle + 1, n))
+    return F.transform(F.array(F.struct(n.alias("n"), middle.alias("m"), before.alias("b"), after.alias("a"))), lambda x: _nearest(x, least))[0]
+
+
+def _nearest(x: Column, least: int) -> Column:
+    """The cut of a text by its length, its middle and how far newlines are before and behind that; each is computed once."""
+    fits = lambda c: F.when((c >= least) & (x["n"] - c >= least), c)
+    down, up = fits(F.when(x["b"] > 0, x["m"] + 1 - x["b"])), fits(F.when(x["a"] > 0, x["m"] + x["a"] - 1))
+    nearest = F.when(down.isNotNull() & (up.isNull() | (x["m"] - down <= up - x["m"])), down)
+    return F.coalesce(nearest, up, x["m"]).cast("int")
+
+
+def _parted(text: Column, cut: Column, least: int, overlap: int) -> Column:
+    """The two parts of a text, each reaching over the cut, or the whole where one would be blank or as long as it."""
+    over = min(overlap, least // 2)
+    halves = F.array(F.left(text, F.least(cut + over, F.length(text))), F.substring(text, F.greatest(cut - over, F.lit(0)) + 1, F.length(text)))
+    whole = lambda x: F.exists(x, lambda p: ~p.rlike(r"\S") | (F.length(p) >= F.length(text)))
+    return F.transform(F.array(halves), lambda x: F.when(whole(x), F.array(text)).otherwise(x))[0]
+
+
 def split_once(text: Column, least: int, overlap: int) -> Column:
     """A text in two at the newline nearest its middle (at its middle without one), or the whole where that can't be.
 
@@ -135,26 +160,18 @@ def split_once(text: Column, least: int, overlap: int) -> Column:
     reaches over the cut by ``overlap``, half of ``least`` at most. A text
     whose parts would be blank or as long as itself stays whole.
     """
-    n = F.length(text)
-    middle = F.floor(n / 2).cast("int")
-    before = F.instr(F.reverse(F.left(text, middle + 1)), "\n")
-    after = F.locate("\n", F.substring(text, middle + 1, n))
-    fits = lambda c: F.when((c >= least) & (n - c >= least), c)
-    down, up = fits(F.when(before > 0, middle + 1 - before)), fits(F.when(after > 0, middle + after - 1))
-    nearest = F.when(down.isNotNull() & (up.isNull() | (middle - down <= up - middle)), down)
-    cut = F.coalesce(nearest, up, middle).cast("int")
-    over = min(overlap, least // 2)
-    left, right = F.left(text, F.least(cut + over, n)), F.substring(text, F.greatest(cut - over, F.lit(0)) + 1, n)
-    usable = (n >= 2 * least) & left.rlike(r"\S") & right.rlike(r"\S") & (F.length(left) < n) & (F.length(right) < n)
-    return F.when(usable, F.array(left, right)).otherwise(F.array(text))
+    return F.when(F.length(text) >= 2 * least, _parted(text, _cut(text, least), least, overlap)).otherwise(F.array(text))
 
 
 def adaptive_split(docs: DataFrame, id_col: str, text: str, most: int, least: int = 4000, overlap: int = 600, depth: int = 2) -> DataFrame:
     """(id, path, text): texts over ``most`` characters split in two, and those parts again, up to ``depth`` times; ``path`` tells left (0) from right (1)."""
     rows = docs.select(id_col, F.lit("").alias("path"), F.col(text).alias(text))
     for _ in range(depth):
-        parts = F.when(F.length(text) > most, split_once(F.col(text), least, overlap)).otherwise(F.array(F.col(text)))
-        rows = rows.withColumn("__parts", parts).select(id_col, "path", F.size("__parts").alias("__n"), F.posexplode("__parts").alias("__k", text))
+        # the cut is a column of its own: inside the parts it would be sought for each use of it
+        cut = F.when((F.length(text) > most) & (F.length(text) >= 2 * least), _cut(F.col(text), least))
+        placed = rows.withColumn("__cut", cut)
+        parts = F.when(F.col("__cut").isNotNull(), _parted(F.col(text), F.col("__cut"), least, overlap)).otherwise(F.array(F.col(text)))
+        rows = placed.withColumn("__parts", parts).select(id_col, "path", F.size("__parts").alias("__n"), F.posexplode("__parts").alias("__k", text))
         rows = rows.select(id_col, F.when(F.col("__n") > 1, F.concat("path", F.col("__k").cast("string"))).otherwise(F.col("path")).alias("path"), text)
     return rows
 
