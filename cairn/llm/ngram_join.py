@@ -43,6 +43,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from secrets import randbits
 from typing import NamedTuple
 
@@ -52,7 +53,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.hashing import mix, words
-from cairn.llm.tasks import id_and_text, map_columns, slices
+from cairn.llm.tasks import hand_back, id_and_text, map_columns, slices
 from cairn.plans.components import connected_components
 from cairn.plans.durable import materialize, measured, scratch
 
@@ -64,6 +65,8 @@ SLOTS = 1 << 20
 SKETCH = 16
 #: How many earlier elements a meeting knows of; a pair whose first common one lies further back comes out more than once.
 EARLIER = 24
+#: Rows of a batch of signatures: the executor holds two of them outside its heap for each core.
+ROWS = 1 << 16
 LONGS = [f"sketch{k}" for k in range(SKETCH)]
 
 
@@ -191,7 +194,7 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: Grams | int,
     chunks.
     """
 
-    def combine(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    def combine(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, node = np.concatenate(sigs).view(np.int64), np.concatenate(nodes)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
@@ -202,9 +205,11 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: Grams | int,
         first[1:] = sig[1:] != sig[:-1]
         lead = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
         salt = np.where(first, 0, mix(node.view(np.uint64)).view(np.int64) | 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sig), pa.array(salt), pa.array(lead, mask=first), pa.array(node)], names=["sig", "salt", "lead", "node"]
-        )
+        for at in range(0, len(sig), ROWS):
+            some = slice(at, at + ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[some]), pa.array(salt[some]), pa.array(lead[some], mask=first[some]), pa.array(node[some])], names=["sig", "salt", "lead", "node"]
+            )
 
     def run(batches):
         sigs, nodes, held, seen = [], [], 0, set()
@@ -219,10 +224,11 @@ def signature_rows(docs: DataFrame, id_col: str, text_col: str, n: Grams | int,
                     nodes.append(np.full(len(s), node, np.int64))
                     held += len(s)
                 if held >= chunk:
-                    yield combine(sigs, nodes)
+                    yield from combine(sigs, nodes)
                     sigs, nodes, held, seen = [], [], 0, set()
         if held:
-            yield combine(sigs, nodes)
+            yield from combine(sigs, nodes)
+        hand_back()
 
     rows = id_and_text(docs, id_col, text_col).select("text")
     return rows.mapInArrow(run, "sig long, salt long, lead long, node long")
@@ -253,6 +259,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             keep = np.flatnonzero(shared.value[s // 8] >> (s % 8).astype(np.uint8) & 1)
             for part in slices(batch.take(pa.array(keep)).select(["id", "text"])):
                 yield part.column("id"), ngram_sets(part.column("text"), n)
+        hand_back()
 
     rows = id_and_text(docs, id_col, text_col).withColumn("slot", slot)
     kind = rows.schema["id"].dataType.simpleString()

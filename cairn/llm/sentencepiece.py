@@ -210,22 +210,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(Lattice(pieces))
 
     def run(batch: pa.RecordBatch) -> dict:
-        counts, offsets, values, same = [], [0], [], []
-        for part in slices(batch, most=most):
-            texts = part.column("text").to_pylist()
-            ids, n = shared.value.encode_texts([pre_tokens(t) for t in texts])
-            at = np.concatenate([[0], np.cumsum(n)])
-            for k, t in enumerate(texts):
-                same.append(shared.value.decode(ids[at[k] : at[k + 1]])[1:] == t.encode("utf-8", "surrogatepass"))
-            counts.append(n)
-            values.append(ids.astype(np.int32))
-            offsets.extend((at[1:] + offsets[-1]).tolist())
-        ids = np.concatenate(values) if values else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-        return {"n_tokens": np.concatenate(counts) if counts else [], "ids": lists, "round_trip": same}
+        texts = batch.column("text").to_pylist()
+        ids, n = shared.value.encode_texts([pre_tokens(t) for t in texts])
+        at = np.concatenate([[0], np.cumsum(n)])
+        same = [shared.value.decode(ids[at[k] : at[k + 1]])[1:] == t.encode("utf-8", "surrogatepass") for k, t in enumerate(texts)]
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))
+        return {"n_tokens": n, "ids": lists, "round_trip": same}
 
     rows = id_and_text(docs, id_col, text_col)
-    return map_columns(rows, ["id"], "n_tokens long, ids array<int>, round_trip boolean", run).withColumnRenamed("id", id_col)
+    return map_columns(rows, ["id"], "n_tokens long, ids array<int>, round_trip boolean", run, most).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,18 +14,30 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def map_columns(rows: DataFrame, keep: list[str], made: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``keep``'s columns unchanged, beside those that ``fn`` makes of each batch (``made``: their DDL)."""
+def hand_back() -> None:
+    """Memory that a task has freed goes back to the system: its worker stays for later tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def map_columns(rows: DataFrame, keep: list[str], made: str, fn: Callable[[pa.RecordBatch], dict], most: int | None = None) -> DataFrame:
+    """``keep``'s columns unchanged, beside those that ``fn`` makes of each batch (``made``: their DDL).
+
+    With ``most`` batches come, and go on, in slices of about so many bytes of text.
+    """
     new = StructType.fromDDL(made)
     out = StructType([rows.schema[c] for c in keep] + list(new))
     types = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = fn(batch)
-            arrays = [batch.column(c) for c in keep]
-            arrays += [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in types]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+        for whole in batches:
+            for batch in slices(whole, most=most) if most else [whole]:
+                columns = fn(batch)
+                arrays = [batch.column(c) for c in keep]
+                arrays += [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+        hand_back()
 
     return rows.mapInArrow(run, out)
 

@@ -8,8 +8,9 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 
-from cairn.llm import exact_dedup, ngram_join
+from cairn.llm import exact_dedup, ngram_join, tasks
 from cairn.llm.hashing import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,3 +153,18 @@ def test_texts_that_share_a_passage_are_refined(docs_of):
         items.append((2000 + k, " ".join(words), "a"))
     got = Counter(tuple(r) for r in ngram_join.ngram_components(docs_of(items)).collect())
     assert got == brute_components(items)
+
+
+def test_tasks_hand_over_small_batches(spark):
+    """Signatures come in batches of bounded rows, encoded texts by slices: the executor holds them outside its heap."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 120), k -> hash(id, k)), ' ') AS text").coalesce(1)
+    signed = ngram_join.signature_rows(docs, "doc_id", "text", 5, frozenset())
+    assert signed.count() > 2 * ngram_join.ROWS
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+        run = ngram_join.signature_rows(docs, "doc_id", "text", 5, frozenset())
+        made = tasks.map_columns(docs, ["doc_id"], "n long", lambda b: {"n": [b.num_rows] * b.num_rows}, 1 << 16)
+    batch = pa.RecordBatch.from_pandas(docs.toPandas(), preserve_index=False)
+    assert max(b.num_rows for b in run(iter([batch.select(["text"])]))) <= ngram_join.ROWS
+    assert len(list(made(iter([batch])))) > 10
