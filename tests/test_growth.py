@@ -85,3 +85,20 @@ def test_a_split_seeks_its_cut_once(spark):
     docs = spark.createDataFrame([(1, "ab\n" * 900)], "i int, t string")
     plan = packs.adaptive_split(docs, "i", "t", 1000, 300, 50, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("reverse(") < 30
+
+
+def test_owners_of_files_need_no_reach(spark, monkeypatch):
+    from cairn.operators import graph
+    from cairn.registered import sources
+
+    monkeypatch.setattr(graph, "reachable", None)
+    assert sources.file_owners(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_calls_meet_names_without_a_group_for_each_file(spark):
+    from cairn.operators import extract
+
+    text = "const B = '/api';\nexport function a() { return fetch(B + '/x'); }\nconst b = () => fetch('/y');\n"
+    found = extract.api_calls(spark.createDataFrame([("ui/src/api/a.ts", text)], "path string, content string"))
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    assert {(r["function"], r["target"]) for r in found.collect()} == {("a", "/api/x"), ("b", "/y")}
