@@ -6,15 +6,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.functions import calls, java, scan
 from cairn.operators.extract import scanned
-from cairn.operators.select import innermost, merged_intervals, valid_prefix
+from cairn.operators.select import innermost, merged_intervals
 from cairn.plans.durable import materialize, spread
-from cairn.plans.running import running_totals
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -57,8 +56,10 @@ def focused_windows(files: DataFrame, hits: DataFrame, before: int = 8, after: i
     declaration whole lines around the hits are shown, windows with at most
     ``lines_gap`` lines between them as one.
     """
-    blocks = innermost(hits.select("path", "at"), declaration_blocks(files), ["path"], "at", "start", "stop")
+    hits = materialize(hits.select("path", "at"), "hits")  # hits and declarations are read twice, the files are scanned once for them
+    blocks = innermost(hits, declaration_blocks(files), ["path"], "at", "start", "stop")
     merged = merged_intervals(blocks.select("path", "start", "stop"), ["path"], "start", "stop", F.lit(gap)).withColumn("form", F.lit("declaration"))
+    merged = materialize(merged, "declarations")
     rest = hits.join(merged.select("path").distinct(), "path", "left_anti")
     lines = F.split("content", "\n")
     placed = rest.join(files.select("path", "content"), "path").select("path", F.size(F.split(F.left("content", F.col("at")), "\n")).alias("line"), F.size(lines).alias("lines"))
@@ -77,12 +78,14 @@ def rendered_focus(files: DataFrame, windows: DataFrame, most: int) -> DataFrame
     longer fits ends the file.
     """
     joined = windows.join(files.select("path", "content"), "path")
-    line = lambda at: F.size(F.split(F.left("content", at), "\n"))
+    line = lambda at: F.length(F.left("content", at)) - F.length(F.replace(F.left("content", at), F.lit("\n"), F.lit(""))) + 1
     code = F.substring("content", F.col("start") + 1, F.col("stop") - F.col("start"))
     rows = joined.select("path", "start", "form", line(F.col("start")).alias("first_line"), line(F.col("stop")).alias("last_line"), code.alias("code"))
     rows = rows.withColumn("chunk", F.concat(F.lit("[lines "), "first_line", F.lit("-"), "last_line", F.lit("]\n"), "code")).drop("code")
-    fits = running_totals(rows.where(F.length("chunk") <= most), ["path"], [F.col("start")], {"used": F.length("chunk"), "ord": F.lit(1).cast("bigint")})
-    return valid_prefix(fits, ["path"], "ord", F.col("used") <= most).select("path", "ord", "form", "first_line", "last_line", "chunk")
+    # a file's windows, of which its content is the bound, lie where the join has put them; totals only grow, so those within the budget come first
+    upto = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.where(F.length("chunk") <= most).withColumns({"used": F.sum(F.length("chunk")).over(upto), "ord": F.count(F.lit(1)).over(upto)})
+    return fits.where(F.col("used") <= most).select("path", "ord", "form", "first_line", "last_line", "chunk")
 
 
 # Evidence ------------------------------------------------------------------------------------
