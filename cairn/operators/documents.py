@@ -318,20 +318,21 @@ COUNTED = {
 }
 
 
-#: A word's edge by ASCII letters; Java's own sees letters with accents as well.
-_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+def _edged(pattern: str) -> str:
+    """A word's edge by ASCII letters, before what opens a pattern and behind what ends it; Java's own sees letters with accents as well."""
+    return pattern.replace(r"(?i)\b", r"(?i)(?<!\w)").replace(r"\b", r"(?!\w)")
 
 
 def assess(text: Column) -> dict[str, Column]:
     """Counts that a document linter reports."""
-    count = lambda p: F.regexp_count(text, F.lit(p.replace(r"\b", _EDGE))).cast("bigint")
+    count = lambda p: F.regexp_count(text, F.lit(_edged(p))).cast("bigint")
     titles = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^##\s+([^\n]*)$"), F.lit(1)), lambda t: heading_name(t))
     references = F.regexp_extract_all(text, F.lit(COUNTED["n_references"]), F.lit(0))
     return {
-        "n_lines": count("\n") + 1,
+        "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint"),
         "n_words": count(r"\S+"),
         "n_unresolved": count(NOT_VISIBLE),
-        **{name: count(pattern) for name, pattern in COUNTED.items()},
+        **{name: F.size(references).cast("bigint") if name == "n_references" else count(pattern) for name, pattern in COUNTED.items()},
         "n_sources": F.size(F.array_distinct(references)).cast("bigint"),
         "n_headings": count(r"(?m)^#{1,3}\s+\S"),
         "n_duplicates": (F.size(titles) - F.size(F.array_distinct(titles))).cast("bigint"),
