@@ -15,24 +15,74 @@ def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame
     """(source, node, depth): every node that a source reaches, itself included, with its least depth.
 
     ``seeds`` is (source, node), ``edges`` (a, b). Breadth first: the frontier
-    joins the edges, what was visited goes by an anti-join, and each round is
-    a written table, so lineage stays short. Cycles end by themselves.
+    joins the edges, what was visited is taken away, and each round is a
+    written table, so lineage stays short. Cycles end by themselves.
+
+    Sources travel together: they are numbered in their order, 64 to a word,
+    and a row (node, word, bits) stands for those of a word that meet at a
+    node. Pairs are made once, from the settled rows. A row stays in the
+    comparison as long as steps can still end at its node.
     """
     edges = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).where("node is not null and next is not null").distinct()
     edges = materialize(edges, "reach-edges")
-    frontier = materialize(seeds.select("source", "node", F.lit(0).alias("depth")).dropDuplicates(["source", "node"]), "frontier")
+    last = _last_steps(edges, rounds)
+    edges = edges.join(last.withColumnRenamed("node", "next"), "next").join(last.withColumnRenamed("__last", "__from"), "node", "left")
+    edges = materialize(edges.select("node", "next", "__last", F.coalesce("__from", F.lit(0)).alias("__from")), "reach-edges")
+    seeds = materialize(seeds.select("source", "node").distinct(), "reach-seeds")
+    places = _places(seeds.select("source").distinct())
+    bits = F.bit_or(F.expr("shiftleft(1L, __bit)"))
+    placed = seeds.join(places.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
+    first = placed.groupBy("node", "__word").agg(bits.alias("__bits")).join(last, "node", "left").withColumn("depth", F.lit(0))
+    frontier = materialize(first.select("node", "__word", "__bits", F.coalesce("__last", F.lit(0)).alias("__last"), "depth"), "frontier")
     visited = frontier
+    none = F.lit(0).cast("bigint")
     for depth in range(1, rounds + 1):
-        found = frontier.join(edges, "node").select("source", F.col("next").alias("node")).distinct()
-        frontier, met = measured(found.join(visited, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if not met["n"]:
-            return visited
+        onward = frontier.drop("__last").join(edges.where(F.col("__from") >= depth - 1), "node")
+        found = onward.select(F.col("next").alias("node"), "__word", "__bits", none.alias("__seen"), "__last")
+        before = visited.where(F.col("__last") >= depth).select("node", "__word", none.alias("__bits"), F.col("__bits").alias("__seen"), "__last")
+        met = found.unionByName(before).groupBy("node", "__word").agg(F.bit_or("__bits").alias("__bits"), F.bit_or("__seen").alias("__seen"), F.max("__last").alias("__last"))
+        fresh = met.select("node", "__word", F.expr("__bits & ~__seen").alias("__bits"), "__last", F.lit(depth).alias("depth")).where("__bits <> 0")
+        frontier, made = measured(fresh, "frontier")
+        if not made["n"]:
+            return _unpacked(visited, places)
         visited = visited.unionByName(frontier)
         if depth % 8 == 0:  # few tables to read, however deep the graph
             visited = materialize(visited, "visited")
     raise RuntimeError(f"reachability goes deeper than {rounds} steps")
 
 
+def _last_steps(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, __last) of the nodes that edges (node, next) lead to: how many steps a way may have that ends there.
+
+    Edges whose start no way of that many steps reaches fall away, round by
+    round. Where a cycle leads, or a way longer than ``rounds``, ``__last``
+    has no bound.
+    """
+    live, left, steps = edges, None, None
+    for step in range(1, rounds + 1):
+        ends = live.select(F.col("next").alias("node"), F.lit(step).alias("__last"))
+        steps = ends if steps is None else steps.unionByName(ends)
+        live, made = measured(live.join(ends.select("node").distinct(), "node", "left_semi"), "reach-live")
+        if made["n"] in (0, left):
+            break
+        left = made["n"]
+    unbounded = live.select(F.col("next").alias("node"), F.lit(2**31 - 1).alias("__last"))
+    return materialize(steps.unionByName(unbounded).groupBy("node").agg(F.max("__last").alias("__last")), "reach-last")
+
+
+def _places(sources: DataFrame) -> DataFrame:
+    """(source, __word, __bit) of distinct sources: neighbours in their order share a word of 64 bits."""
+    dealt = sources.repartitionByRange("source").sortWithinPartitions("source").withColumn("__id", F.monotonically_increasing_id())
+    return materialize(dealt.selectExpr("source", "__id >> 6 as __word", "cast(__id & 63 as int) as __bit"), "reach-places")
+
+
+def _unpacked(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(source, node, depth) of rows (node, __word, __bits, depth, ...): a row for each bit that is set."""
+    words = places.groupBy("__word").agg(F.collect_list(F.struct("__bit", "source")).alias("__sources"))
+    each = F.explode(F.expr("filter(__sources, s -> getbit(__bits, s.__bit) = 1)")).alias("__s")
+    return rows.join(words, "__word").select(each, "node", "depth").select("__s.source", "node", "depth")
+
+
 def unique_owner(reach: DataFrame) -> DataFrame:
     """(node, owner) of the nodes that exactly one source reaches."""
     by = reach.groupBy("node").agg(F.min("source").alias("owner"), F.max("source").alias("__last"))
