@@ -1,16 +1,22 @@
 """The extractors as table functions, for SQL: ``FROM files f, LATERAL java_endpoints(f.content)``.
 
 Each takes one file's content and gives the rows that the DataFrame operators
-give, without the path. ``first_rows`` and ``as_of_marks`` take a table by
+give, without the path. A lateral call hands over all rows of a file at once;
+where files are large, ``java_endpoints_of(TABLE(SELECT path, content FROM
+files))`` and its like give the same rows with the path, few at a time.
+``first_rows`` and ``as_of_marks`` take a table by
 partition, as ``TABLE(x) PARTITION BY k ORDER BY (o)``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, arrow_udtf, udtf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType
 
 from cairn.functions import calls, scan
@@ -40,6 +46,17 @@ def _lateral(fn: Callable[[str], Iterable[tuple]]) -> type:
     return Rows
 
 
+def _of_table(fn: Callable[[str], Iterable[tuple]], schema: pa.Schema) -> type:
+    class Rows:
+        def eval(self, files: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for path, content in zip(files.column("path"), files.column("content"), strict=True):
+                for rows in batched(fn(content.as_py() or ""), extract.ROWS):
+                    made = [pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(path, len(rows)), *made], schema=schema)
+
+    return Rows
+
+
 class FirstRows:
     """The first ``n`` rows of each partition, in the order that the call gives; nothing but a counter is held."""
 
@@ -79,6 +96,8 @@ def register(spark: SparkSession) -> list[str]:
     """Register all table functions in the session; their names."""
     for name, (fn, columns) in TABLES.items():
         spark.udtf.register(name, udtf(_lateral(fn), returnType=columns))
+        whole = f"path string, {columns}"
+        spark.udtf.register(f"{name}_of", arrow_udtf(_of_table(fn, to_arrow_schema(StructType.fromDDL(whole))), returnType=whole))
     spark.udtf.register("first_rows", udtf(FirstRows))
     spark.udtf.register("as_of_marks", udtf(AsOfMarks))
-    return [*TABLES, "first_rows", "as_of_marks"]
+    return [*TABLES, *(f"{name}_of" for name in TABLES), "first_rows", "as_of_marks"]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.java import Annotation, Declaration, Parameter, Source
+from cairn.functions.java import SMALL, Annotation, Declaration, Parameter, Source
 from cairn.operators import extract
 from cairn.operators.extract import scanned
 
@@ -49,11 +49,13 @@ def _endpoints(text: str) -> Iterator[tuple]:
     if "Mapping" not in text:
         return
     source = Source(text)
+    # those of a large file are read twice rather than held
+    declarations = source.read if len(text) > SMALL else lambda: source.declarations
     controllers: dict[str, Declaration] = {}
-    for d in source.declarations:
+    for d in declarations():
         if d.kind == "class" and {"RestController", "Controller"} & {a.name for a in d.annotations}:
             controllers[f"{d.owner}.{d.name}" if d.owner else d.name] = d
-    for d in source.declarations:
+    for d in declarations():
         owner = controllers.get(d.owner)
         mapped = [a for a in d.annotations if a.name in MAPPINGS or a.name == "RequestMapping"] if owner and d.kind == "method" else []
         if not mapped:
